@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from brindle.llm.bpe import bpe_round_trip
 from brindle.llm.exact_dedup import exact_dedup
+from brindle.llm.licenses import license_scan
+from brindle.llm.packing import pack
+from brindle.llm.quality_rules import quality_rules
+from brindle.llm.token_records import token_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +50,34 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies among all documents; one row per document."""
     return exact_dedup(_table(spark, sf_dir, "documents"))
+
+
+@query("op2_license_scan")
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices and texts in all documents; one row per document."""
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+@query("op3_quality_rules")
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and risk-controlled quality rules over all documents; one row per document."""
+    return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query("op5_token_records")
+def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written to record files and read back; one row per document."""
+    _, records = token_records(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return records.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "part", "record")
+
+
+@query("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens; one row per piece."""
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
+
+
+@query("op10_bpe")
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded; one row per document."""
+    return bpe_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
