@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from brindle.llm.bpe import bpe_round_trip
 from brindle.llm.exact_dedup import exact_dedup
+from brindle.llm.html_main import extract_main_text
 from brindle.llm.licenses import license_scan
 from brindle.llm.packing import pack
+from brindle.llm.quality_model import quality_scores
 from brindle.llm.quality_rules import quality_rules
 from brindle.llm.token_records import token_records
 
@@ -81,3 +83,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded; one row per document."""
     return bpe_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op4_main_text")
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages; one row per page."""
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+@query("op9_quality_model")
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents; one row per document."""
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
