@@ -12,6 +12,7 @@ from brindle.llm.bpe import bpe_round_trip
 from brindle.llm.exact_dedup import exact_dedup
 from brindle.llm.html_main import extract_main_text
 from brindle.llm.licenses import license_scan
+from brindle.llm.minhash import near_duplicates
 from brindle.llm.packing import pack
 from brindle.llm.quality_model import quality_scores
 from brindle.llm.quality_rules import quality_rules
@@ -95,3 +96,9 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents; one row per document."""
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query("op1_minhash")
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates among all documents; one row per document."""
+    return near_duplicates(_table(spark, sf_dir, "documents"))
