@@ -16,6 +16,7 @@ from brindle.llm.minhash import near_duplicates
 from brindle.llm.packing import pack
 from brindle.llm.quality_model import quality_scores
 from brindle.llm.quality_rules import quality_rules
+from brindle.llm.suffix_dedup import suffix_dedup
 from brindle.llm.token_records import token_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +103,9 @@ def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates among all documents; one row per document."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@query("op7_suffix_dedup")
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated 200-byte strings of all documents; one row per document."""
+    return suffix_dedup(_table(spark, sf_dir, "documents"))
