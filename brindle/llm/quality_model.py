@@ -131,15 +131,36 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return docs.select(docs[id_col].cast("bigint").alias("doc_id"), text_of(docs, text_col).alias("text")).mapInArrow(work, "doc_id bigint, x array<double>")
 
 
-def train(stats: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Trees:
-    """Trees from the labelled rows that are not held out: at most ``max_rows`` of them, by the hash of the id."""
+def learnable(labels: DataFrame, max_rows: int) -> DataFrame:
+    """``doc_id, y``: at most ``max_rows`` labelled ids that are not held out, those with the smallest hash. This bounds what is broadcast and learned from."""
     marks = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("low"), F.max("quality").alias("y"))
-    rows = stats.join(marks.where("low = y"), "doc_id").where(~held_out(F.col("doc_id")))
-    found = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("x", "y").toArrow()
+    rows = marks.where("low = y and doc_id is not null").where(~held_out(F.col("doc_id")))
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("doc_id", "y")
+
+
+def train(stats: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Trees:
+    """Trees from the labelled rows among ``stats``."""
+    rows = stats.join(F.broadcast(learnable(labels, max_rows)), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(max_rows)
+    found = rows.select("x", "y").toArrow()
     x = np.array(found.column("x").to_pylist(), np.float64).reshape(-1, len(FEATURES))
     return fit(x, np.array(found.column("y").to_pylist(), np.float64))
 
 
+def accept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.3, max_rows: int = 20_000) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score reaches ``cut``: each row by its own text, whatever its id."""
+    small_batches(docs.sparkSession)
+    sample = docs.join(F.broadcast(learnable(labels, max_rows).select(F.col("doc_id").alias("_learn"))), docs[id_col].cast("bigint") == F.col("_learn"), "left_semi")
+    trees = train(document_statistics(sample, id_col, text_col), labels, max_rows)
+    at = docs.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([statistics(t or "") for t in batch.column(at).to_pylist()], np.float64).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(trees.score(x) >= cut))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.3, max_rows: int = 20_000) -> DataFrame:
     """One row per input row: ``doc_id, held_out, score, predicted``.
 
