@@ -21,3 +21,10 @@ def query(name: str, sql: str | None = None):
         return f
 
     return keep
+
+
+def _load() -> None:
+    from brindle.plans import base_queries, search_queries  # noqa: F401
+
+
+_load()
