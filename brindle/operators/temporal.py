@@ -50,6 +50,5 @@ def superseded(claims: DataFrame, key: str, at: str, kind: str = "temporal_type"
     takes the place of joining every claim with every other.
     """
     d = claims.where((F.col(kind) == "DYNAMIC") & F.col(at).isNotNull())
-    last = F.max(at).over(Window.partitionBy(key))
     following = F.min(at).over(Window.partitionBy(key).orderBy(F.col(at).cast("timestamp").cast("long")).rangeBetween(1, Window.unboundedFollowing))
-    return d.withColumn("replaced_at", following).where(F.col(at) < last)
+    return d.withColumn("replaced_at", following).where("replaced_at is not null")
