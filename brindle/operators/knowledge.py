@@ -56,11 +56,12 @@ def dedup_entities(entities: DataFrame) -> DataFrame:
 
     From ``seq, name, entity_type, properties, source_text``, ``seq`` giving the order.
     """
-    d = entities.groupBy(F.lower("name").alias("k1"), F.lower("entity_type").alias("k2"))
-    item = F.struct("seq", "properties")
-    out = d.agg(F.min_by("name", "seq").alias("name"), F.min_by("entity_type", "seq").alias("entity_type"), F.count(F.lit(1)).alias("mention_count"), F.array_sort(F.collect_list(item)).alias("p"), F.min_by("source_text", F.when(F.col("source_text") != "", F.col("seq"))).alias("source_text"))
-    last = lambda acc, x: F.map_concat(F.map_filter(acc, lambda k, v: ~F.map_contains_key(x["properties"], k)), x["properties"])
-    return out.select("name", "entity_type", "mention_count", F.aggregate("p", F.create_map().cast("map<string,string>"), last).alias("properties"), "source_text")
+    keyed = entities.withColumn("k1", F.lower("name")).withColumn("k2", F.lower("entity_type"))
+    out = keyed.groupBy("k1", "k2").agg(F.min_by("name", "seq").alias("name"), F.min_by("entity_type", "seq").alias("entity_type"), F.count(F.lit(1)).alias("mention_count"), F.min_by("source_text", F.when(F.col("source_text") != "", F.col("seq"))).alias("source_text"))
+    # one row per property, so a frequent entity's mentions never meet in one list
+    props = keyed.select("k1", "k2", "seq", F.explode("properties").alias("p", "v")).groupBy("k1", "k2", "p").agg(F.max_by("v", "seq").alias("v"))
+    maps = props.groupBy("k1", "k2").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("p", "v")))).alias("properties"))
+    return out.join(maps, ["k1", "k2"], "left").select("name", "entity_type", "mention_count", F.coalesce("properties", F.create_map().cast("map<string,string>")).alias("properties"), "source_text")
 
 
 def type_confidence(frequency: Column, examples: Column, properties: Column) -> Column:
