@@ -43,6 +43,9 @@ SOFT_NAMES = frozenset("banner header masthead nav navigation topbar".split())
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 CONTAINERS = frozenset("article aside blockquote body dd div dl footer form header html li main nav ol section table td th tr ul".split())
 
+#: Elements that may be the region of the text.
+REGIONS = frozenset("article body center div html main section td".split())
+
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -77,7 +80,7 @@ class Blocks(HTMLParser):
                         aside, home = "", number if home is None else home
                 if aside == "heading":
                     aside = "" if any(name in HEADINGS for name, _, _ in self.open) else "soft"
-                self.lines.append(Line(text, self.tags, self.linked, tuple(n for _, n, _ in self.open), bool(aside), home))
+                self.lines.append(Line(text, self.tags, self.linked, tuple(n for name, n, _ in self.open if name in REGIONS), bool(aside), home))
                 self.tags = 1
             self.parts.clear()
             self.linked = 0
@@ -160,7 +163,7 @@ def smoothed(values: list[float], sigma: float) -> list[float]:
 
 
 def split_value(values: list[float]) -> float:
-    """The middle between the two cluster means of the values."""
+    """The middle between the two cluster means of the values; the least value if the means are near, a page of one kind of lines."""
     low, high = min(values), max(values)
     for _ in range(20):
         cut = (low + high) / 2
@@ -169,7 +172,7 @@ def split_value(values: list[float]) -> float:
         if new == (low, high):
             break
         low, high = new
-    return (low + high) / 2
+    return (low + high) / 2 if high - low > 0.7 else min(values)
 
 
 def main_text(html: str | None, sigma: float = 1.5, share: float = 0.8) -> str:
