@@ -19,6 +19,7 @@ import json
 import re
 import unicodedata
 from array import array
+from functools import lru_cache
 
 import numpy as np
 
@@ -71,7 +72,7 @@ class WordSplitter:
         if low.isascii() and low.isalpha():
             return [low]
         found = self.pattern.findall(low)
-        return found if low.isascii() else [p.encode().decode("latin-1").translate(self.table) for p in found]
+        return found if low.isascii() and low.isprintable() else [p.encode().decode("latin-1").translate(self.table) for p in found]
 
 
 class CachedEncoder:
@@ -125,3 +126,9 @@ class CachedEncoder:
                     w = words[i]
                     found[i] = known.get(w) or known.setdefault(w, self._word(w))
         return b"".join(found)
+
+
+@lru_cache(2)
+def encoder_for(path: str) -> CachedEncoder:
+    """One encoder for each worker process, whose tasks share its cache."""
+    return CachedEncoder(path)
