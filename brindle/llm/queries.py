@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.llm import oracles
 from brindle.llm.bpe import bpe_round_trip
 from brindle.llm.exact_dedup import exact_dedup
 from brindle.llm.html_main import extract_main_text
@@ -56,13 +57,13 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-@query("op2_license_scan")
+@query("op2_license_scan", oracles.license_scan_sql())
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices and texts in all documents; one row per document."""
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
-@query("op3_quality_rules")
+@query("op3_quality_rules", oracles.quality_rules_sql())
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and risk-controlled quality rules over all documents; one row per document."""
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -99,7 +100,7 @@ def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-@query("op1_minhash")
+@query("op1_minhash", oracles.MINHASH)
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates among all documents; one row per document."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
