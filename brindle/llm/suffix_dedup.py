@@ -36,6 +36,8 @@ from brindle.llm.common import Written, small_batches, text_of
 
 GRAM, STEP, SEGMENT = 40, 25, 1 << 18
 _NULL = -(1 << 63)
+#: Rows and bytes after which a worker hands its results on.
+_ROWS, _BYTES = 20_000, 4 << 20
 _BITS = np.uint64((1 << 24) - 1)
 COVERED, SHOWN, OPEN = 0, 1, 2
 _RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
@@ -72,8 +74,8 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors_of(raw: bytes, length: int) -> Iterator[tuple[int, int, int, int]]:
-    """``gram hash, first window, last window, anchor`` of each run of windows of one text."""
+def anchors_of(raw: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``gram hash, first window, last window, anchor`` of the runs of windows of one text, as arrays for each segment."""
     for s in range(0, len(raw) - length + 1, SEGMENT):
         part = raw[s : s + SEGMENT + length - 1]
         h = gram_hashes(part)
@@ -81,11 +83,7 @@ def anchors_of(raw: bytes, length: int) -> Iterator[tuple[int, int, int, int]]:
         first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
         last = np.concatenate((first[1:], [len(least)])) - 1
         anchor = (least[first] & _BITS).astype(np.int64)
-        yield from zip(h[anchor].astype(np.int64).tolist(), (first + s).tolist(), (last + s).tolist(), (anchor + s).tolist(), strict=True)
-
-
-def _packed(first: int, last: int, anchor: int) -> int:
-    return first << 20 | (last - first) << 10 | (anchor - first)
+        yield h[anchor].view(np.int64), first + s, last + s, anchor + s
 
 
 def _unpacked(at: int) -> tuple[int, int, int]:
@@ -99,13 +97,25 @@ def _signed(x: int) -> int:
 
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [[], [], [], []], 0
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in held], names=["gram", "run", "doc", "at"])
+
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = text.encode("utf-8", "replace")
-                rows += [(g, _signed(xxhash.xxh3_64_intdigest(raw[first : last + length])), doc, _packed(first, last, anchor)) for g, first, last, anchor in anchors_of(raw, length)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["gram", "run", "doc", "at"])
+            for k in range(batch.num_rows):
+                doc, raw = batch.column(0)[k].as_py(), batch.column(1)[k].as_py().encode("utf-8", "replace")
+                for gram, first, last, anchor in anchors_of(raw, length):
+                    ends = zip(first.tolist(), (last + length).tolist(), strict=True)
+                    run = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in ends), np.uint64, len(first)).view(np.int64)
+                    for c, x in zip(held, (gram, run, np.full(len(first), doc), first << 20 | (last - first) << 10 | (anchor - first)), strict=True):
+                        c.append(x)
+                    rows += len(first)
+                if rows > _ROWS:
+                    yield packed()
+                    held, rows = [[], [], [], []], 0
+        if rows:
+            yield packed()
 
     return docs.mapInArrow(work, "gram bigint, run bigint, doc bigint, at bigint")
 
@@ -121,6 +131,10 @@ def merged(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return out
 
 
+def batch_of(rows: list, kinds: list, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
 def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     """``raw`` less the merged spans."""
     if not spans:
@@ -170,14 +184,16 @@ def repeated_spans(docs: DataFrame, length: int = 200, with_text: bool = False)
     lists = marks.groupBy("doc").agg(F.collect_list(F.col("at") * 4 + F.col("kind")).alias("marks"))
 
     first_schema = f"step string, {result}, raw string, spans array<bigint>, core bigint, at bigint, class int, open boolean"
-    width = len(first_schema.split(", "))
+    first_names = [x.split()[0] for x in first_schema.split(", ")]
+    width = len(first_names)
     head = len(names)
     kinds = [pa.string(), *[pa.int64()] * 4, pa.string(), *[pa.string()] * with_text, pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in batches:
-            rows = []
-            for doc, text, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for k in range(batch.num_rows):
+                doc, text, found = (batch.column(i)[k].as_py() for i in range(3))
                 raw = text.encode("utf-8", "replace")
                 spans, more = [], False
                 for mark in found or ():
@@ -192,8 +208,12 @@ def repeated_spans(docs: DataFrame, length: int = 200, with_text: bool = False)
                     rows.append(("open", doc, *[None] * (head - 1), text, flat, None, None, None, None))
                 else:
                     rows.append(("done", *final(doc, raw, spans), *[None] * (width - head - 1)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in first_schema.split(", ")])
+                size += len(raw)
+                if len(rows) > _ROWS or size > _BYTES:
+                    yield batch_of(rows, kinds, first_names)
+                    rows, size = [], 0
+        if rows:
+            yield batch_of(rows, kinds, first_names)
 
     joined = docs.join(lists, "doc", "left").select("doc", "text", "marks")
     begun = settle(joined.mapInArrow(begin, first_schema), "begun")
@@ -205,30 +225,39 @@ def repeated_spans(docs: DataFrame, length: int = 200, with_text: bool = False)
     left = cores.join(again, "core").groupBy("doc").agg(F.collect_list(F.struct("at", "class", "open")).alias("left"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, types = [], [*[pa.int64()] * 4, pa.bool_()]
         for batch in batches:
-            rows = []
-            for doc, text, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for k in range(batch.num_rows):
+                doc, text, found = (batch.column(i)[k].as_py() for i in range(3))
                 raw = text.encode("utf-8", "replace")
                 for x in found:
                     first, last, anchor = _unpacked(x["at"])
                     for p in range(max(first, anchor - (x["class"] + 1) * STEP + 1), min(last, anchor - x["class"] * STEP) + 1):
                         h = xxhash.xxh3_128_intdigest(raw[p : p + length])
                         rows.append((_signed(h >> 64), _signed(h & (1 << 64) - 1), doc, p, x["open"]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [*[pa.int64()] * 4, pa.bool_()], strict=True)], names=["h", "l", "doc", "p", "open"])
+                    if len(rows) > _ROWS:
+                        yield batch_of(rows, types, ["h", "l", "doc", "p", "open"])
+                        rows = []
+        if rows:
+            yield batch_of(rows, types, ["h", "l", "doc", "p", "open"])
 
     ranked = settle(texts.select("doc", "text").join(left, "doc").select("doc", "text", "left").mapInArrow(windows, "h bigint, l bigint, doc bigint, p bigint, open boolean"), "windows")
     twice = ranked.groupBy("h", "l").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("some")).where("n > 1 and some").select("h", "l")
     hits = ranked.where("open").join(twice, ["h", "l"]).groupBy("doc").agg(F.sort_array(F.collect_list("p")).alias("starts"))
 
     def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in batches:
-            rows = []
-            for doc, text, flat, starts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for k in range(batch.num_rows):
+                doc, text, flat, starts = (batch.column(i)[k].as_py() for i in range(4))
                 spans = list(zip(flat[::2], flat[1::2], strict=True)) + [(p, p + length) for p in starts or ()]
                 rows.append(final(doc, text.encode("utf-8", "replace"), spans))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds[1 : head + 1], strict=True)], names=names)
+                size += len(text)
+                if size > _BYTES:
+                    yield batch_of(rows, kinds[1 : head + 1], names)
+                    rows, size = [], 0
+        if rows:
+            yield batch_of(rows, kinds[1 : head + 1], names)
 
     return done.union(texts.join(hits, "doc", "left").select("doc", "text", "spans", "starts").mapInArrow(end, result))
 
