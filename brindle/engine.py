@@ -1,0 +1,194 @@
+"""One object for a collection of tables: ingest, search in every mode, context, graph, stores.
+
+Tables are held by name; each method is a composition of the operators and
+returns a DataFrame, so that nothing runs before its result is asked for.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brindle.config import Settings
+from brindle.functions.text import content_hash, document_id, tokens
+from brindle.functions.vector import hashing_embedder
+from brindle.operators import chunking, graph, knowledge, rag, search, store
+from brindle.sources import files
+
+MODES = ("keyword", "semantic", "hybrid", "dual")
+
+
+class Engine:
+    """``documents(document_id, text, domain)``, ``chunks(chunk_id, document_id, chunk_index, text, embedding)``, ``entities``, ``relations``, ``mentions``.
+
+    ``embedder`` maps a text column to a vector column and ``scorer`` a text
+    column and query terms to a score; both have deterministic stand-ins.
+    """
+
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame] | None = None, settings: Settings | None = None, embedder: Callable[[Column], Column] | None = None, scorer=search.overlap_scorer):
+        self.spark, self.tables, self.settings = spark, dict(tables or {}), settings or Settings()
+        self.embedder = embedder or (lambda text: hashing_embedder(tokens(text)))
+        self.scorer = scorer
+
+    # collections
+
+    def create(self, name: str, rows: DataFrame) -> None:
+        rows.write.mode("errorifexists").saveAsTable(name)
+
+    def collections(self) -> list[str]:
+        return sorted(t.name for t in self.spark.catalog.listTables() if not t.isTemporary)
+
+    def drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+
+    def query(self, sql: str, **args) -> DataFrame:
+        """Any SQL over the tables, with named parameters."""
+        for name, d in self.tables.items():
+            d.createOrReplaceTempView(name)
+        return self.spark.sql(sql, args=args or None)
+
+    # ingest
+
+    def ingest(self, folder: str, processed: str, vision=None) -> DataFrame:
+        """New documents of a folder, converted, hashed and chunked; returns the files that failed. Content that is known is left out."""
+        found = files.scan(self.spark, folder, most_mb=self.settings.max_file_mb)
+        new = files.route(found, processed, vision).select(document_id(F.col("content")).alias("document_id"), content_hash(F.col("content")).alias("content_hash"), F.col("content").alias("text"), F.col("path").alias("source_uri")).dropDuplicates(["document_id"])
+        if "documents" in self.tables:
+            new = new.join(self.tables["documents"].select("document_id"), "document_id", "left_anti")
+        made = self.chunk(new)
+        self.tables["documents"] = self.tables["documents"].unionByName(new, True) if "documents" in self.tables else new
+        self.tables["chunks"] = self.tables["chunks"].unionByName(made, True) if "chunks" in self.tables else made
+        return found.where("not ok").select("path", "error")
+
+    def chunk(self, documents: DataFrame) -> DataFrame:
+        s = self.settings
+        c = chunking.chunk_documents(documents, s.chunk_size, s.max_chunk_size, s.chunk_overlap, id_col="document_id").withColumnRenamed("doc_id", "document_id")
+        c = c.withColumn("chunk_id", F.concat_ws(":", "document_id", F.col("chunk_index").cast("string")))
+        return c.withColumn("embedding", self.embedder(F.col("text")))
+
+    # search
+
+    def _filtered(self, domain: str | None, where: dict | None) -> DataFrame:
+        c = self.tables["chunks"]
+        if domain:
+            c = c.join(self.tables["documents"].where(F.col("domain") == domain).select("document_id"), "document_id", "left_semi")
+        return c.where(store.metadata_filter(where)) if where else c
+
+    def keyword(self, text: str, limit: int = 10, mode: str = "or", domain: str | None = None, where: dict | None = None) -> DataFrame:
+        return search.bm25(self._filtered(domain, where), self.terms(text), mode, limit, id_col="chunk_id").select("id", "score")
+
+    def semantic(self, text: str, limit: int = 10, domain: str | None = None, where: dict | None = None, least: float | None = None) -> DataFrame:
+        q = self.spark.createDataFrame([(text,)], "t string").select(self.embedder(F.col("t")).alias("q"))
+        return search.nearest(self._filtered(domain, where), q, limit, least, id_col="chunk_id")
+
+    def hybrid(self, text: str, limit: int = 10, domain: str | None = None, where: dict | None = None) -> DataFrame:
+        s = self.settings
+        return search.hybrid(self.keyword(text, 2 * limit, domain=domain, where=where), self.semantic(text, 2 * limit, domain, where), limit, s.rrf_k, (s.bm25_weight, s.vector_weight))
+
+    def dual(self, text: str, limit: int = 10) -> DataFrame:
+        """Hybrid hits and chunks of the entities that these mention, at a constant score."""
+        hits = self.hybrid(text, limit).select(F.col("id").alias("chunk_id"), "score")
+        of = self.tables["mentions"].join(hits, "chunk_id", "left_semi").select(F.col("entity_id").alias("id")).distinct()
+        return rag.feed_by_graph(hits, of, self.tables["mentions"], score=self.settings.graph_score).withColumnRenamed("chunk_id", "id")
+
+    def search(self, text: str, mode: str = "hybrid", limit: int = 10) -> DataFrame:
+        if mode not in MODES or limit < 1:
+            raise ValueError(f"mode must be one of {MODES} and limit at least 1")
+        return getattr(self, mode)(text, limit)
+
+    def many(self, texts: list[str], limit: int = 10) -> DataFrame:
+        """One ranking for several wordings of a query."""
+        if not texts:
+            raise ValueError("queries cannot be empty")
+        lists = [self.hybrid(t, 2 * limit).select(F.lit(i).alias("query"), "id", "score") for i, t in enumerate(texts)]
+        out = lists[0]
+        for x in lists[1:]:
+            out = out.union(x)
+        return search.multi_query(out, self.settings.rrf_k).orderBy(F.desc("score"), "id").limit(limit)
+
+    def reranked(self, text: str) -> DataFrame:
+        """Hybrid candidates reordered by the scorer; the plain order if no scorer is set."""
+        s = self.settings
+        hits = self.hybrid(text, s.initial_top_k)
+        if self.scorer is None:
+            return hits.limit(s.final_top_k)
+        return search.rerank(hits, self.tables["chunks"], self.terms(text), s.final_top_k, self.scorer, id_col="chunk_id")
+
+    def corrective(self, text: str, limit: int = 10) -> DataFrame:
+        """Hits in three classes of relevance; where none is correct, those of the query without its rarest term."""
+        verdicts = rag.corrective_buckets(self.hybrid(text, 2 * limit))
+        if verdicts.where("verdict != 'incorrect'").limit(1).count() or len(terms := self.terms(text)) < 2:
+            return verdicts
+        have = self.tables["chunks"].select(F.array_distinct(tokens(F.col("text"))).alias("t"))
+        counts = have.agg(*(F.sum(F.array_contains("t", t).cast("int")).alias(t) for t in terms)).first()
+        rarest = min(terms, key=lambda t: (counts[t] or 0, t))
+        return rag.corrective_buckets(self.hybrid(" ".join(t for t in terms if t != rarest), 2 * limit))
+
+    def context(self, text: str, mode: str = "hybrid") -> DataFrame:
+        """The prompt's context: hits without near-repeats, packed into the token budget and rendered."""
+        s = self.settings
+        hits = search.ranked(self.search(text, mode, s.max_context_chunks).select("id", "score"))
+        texts = self.tables["chunks"].select(F.col("chunk_id").alias("id"), "text", F.col("document_id").alias("name")).join(F.broadcast(hits), "id").withColumn("query_id", F.lit(1))
+        kept = rag.greedy_dedup(texts.withColumn("w", F.array_distinct(F.split(F.lower("text"), r"\s+"))))
+        packed = rag.pack_context(texts.join(kept.select("id"), "id", "left_semi"), s.max_context_tokens, s.max_context_chunks)
+        return rag.render_context(packed.join(texts.select("id", "name"), "id"))
+
+    @staticmethod
+    def terms(text: str) -> list[str]:
+        """A query's terms: lower-case runs of letters and digits, so that marks in a question do no harm."""
+        return ["".join(x) for x in _runs(text.lower())]
+
+    # graph, knowledge, stores
+
+    def traverse(self, start: str, max_depth: int = 2, relation_types: list[str] | None = None, limit: int = 100) -> tuple[DataFrame, DataFrame]:
+        r = self.tables["relations"]
+        nodes = graph.bfs(r, self.spark.createDataFrame([(start,)], "id string"), max_depth, relation_types, limit)
+        return nodes, graph.edges_between(r, nodes)
+
+    def entity(self, entity_id: str, limit: int = 100) -> tuple[DataFrame, DataFrame]:
+        return self.tables["entities"].where(F.col("id") == entity_id), graph.relationships(self.tables["relations"], entity_id, limit=limit)
+
+    def detect_domain(self, documents: DataFrame, ontology: DataFrame) -> DataFrame:
+        return knowledge.primary_domain(documents, knowledge.domain_scores(documents, ontology))
+
+    def delete_document(self, key: str) -> None:
+        """A document with its chunks, their mentions and vectors."""
+        gone = self.tables["chunks"].where(F.col("document_id") == key).select("chunk_id")
+        if "mentions" in self.tables:
+            self.tables["mentions"] = self.tables["mentions"].join(gone, "chunk_id", "left_anti")
+        for name in ("chunks", "documents"):
+            self.tables[name] = self.tables[name].where(F.col("document_id") != key)
+
+    def stats(self) -> dict[str, int]:
+        return {name: d.count() for name, d in sorted(self.tables.items())}
+
+
+def _runs(text: str) -> list[str]:
+    out, cur = [], []
+    for c in text + " ":
+        if c.isalnum():
+            cur.append(c)
+        elif cur:
+            out.append("".join(cur))
+            cur = []
+    return list(dict.fromkeys(out))
+
+
+# model gateway: the choice among models, without any call
+
+# fixed values: name parts that tell a model's provider
+PROVIDERS = {"gpt": "openai", "o1": "openai", "gemini": "google", "llama": "meta", "mistral": "mistral", "mixtral": "mistral", "qwen": "alibaba", "deepseek": "deepseek", "command": "cohere"}
+
+
+def provider(name: Column) -> Column:
+    out = F.when(F.lit(False), "")
+    for part, who in PROVIDERS.items():
+        out = out.when(F.lower(name).contains(part), who)
+    return out.otherwise("other")
+
+
+def recommend(models: DataFrame) -> DataFrame:
+    """Of ``name, task, priority, healthy`` the model for each task: healthy ones first, then the least priority, then the name."""
+    return models.groupBy("task").agg(F.min(F.struct((~F.col("healthy")).alias("h"), "priority", "name")).alias("x")).select("task", F.col("x.name").alias("name"))
