@@ -24,12 +24,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_roots: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete every intermediate table that this process has written. To be called once no result made from them is needed."""
+    while _roots:
+        delete(spark, _roots.pop())
+
+
 class Written:
     """Intermediate tables in the shared folder. Each is a Parquet table, so a lost executor costs a reread and not a recomputation."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: list[str] = []
+        _roots.append(self.root)
 
     def path(self, name: str) -> str:
         out = f"{self.root}/{len(self.paths):03d}-{name}"

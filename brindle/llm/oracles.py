@@ -61,3 +61,17 @@ s AS (SELECT unit, doc_id, whole, license, 2.0::DOUBLE * len(list_intersect(a, b
 h AS (SELECT * FROM s WHERE dice >= {least}::DOUBLE)
 SELECT d.doc_id, arg_max(license, (dice, license)) AS license, coalesce(max(dice), 0) AS dice, count(DISTINCT unit) AS n_units, coalesce(bool_or(whole), false) AS whole_text FROM documents d LEFT JOIN h ON h.doc_id = d.doc_id GROUP BY d.doc_id
 """
+
+SUFFIX = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+p AS (SELECT doc_id, x, unnest(range(0, n - 199)) AS p FROM d WHERE n >= 200),
+h AS (SELECT doc_id, p, md5(substring(x, 2 * p + 1, 400)) AS h FROM p),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY h) AS c FROM h) WHERE c > 1),
+i AS (SELECT doc_id, p, sum(CASE WHEN o IS NULL OR p > o + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS o FROM r)),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 200 AS b FROM i GROUP BY doc_id, k),
+g AS (SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS f, a AS t FROM s UNION ALL SELECT doc_id, max(b), NULL FROM s GROUP BY doc_id),
+q AS (SELECT g.doc_id, string_agg(substring(x, 2 * f + 1, 2 * (coalesce(t, n) - f)), '' ORDER BY f) AS kept FROM g JOIN d ON d.doc_id = g.doc_id GROUP BY g.doc_id),
+z AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN q ON q.doc_id = d.doc_id LEFT JOIN z ON z.doc_id = d.doc_id
+"""

@@ -106,7 +106,7 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-@query("op7_suffix_dedup")
+@query("op7_suffix_dedup", oracles.SUFFIX)
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated 200-byte strings of all documents; one row per document."""
     return suffix_dedup(_table(spark, sf_dir, "documents"))
