@@ -174,11 +174,15 @@ def repeated_spans(docs: DataFrame, length: int = 200, with_text: bool = False)
         return [*row, kept.decode("utf-8", "ignore")] if with_text else row
 
     anchors = settle(_anchors(docs, length), "anchors")
+    # what is joined back to the rows it was counted from is written first: a join of two plain
+    # shuffles has its hot keys split by Spark, one with an aggregate on a side has not
     grams = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("run").alias("low"), F.max("run").alias("high")).where("n > 1").select("gram", (F.col("low") < F.col("high")).alias("mixed"))
+    grams = settle(grams, "grams")
     repeated = settle(anchors.join(grams, "gram"), "repeated")
     work.drop(anchors)
+    work.drop(grams)
     mixed = repeated.where("mixed").withColumn("pick", F.xxhash64("doc", "at"))
-    runs = mixed.groupBy("gram", "run").agg(F.count(F.lit(1)).alias("n"), F.min("pick").alias("least"))
+    runs = settle(mixed.groupBy("gram", "run").agg(F.count(F.lit(1)).alias("n"), F.min("pick").alias("least")), "runs")
     kind = F.when(F.col("n") == 1, OPEN).when(F.col("pick") == F.col("least"), SHOWN).otherwise(COVERED)
     marks = mixed.join(runs, ["gram", "run"]).select("doc", "at", kind.alias("kind")).union(repeated.where("not mixed").select("doc", "at", F.lit(COVERED).alias("kind")))
     lists = marks.groupBy("doc").agg(F.collect_list(F.col("at") * 4 + F.col("kind")).alias("marks"))
@@ -218,10 +222,12 @@ def repeated_spans(docs: DataFrame, length: int = 200, with_text: bool = False)
     joined = docs.join(lists, "doc", "left").select("doc", "text", "marks")
     begun = settle(joined.mapInArrow(begin, first_schema), "begun")
     work.drop(repeated)
+    work.drop(runs)
     done = begun.where("step = 'done'").select(*names)
     texts = begun.where("step = 'open'").select(F.col("doc_id").alias("doc"), F.col("raw").alias("text"), "spans")
     cores = begun.where("step = 'core'").select("core", F.col("doc_id").alias("doc"), "at", "class", "open")
     again = cores.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("some")).where("n > 1 and some").select("core")
+    again = settle(again, "again")
     left = cores.join(again, "core").groupBy("doc").agg(F.collect_list(F.struct("at", "class", "open")).alias("left"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +248,9 @@ def repeated_spans(docs: DataFrame, length: int = 200, with_text: bool = False)
             yield batch_of(rows, types, ["h", "l", "doc", "p", "open"])
 
     ranked = settle(texts.select("doc", "text").join(left, "doc").select("doc", "text", "left").mapInArrow(windows, "h bigint, l bigint, doc bigint, p bigint, open boolean"), "windows")
+    work.drop(again)
     twice = ranked.groupBy("h", "l").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("some")).where("n > 1 and some").select("h", "l")
+    twice = settle(twice, "twice")
     hits = ranked.where("open").join(twice, ["h", "l"]).groupBy("doc").agg(F.sort_array(F.collect_list("p")).alias("starts"))
 
     def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
