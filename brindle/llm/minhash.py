@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from brindle.llm.common import Written, small_batches, text_of
 from brindle.llm.components import connected_components
 
-UNIVERSE, BANDS, ROWS, BLOCK, SPREAD = 20, 32, 4, 512, 32
+UNIVERSE, BANDS, ROWS, BLOCK, SPREAD = 20, 32, 4, 2048, 32
 WIDTH = BANDS * ROWS
 #: Estimates of a pair at the limit fall below this once in about 300,000 pairs.
 ERRORS = 4.5
@@ -83,7 +83,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 c = signature(s) if len(s) else np.empty(0, np.uint32)
                 bands.append([xxhash.xxh3_64_intdigest(c[i : i + ROWS].tobytes(), i) - (1 << 63) for i in range(0, len(c), ROWS)])
-                sketch.append(c.astype(np.uint16).tobytes())
+                sketch.append(c.tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "digest", "bands", "sketch"]
             )
@@ -92,7 +92,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), -1)
 
 
 def _near(x: np.ndarray, n: np.ndarray, k: int, cut: float, percent: int) -> np.ndarray:
@@ -177,12 +177,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = F.ceil(F.col("members") / BLOCK).cast("bigint")
     mine = members.where("members > 2").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")))
     dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    dealt = dealt.select("band", "key", "id", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    dealt = dealt.select("band", "key", "id", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
 
     def proposed(table: pa.Table) -> pa.Table:
         ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
         at = np.argsort(ids)
-        pairs = forest(_matrix(table.column("sketch").combine_chunks())[at], n[at], cut, percent)
+        x, mine = _matrix(table.column("sketch").combine_chunks())[at], table.column("mine").to_numpy()[at]
+        # a forest's path has no worse estimate than an edge, so an edge that an earlier band or the block itself also sees is left to them
+        pairs = [p for p in forest(x, n[at], cut, percent) if len(_met_here(table, x, mine, p[0], np.array([p[1]])))]
         a, b = (np.array([p[s] for p in pairs], np.int64) for s in (0, 1))
         ids = ids[at]
         return pa.table({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
@@ -199,20 +201,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def across(table: pa.Table) -> pa.Table:
         """The members that have a pair to verify here: other component, near enough, first band in common."""
         ids, n, part, x = table.column("id").to_numpy(), table.column("n").to_numpy(), table.column("component").to_numpy(), _matrix(table.column("sketch").combine_chunks())
-        band, need = table.column("band")[0].as_py(), np.zeros(len(ids), bool)
+        mine, need = table.column("mine").to_numpy(), np.zeros(len(ids), bool)
         for k in range(len(ids)):
             near = np.flatnonzero((_near(x, n, k, cut, percent) > 0) & (part != part[k]))
-            need[k] = need[k] or bool(len(_first_here(x, k, near, band)))
-        return table.select(["band", "key", "i", "j", "id"]).filter(pa.array(need))
+            need[k] = bool(len(_met_here(table, x, mine, k, near)))
+        return table.select(["band", "key", "i", "j", "mine", "id"]).filter(pa.array(need))
 
-    keys = "band int, key bigint, i bigint, j bigint"
+    keys = "band int, key bigint, i bigint, j bigint, mine bigint"
     needed = work.table(placed.join(sketches, "id").groupBy("band", "key", "i", "j").applyInArrow(across, f"{keys}, id bigint"), "needed")
 
     def compared(table: pa.Table) -> pa.Table:
         ids, n, part, x = table.column("id").to_numpy(), table.column("n").to_numpy(), table.column("component").to_numpy().copy(), _matrix(table.column("sketch").combine_chunks())
-        band, sets_, out = table.column("band")[0].as_py(), [shingle_set(t, size) for t in table.column("text").to_pylist()], []
+        mine, sets_, out = table.column("mine").to_numpy(), [shingle_set(t, size) for t in table.column("text").to_pylist()], []
         for k in range(len(ids)):
-            for q in _first_here(x, k, np.flatnonzero(_near(x, n, k, cut, percent) > 0), band):
+            for q in _met_here(table, x, mine, k, np.flatnonzero(_near(x, n, k, cut, percent) > 0)):
                 if part[q] != part[k] and linked(sets_[k], sets_[q], percent):
                     out.append((ids[k], ids[q]))
                     part[part == part[q]] = part[k]
@@ -222,15 +224,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = work.table(rows.groupBy("band", "key", "i", "j").applyInArrow(compared, "a bigint, b bigint"), "links")
     if not more.isEmpty():
         parts = connected_components(links.union(more), work)
+    # the result reads the signatures and the components
+    for written in (sets, buckets, members, pool, needed, links, more):
+        work.drop(written)
 
     out = signed.where("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = out.union(some.select("doc_id", "digest", "n_shingles").join(firsts.select("digest", "rep"), "digest").join(parts, F.col("rep") == parts.id, "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _first_here(x: np.ndarray, k: int, near: np.ndarray, band: int) -> np.ndarray:
-    """Of the members ``near`` those whose first band in common with k is this one."""
+def _met_here(table: pa.Table, x: np.ndarray, mine: np.ndarray, k: int, near: np.ndarray) -> np.ndarray:
+    """Of the members ``near`` those that meet k in this group and no other: this is the first band in common, and a pair of one block meets in that block's own group."""
     if not len(near):
         return near
+    band, i, j = (table.column(c)[0].as_py() for c in ("band", "i", "j"))
     same = (x[near] == x[k]).reshape(len(near), BANDS, ROWS).all(2)
-    return near[same.argmax(1) == band]
+    return near[(same.argmax(1) == band) & ((i == j) | (mine[near] != mine[k]))]
