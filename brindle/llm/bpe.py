@@ -25,6 +25,7 @@ import hashlib
 import json
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -138,14 +139,14 @@ class Transducer:
 class BpeEncoder:
     """Ids of a ``words`` tokenizer file (see ``token_cache.kind_of``), word by word and in constant memory."""
 
-    def __init__(self, path: str, most: int = 300_000, direct: int = 64):
+    def __init__(self, path: str, most: int = 600_000, direct: int = 64):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if kind_of(spec) != "words":
             raise ValueError("the transducer takes tokenizer files whose words are separated by white space")
         self.merges, self.splitter = Merges(spec["model"]), WordSplitter()
         self.pieces = {i: t for t, i in (self.merges.vocab | {x["content"]: x["id"] for x in spec["added_tokens"]}).items()}
-        self.most, self.direct, self.known = most, max(direct, self.merges.lookahead), {}
+        self.most, self.direct, self.known, self.parts = most, max(direct, self.merges.lookahead), {}, {}
 
     def pretoken(self, p: str) -> list[int]:
         m = self.merges
@@ -155,10 +156,29 @@ class BpeEncoder:
     def word(self, w: str) -> list[int]:
         return [i for p in self.splitter.pretokens(w) for i in self.pretoken(p)]
 
+    def shown(self, w: str) -> tuple[bytes, bytes, bytes]:
+        """A word's ids as u32, as decimal numbers and decoded, the latter two joined by spaces; pretokens come from a cache of their own."""
+        found = []
+        for p in self.splitter.pretokens(w):
+            hit = self.parts.get(p)
+            if hit is None:
+                if len(self.parts) > self.most:
+                    self.parts.clear()
+                ids = self.pretoken(p)
+                hit = self.parts[p] = (array("I", ids).tobytes(), " ".join(map(str, ids)).encode(), PieceDecoder(self.pieces).feed(ids).encode())
+            found.append(hit)
+        return found[0] if len(found) == 1 else (b"".join([x[0] for x in found]), b" ".join([x[1] for x in found]), b" ".join([x[2] for x in found]))
+
     def encode(self, text: str) -> list[int]:
         return [i for w in words_of(text) for i in self.word(w)]
 
 
+@lru_cache(2)
+def encoder_for(path: str) -> BpeEncoder:
+    """One encoder for each worker process, whose tasks share its caches."""
+    return BpeEncoder(path)
+
+
 class PieceDecoder:
     """A tokenizer file without a decoder: token strings joined by one space."""
 
@@ -196,9 +216,8 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     schema = _COLUMNS + ", ids array<bigint>, decoded string" * with_ids
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        encoder = encoder_for(tokenizer)
         for batch in batches:
-            encoder = encoder or BpeEncoder(tokenizer)
             known, rows = encoder.known, []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = words_of(text)
@@ -208,8 +227,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
                         known.clear()
                     for k, hit in enumerate(found):
                         if hit is None and (hit := known.get(words[k])) is None:
-                            ids = encoder.word(words[k])
-                            hit = known[words[k]] = (array("I", ids).tobytes(), " ".join(map(str, ids)).encode(), PieceDecoder(encoder.pieces).feed(ids).encode())
+                            hit = known[words[k]] = encoder.shown(words[k])
                         found[k] = hit
                 n = sum([len(x[0]) for x in found]) // 4
                 decoded = b" ".join([x[2] for x in found])
