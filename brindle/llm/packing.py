@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from brindle.llm.common import small_batches, text_of
-from brindle.llm.token_cache import CachedEncoder
+from brindle.llm.token_cache import encoder_for
 
 _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, padded_length bigint"
 
@@ -97,7 +97,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | No
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[*(x.split()[0] for x in _PIECES.split(", ")), "ids"][: len(kinds)])
 
         for batch in batches:
-            encoder = encoder or CachedEncoder(tokenizer)
+            encoder = encoder or encoder_for(tokenizer)
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for sequence in packer.add(doc, np.frombuffer(encoder.ids(text) + end, "<u4")):
                     lay(sequence)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import Written, small_batches, text_of
-from brindle.llm.token_cache import CachedEncoder
+from brindle.llm.token_cache import encoder_for
 
 _HEAD, _TAG, _ENTRY = struct.Struct("<QI"), struct.Struct("<qB"), struct.Struct("<QQQ")
 _MANIFEST = "part bigint, path string, docs bigint, tokens bigint"
@@ -109,7 +109,7 @@ def write_token_records(docs: DataFrame, tokenizer: str, folder: str, end_id: in
         n = tokens = at = 0
         for batch in batches:
             if encoder is None and batch.num_rows:
-                encoder = CachedEncoder(tokenizer)
+                encoder = encoder_for(tokenizer)
                 fs, name = file_system(path)
                 fs.create_dir(name.rpartition("/")[0], recursive=True)
                 out, index = fs.open_output_stream(name), fs.open_output_stream(name + ".idx")
