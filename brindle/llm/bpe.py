@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from brindle.llm.common import small_batches, text_of
-from brindle.llm.token_cache import WordSplitter, byte_alphabet, kind_of, words_of
+from brindle.llm.token_cache import Added, WordSplitter, byte_alphabet, kind_of
 
 _END = 1 << 60
 _COLUMNS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -139,10 +139,11 @@ class Transducer:
 class BpeEncoder:
     """Ids of a ``words`` tokenizer file (see ``token_cache.kind_of``), word by word and in constant memory."""
 
-    def __init__(self, path: str, most: int = 600_000, direct: int = 64):
+    def __init__(self, path: str, most: int = 600_000, direct: int = 64, specials: bool = False):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        if kind_of(spec) != "words":
+        self.added = Added(spec, specials)
+        if kind_of(spec) != "words" or not self.added.plain:
             raise ValueError("the transducer takes tokenizer files whose words are separated by white space")
         self.merges, self.splitter = Merges(spec["model"]), WordSplitter()
         self.pieces = {i: t for t, i in (self.merges.vocab | {x["content"]: x["id"] for x in spec["added_tokens"]}).items()}
@@ -154,10 +155,14 @@ class BpeEncoder:
         return [m.vocab[t] for t in tokens]
 
     def word(self, w: str) -> list[int]:
+        if w in self.added.ids:
+            return [self.added.ids[w]]
         return [i for p in self.splitter.pretokens(w) for i in self.pretoken(p)]
 
     def shown(self, w: str) -> tuple[bytes, bytes, bytes]:
         """A word's ids as u32, as decimal numbers and decoded, the latter two joined by spaces; pretokens come from a cache of their own."""
+        if w in self.added.ids:
+            return array("I", [self.added.ids[w]]).tobytes(), str(self.added.ids[w]).encode(), w.encode()
         found = []
         for p in self.splitter.pretokens(w):
             hit = self.parts.get(p)
@@ -170,13 +175,13 @@ class BpeEncoder:
         return found[0] if len(found) == 1 else (b"".join([x[0] for x in found]), b" ".join([x[1] for x in found]), b" ".join([x[2] for x in found]))
 
     def encode(self, text: str) -> list[int]:
-        return [i for w in words_of(text) for i in self.word(w)]
+        return [i for w in self.added.words(text) for i in self.word(w)]
 
 
 @lru_cache(2)
-def encoder_for(path: str) -> BpeEncoder:
+def encoder_for(path: str, specials: bool = False) -> BpeEncoder:
     """One encoder for each worker process, whose tasks share its caches."""
-    return BpeEncoder(path)
+    return BpeEncoder(path, specials=specials)
 
 
 class PieceDecoder:
@@ -203,10 +208,12 @@ class TextDecoder:
         return self.state.decode(b"".join(self.bytes[i] for i in ids if i in self.bytes), end)
 
 
-def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, specials: bool = False) -> DataFrame:
     """One row per input row: ``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, asked for, ``ids, decoded``.
 
-    Ids are those of the tokenizers library without special tokens, and the
+    Ids are those of the tokenizers library with ``add_special_tokens=False``;
+    strings of special tokens in a text give their ids with ``specials``, the
+    library's default, and are ordinary text without it. The
     decoded text is that of its ``decode(ids, skip_special_tokens=False)`` for a
     file without a decoder. Null and empty texts have no ids and an empty
     decoded text. Null ids stay null, repeated rows give repeated rows, an empty
@@ -216,11 +223,11 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     schema = _COLUMNS + ", ids array<bigint>, decoded string" * with_ids
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(tokenizer)
+        encoder = encoder_for(tokenizer, specials)
         for batch in batches:
             known, rows = encoder.known, []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(text)
+                words = encoder.added.words(text)
                 found = list(map(known.get, words))
                 if None in found:
                     if len(known) > encoder.most:

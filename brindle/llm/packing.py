@@ -68,7 +68,7 @@ def padded_length(used: int, capacity: int) -> int:
     return used if used & (used - 1) == 0 else capacity
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | None = 1, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | None = 1, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", specials: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_length`` and, asked for, ``ids``.
 
     A sequence's pieces lie one behind the other from offset 0 and hold at most
@@ -77,6 +77,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | No
     documents of their own (tell them apart by the piece's place), an empty
     table gives no piece, other columns are ignored. There is no shuffle; open
     bins hold fewer than ``capacity`` ids for each of about 2 sqrt(capacity) sizes.
+    With ``specials``, strings of special tokens in a text give their ids.
     """
     small_batches(docs.sparkSession)
 
@@ -97,7 +98,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | No
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[*(x.split()[0] for x in _PIECES.split(", ")), "ids"][: len(kinds)])
 
         for batch in batches:
-            encoder = encoder or encoder_for(tokenizer)
+            encoder = encoder or encoder_for(tokenizer, specials)
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for sequence in packer.add(doc, np.frombuffer(encoder.ids(text) + end, "<u4")):
                     lay(sequence)

@@ -72,20 +72,20 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_token_records")
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written to record files and read back; one row per document."""
-    _, records = token_records(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    _, records = token_records(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), specials=True)
     return records.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "part", "record")
 
 
 @query("op8_packing")
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens; one row per piece."""
-    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048, specials=True)
 
 
 @query("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded; one row per document."""
-    return bpe_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return bpe_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), specials=True)
 
 
 @query("op4_main_text")

@@ -10,7 +10,9 @@ The tokenizer's file decides how:
   vocabulary and merge order are given to tiktoken, which is faster.
 - ``whole``: anything else goes to the library, text by text.
 
-Special tokens' strings in a text are ordinary text.
+Strings of added tokens are cut out first and give their own ids. Those that the file
+calls special do so with ``specials``, as the library does by default; without it they
+are ordinary text, as with the library's ``encode_special_tokens``.
 """
 
 from __future__ import annotations
@@ -53,6 +55,26 @@ def kind_of(spec: dict) -> str:
     return "whole"
 
 
+class Added:
+    """The added tokens of a tokenizer file that are looked for in texts, at their leftmost longest match."""
+
+    def __init__(self, spec: dict, specials: bool):
+        found = [x for x in spec.get("added_tokens") or [] if specials or not x["special"]]
+        #: Whether a match depends on the string alone; the library has to look for all others.
+        self.plain = not any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in found)
+        self.ids = {x["content"]: x["id"] for x in found}
+        self.pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.ids, key=len, reverse=True))) + ")")
+
+    def parts(self, text: str) -> list[str]:
+        """The text cut at added tokens, which are parts of their own."""
+        return [p for p in self.pattern.split(text) if p] if any(t in text for t in self.ids) else [text]
+
+    def words(self, text: str) -> list[str]:
+        """The words between added tokens, and these."""
+        parts = self.parts(text)
+        return words_of(text) if len(parts) == 1 and text not in self.ids else [w for p in parts for w in ([p] if p in self.ids else words_of(p))]
+
+
 class WordSplitter:
     """The pretokens of one word of a ``words`` tokenizer, in the byte alphabet."""
 
@@ -78,16 +100,17 @@ class WordSplitter:
 class CachedEncoder:
     """``ids(text)``: the text's token ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 500_000, specials: bool = False):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.kind = kind_of(spec)
+        self.added = Added(spec, specials)
+        self.kind = kind_of(spec) if self.added.plain else "whole"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not specials
         self.most, self.known = most, {}
         if self.kind == "words":
             self.splitter, self.model = WordSplitter(), self.tokenizer.model
@@ -104,6 +127,8 @@ class CachedEncoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
+        if word in self.added.ids:
+            return array("I", [self.added.ids[word]]).tobytes()
         tokens = self.model.tokenize
         if word.isascii() and word.isalpha():
             return array("I", [t.id for t in tokens(word.lower())]).tobytes()
@@ -113,10 +138,11 @@ class CachedEncoder:
 
     def ids(self, text: str) -> bytes:
         if self.kind == "bytes":
-            return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+            own = self.added.ids
+            return b"".join([np.array([own[p]] if p in own else self.fast.encode_ordinary(p), "<u4").tobytes() for p in self.added.parts(text)])
         if self.kind == "whole":
             return self.whole(text)
-        words, known = words_of(text), self.known
+        words, known = self.added.words(text), self.known
         found = list(map(known.get, words))
         if None in found:
             if len(known) > self.most:
@@ -129,6 +155,6 @@ class CachedEncoder:
 
 
 @lru_cache(2)
-def encoder_for(path: str) -> CachedEncoder:
+def encoder_for(path: str, specials: bool = False) -> CachedEncoder:
     """One encoder for each worker process, whose tasks share its cache."""
-    return CachedEncoder(path)
+    return CachedEncoder(path, specials=specials)

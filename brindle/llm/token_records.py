@@ -91,13 +91,14 @@ def read_record(path: str, number: int) -> tuple[int | None, np.ndarray]:
         return decode_payload(read_frame(f))
 
 
-def write_token_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", specials: bool = False) -> DataFrame:
     """Write record files into ``folder`` when the result, the manifest ``part, path, docs, tokens``, is computed.
 
     Null text is empty and gives a record with the end id alone (or no id, with
     ``end_id`` None). Null ids come first; rows that repeat an id are records
     one after the other, in the order of their text. An empty table writes no
-    file. Other columns are ignored.
+    file. Other columns are ignored. With ``specials``, strings of special tokens
+    in a text give their ids.
     """
     small_batches(docs.sparkSession)
 
@@ -109,7 +110,7 @@ def write_token_records(docs: DataFrame, tokenizer: str, folder: str, end_id: in
         n = tokens = at = 0
         for batch in batches:
             if encoder is None and batch.num_rows:
-                encoder = encoder_for(tokenizer)
+                encoder = encoder_for(tokenizer, specials)
                 fs, name = file_system(path)
                 fs.create_dir(name.rpartition("/")[0], recursive=True)
                 out, index = fs.open_output_stream(name), fs.open_output_stream(name + ".idx")
@@ -162,8 +163,8 @@ def read_token_records(manifest: DataFrame) -> DataFrame:
     return placed.repartitionByRange(files, "part").mapInArrow(read, _DOCS)
 
 
-def token_records(docs: DataFrame, tokenizer: str, end_id: int | None = 1) -> tuple[DataFrame, DataFrame]:
+def token_records(docs: DataFrame, tokenizer: str, end_id: int | None = 1, specials: bool = False) -> tuple[DataFrame, DataFrame]:
     """Write all documents to the shared folder; return the manifest and what the files read back hold."""
     work = Written(docs.sparkSession, "token-records")
-    manifest = work.table(write_token_records(docs, tokenizer, f"{work.root}/files", end_id), "manifest")
+    manifest = work.table(write_token_records(docs, tokenizer, f"{work.root}/files", end_id, specials=specials), "manifest")
     return manifest, read_token_records(manifest)

@@ -57,7 +57,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048)
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048, specials=True)
 
 
 STAGES = [
