@@ -5,6 +5,11 @@ its set of word bigrams is compared to each template's. The scanned units of a
 document are the whole text and each of its lines. With |A| and |B| bigrams the
 coefficient is at most 2 min(|A|, |B|) / (|A| + |B|), so a template is compared
 only to units whose size lies within [|B| t / (2 - t), |B| (2 - t) / t].
+
+Asked for, passages of the whole text are compared as well: runs of words, over
+line breaks, that begin and end with a bigram of the template. A passage that
+reaches the threshold shares at least |B| t / (2 - t) bigrams with the template,
+so only documents with so many are looked at more closely.
 """
 
 from __future__ import annotations
@@ -63,13 +68,52 @@ def _matches(bigrams: Column, templates: dict[str, list[str]], least: float) ->
     return let(bigrams, scored)
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
+def _pairs(words: Column) -> Column:
+    """The word bigrams in order, repeated ones too; a single word stands for itself."""
+    pairs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))
+    return let(words, lambda w: F.when(F.size(w) < 2, w).otherwise(pairs(w)))
+
+
+def _passages(pairs: Column, templates: dict[str, str], least: float) -> Column:
+    """Structs (dice, license): for each template its best passage, if that reaches it.
+
+    A passage holds no more repeats for its size than the template does.
+    """
+    own = {k: bigrams_of(v) for k, v in templates.items()}
+    all_own = F.array(*map(F.lit, dict.fromkeys(b for v in own.values() for b in v)))
+
+    def one(p: Column, common: Column, name: str) -> Column:
+        b = own[name]
+        low, n_words = math.ceil(len(b) * least / (2 - least)), len(re.sub(r"[^\w]|_", " ", templates[name]).split())
+        span = math.ceil(len(b) * (2 - least) / least * max(1, n_words - 1) / len(b))
+        mine = F.array(*map(F.lit, b))
+
+        def score(window: Column) -> Column:
+            reached = lambda s: F.when(2.0 * s["n"] >= least * (s["a"] + len(b)), F.struct((2.0 * s["n"] / (s["a"] + len(b))).alias("dice"), F.lit(name).alias("license")))
+            return let(F.struct(F.size(F.array_distinct(window)).alias("a"), F.size(F.array_intersect(window, mine)).alias("n")), reached)
+
+        def best(at: Column) -> Column:
+            from_start = lambda s: F.filter(F.sequence(s + (low - 1), F.least(F.size(at) - 1, s + span)), lambda e: F.get(at, e) - F.get(at, s) < span)
+            starts = F.filter(F.sequence(F.lit(0), F.size(at) - low), lambda s: F.get(at, s + (low - 1)) - F.get(at, s) < span)
+            window = lambda s, e: F.slice(p, F.get(at, s) + 1, F.get(at, e) - F.get(at, s) + 1)
+            return F.array_max(F.transform(starts, lambda s: F.array_max(F.transform(from_start(s), lambda e: score(window(s, e))))))
+
+        hits = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: F.array_contains(mine, F.get(p, i)))
+        return F.when(F.size(F.array_intersect(common, mine)) >= low, let(hits, best))
+
+    found = lambda p: let(F.array_intersect(p, all_own), lambda c: F.filter(F.array(*(one(p, c, name) for name in own)), lambda m: m.isNotNull()))
+    return found(pairs)
+
+
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, least: float = 0.8, passages: bool = False) -> DataFrame:
     """One row per input row: ``doc_id, license, dice, n_units, whole_text``.
 
     ``license`` is the template with the highest coefficient of at least
     ``least`` over the document's units (ties: the name that sorts last), null
     if none reaches it, and then ``dice`` is 0. ``n_units`` counts the units
     that reach a template and ``whole_text`` says whether the whole text does.
+    With ``passages``, the best passage of each template that is not the licence
+    of a unit is one more unit.
     Null and empty texts have no words and match nothing; a text without a line
     break is one unit. Repeated rows give repeated rows, an empty table an
     empty result; other columns are ignored.
@@ -84,7 +128,18 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shortest = min((math.ceil(len(v) * least / (2 - least)) for v in own.values()), default=1)
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(x) >= 2 * shortest)
     by_line = let(lines, lambda x: F.when(F.size(x) == 0, F.array().cast(f"array<{kind}>")).otherwise(F.filter(F.transform(x, best), lambda m: m.isNotNull())))
-    d = docs.select(docs[id_col].cast("bigint").alias("doc_id"), best(text).alias("_all"), F.when(F.instr(text, "\n") > 0, by_line).otherwise(F.array().cast(f"array<{kind}>")).alias("_lines"))
+    kinds = f"array<{kind}>"
+    if own and passages:
+        kept = {k: v for k, v in (TEMPLATES if templates is None else templates).items() if k in own}
+        both = lambda p: F.struct(_matches(F.array_distinct(p), own, least).alias("all"), _passages(p, kept, least).alias("passages"))
+        whole = let(_pairs(_words(text)), both)
+    else:
+        whole = F.struct(best(text).alias("all"), F.array().cast(kinds).alias("passages"))
+    d = docs.select(docs[id_col].cast("bigint").alias("doc_id"), whole.alias("_whole"), F.when(F.instr(text, "\n") > 0, by_line).otherwise(F.array().cast(f"array<{kind}>")).alias("_lines"))
+    d = d.select("doc_id", F.col("_whole.all").alias("_all"), "_lines", F.col("_whole.passages").alias("_found"))
+    if passages:
+        more = F.filter("_found", lambda m: ~F.exists(F.concat("_lines", F.array("_all")), lambda u: F.coalesce(u["license"] == m["license"], F.lit(False))))
+        d = d.withColumn("_lines", F.concat("_lines", F.when(F.size("_found") > 0, more).otherwise(F.col("_found"))))
     top = F.array_max(F.concat("_lines", F.array("_all")))
     d = d.select("doc_id", top.alias("_top"), (F.size("_lines") + F.col("_all").isNotNull().cast("int")).alias("n_units"), F.col("_all").isNotNull().alias("whole_text"))
     return d.select("doc_id", F.col("_top.license").alias("license"), F.coalesce("_top.dice", F.lit(0.0)).alias("dice"), F.col("n_units").cast("bigint").alias("n_units"), "whole_text")

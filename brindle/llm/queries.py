@@ -60,7 +60,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_license_scan", oracles.license_scan_sql())
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices and texts in all documents; one row per document."""
-    return license_scan(_table(spark, sf_dir, "documents"))
+    return license_scan(_table(spark, sf_dir, "documents"), passages=True)
 
 
 @query("op3_quality_rules", oracles.quality_rules_sql())
