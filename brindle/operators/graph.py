@@ -54,32 +54,43 @@ def fallback_type(relation_type: Column, known: list[str], other: str = "RELATED
     return F.when(relation_type.isin(*known), relation_type).otherwise(F.lit(other))
 
 
-def path_to_root(nodes: DataFrame, start: str, most: int = 16) -> DataFrame:
-    """``step, community_id`` from a community up its parents; ends at a root, at ``most`` steps or where a cycle closes."""
-    now = nodes.where(F.col("community_id") == start).select(F.lit(0).alias("step"), "community_id", "parent_id")
-    out = now
-    for i in range(1, most):
+def _fixed(df: DataFrame) -> DataFrame:
+    """The rows, computed and cut from their lineage."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
+
+
+def path_to_root(nodes: DataFrame, start: str, most: int | None = None) -> DataFrame:
+    """``step, community_id`` from a community up its parents; ends at a root, where a cycle closes or, if given, at ``most`` steps."""
+    out = now = _fixed(nodes.where(F.col("community_id") == start).select(F.lit(0).alias("step"), "community_id", "parent_id"))
+    i = 0
+    while not now.isEmpty() and (most is None or i < most - 1):
+        i += 1
         now = nodes.join(F.broadcast(now.select(F.col("parent_id").alias("community_id"))), "community_id").select(F.lit(i).alias("step"), "community_id", "parent_id")
-        now = now.join(out.select("community_id"), "community_id", "left_anti").select("step", "community_id", "parent_id")
+        now = _fixed(now.join(out.select("community_id"), "community_id", "left_anti").select("step", "community_id", "parent_id"))
         out = out.union(now)
-        if i >= 4:
-            break
     return out.select("step", "community_id")
 
 
-def components(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """``id, component``: least reachable id, by label propagation with pointer jumping; each round is checkpointed when a checkpoint folder is set."""
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct()
-    labels = both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id"))
-    has_dir = bool(edges.sparkSession.conf.get("spark.checkpoint.dir", None))
+def _stars(edges: DataFrame, large: bool) -> DataFrame:
+    """One step: every neighbour on one side of ``u`` is tied to the least of u and its neighbours."""
+    both = edges.select("u", "v").union(edges.select("v", "u"))
+    side = both if large else both.where("v < u")
+    tied = side.join(side.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "u")
+    moved = tied.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else tied.select(F.col("v").alias("u"), F.col("m").alias("v")).union(tied.select("u", "m"))
+    return moved.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """``id, component``: least reachable id, by alternating large-star and small-star steps until no edge changes.
+
+    The number of rounds grows with the logarithm of the longest chain; an error
+    is raised if ``rounds`` are not enough. Each round is checkpointed.
+    """
+    ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).where("id is not null").distinct()
+    now, state = _fixed(edges.where("src != dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()), None
     for _ in range(rounds):
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
-        step = labels.join(near, "id").select("id", "component", F.least("component", "m").alias("now"))
-        up = step.select(F.col("id").alias("now"), F.col("now").alias("above"))
-        new = step.join(up, "now", "left").select("id", "component", F.least("now", F.coalesce("above", "now")).alias("next"))
-        new = new.checkpoint() if has_dir else new.cache()
-        changed = new.where("component != next").limit(1).count()
-        labels = new.select("id", F.col("next").alias("component"))
-        if not changed:
-            break
-    return labels
+        now = _fixed(_stars(_fixed(_stars(now, True)), False))
+        before, state = state, now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == before:
+            return ids.join(now.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    raise RuntimeError("components did not settle")
