@@ -2,7 +2,9 @@
 
 The parser's events cut a page into lines, one for each block. Lines inside
 menus, headers, footers, side bars, notices, adverts, forms, comments, scripts
-and styles are set aside by element, role, class and id. Each other line has a
+and styles are set aside by element, role, class and id. A form, or an element with
+such a word in only a part of its class or id, yields to an article inside and to
+most of the page's text. Each other line has a
 text-to-tag ratio: its characters outside links over its tags. The ratios are
 smoothed by a Gaussian over neighbouring lines and split by the threshold
 between their two cluster means; lines above it are content. The smallest
@@ -31,6 +33,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 IN_HEAD = frozenset("base link meta noscript script style template title".split())
 #: Set aside, whatever is inside.
 HARD = frozenset("applet audio aside button canvas dialog embed footer head iframe input map menu noscript object script select style svg template textarea title video".split())
+#: Verdicts that yield to most of the page's text.
+YIELDING = ("form", "weak")
 #: Set aside, unless an article or main element begins inside.
 SOFT = frozenset("form header nav".split())
 SOFT_ROLES = frozenset("banner form navigation search".split())
@@ -50,14 +54,32 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class Line:
-    __slots__ = ("text", "tags", "linked", "path", "aside", "home")
-
-    def __init__(self, text, tags, linked, path, aside, home):
-        self.text, self.tags, self.linked, self.path, self.aside, self.home = text, tags, linked, path, aside, home
+    __slots__ = ("text", "tags", "linked", "path", "chain", "heading", "aside", "home")
+
+    def __init__(self, text, tags, linked, path, chain, heading):
+        self.text, self.tags, self.linked, self.path, self.chain, self.heading = text, tags, linked, path, chain, heading
+        self.judge(frozenset())
+
+    def judge(self, exempt) -> None:
+        """Whether the line is set aside (``hard``, ``soft`` or not), and the article it is in; verdicts of ``exempt`` elements do not count."""
+        aside, home = "", None
+        for name, number, verdict in self.chain:
+            if number in exempt:
+                continue
+            if verdict == "hard":
+                aside = "hard"
+            elif verdict == "article":
+                if aside != "hard":
+                    aside, home = "", number if home is None else home
+            elif not aside:
+                aside = "heading" if home is not None and name == "header" else "soft"
+        if aside == "heading":
+            aside = "" if self.heading else "soft"
+        self.aside, self.home = aside, home
 
 
 class Blocks(HTMLParser):
-    """Parser events to lines. Open elements are (name, number, verdict); verdict is hard, soft, article or empty."""
+    """Parser events to lines. Open elements are (name, number, verdict); verdict is hard, soft, form, weak, article or empty."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -70,17 +92,8 @@ class Blocks(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                aside, home = "", None
-                for name, number, verdict in self.open:
-                    if verdict == "hard":
-                        aside = "hard"
-                    elif verdict == "soft" and not aside:
-                        aside = "heading" if home is not None and name == "header" else "soft"
-                    elif verdict == "article" and aside != "hard":
-                        aside, home = "", number if home is None else home
-                if aside == "heading":
-                    aside = "" if any(name in HEADINGS for name, _, _ in self.open) else "soft"
-                self.lines.append(Line(text, self.tags, self.linked, tuple(n for name, n, _ in self.open if name in REGIONS), bool(aside), home))
+                chain = tuple(x for x in self.open if x[2])
+                self.lines.append(Line(text, self.tags, self.linked, tuple(n for name, n, _ in self.open if name in REGIONS), chain, any(name in HEADINGS for name, _, _ in self.open)))
                 self.tags = 1
             self.parts.clear()
             self.linked = 0
@@ -94,14 +107,21 @@ class Blocks(HTMLParser):
             return "hard"
         if name not in ("html", "body", "main"):
             role = a.get("role", "").lower()
-            names = {x.lower() for k in ("class", "id") for x in _NAME.findall(a.get(k, ""))} if "class" in a or "id" in a else ()
-            if role in HARD_ROLES or not HARD_NAMES.isdisjoint(names):
+            if role in HARD_ROLES:
                 return "hard"
-            if role in SOFT_ROLES or not SOFT_NAMES.isdisjoint(names):
-                found = "soft"
+            if role in SOFT_ROLES:
+                found = "form" if role == "form" else "soft"
+            for one in f"{a.get('class', '')} {a.get('id', '')}".split():
+                words = [x.lower() for x in _NAME.findall(one)]
+                if all(x in HARD_NAMES or x in SOFT_NAMES for x in words):
+                    if not HARD_NAMES.isdisjoint(words):
+                        return "hard"
+                    found = "soft" if words else found
+                elif not found and not (HARD_NAMES.isdisjoint(words) and SOFT_NAMES.isdisjoint(words)):
+                    found = "weak"
         if name in ("article", "main") or a.get("role") == "main" or a.get("itemprop") == "articleBody":
             return "article"
-        return "soft" if name in SOFT else found
+        return "form" if name == "form" and found != "soft" else "soft" if name in SOFT else found
 
     def close_to(self, names: tuple[str, ...]) -> None:
         for i in range(len(self.open) - 1, -1, -1):
@@ -139,7 +159,7 @@ class Blocks(HTMLParser):
             self.flush()
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == name:
-                if any(self.open[k][2] in ("hard", "soft", "article") for k in range(i, len(self.open))):
+                if any(self.open[k][2] for k in range(i, len(self.open))):
                     self.flush()
                 self.links -= sum(x[0] == "a" for x in self.open[i:])
                 del self.open[i:]
@@ -175,6 +195,22 @@ def split_value(values: list[float]) -> float:
     return (low + high) / 2 if high - low > 0.7 else min(values)
 
 
+def yielded(lines: list[Line]) -> set[int]:
+    """Forms and elements with a word in a part of their name that hold most of the text outside links, unless an article with text lies elsewhere."""
+    weight, above, total = {}, {}, 0
+    for x in lines:
+        if x.aside == "hard" or any(v == "soft" for _, _, v in x.chain) and x.aside:
+            continue
+        size = max(0, len(x.text) - x.linked)
+        total += size
+        for i, (_, number, verdict) in enumerate(x.chain):
+            if verdict in YIELDING:
+                weight[number] = weight.get(number, 0) + size
+                above[number] = {n for _, n, _ in x.chain[:i]}
+    homes = {x.home for x in lines if not x.aside and x.home is not None}
+    return {n for n, w in weight.items() if 2 * w > total and homes <= above[n]}
+
+
 def main_text(html: str | None, sigma: float = 1.5, share: float = 0.8) -> str:
     """The page's main text, its blocks joined by line feeds; empty for null, empty and textless pages."""
     if not html:
@@ -183,9 +219,16 @@ def main_text(html: str | None, sigma: float = 1.5, share: float = 0.8) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
+    exempt = yielded(parser.lines)
+    if all(x.aside for x in parser.lines):
+        # everything is set aside: no form counts, nor, if there is none, a part of a name
+        wraps = [(number, verdict) for x in parser.lines for _, number, verdict in x.chain if verdict in YIELDING]
+        exempt |= {n for n, v in wraps if v == "form"} or (set() if exempt else {n for n, _ in wraps})
+    if exempt:
+        for x in parser.lines:
+            x.judge(exempt)
     lines = [x for x in parser.lines if not x.aside]
     if not lines:
-        # everything is set aside; a form may wrap the whole page
         return ""
     ratio = smoothed([math.log1p(max(0, len(x.text) - x.linked) / x.tags) for x in lines], sigma)
     cut = split_value(ratio)
