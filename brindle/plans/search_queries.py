@@ -195,3 +195,11 @@ def jaccard_pairs(spark, sf):
 
     d = table(spark, sf, "documents").where("n_chars between 1 and 300")
     return jaccard_over(d.select(F.col("doc_id").alias("id"), F.array_distinct(tokens(F.col("text"))).alias("w")), 0.9)
+
+
+@query("jaccard_pairs_all")
+def jaccard_pairs_all(spark, sf):
+    """As ``jaccard_pairs``, over documents of any length; tested against brute force."""
+    from brindle.operators.rag import jaccard_over
+
+    return jaccard_over(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(tokens(F.col("text"))).alias("w")), 0.9)
