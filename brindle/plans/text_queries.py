@@ -38,6 +38,12 @@ def context_render(spark, sf):
     return rag.render_context(d).select("prompt")
 
 
+@query("context_render_full", f"WITH {_HITS} SELECT string_agg('[Source ' || rank || ' - doc ' || id || ']' || chr(10) || text, chr(10) || '---' || chr(10) ORDER BY rank) AS prompt FROM hits")
+def context_render_full(spark, sf):
+    """As ``context_render``, with whole texts."""
+    return rag.render_context(_hits(spark, sf).withColumn("name", F.concat(F.lit("doc "), F.col("id").cast("string")))).select("prompt")
+
+
 @query("jaccard_dedup")
 def jaccard_dedup(spark, sf):
     """The greedy fold over each language's longest documents; tested against a plain Python fold."""
@@ -99,6 +105,17 @@ def grounding_offsets(spark, sf):
     return annotate.ground(c, quotes)
 
 
+@query(
+    "grounding_offsets_all",
+    f"""WITH {_OFFSETS}, q AS (SELECT *, substring(text, 5, 12) AS quote FROM placed WHERE length(text) > 20), l AS (SELECT *, instr(text, quote) - 1 AS p FROM q)
+    SELECT chunk_id, doc_id, quote, CAST(start + p AS BIGINT) AS start, CAST(start + p + length(quote) AS BIGINT) AS "end", substring(text, greatest(p - 50, 0) + 1, p - greatest(p - 50, 0)) AS prefix, substring(text, p + length(quote) + 1, 50) AS suffix FROM l""",
+)
+def grounding_offsets_all(spark, sf):
+    """As ``grounding_offsets``, with a quote in every chunk that is long enough."""
+    c = chunking.offsets(chunks(spark, sf))
+    return annotate.ground(c, c.where(F.length("text") > 20).select("chunk_id", F.substring("text", 5, 12).alias("quote")))
+
+
 @query("fuzzy_locate")
 def fuzzy_locate(spark, sf):
     """A slightly wrong quote in every conversation turn; tested against difflib alone."""

@@ -15,3 +15,21 @@ def test_jaccard_pairs_of_texts_of_any_length(spark, tmp_path):
     want = {(*k, round(v, 6)) for k, v in want.items() if v > 0.9}
     assert len(want) > 3 and any(len(texts[x[0]]) > 300 for x in want)
     assert {tuple(r) for r in catalog.QUERIES["jaccard_pairs_all"](spark, str(tmp_path)).collect()} == want
+
+
+def test_a_prompt_holds_whole_texts(spark):
+    sf = "/root/testdata/sf0.001"
+    prompt = catalog.QUERIES["context_render_full"](spark, sf).first()["prompt"]
+    ids = [int(x) for x in re.findall(r"^\[Source \d+ - doc (\d+)\]$", prompt, re.M)]
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert any(len(docs[i]) > 100 for i in ids)
+    assert prompt == "\n---\n".join(f"[Source {k} - doc {i}]\n{docs[i]}" for k, i in enumerate(ids, 1))
+
+
+def test_every_long_chunk_is_grounded(spark):
+    from brindle.operators import chunking
+    from brindle.plans.fixtures import chunks
+
+    sf = "/root/testdata/sf0.001"
+    all_chunks = {r["chunk_id"] for r in chunking.offsets(chunks(spark, sf)).where("length(text) > 20").collect()}
+    assert {r["chunk_id"] for r in catalog.QUERIES["grounding_offsets_all"](spark, sf).collect()} == all_chunks
