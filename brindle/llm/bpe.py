@@ -8,9 +8,10 @@ else. The encoding of a longer prefix leaves the chain of these tokens at one of
 the last ``lookahead`` positions, ``lookahead`` being the longest token of the
 merge list. Where the chains from all of them meet, everything before is stable:
 it is emitted and forgotten. Memory is the open part and no more, whatever the
-length of a pretoken. Pretokens no longer than the lookahead have nothing to
-emit early and are merged directly, lowest rank first; words that come again are
-taken from a bounded cache.
+length of a pretoken. Pretokens of up to 64 symbols (or the lookahead, if that is
+longer) are merged directly, lowest rank first, and words that come again are
+taken from a bounded cache, so most texts never reach the transducer. A text's
+words are held in a list until it is done.
 
 Decoding is the inverse for byte-level vocabularies: each token's bytes go
 through an incremental UTF-8 decoder that holds at most three bytes back. A
@@ -137,7 +138,7 @@ class Transducer:
 
 
 class BpeEncoder:
-    """Ids of a ``words`` tokenizer file (see ``token_cache.kind_of``), word by word and in constant memory."""
+    """Ids of a ``words`` tokenizer file (see ``token_cache.kind_of``), word by word."""
 
     def __init__(self, path: str, most: int = 600_000, direct: int = 64, specials: bool = False):
         with open(path, encoding="utf-8") as f:
