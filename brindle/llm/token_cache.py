@@ -3,16 +3,16 @@
 The tokenizer's file decides how:
 
 - ``words``: white space is dropped and separates words. A text is cut there
-  and each distinct word is encoded once by the library; words of Latin letters
-  go straight to the library's model, all others through its whole chain. The
-  cache of words is emptied when it is full, so memory stays bounded.
+  and each new word is encoded by the library; words of Latin letters go straight
+  to the library's model, all others through its whole chain. Words are kept in a
+  table that is bounded by bytes.
 - ``bytes``: the byte-level pattern and merges with nothing else. The same
   vocabulary and merge order are given to tiktoken, which is faster.
 - ``whole``: anything else goes to the library, text by text.
 
-Strings of added tokens are cut out first and give their own ids. Those that the file
-calls special do so with ``specials``, as the library does by default; without it they
-are ordinary text, as with the library's ``encode_special_tokens``.
+Strings of added tokens are cut out first and give their own ids, as the library does
+by default. With ``specials`` False those that the file calls special are ordinary
+text, as with the library's ``encode_special_tokens``.
 """
 
 from __future__ import annotations
@@ -21,13 +21,12 @@ import json
 import re
 import unicodedata
 from array import array
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
-import numpy as np
-
 #: Python's str.split() also splits at these four, which are no white space in Unicode.
 _ODD = re.compile("[\x1c-\x1f]")
-_SPACE = "[\t-\r \x85\xa0  -     　]+"
+SPACE = "[\t-\r \x85\xa0  -     　]+"
 #: A pattern whose matches never contain white space, kept and encoded by themselves.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -40,8 +39,17 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+#: Text in which lower case is a matter of single characters and every sequence is composed.
+_LATIN = re.compile("[\t-\r -~\x85\xa0-\u012f\u0131-\u0239\u023b-\u023d\u023f-\u024f]*")
+
+
+def lowered(text: str) -> str:
+    """The text in lower case, where that is the same for the whole text and for each of its words; else the text itself."""
+    return text.lower() if text.isascii() or _LATIN.fullmatch(text) else text
+
+
 def words_of(text: str) -> list[str]:
-    return [w for w in re.split(_SPACE, text) if w] if _ODD.search(text) else text.split()
+    return [w for w in re.split(SPACE, text) if w] if _ODD.search(text) else text.split()
 
 
 def kind_of(spec: dict) -> str:
@@ -65,14 +73,52 @@ class Added:
         self.ids = {x["content"]: x["id"] for x in found}
         self.pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.ids, key=len, reverse=True))) + ")")
 
-    def parts(self, text: str) -> list[str]:
-        """The text cut at added tokens, which are parts of their own."""
-        return [p for p in self.pattern.split(text) if p] if any(t in text for t in self.ids) else [text]
-
-    def words(self, text: str) -> list[str]:
-        """The words between added tokens, and these."""
-        parts = self.parts(text)
-        return words_of(text) if len(parts) == 1 and text not in self.ids else [w for p in parts for w in ([p] if p in self.ids else words_of(p))]
+    def parts(self, text: str) -> Iterator[tuple[str, int | None]]:
+        """The text cut at added tokens, which are parts of their own and come with their id."""
+        at = 0
+        if any(t in text for t in self.ids):
+            for m in self.pattern.finditer(text):
+                if at < m.start():
+                    yield text[at : m.start()], None
+                yield m[0], self.ids[m[0]]
+                at = m.end()
+        if at < len(text):
+            yield text[at:] if at else text, None
+
+
+class Generations:
+    """A table bounded by bytes. A full young table becomes the old one, and old entries come back as they are used; so what is frequent stays."""
+
+    #: Bytes of an entry besides its key and value.
+    OVERHEAD = 200
+
+    def __init__(self, most_bytes: int):
+        self.young, self.old, self.most, self.held = {}, {}, most_bytes // 2, 0
+
+    def put(self, key: str, value, size: int):
+        if self.held > self.most:
+            self.old, self.young, self.held = self.young, {}, 0
+        self.young[key] = value
+        self.held += size + len(key) + self.OVERHEAD
+        return value
+
+    def all(self, keys: list[str], made: Callable[[list[str]], Iterable], size: Callable[[object], int]) -> list:
+        """The values of ``keys``; ``made`` makes those of keys that neither table has, and ``size`` tells a value's bytes."""
+        missing = dict.fromkeys(set(keys).difference(self.young))
+        if not missing:
+            return list(map(self.young.__getitem__, keys))
+        for k in missing:
+            missing[k] = self.old.get(k)
+        new = [k for k, x in missing.items() if x is None]
+        missing.update(zip(new, made(new), strict=True))
+        young = self.young
+        for k, x in missing.items():
+            self.put(k, x, size(x))
+        return list(map(self.young.__getitem__, keys)) if self.young is young else [missing[k] if k in missing else young[k] for k in keys]
+
+    def one(self, key: str, made: Callable[[list[str]], Iterable], size: Callable[[object], int]):
+        x = self.young.get(key)
+        return self.all([key], made, size)[0] if x is None else x
 
 
 class WordSplitter:
@@ -87,33 +133,39 @@ class WordSplitter:
         self.pattern = regex.compile(WORD_PATTERN)
         self.table = dict(enumerate(byte_alphabet()))
 
-    def pretokens(self, word: str) -> list[str]:
+    def found(self, word: str) -> Iterator[str]:
+        """The pretokens as they are written, in lower case."""
         if not word.isascii():
             word = unicodedata.normalize("NFC", word)
         low = word.lower() if word.isascii() else "".join(c.lower() for c in word)
-        if low.isascii() and low.isalpha():
-            return [low]
-        found = self.pattern.findall(low)
-        return found if low.isascii() and low.isprintable() else [p.encode().decode("latin-1").translate(self.table) for p in found]
+        return (m[0] for m in self.pattern.finditer(low))
+
+    def symbols(self, text: str) -> str:
+        return text if text.isascii() and text.isprintable() else text.encode().decode("latin-1").translate(self.table)
+
+    def pretokens(self, word: str) -> list[str]:
+        if word.isascii() and word.isalpha():
+            return [word.lower()]
+        return list(map(self.symbols, self.found(word)))
 
 
 class CachedEncoder:
-    """``ids(text)``: the text's token ids as little-endian unsigned 32-bit integers."""
+    """``ids(text)``: the text's token ids as little-endian unsigned integers of ``width`` bytes."""
 
-    def __init__(self, path: str, most: int = 500_000, specials: bool = False):
+    def __init__(self, path: str, most_bytes: int = 144 << 20, specials: bool = True, width: int = 4):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.added = Added(spec, specials)
+        self.added, self.width, self.kind_of_array = Added(spec, specials), width, {2: "H", 4: "I"}[width]
         self.kind = kind_of(spec) if self.added.plain else "whole"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = not specials
-        self.most, self.known = most, {}
+        # between added tokens there is none left to find
+        self.tokenizer.encode_special_tokens = self.kind != "whole" or not specials
         if self.kind == "words":
-            self.splitter, self.model = WordSplitter(), self.tokenizer.model
+            self.splitter, self.known, self.model = WordSplitter(), Generations(most_bytes), self.tokenizer.model
         if self.kind == "bytes":
             import tiktoken
 
@@ -122,39 +174,45 @@ class CachedEncoder:
             ranks = {bytes(back[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
             self.fast = tiktoken.Encoding("byte-level", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @staticmethod
+    def narrow(path: str, *others: int) -> int:
+        """The bytes of an id in which the file's ids and ``others`` fit: 2 or 4."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        most = max([*spec["model"]["vocab"].values(), *(x["id"] for x in spec.get("added_tokens") or []), *others])
+        return 2 if most < 1 << 16 else 4
+
+    def packed(self, ids: list[int]) -> bytes:
+        return array(self.kind_of_array, ids).tobytes()
+
     def whole(self, text: str) -> bytes:
         """By the library's whole chain."""
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        if word in self.added.ids:
-            return array("I", [self.added.ids[word]]).tobytes()
-        tokens = self.model.tokenize
-        if word.isascii() and word.isalpha():
-            return array("I", [t.id for t in tokens(word.lower())]).tobytes()
-        if not self.splitter.PLAIN.fullmatch(word):
-            return self.whole(word)
-        return array("I", [t.id for p in self.splitter.pretokens(word) for t in tokens(p)]).tobytes()
+        return self.packed(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+
+    def _words(self, words: list[str]) -> Iterator[bytes]:
+        tokens, packed, plain = self.model.tokenize, self.packed, self.splitter.PLAIN.fullmatch
+        for w in words:
+            if w.isascii() and w.isalpha():
+                yield packed([t.id for t in tokens(w.lower())])
+            elif plain(w):
+                yield packed([t.id for p in self.splitter.pretokens(w) for t in tokens(p)])
+            else:
+                yield self.whole(w)
+
+    def _part(self, text: str) -> bytes:
+        if self.kind == "bytes":
+            return self.packed(self.fast.encode_ordinary(text))
+        if self.kind == "whole":
+            return self.whole(text)
+        return b"".join(self.known.all(words_of(lowered(text)), self._words, len))
 
     def ids(self, text: str) -> bytes:
-        if self.kind == "bytes":
-            own = self.added.ids
-            return b"".join([np.array([own[p]] if p in own else self.fast.encode_ordinary(p), "<u4").tobytes() for p in self.added.parts(text)])
         if self.kind == "whole":
             return self.whole(text)
-        words, known = self.added.words(text), self.known
-        found = list(map(known.get, words))
-        if None in found:
-            if len(known) > self.most:
-                known.clear()
-            for i, ids in enumerate(found):
-                if ids is None:
-                    w = words[i]
-                    found[i] = known.get(w) or known.setdefault(w, self._word(w))
-        return b"".join(found)
+        return b"".join([self._part(p) if own is None else self.packed([own]) for p, own in self.added.parts(text)])
 
 
 @lru_cache(2)
-def encoder_for(path: str, specials: bool = False) -> CachedEncoder:
-    """One encoder for each worker process, whose tasks share its cache."""
-    return CachedEncoder(path, specials=specials)
+def encoder_for(path: str, specials: bool = True, width: int = 4) -> CachedEncoder:
+    """One encoder for each worker process, whose tasks share its tables."""
+    return CachedEncoder(path, specials=specials, width=width)

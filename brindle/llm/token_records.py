@@ -5,7 +5,7 @@ payload | masked crc of the payload (u32)``, all little-endian. The checksum is
 CRC-32 as zlib has it, masked by a rotation of 15 bits and a constant, so that a
 checksum of data that holds checksums stays useful. A payload is ``doc_id (i64)
 | flags (u8) | ids``; bit 0 of the flags marks a null doc_id, bit 1 ids of four
-bytes instead of two (a document whose ids all fit in two bytes has two).
+bytes instead of two (two if all ids of the tokenizer fit).
 
 Documents are range-partitioned and sorted by doc_id, so the files in order of
 their part hold the documents in ascending order. Beside each file lies its
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import Written, small_batches, text_of
-from brindle.llm.token_cache import encoder_for
+from brindle.llm.token_cache import CachedEncoder, encoder_for
 
 _HEAD, _TAG, _ENTRY = struct.Struct("<QI"), struct.Struct("<qB"), struct.Struct("<QQQ")
 _MANIFEST = "part bigint, path string, docs bigint, tokens bigint"
@@ -48,9 +48,9 @@ def entry(at: int, length: int, n_ids: int) -> bytes:
     return _ENTRY.pack(at, length, n_ids)
 
 
-def encode_payload(doc_id: int | None, ids: np.ndarray) -> bytes:
-    wide = bool(ids.size and ids.max() > 0xFFFF)
-    return _TAG.pack(doc_id or 0, (doc_id is None) | wide << 1) + ids.astype("<u4" if wide else "<u2").tobytes()
+def encode_payload(doc_id: int | None, ids: bytes, width: int = 4) -> bytes:
+    """``ids`` are little-endian unsigned integers of ``width`` bytes."""
+    return _TAG.pack(doc_id or 0, (doc_id is None) | (width == 4) << 1) + ids
 
 
 def decode_payload(payload: bytes) -> tuple[int | None, np.ndarray]:
@@ -91,35 +91,36 @@ def read_record(path: str, number: int) -> tuple[int | None, np.ndarray]:
         return decode_payload(read_frame(f))
 
 
-def write_token_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", specials: bool = False) -> DataFrame:
+def write_token_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", specials: bool = True) -> DataFrame:
     """Write record files into ``folder`` when the result, the manifest ``part, path, docs, tokens``, is computed.
 
     Null text is empty and gives a record with the end id alone (or no id, with
     ``end_id`` None). Null ids come first; rows that repeat an id are records
     one after the other, in the order of their text. An empty table writes no
-    file. Other columns are ignored. With ``specials``, strings of special tokens
-    in a text give their ids.
+    file. Other columns are ignored. Strings of special tokens in a text give their
+    ids, unless ``specials`` is False.
     """
     small_batches(docs.sparkSession)
+    width = CachedEncoder.narrow(tokenizer, end_id or 0)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         path = f"{folder}/part-{context.partitionId():05d}-{context.taskAttemptId()}.rec"
-        end = np.array([] if end_id is None else [end_id], "<u4").tobytes()
+        end = b"" if end_id is None else end_id.to_bytes(width, "little")
         encoder = out = index = None
         n = tokens = at = 0
         for batch in batches:
             if encoder is None and batch.num_rows:
-                encoder = encoder_for(tokenizer, specials)
+                encoder = encoder_for(tokenizer, specials, width)
                 fs, name = file_system(path)
                 fs.create_dir(name.rpartition("/")[0], recursive=True)
                 out, index = fs.open_output_stream(name), fs.open_output_stream(name + ".idx")
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(encoder.ids(text) + end, "<u4")
-                payload = encode_payload(doc_id, ids)
-                index.write(entry(at, len(payload), len(ids)))
-                at += out.write(framed := frame(payload)) or len(framed)
-                n, tokens = n + 1, tokens + len(ids)
+                ids = encoder.ids(text) + end
+                framed = frame(payload := encode_payload(doc_id, ids, width))
+                index.write(entry(at, len(payload), len(ids) // width))
+                out.write(framed)
+                n, tokens, at = n + 1, tokens + len(ids) // width, at + len(framed)
         if out is not None:
             out.close()
             index.close()
@@ -163,7 +164,7 @@ def read_token_records(manifest: DataFrame) -> DataFrame:
     return placed.repartitionByRange(files, "part").mapInArrow(read, _DOCS)
 
 
-def token_records(docs: DataFrame, tokenizer: str, end_id: int | None = 1, specials: bool = False) -> tuple[DataFrame, DataFrame]:
+def token_records(docs: DataFrame, tokenizer: str, end_id: int | None = 1, specials: bool = True) -> tuple[DataFrame, DataFrame]:
     """Write all documents to the shared folder; return the manifest and what the files read back hold."""
     work = Written(docs.sparkSession, "token-records")
     manifest = work.table(write_token_records(docs, tokenizer, f"{work.root}/files", end_id, specials=specials), "manifest")

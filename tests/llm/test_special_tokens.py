@@ -19,7 +19,7 @@ TEXTS = ["hello <|endoftext|> world", "<|endoftext|>", "a<|startoftext|>b  \n<|e
 
 @pytest.fixture(scope="module")
 def encoders():
-    return {p: (Tokenizer.from_file(p), CachedEncoder(p, most=50, specials=True)) for p in (WORD, BYTE)}, bpe.BpeEncoder(WORD, specials=True)
+    return {p: (Tokenizer.from_file(p), CachedEncoder(p, most_bytes=20_000)) for p in (WORD, BYTE)}, bpe.BpeEncoder(WORD, most_bytes=20_000)
 
 
 @settings(max_examples=150, deadline=None)
