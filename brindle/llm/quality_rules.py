@@ -86,27 +86,26 @@ def cutoffs(labelled: DataFrame, alpha: float, delta: float, cost: float) -> Dat
     down = Window.partitionBy("stratum", "rule").orderBy(F.desc("level"))
     tails = counts.select("stratum", "rule", "level", F.sum("g").over(down).alias("k"), F.sum("b").over(down).alias("caught"), F.sum("g").over(Window.partitionBy("stratum", "rule")).alias("n"))
     # tests: one for each rule of each stratum
-    kinds = counts.groupBy("stratum", "rule").agg(F.lit(1).alias("one"))
-    tests = kinds.select("stratum", "rule", F.count("one").over(Window.partitionBy()).alias("tests"))
-    able = tails.where((F.col("n") > 0) & (F.col("k") < F.col("n") * share)).join(tests, ["stratum", "rule"])
-    proven = able.where(_p_value(F.col("n"), F.col("k"), share) <= delta / F.col("tests"))
+    tests = max(1, counts.select("stratum", "rule").distinct().count())
+    able = tails.where((F.col("n") > 0) & (F.col("k") < F.col("n") * share))
+    proven = able.where(_p_value(F.col("n"), F.col("k"), share) <= delta / tests)
     gain = F.col("caught") - cost * F.col("k")
     return proven.where(gain > 0).groupBy("stratum", "rule").agg(F.max(F.struct(gain.alias("gain"), F.col("level").alias("cutoff"))).alias("x")).select("stratum", "rule", "x.cutoff")
 
 
 def quality_rules(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = 0.03, delta: float = 0.05, cost: float = 4.0, max_strata: int = 256
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = 0.03, delta: float = 0.05, cost: float = 4.0, broadcast_strata: int = 10_000, salts: int = 16
 ) -> DataFrame:
     """One row per input row: the base counts, ``base_failed``, ``kept`` and the failed learned rules in ``rules_failed``.
 
     ``labels`` has ``doc_id, quality``; quality 1 is good and 0 bad, other
     values and null are unlabelled, and an id that is labelled both ways counts
     as good. Null text is empty (no words: base_failed), a null stratum is a
-    stratum of its own. The ``max_strata`` strata with most labels have cutoffs
-    of their own and all others share one, which bounds the table of cutoffs
-    that is broadcast. Without labels, or with too few to prove a cutoff, only
-    the base rules decide. Repeated rows give repeated rows; an empty table
-    gives an empty result; other columns are ignored.
+    stratum of its own. Every stratum has cutoffs of its own. Their table is
+    counted: up to ``broadcast_strata`` rows are broadcast, more are joined, each
+    stratum spread over ``salts`` keys. Without labels, or with too few to prove
+    a cutoff, only the base rules decide. Repeated rows give repeated rows; an
+    empty table gives an empty result; other columns are ignored.
     """
     text = text_of(docs, text_col)
     work = Written(docs.sparkSession, "quality-rules")
@@ -115,12 +114,14 @@ def quality_rules(
     s = s.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     marks = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg((F.max("quality") == 1).alias("good"))
     labelled = s.join(marks, "doc_id").select("stratum", "good", _levels(s).alias("levels"))
-    common = labelled.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "stratum").limit(max_strata)
-    common = work.table(common.select("stratum", F.concat(F.lit("own:"), "stratum").alias("pool")), "strata")
-    pooled = lambda d: d.join(F.broadcast(common), "stratum", "left").withColumn("stratum", F.coalesce("pool", F.lit("other"))).drop("pool")
-    cuts = cutoffs(pooled(labelled), alpha, delta, cost).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts"))
+    cuts = cutoffs(labelled, alpha, delta, cost).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts"))
     cuts = work.table(cuts, "cutoffs")
-    out = pooled(s.withColumn("levels", _levels(s))).join(F.broadcast(cuts), "stratum", "left")
+    out = s.withColumn("levels", _levels(s))
+    if cuts.count() <= broadcast_strata:
+        out = out.join(F.broadcast(cuts), "stratum", "left")
+    else:
+        spread = cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        out = out.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(salts)).cast("int")).join(spread, ["stratum", "_salt"], "left")
     failed = F.transform(F.filter("levels", lambda x: F.col("cuts").isNotNull() & (x["level"] >= F.col("cuts")[x["rule"]])), lambda x: x["rule"])
     out = out.withColumn("rules_failed", failed)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
