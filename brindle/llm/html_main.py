@@ -1,21 +1,29 @@
 """Main text of HTML pages from the standard library's parser events.
 
-The parser's events cut a page into lines, one for each block. Lines inside
-menus, headers, footers, side bars, notices, adverts, forms, comments, scripts
-and styles are set aside by element, role, class and id. A form, or an element with
-such a word in only a part of its class or id, yields to an article inside and to
-most of the page's text. Each other line has a
-text-to-tag ratio: its characters outside links over its tags. The ratios are
-smoothed by a Gaussian over neighbouring lines and split by the threshold
-between their two cluster means; lines above it are content. The smallest
-element that holds most of the content is the region whose lines are returned,
-short ones included; article or main elements with content go before it.
+The parser's events cut a page into lines, one for each block. A line's
+text-to-tag ratio is its characters outside links over its tags. The ratios'
+logarithms are smoothed by a Gaussian over neighbouring lines and split by the
+threshold between their two cluster means: lines above it are content. Of all
+elements that may hold a text, the region is the one whose lines agree best
+with the content lines (the harmonic mean of precision and recall, in
+characters); being an article is a prior that multiplies this, and no more. In
+an article's region every line is returned; in any other those from the first
+line above the threshold by itself to the last, with the headings right before,
+and what lies in one container with such lines. Lines of links below the
+threshold go.
+
+Lines inside menus, headers, footers, side bars, notices, adverts, forms,
+comments, scripts and styles are set aside by element, role, class and id. A
+form, or an element with such a word in only a part of its class or id, yields
+to an article inside and to most of the page's text; and where everything is set
+aside, what holds prose yields, so that no name empties a page.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -50,54 +58,61 @@ CONTAINERS = frozenset("article aside blockquote body dd div dl footer form head
 #: Elements that may be the region of the text.
 REGIONS = frozenset("article body center div html main section td".split())
 
+#: What being an article adds to an element's agreement with the content lines.
+PRIOR = 1.3
+#: Characters outside links that make a line prose.
+PROSE = 80
+#: Elements without a text of their own, whatever they hold.
+SILENT = frozenset("applet audio button canvas dialog embed iframe input map menu noscript object script select style svg template textarea title video".split())
+
+_MARK = re.compile("<[a-zA-Z/!?]")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class Line:
-    __slots__ = ("text", "tags", "linked", "path", "chain", "heading", "aside", "home")
-
-    def __init__(self, text, tags, linked, path, chain, heading):
-        self.text, self.tags, self.linked, self.path, self.chain, self.heading = text, tags, linked, path, chain, heading
-        self.judge(frozenset())
-
-    def judge(self, exempt) -> None:
-        """Whether the line is set aside (``hard``, ``soft`` or not), and the article it is in; verdicts of ``exempt`` elements do not count."""
-        aside, home = "", None
-        for name, number, verdict in self.chain:
-            if number in exempt:
-                continue
-            if verdict == "hard":
-                aside = "hard"
-            elif verdict == "article":
-                if aside != "hard":
-                    aside, home = "", number if home is None else home
-            elif not aside:
-                aside = "heading" if home is not None and name == "header" else "soft"
-        if aside == "heading":
-            aside = "" if self.heading else "soft"
-        self.aside, self.home = aside, home
+    """A block's text, its tags, its characters in links, and the innermost open element."""
+
+    __slots__ = ("text", "tags", "linked", "node", "heading")
+
+    def __init__(self, text: str, tags: int, linked: int, node: int, heading: bool):
+        self.text, self.tags, self.linked, self.node, self.heading = text, tags, linked, node, heading
+
+    @property
+    def own(self) -> int:
+        return max(0, len(self.text) - self.linked)
 
 
 class Blocks(HTMLParser):
-    """Parser events to lines. Open elements are (name, number, verdict); verdict is hard, soft, form, weak, article or empty."""
+    """Parser events to lines and a tree of elements: ``names``, ``parents`` and ``verdicts`` (hard, soft, form, weak, article or empty), parents first."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, str]] = []
+        self.names, self.parents, self.verdicts = [""], [-1], [""]
+        self.open: list[int] = []
+        self.counts: Counter[str] = Counter()
         self.lines: list[Line] = []
         self.parts: list[str] = []
-        self.tags, self.linked, self.links, self.count = 1, 0, 0, 0
+        self.tags = self.links = self.linked = self.headings = 0
+        self.tags = 1
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                chain = tuple(x for x in self.open if x[2])
-                self.lines.append(Line(text, self.tags, self.linked, tuple(n for name, n, _ in self.open if name in REGIONS), chain, any(name in HEADINGS for name, _, _ in self.open)))
+                self.lines.append(Line(text, self.tags, self.linked, self.open[-1] if self.open else 0, self.headings > 0))
                 self.tags = 1
             self.parts.clear()
             self.linked = 0
 
+    def cut(self, at: int) -> None:
+        """Close the open elements from place ``at`` on."""
+        for node in self.open[at:]:
+            name = self.names[node]
+            self.counts[name] -= 1
+            self.links -= name == "a"
+            self.headings -= name in HEADINGS
+        del self.open[at:]
+
     @staticmethod
     def verdict(name: str, attrs: list) -> str:
         if name in HARD:
@@ -124,12 +139,15 @@ class Blocks(HTMLParser):
         return "form" if name == "form" and found != "soft" else "soft" if name in SOFT else found
 
     def close_to(self, names: tuple[str, ...]) -> None:
+        if not any(self.counts[x] for x in names):
+            return
         for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in names:
+            name = self.names[self.open[i]]
+            if name in names:
                 self.flush()
-                del self.open[i:]
+                self.cut(i)
                 return
-            if self.open[i][0] in CONTAINERS and self.open[i][0] not in names:
+            if name in CONTAINERS:
                 return
 
     def handle_starttag(self, name: str, attrs: list) -> None:
@@ -139,16 +157,23 @@ class Blocks(HTMLParser):
             return
         if name in BLOCKS:
             self.flush()
-            if name not in IN_HEAD and name != "head" and self.open and any(x[0] == "head" for x in self.open):
-                del self.open[next(i for i, x in enumerate(self.open) if x[0] == "head") :]
+            if name not in IN_HEAD and name != "head" and self.counts["head"] > 0:
+                self.cut(next(i for i, x in enumerate(self.open) if self.names[x] == "head"))
             if name in CONTAINERS or name in HEADINGS or name in CLOSES:
                 for up in ("p",) if name not in CLOSES else ("p", *CLOSES[name]):
                     self.close_to((up,))
         if name in VOID:
             return
+        verdict = self.verdict(name, attrs)
+        if verdict and self.parts:
+            self.flush()
+        self.names.append(name)
+        self.parents.append(self.open[-1] if self.open else 0)
+        self.verdicts.append(verdict)
+        self.open.append(len(self.names) - 1)
+        self.counts[name] += 1
         self.links += name == "a"
-        self.count += 1
-        self.open.append((name, self.count, self.verdict(name, attrs)))
+        self.headings += name in HEADINGS
 
     def handle_startendtag(self, name: str, attrs: list) -> None:
         self.handle_starttag(name, attrs)
@@ -157,12 +182,13 @@ class Blocks(HTMLParser):
         self.tags += 1
         if name in BLOCKS:
             self.flush()
+        if self.counts[name] <= 0:
+            return
         for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == name:
-                if any(self.open[k][2] for k in range(i, len(self.open))):
+            if self.names[self.open[i]] == name:
+                if any(self.verdicts[x] for x in self.open[i:]):
                     self.flush()
-                self.links -= sum(x[0] == "a" for x in self.open[i:])
-                del self.open[i:]
+                self.cut(i)
                 return
 
     def handle_data(self, data: str) -> None:
@@ -170,6 +196,52 @@ class Blocks(HTMLParser):
         if self.links > 0:
             self.linked += len(data)
 
+    def end(self) -> None:
+        """The input's end. An unclosed tag or comment that the parser still waits for hides the rest, as in a browser."""
+        if not _MARK.match(self.rawdata):
+            self.close()
+        self.flush()
+
+    def container(self, node: int) -> int:
+        """The innermost container of an element, itself included."""
+        while node and self.names[node] not in CONTAINERS:
+            node = self.parents[node]
+        return node
+
+    # over the tree, each in one pass
+
+    def sums(self, values: dict[int, int]) -> list[int]:
+        """For each element the sum of the values in it, by innermost element."""
+        out = [0] * len(self.names)
+        for node, v in values.items():
+            out[node] += v
+        for node in range(len(out) - 1, 0, -1):
+            out[self.parents[node]] += out[node]
+        return out
+
+    def judged(self, exempt=frozenset()) -> list[tuple[str, int | None]]:
+        """For each element whether its lines are set aside (``hard``, ``soft``, ``heading``: soft but for headings, or not) and the article they are in; verdicts of ``exempt`` elements do not count."""
+        out: list[tuple[str, int | None]] = [("", None)]
+        for node in range(1, len(self.names)):
+            aside, home = out[self.parents[node]]
+            verdict = self.verdicts[node] if node not in exempt else ""
+            if verdict == "hard":
+                aside = "hard"
+            elif verdict == "article":
+                if aside != "hard":
+                    aside, home = "", node if home is None else home
+            elif verdict and not aside:
+                aside = "heading" if home is not None and self.names[node] == "header" else "soft"
+            out.append((aside, home))
+        return out
+
+
+def added(pairs) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for k, v in pairs:
+        out[k] = out.get(k, 0) + v
+    return out
+
 
 def smoothed(values: list[float], sigma: float) -> list[float]:
     radius = math.ceil(3 * sigma)
@@ -195,61 +267,87 @@ def split_value(values: list[float]) -> float:
     return (low + high) / 2 if high - low > 0.7 else min(values)
 
 
-def yielded(lines: list[Line]) -> set[int]:
+def aside(x: Line, judged: list) -> str:
+    state = judged[x.node][0]
+    return ("" if x.heading else "soft") if state == "heading" else state
+
+
+def yielded(page: Blocks, judged: list) -> set[int]:
     """Forms and elements with a word in a part of their name that hold most of the text outside links, unless an article with text lies elsewhere."""
-    weight, above, total = {}, {}, 0
-    for x in lines:
-        if x.aside == "hard" or any(v == "soft" for _, _, v in x.chain) and x.aside:
-            continue
-        size = max(0, len(x.text) - x.linked)
-        total += size
-        for i, (_, number, verdict) in enumerate(x.chain):
-            if verdict in YIELDING:
-                weight[number] = weight.get(number, 0) + size
-                above[number] = {n for _, n, _ in x.chain[:i]}
-    homes = {x.home for x in lines if not x.aside and x.home is not None}
-    return {n for n, w in weight.items() if 2 * w > total and homes <= above[n]}
-
-
-def main_text(html: str | None, sigma: float = 1.5, share: float = 0.8) -> str:
-    """The page's main text, its blocks joined by line feeds; empty for null, empty and textless pages."""
+    soft = [False]
+    for node in range(1, len(page.names)):
+        soft.append(soft[page.parents[node]] or page.verdicts[node] == "soft")
+    open_ = [x for x in page.lines if not (state := aside(x, judged)) or state != "hard" and not soft[x.node]]
+    total, weight = sum(x.own for x in open_), page.sums(added((x.node, x.own) for x in open_))
+    homes = {judged[x.node][1] for x in page.lines if not aside(x, judged)} - {None}
+    return {n for n, v in enumerate(page.verdicts) if v in YIELDING and 2 * weight[n] > total and homes <= {judged[n][1]}}
+
+
+def prose(page: Blocks) -> set[int]:
+    """Elements that are set aside by a name or role, or as a menu, header, footer or side bar, and hold prose: a line of ``PROSE`` characters outside links."""
+    held = page.sums(added((x.node, 1) for x in page.lines if x.own >= PROSE and 2 * x.linked < len(x.text)))
+    return {n for n, v in enumerate(page.verdicts) if v and v != "article" and held[n] and page.names[n] not in SILENT}
+
+
+def main_text(html: str | None, sigma: float = 1.5, by_ratio: bool = True) -> str:
+    """The page's main text, its blocks joined by line feeds; empty for null, empty and textless pages.
+
+    With ``by_ratio`` False every line counts as content: what is left is the prior alone.
+    """
     if not html:
         return ""
-    parser = Blocks()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
-    exempt = yielded(parser.lines)
-    if all(x.aside for x in parser.lines):
-        # everything is set aside: no form counts, nor, if there is none, a part of a name
-        wraps = [(number, verdict) for x in parser.lines for _, number, verdict in x.chain if verdict in YIELDING]
-        exempt |= {n for n, v in wraps if v == "form"} or (set() if exempt else {n for n, _ in wraps})
-    if exempt:
-        for x in parser.lines:
-            x.judge(exempt)
-    lines = [x for x in parser.lines if not x.aside]
+    page = Blocks()
+    page.feed(html)
+    page.end()
+    judged = page.judged()
+    exempt = yielded(page, judged)
+    if all(aside(x, judged) for x in page.lines):
+        # everything is set aside: no form counts, nor, if there is none, a part of a name; then nothing that holds prose
+        of = lambda kind: {n for n, v in enumerate(page.verdicts) if v == kind}
+        exempt |= of("form") or (set() if exempt else of("weak"))
+        if all(aside(x, page.judged(exempt)) for x in page.lines):
+            exempt |= prose(page)
+    judged = page.judged(exempt) if exempt else judged
+    lines = [x for x in page.lines if not aside(x, judged)]
     if not lines:
         return ""
-    ratio = smoothed([math.log1p(max(0, len(x.text) - x.linked) / x.tags) for x in lines], sigma)
-    cut = split_value(ratio)
-    content = [x for x, r in zip(lines, ratio, strict=True) if r >= cut and 2 * x.linked <= len(x.text)] or lines
-    total = sum(len(x.text) for x in content)
-    homes = {x.home for x in content if x.home is not None}
-    if homes and sum(len(x.text) for x in content if x.home in homes) >= share / 2 * total:
-        return "\n".join(x.text for x in lines if x.home in homes)
-    weight: dict[int, int] = {}
-    for x in content:
-        for number in x.path:
-            weight[number] = weight.get(number, 0) + len(x.text)
-    region = max((n for n, w in weight.items() if w >= share * total), default=None)
-    inside = [(x, r) for x, r in zip(lines, ratio, strict=True) if region is None or region in x.path]
-    # link lists at the region's edges belong to no text
-    edge = lambda x: 2 * x.linked > len(x.text)
-    while inside and edge(inside[0][0]):
-        inside.pop(0)
-    while inside and edge(inside[-1][0]):
-        inside.pop()
-    return "\n".join(x.text for x, _ in inside)
+    plain = [math.log1p(x.own / x.tags) for x in lines]
+    ratio = smoothed(plain, sigma)
+    cut, strong = (split_value(ratio), split_value(plain)) if by_ratio else (min(ratio), min(plain))
+    above = [r >= cut for r in ratio]
+    links = [2 * x.linked > len(x.text) for x in lines]
+    content = [i for i in range(len(lines)) if above[i] and not links[i]] or list(range(len(lines)))
+    chosen = set(content)
+    # lines that only their neighbours raise do not speak for an element
+    heavy = [i for i in content if plain[i] >= strong] or content
+    found = page.sums(added((lines[i].node, len(lines[i].text)) for i in heavy))
+    size = page.sums(added((x.node, len(x.text)) for x in lines))
+    best, region, article = -1.0, 0, False
+    for n, name in enumerate(page.names):
+        is_article = page.verdicts[n] == "article" and n not in exempt
+        if found[n] and (is_article or not n or name in REGIONS):
+            score = 2 * found[n] / (size[n] + found[0]) * (PRIOR if is_article else 1.0)
+            # of equals the innermost, which comes later
+            if score >= best:
+                best, region, article = score, n, is_article
+    inside = [False] * len(page.names)
+    for n in range(len(inside)):
+        inside[n] = n == region or n > 0 and inside[page.parents[n]]
+    at = [i for i, x in enumerate(lines) if inside[x.node] and not (links[i] and not above[i])]
+    if not article:
+        # the ends: lines that only their neighbours raise go, but for headings right before and what lies beside lines that speak for the element
+        beside = {page.container(lines[i].node) for i in heavy}
+        held = [k for k, i in enumerate(at) if plain[i] >= strong and i in chosen]
+        first, last = (held[0], held[-1]) if held else (0, len(at) - 1)
+        while first and lines[at[first - 1]].heading:
+            first -= 1
+        at = [i for k, i in enumerate(at) if first <= k <= last or not links[i] and page.container(lines[i].node) in beside]
+    # link lists at the region's ends belong to no text
+    while at and links[at[0]]:
+        at.pop(0)
+    while at and links[at[-1]]:
+        at.pop()
+    return "\n".join(lines[i].text for i in at)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.llm import html_main, licenses, quality_model, quality_rules
+from brindle.llm import queries
 from tests.llm.fixtures import documents, empty
+from tests.oracle import both
 
 
 def base(text):
@@ -55,6 +57,30 @@ def test_cutoffs_hold_their_risk(spark):
     assert few.where("not kept").count() == 0
 
 
+def test_every_stratum_has_its_own_cutoff(spark):
+    """400 strata, in each of which another share of good documents has symbols; cutoffs by hand for each."""
+    rows = []
+    for g in range(400):
+        for i in range(40):
+            good = i < 30
+            symbols = i % 3 if good and g % 2 else 0 if good else 9
+            rows.append((g * 1000 + i, " ".join(f"w{g}x{i}y{k}" for k in range(12)) + " #" * symbols, f"s{g}", int(good)))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, quality int")
+    # a share of 0.5 for each of five rules, so that 30 good documents prove something
+    kw = {"alpha": 2.5, "delta": 0.9, "cost": 0.5}
+    got = {n: {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(d.drop("quality"), d.select("doc_id", "quality"), broadcast_strata=n, **kw).collect()} for n in (10_000, 0)}
+    assert got[0] == got[10_000]
+    assert all(got[0][r[0]] == bool(r[3]) for r in rows if r[0] // 1000 % 2 == 0)
+    assert sum(not got[0][r[0]] for r in rows if not r[3]) == 4000
+
+
+def test_learned_rules_match_their_sql(spark):
+    """At sf0.1 there are labels enough for learned rules; counts by SQL."""
+    sf = "/root/testdata/sf0.1"
+    ours, theirs = both(spark, queries.QUERIES["op3_quality_rules"], queries.ORACLES["op3_quality_rules"], sf)
+    assert ours == theirs and sum(bool(r[-1]) for r in ours) > 100
+
+
 def test_trees_learn_and_are_deterministic():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 5))
@@ -146,6 +172,60 @@ def test_pages_of_the_given_tables(spark):
         assert r["text"] == "\n".join(x for x in parts if x) and r["n_chars"] == len(r["text"])
 
 
+def plain_pages(pages):
+    """The given pages with every mark of structure taken away: nothing but divisions."""
+    return [re.sub("</(article|nav|footer)>", "</div>", re.sub('<article>|<nav>|<div class="ad">|<footer>', "<div>", x)) for x in pages]
+
+
+def test_the_ratio_decides_where_no_name_does(spark):
+    """Without article, nav, footer and class names the text is still found, and not without the ratio. A short sentence, such as these pages' adverts, looks like text then."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    want = [html_main.main_text(r["html"]) for r in rows]
+    pages = plain_pages([r["html"] for r in rows])
+    got, off = [html_main.main_text(x) for x in pages], [html_main.main_text(x, by_ratio=False) for x in pages]
+    assert sum(a == b for a, b in zip(got, want, strict=True)) >= 0.35 * len(rows)
+    assert all(set(b.split("\n")) <= set(a.split("\n")) and a.count("\n") <= b.count("\n") + 2 for a, b in zip(got, want, strict=True))
+    assert sum(a == b for a, b in zip(off, want, strict=True)) <= 0.05 * len(rows)
+    no_article = [re.sub("</?article>", "", r["html"]) for r in rows]
+    assert [html_main.main_text(x) for x in no_article] == want
+
+
+LONG = "<p>" + "words of the text that is meant " * 12
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("<article>" + LONG * 3 + "</article><article class=teaser><h2>Other</h2><p>A short teaser.</article>", 3),
+        ("<article>" + LONG + "</article><article>" + LONG + "</article><article>" + LONG + "</article>", 3),
+        ("<p><a href=x>link" + LONG * 2, 2),
+        ("<div><a href=x>link<a href=y>other</div>" + LONG * 2, 2),
+        ("<div class=sidebar>" + LONG * 2 + "</div>", 2),
+        ("<nav>" + LONG * 2 + "</nav>", 2),
+        ("<div class='comment-free promo-story'>" + LONG * 2 + "</div>", 2),
+        ("<div id=content-notice-board>" + LONG * 2 + "</div>", 2),
+        ("<div>" + LONG * 2 + "</div><ul>" + "<li><a href=x>More like this</a>" * 6 + "</ul>", 2),
+    ],
+)
+def test_a_prior_is_no_more(html, want):
+    line = " ".join(LONG[3:].split())
+    assert html_main.main_text(f"<body>{html}</body>") == "\n".join([line] * want)
+
+
+@pytest.mark.parametrize("html", ["<!-- " * 20000, "<div><p>x" * 2000, "<div>" * 5000 + "x" + "</div>" * 5000, "<p>a</b>" * 20000, "<" * 50000, '<a href="' * 20000, "&#" * 50000, "<article class=x>" * 3000 + "y"])
+def test_hostile_pages_take_time_in_proportion(html):
+    import time
+
+    began = time.time()
+    html_main.main_text(html)
+    assert time.time() - began < 2
+
+
+def test_very_long_pages_are_whole():
+    line = "word " * 200_000
+    assert html_main.main_text(f"<body><div><p>{line}<p>{line}</div><p>x &lt;") == f"{line.strip()}\n{line.strip()}"
+
+
 def test_pages_with_odd_rows(spark):
     d = spark.createDataFrame([(1, None, "<p>a</p>", "t", 5), (1, None, "<p>a</p>", "t", 5), (None, "u", None, "t", 5)], "page_id bigint, url string, html string, text string, n_chars int")
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html_main.extract_main_text(d).collect()) == [(0, "", 0), (1, "a", 1), (1, "a", 1)]
