@@ -1,11 +1,13 @@
 """Near-duplicates by circulant MinHash, banding and exact verification.
 
-A document's set is hashed to 64 bits a shingle. The first permutation spreads
-the hashes over a universe of ``1 << UNIVERSE`` places; coordinate k of the
+A document's set is hashed to 64 bits a shingle, of which 32 name its place in
+the universe. The first permutation spreads the places; coordinate k of the
 signature is the least value of the second permutation shifted by k places, so
-one stored permutation gives all coordinates and one shingle reads one run of
-memory. Equal sets are one text from here on. Texts that agree in a band are
-candidates; nothing decides but the exact comparison of full sets:
+two permutations give all coordinates. Both are arithmetic (odd multiplications
+and folded shifts are one-to-one), so the universe has 2**32 places and unlike
+sets of a million shingles still agree nowhere. Equal sets are one text from
+here on. Texts that agree in a band are candidates; nothing decides but the
+exact comparison of full sets:
 
 1. in every bucket the maximum spanning forest of the estimated similarities is
    proposed and verified, which ties a group together with about as many
@@ -15,9 +17,11 @@ candidates; nothing decides but the exact comparison of full sets:
    each pair in the first band it shares. No link between components is lost,
    and no pair inside one is spent.
 
-A bucket larger than ``BLOCK`` is cut into blocks and worked on by pairs of
-blocks, so no task holds more than two blocks. Components come from
-``connected_components``.
+A bucket is cut into blocks of at most ``BLOCK`` members and about ``WEIGHT``
+shingles. In step 1 a block meets itself, and one member of each block the
+others'; so a bucket of one component costs as many rows as it has members. In
+step 2 pairs of blocks meet, and no task holds more than two. Components come
+from ``connected_components``.
 """
 
 from __future__ import annotations
@@ -35,14 +39,18 @@ from pyspark.sql import functions as F
 from brindle.llm.common import Written, small_batches, text_of
 from brindle.llm.components import connected_components
 
-UNIVERSE, BANDS, ROWS, BLOCK, SPREAD = 20, 32, 4, 2048, 32
+BANDS, ROWS, BLOCK, WEIGHT = 32, 4, 2048, 4_000_000
 WIDTH = BANDS * ROWS
+#: Partners of one text that are verified in one group, and their shingles.
+PARTNERS, PARTNERS_WEIGHT = 128, 1_000_000
 #: Estimates of a pair at the limit fall below this once in about 300,000 pairs.
 ERRORS = 4.5
-_SEED = 20_240_613
+#: Shift, odd factor, shift, odd factor, shift of the two permutations of 32-bit places.
+FIRST, SECOND = (15, 0x2C1B3C6D, 12, 0x297A2D39, 15), (16, 0x7FEB352D, 15, 0x846CA68B, 16)
+_STEP = 512
 
 
-def shingle_set(text: str, size: int = 4) -> np.ndarray:
+def shingle_set(text: str, size: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles; the whole sequence is one if there are fewer words."""
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
@@ -51,16 +59,33 @@ def shingle_set(text: str, size: int = 4) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, grams), np.uint64))
 
 
+def permuted(x: np.ndarray, by: tuple[int, int, int, int, int], spare: np.ndarray) -> np.ndarray:
+    """A one-to-one map of 32-bit integers, in place."""
+    for k, shift in enumerate(by[::2]):
+        np.right_shift(x, np.uint32(shift), out=spare)
+        np.bitwise_xor(x, spare, out=x)
+        if k < 2:
+            np.multiply(x, np.uint32(by[2 * k + 1]), out=x)
+    return x
+
+
 @lru_cache(1)
-def _windows() -> np.ndarray:
-    p = np.random.default_rng(_SEED).permutation(1 << UNIVERSE).astype(np.uint32)
-    return np.lib.stride_tricks.sliding_window_view(np.concatenate([p, p[:WIDTH]]), WIDTH)
+def _buffers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.arange(WIDTH, dtype=np.uint32), np.empty((_STEP, WIDTH), np.uint32), np.empty((_STEP, WIDTH), np.uint32)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """All coordinates; the high bits of the hash are the first permutation's place."""
-    places, windows = (shingles >> np.uint64(64 - UNIVERSE)).astype(np.int64), _windows()
-    return np.minimum.reduce([windows[places[i : i + 2048]].min(0) for i in range(0, len(places), 2048)])
+    """All coordinates: least values of the second permutation at the first one's places, shifted around the circle."""
+    shifts, values, spare = _buffers()
+    places = shingles.astype(np.uint32)
+    permuted(places, FIRST, np.empty_like(places))
+    out = np.full(WIDTH, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(places), _STEP):
+        some = places[i : i + _STEP, None]
+        x = values[: len(some)]
+        np.add(some, shifts, out=x)
+        np.minimum(out, permuted(x, SECOND, spare[: len(some)]).min(0), out=out)
+    return out
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -118,9 +143,10 @@ def forest(x: np.ndarray, n: np.ndarray, cut: float, percent: int) -> list[tuple
     return out
 
 
-def _verify(pairs: DataFrame, pool: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of the pairs ``a, b`` those that are linked. A pair's first text meets at most a ``SPREAD``-th of its partners in one group."""
-    salted = pairs.select(F.col("a").alias("owner"), F.pmod(F.xxhash64("b"), F.lit(SPREAD)).alias("salt"), F.col("b").alias("id"))
+def _verify(pairs: DataFrame, pool: DataFrame, sizes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of the pairs ``a, b`` those that are linked. A text meets about ``PARTNERS`` of its partners in one group, fewer if they are long."""
+    load = pairs.join(sizes, F.col("b") == F.col("id")).groupBy("a").agg(F.ceil(F.greatest(F.count(F.lit(1)) / PARTNERS, F.sum("n") / PARTNERS_WEIGHT)).alias("groups"))
+    salted = pairs.join(load, "a").select(F.col("a").alias("owner"), F.pmod(F.xxhash64("b"), F.col("groups")).alias("salt"), F.col("b").alias("id"))
     rows = salted.union(salted.select("owner", "salt", F.col("owner").alias("id")).distinct()).join(pool, "id").select("owner", "salt", "id", "text")
 
     def work(table: pa.Table) -> pa.Table:
@@ -133,7 +159,7 @@ def _verify(pairs: DataFrame, pool: DataFrame, size: int, percent: int) -> DataF
     return rows.groupBy("owner", "salt").applyInArrow(work, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
 
     Two documents are linked when 100 * intersection >= percent * union of their
@@ -154,10 +180,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = some.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"))
     sets = work.table(some.join(firsts.select("digest", "rep"), "digest").where("doc_id = rep").select("rep", "n_shingles", "bands", "sketch").dropDuplicates(["rep"]), "sets")
 
-    places = sets.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "key"))
-    buckets = places.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("low"), F.max("id").alias("high")).where("members > 1")
+    places = sets.select(F.col("rep").alias("id"), "n_shingles", F.posexplode("bands").alias("band", "key"))
+    buckets = places.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("weight"), F.min("id").alias("low"), F.max("id").alias("high")).where("members > 1")
     buckets = work.table(buckets, "buckets")
-    members = work.table(places.join(buckets.select("band", "key", "members"), ["band", "key"]), "members")
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("weight") / WEIGHT)).cast("bigint")
+    members = work.table(places.drop("n_shingles").join(buckets.select("band", "key", "members", blocks.alias("blocks")), ["band", "key"]), "members")
     sketches = sets.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "sketch")
     candidates = members.select("id").distinct()
     pool = work.table(docs.join(candidates, docs.doc_id == candidates.id, "left_semi").select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), "pool")
@@ -173,11 +200,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     twos = buckets.where("members = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).distinct()
     twos = twos.join(sketches.toDF("a", "na", "sa"), "a").join(sketches.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(estimated, "a bigint, b bigint")
 
-    # pairs of blocks: block i of a large bucket meets block j >= i
-    blocks = F.ceil(F.col("members") / BLOCK).cast("bigint")
-    mine = members.where("members > 2").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    dealt = dealt.select("band", "key", "id", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    mine = members.where("members > 2").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    # a block meets itself; its first member meets those of other blocks
+    first = mine.where("blocks > 1").groupBy("band", "key", "mine").agg(F.min("id").alias("id")).select("band", "key", "id", "mine", *(-1 - F.floor(F.col("mine") / BLOCK).cast("bigint") for _ in "ij"))
+    met = mine.select("band", "key", "id", "mine", F.col("mine").alias("i"), F.col("mine").alias("j")).union(first)
 
     def proposed(table: pa.Table) -> pa.Table:
         ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
@@ -189,12 +215,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ids = ids[at]
         return pa.table({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
 
-    grouped = dealt.join(sketches, "id").groupBy("band", "key", "i", "j").applyInArrow(proposed, "a bigint, b bigint")
-    links = work.table(_verify(twos.union(grouped).distinct(), pool, size, percent), "links")
+    grouped = met.join(sketches, "id").groupBy("band", "key", "i", "j").applyInArrow(proposed, "a bigint, b bigint")
+    links = work.table(_verify(work.table(twos.union(grouped).distinct(), "proposed"), pool, sketches.select("id", "n"), size, percent), "links")
     parts = connected_components(links, work)
 
-    # the second step: buckets of several components
-    placed = dealt.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # the second step: buckets of several components, block i of which meets every block j >= i
+    placed = mine.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = placed.groupBy("band", "key").agg((F.min("component") < F.max("component")).alias("several")).where("several").drop("several")
+    placed = placed.join(open_, ["band", "key"], "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    placed = placed.select("band", "key", "id", "mine", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     open_ = placed.groupBy("band", "key", "i", "j").agg((F.min("component") < F.max("component")).alias("several")).where("several").drop("several")
     placed = placed.join(open_, ["band", "key", "i", "j"], "left_semi")
 

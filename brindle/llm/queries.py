@@ -103,7 +103,7 @@ def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_minhash", oracles.MINHASH)
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates among all documents; one row per document."""
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_duplicates(_table(spark, sf_dir, "documents"), size=4)
 
 
 @query("op7_suffix_dedup", oracles.SUFFIX)

@@ -81,6 +81,54 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert Counter(tuple(r) for r in got.collect()) == _components(rows)
 
 
+def test_a_hub_is_verified_in_parts(spark, monkeypatch):
+    """A bucket of several blocks by size, and a text with more partners than one group takes."""
+    from brindle.llm import minhash
+
+    monkeypatch.setattr(minhash, "WEIGHT", 300)
+    monkeypatch.setattr(minhash, "PARTNERS", 3)
+    base = [f"v{i}" for i in range(90)]
+    rows = [(i, " ".join(base[:45] + [f"e{i}"] * (i > 0) + base[45:])) for i in range(40)] + [(90, "q " * 30), (91, None)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert Counter(tuple(r) for r in got.collect()) == _components(rows)
+
+
+def test_long_unlike_texts_agree_nowhere(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    a, b = (np.unique(rng.integers(0, 1 << 63, 1_000_000).astype(np.uint64)) for _ in range(2))
+    x, y = signature(a), signature(b)
+    assert (x == y).sum() <= 1
+    assert abs((x == signature(np.concatenate((a[:900_000], b[:100_000])))).mean() - 900 / 1100) < 0.15
+
+
+def test_permutations_are_one_to_one():
+    import numpy as np
+
+    from brindle.llm import minhash
+
+    x = np.arange(1 << 20, dtype=np.uint32) * np.uint32(4099)
+    for by in (minhash.FIRST, minhash.SECOND):
+        y = minhash.permuted(x.copy(), by, np.empty_like(x))
+        assert len(np.unique(y)) == len(x)
+
+
+def test_recall_on_the_given_documents(spark):
+    """Every link of sf0.01, found by counting shared shingles, lies inside a component."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    part = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs).collect()}
+    sets = {r["doc_id"]: set(shingle_set(r["text"] or "").tolist()) for r in docs.collect()}
+    holders = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            holders[x].append(i)
+    common = Counter((a, b) for h in holders.values() if len(h) > 1 for k, b in enumerate(h) for a in h[:k])
+    links = [(a, b) for (a, b), n in common.items() if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n)]
+    assert len(links) > 100 and all(part[a] == part[b] for a, b in links)
+
+
 def test_signature_is_circulant_and_estimates(spark):
     import numpy as np
 
