@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +15,13 @@ SPACES = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; set here only where it is unset."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; set here only where it is unset and Spark runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         if own.isEmpty():
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="brindle-"))
             own = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = own.get()
@@ -33,6 +37,17 @@ def clean(spark: SparkSession) -> None:
         delete(spark, _roots.pop())
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for as long as the block runs."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class Written:
     """Intermediate tables in the shared folder. Each is a Parquet table, so a lost executor costs a reread and not a recomputation."""
 
@@ -47,8 +62,10 @@ class Written:
         return out
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df``; the files of its shuffles go once it is written."""
         out = self.path(name)
-        df.write.option("compression", "zstd").parquet(out)
+        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            df.write.option("compression", "zstd").parquet(out)
         read = self.spark.read.schema(df.schema).parquet(out)
         read.written_at = out
         return read

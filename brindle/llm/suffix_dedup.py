@@ -11,17 +11,20 @@ length. What differs from doubling over every byte is which positions take part:
 2. *Whole runs.* One anchor stands for a run of consecutive windows; the string
    that holds the run is ranked at once. Runs whose string repeats are done.
 3. *Cores.* What is left, one run for each distinct string, is ranked by the
-   strings that ``STEP`` neighbouring windows have in common.
-4. *Windows.* Windows whose core repeats are ranked by their whole ``length``.
+   strings that ``STEP`` neighbouring windows have in common; a core takes the
+   bytes beside it along.
+4. *Windows.* Windows whose core repeats are ranked by the pair of their core's
+   rank and the bytes beside it that they hold, which is their whole ``length``.
 
 Steps 1 and 2 leave a few per cent of the positions, 3 and 4 work at the ends of
-repeated passages only. Equality of the last ranks is equality of 128-bit hashes
-(within one gram, for runs). The result is that of ranking every position.
+repeated passages only. Texts are read twice after that, to cut out cores and to
+cut out what is removed, and are never written. Equality of cores is equality of
+128-bit hashes (of 64 bits within one gram, for runs). The result is that of
+ranking every position.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,17 +32,19 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.llm.common import Written, small_batches, text_of
 
 GRAM, STEP, SEGMENT = 40, 25, 1 << 18
-_NULL = -(1 << 63)
 #: Rows and bytes after which a worker hands its results on.
 _ROWS, _BYTES = 20_000, 4 << 20
 _BITS = np.uint64((1 << 24) - 1)
 COVERED, SHOWN, OPEN = 0, 1, 2
+#: Rows of one core above which its windows are ranked by Spark and not within a task.
+HOT = 20_000
 _RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
@@ -97,27 +102,30 @@ def _signed(x: int) -> int:
 
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [[], [], [], []], 0
+        names, held, rows = ["gram", "run", "doc", "sum", "at"], [[] for _ in range(5)], 0
 
         def packed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in held], names=["gram", "run", "doc", "at"])
+            docs_, sums, counts = held[2], held[3], held[0]
+            n = [len(x) for x in counts]
+            ids = pa.array(docs_, pa.int64()).take(pa.array(np.repeat(np.arange(len(n)), n)))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(held[0])), pa.array(np.concatenate(held[1])), ids, pa.array(np.repeat(np.array(sums, np.int64), n)), pa.array(np.concatenate(held[4]))], names=names)
 
         for batch in batches:
             for k in range(batch.num_rows):
-                doc, raw = batch.column(0)[k].as_py(), batch.column(1)[k].as_py().encode("utf-8", "replace")
+                doc, own, raw = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].as_py().encode("utf-8", "replace")
                 for gram, first, last, anchor in anchors_of(raw, length):
                     ends = zip(first.tolist(), (last + length).tolist(), strict=True)
                     run = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in ends), np.uint64, len(first)).view(np.int64)
-                    for c, x in zip(held, (gram, run, np.full(len(first), doc), first << 20 | (last - first) << 10 | (anchor - first)), strict=True):
+                    for c, x in zip(held, (gram, run, doc, own, first << 20 | (last - first) << 10 | (anchor - first)), strict=True):
                         c.append(x)
                     rows += len(first)
                 if rows > _ROWS:
                     yield packed()
-                    held, rows = [[], [], [], []], 0
+                    held, rows = [[] for _ in range(5)], 0
         if rows:
             yield packed()
 
-    return docs.mapInArrow(work, "gram bigint, run bigint, doc bigint, at bigint")
+    return docs.mapInArrow(work, "gram bigint, run bigint, doc bigint, sum bigint, at bigint")
 
 
 def merged(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
@@ -143,131 +151,148 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(ends, [*(a for a, _ in spans), len(raw)], strict=True))
 
 
-def _cores(raw: bytes, at: int, length: int) -> Iterator[tuple[int, int]]:
-    """``hash, class`` of the strings common to ``STEP`` neighbouring windows of a run; class i has the windows i STEP to i STEP + STEP - 1 bytes before the anchor."""
+def _cores(raw: bytes, at: int, length: int) -> Iterator[tuple[bytes, int, int, int, bytes, bytes]]:
+    """``core, start, fewest, most, before, after``: the strings common to ``STEP`` neighbouring windows of a run.
+
+    A core's windows begin from ``fewest`` to ``most`` bytes before it; ``before``
+    and ``after`` are the ``STEP - 1`` bytes beside it, filled up at a text's ends.
+    """
     first, last, anchor = _unpacked(at)
+    side, size = STEP - 1, length - STEP + 1
     for i in range((anchor - last) // STEP, (anchor - first) // STEP + 1):
         start = anchor - i * STEP
-        yield _signed(xxhash.xxh3_64_intdigest(raw[start : start + length - STEP + 1], i)), i
+        core = xxhash.xxh3_128_digest(raw[start : start + size], i)
+        before, after = raw[max(0, start - side) : start], raw[start + size : start + size + side]
+        yield core, start, max(0, start - last), min(side, start - first), before.rjust(side, b"\0"), after.ljust(side, b"\0")
+
+
+def _repeats(rows: pa.Table) -> list[tuple[int, int, int]]:
+    """Windows of cores that come again, as ``row, first window, last window`` of runs, for rows that are open. Rows of one core must all be there."""
+    side, n = STEP - 1, rows.num_rows
+    matrix = lambda c, w: np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint8).reshape(n, w)
+    core, before, after = matrix("core", 16), matrix("before", side), matrix("after", side)
+    low, high, open_ = rows.column("low").to_numpy(), rows.column("high").to_numpy(), rows.column("open").to_numpy(zero_copy_only=False)
+    hit = np.zeros((n, STEP), bool)
+    for ahead in range(STEP):
+        some = np.flatnonzero((low <= ahead) & (ahead <= high))
+        key = np.ascontiguousarray(np.hstack((core[some], before[some, side - ahead :], after[some, : side - ahead])))
+        _, group, count = np.unique(key.view(f"V{key.shape[1]}").ravel(), return_inverse=True, return_counts=True)
+        hit[some, ahead] = (count[group] > 1) & open_[some]
+    start, out = rows.column("start").to_numpy(), []
+    edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    for (r, a), (_, b) in zip(np.argwhere(edge == 1).tolist(), np.argwhere(edge == -1).tolist(), strict=True):
+        out.append((r, int(start[r]) - b + 1, int(start[r]) - a))
+    return out
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, with_text: bool = False) -> DataFrame:
-    """From ``doc, text`` (no nulls): the result's columns and, asked for, the remaining ``text``."""
-    spark = docs.sparkSession
-    work = Written(spark, "suffix-dedup")
+def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Spans of repeated windows, from rows sorted by core."""
+    held: list[pa.RecordBatch] = []
 
-    def settle(df: DataFrame, name: str) -> DataFrame:
-        out = work.table(df, name)
-        # shuffle files of finished steps are deleted once nothing refers to them
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        return out
+    def spans(rows: pa.Table) -> pa.RecordBatch:
+        found = _repeats(rows)
+        at = pa.array([r for r, _, _ in found], pa.int64())
+        columns = [rows.column(c).combine_chunks().take(at) for c in ("doc", "sum")] + [pa.array([a for _, a, _ in found], pa.int64()), pa.array([b + length for _, _, b in found], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc", "sum", "a", "b"])
 
-    names = [x.split()[0] for x in _RESULT.split(", ")] + ["text"] * with_text
-    result = _RESULT + ", text string" * with_text
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= _ROWS:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            last = rows.column("core")[rows.num_rows - 1]
+            # the last core's rows wait for more of it
+            ends = rows.num_rows
+            while ends and rows.column("core")[ends - 1] == last:
+                ends -= 1
+            if ends:
+                yield spans(rows.slice(0, ends).combine_chunks())
+            held = rows.slice(ends).combine_chunks().to_batches()
+    if held:
+        yield spans(pa.Table.from_batches(held).combine_chunks())
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """``doc, sum, text``: a row is named by its id and its text's hash. Rows equal in both have equal spans."""
+    text = text_of(docs, text_col)
+    return docs.select(docs[id_col].cast("bigint").alias("doc"), F.xxhash64(text).alias("sum"), text.alias("text"), *more)
 
-    def final(doc: int, raw: bytes, spans: list[tuple[int, int]]) -> list:
-        spans = merged(spans, len(raw))
-        kept = without(raw, spans)
-        row = [doc, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()]
-        # a span may begin or end inside a character, whose other bytes then stand alone and are left out of a string
-        return [*row, kept.decode("utf-8", "ignore")] if with_text else row
 
-    anchors = settle(_anchors(docs, length), "anchors")
+def _with(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    lists = lists.withColumnsRenamed({"doc": "_doc", "sum": "_sum"})
+    return docs.join(lists, docs["doc"].eqNullSafe(F.col("_doc")) & (docs["sum"] == F.col("_sum")), how)
+
+
+def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
+    """From ``doc, sum, text`` (null ids allowed, no null texts): ``doc, sum, spans``, the byte ranges to remove, for texts that have any."""
+    if length <= max(GRAM, STEP) or length > 1000:
+        raise ValueError("length must lie between the gram's and 1000 bytes")
+    work = Written(docs.sparkSession, "suffix-dedup")
+    key = ["doc", "sum"]
+    anchors = work.table(_anchors(docs, length), "anchors")
     # what is joined back to the rows it was counted from is written first: a join of two plain
     # shuffles has its hot keys split by Spark, one with an aggregate on a side has not
-    grams = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("run").alias("low"), F.max("run").alias("high")).where("n > 1").select("gram", (F.col("low") < F.col("high")).alias("mixed"))
-    grams = settle(grams, "grams")
-    repeated = settle(anchors.join(grams, "gram"), "repeated")
+    grams = work.table(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
+    repeated = work.table(anchors.join(grams, "gram"), "repeated")
     work.drop(anchors)
     work.drop(grams)
-    mixed = repeated.where("mixed").withColumn("pick", F.xxhash64("doc", "at"))
-    runs = settle(mixed.groupBy("gram", "run").agg(F.count(F.lit(1)).alias("n"), F.min("pick").alias("least")), "runs")
-    kind = F.when(F.col("n") == 1, OPEN).when(F.col("pick") == F.col("least"), SHOWN).otherwise(COVERED)
-    marks = mixed.join(runs, ["gram", "run"]).select("doc", "at", kind.alias("kind")).union(repeated.where("not mixed").select("doc", "at", F.lit(COVERED).alias("kind")))
-    lists = marks.groupBy("doc").agg(F.collect_list(F.col("at") * 4 + F.col("kind")).alias("marks"))
-
-    first_schema = f"step string, {result}, raw string, spans array<bigint>, core bigint, at bigint, class int, open boolean"
-    first_names = [x.split()[0] for x in first_schema.split(", ")]
-    width = len(first_names)
-    head = len(names)
-    kinds = [pa.string(), *[pa.int64()] * 4, pa.string(), *[pa.string()] * with_text, pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
-
-    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
+    runs = repeated.groupBy("gram", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("doc", "sum", "at")).alias("least"))
+    runs = work.table(runs, "runs")
+    # of a gram with one run every place is covered, and no other run needs to see it
+    mixed = work.table(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", F.lit(True).alias("mixed")), "mixed")
+    kind = F.when(F.col("n") == 1, OPEN).when(F.col("mixed") & (F.xxhash64("doc", "sum", "at") == F.col("least")), SHOWN).otherwise(COVERED)
+    marks = work.table(repeated.join(runs.join(mixed, "gram", "left"), ["gram", "run"]).select(*key, "at", kind.alias("kind")), "marks")
+    for written in (repeated, runs, mixed):
+        work.drop(written)
+    first = F.shiftright("at", 20)
+    covered = marks.where(F.col("kind") != OPEN).select(*key, first.alias("a"), (first + F.shiftright("at", 10).bitwiseAND(1023) + length).alias("b"))
+
+    # the texts with open runs, for their cores
+    lists = marks.where(F.col("kind") != COVERED).groupBy(*key).agg(F.collect_set(F.col("at") * 2 + (F.col("kind") == OPEN).cast("int")).alias("marks"))
+    core_names = ["core", "doc", "sum", "start", "low", "high", "before", "after", "open"]
+    core_kinds = [pa.binary(), *[pa.int64()] * 5, pa.binary(), pa.binary(), pa.bool_()]
+
+    def cores_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
         for batch in batches:
             for k in range(batch.num_rows):
-                doc, text, found = (batch.column(i)[k].as_py() for i in range(3))
+                doc, own, text, found = (batch.column(i)[k].as_py() for i in range(4))
                 raw = text.encode("utf-8", "replace")
-                spans, more = [], False
-                for mark in found or ():
-                    at, state = mark >> 2, mark & 3
-                    if state != OPEN:
-                        spans.append(((at >> 20), _unpacked(at)[1] + length))
-                    if state != COVERED:
-                        more = True
-                        rows += [("core", doc, *[None] * (head - 1), None, None, core, at, i, state == OPEN) for core, i in _cores(raw, at, length)]
-                if more:
-                    flat = [x for s in merged(spans, len(raw)) for x in s]
-                    rows.append(("open", doc, *[None] * (head - 1), text, flat, None, None, None, None))
-                else:
-                    rows.append(("done", *final(doc, raw, spans), *[None] * (width - head - 1)))
-                size += len(raw)
-                if len(rows) > _ROWS or size > _BYTES:
-                    yield batch_of(rows, kinds, first_names)
-                    rows, size = [], 0
-        if rows:
-            yield batch_of(rows, kinds, first_names)
-
-    joined = docs.join(lists, "doc", "left").select("doc", "text", "marks")
-    begun = settle(joined.mapInArrow(begin, first_schema), "begun")
-    work.drop(repeated)
-    work.drop(runs)
-    done = begun.where("step = 'done'").select(*names)
-    texts = begun.where("step = 'open'").select(F.col("doc_id").alias("doc"), F.col("raw").alias("text"), "spans")
-    cores = begun.where("step = 'core'").select("core", F.col("doc_id").alias("doc"), "at", "class", "open")
-    again = cores.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("some")).where("n > 1 and some").select("core")
-    again = settle(again, "again")
-    left = cores.join(again, "core").groupBy("doc").agg(F.collect_list(F.struct("at", "class", "open")).alias("left"))
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, types = [], [*[pa.int64()] * 4, pa.bool_()]
-        for batch in batches:
-            for k in range(batch.num_rows):
-                doc, text, found = (batch.column(i)[k].as_py() for i in range(3))
-                raw = text.encode("utf-8", "replace")
-                for x in found:
-                    first, last, anchor = _unpacked(x["at"])
-                    for p in range(max(first, anchor - (x["class"] + 1) * STEP + 1), min(last, anchor - x["class"] * STEP) + 1):
-                        h = xxhash.xxh3_128_intdigest(raw[p : p + length])
-                        rows.append((_signed(h >> 64), _signed(h & (1 << 64) - 1), doc, p, x["open"]))
-                    if len(rows) > _ROWS:
-                        yield batch_of(rows, types, ["h", "l", "doc", "p", "open"])
-                        rows = []
+                for mark in found:
+                    rows += [(core, doc, own, start, low, high, before, after, bool(mark & 1)) for core, start, low, high, before, after in _cores(raw, mark >> 1, length)]
+                if len(rows) > _ROWS:
+                    yield batch_of(rows, core_kinds, core_names)
+                    rows = []
         if rows:
-            yield batch_of(rows, types, ["h", "l", "doc", "p", "open"])
+            yield batch_of(rows, core_kinds, core_names)
 
-    ranked = settle(texts.select("doc", "text").join(left, "doc").select("doc", "text", "left").mapInArrow(windows, "h bigint, l bigint, doc bigint, p bigint, open boolean"), "windows")
+    cores = _with(docs, lists, "inner").select("doc", "sum", "text", "marks").mapInArrow(cores_of, "core binary, doc bigint, sum bigint, start bigint, low bigint, high bigint, before binary, after binary, open boolean")
+    cores = work.table(cores, "cores")
+    again = work.table(cores.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("some")).where("n > 1 and some").select("core", "n"), "again")
+    left = work.table(cores.join(again, "core"), "left")
+    work.drop(cores)
     work.drop(again)
-    twice = ranked.groupBy("h", "l").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("some")).where("n > 1 and some").select("h", "l")
-    twice = settle(twice, "twice")
-    hits = ranked.where("open").join(twice, ["h", "l"]).groupBy("doc").agg(F.sort_array(F.collect_list("p")).alias("starts"))
+    few = left.where(F.col("n") <= HOT).drop("n").repartition("core").sortWithinPartitions("core")
+    found = few.mapInArrow(lambda batches: _windows(batches, length), "doc bigint, sum bigint, a bigint, b bigint")
+    hot = left.where(F.col("n") > HOT).withColumn("ahead", F.explode(F.sequence("low", "high")))
+    name = ["core", "ahead", "x", "y"]
+    side = STEP - 1
+    ahead = F.col("ahead").cast("int")
+    hot = hot.select("doc", "sum", "start", "open", "core", "ahead", F.substring("before", side + 1 - ahead, ahead).alias("x"), F.substring("after", F.lit(1), side - ahead).alias("y"))
+    twice = hot.groupBy(*name).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    hot = hot.where("open").join(twice, name).select(*key, (F.col("start") - F.col("ahead")).alias("a"), (F.col("start") - F.col("ahead") + length).alias("b"))
+    spans = work.table(covered.union(found).union(hot), "spans")
+    work.drop(marks)
+    work.drop(left)
+
+    return spans.groupBy(*key).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
-    def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
-        for batch in batches:
-            for k in range(batch.num_rows):
-                doc, text, flat, starts = (batch.column(i)[k].as_py() for i in range(4))
-                spans = list(zip(flat[::2], flat[1::2], strict=True)) + [(p, p + length) for p in starts or ()]
-                rows.append(final(doc, text.encode("utf-8", "replace"), spans))
-                size += len(text)
-                if size > _BYTES:
-                    yield batch_of(rows, kinds[1 : head + 1], names)
-                    rows, size = [], 0
-        if rows:
-            yield batch_of(rows, kinds[1 : head + 1], names)
 
-    return done.union(texts.join(hits, "doc", "left").select("doc", "text", "spans", "starts").mapInArrow(end, result))
+def _cut(text: str, found: list | None) -> tuple[bytes, bytes, list[tuple[int, int]]]:
+    raw = text.encode("utf-8", "replace")
+    gone = merged([(x["a"], x["b"]) for x in found or ()], len(raw))
+    return raw, without(raw, gone), gone
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, with_text: bool = False) -> DataFrame:
@@ -277,12 +302,46 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     else too, in this document or another; strings are those of the input. Null
     text is empty; a text shorter than ``length`` stays whole. In the remaining
     text the bytes of a character that was cut in two are left out; the sum
-    covers them. Rows that repeat an id are compared as documents of their own,
-    and what is found in one of them is removed from each; null ids count as one
-    such id. An empty table gives an empty result; other columns are ignored.
+    covers them. Rows that repeat an id, or have none, are documents of their
+    own: each loses what repeats in it and nothing else. An empty table gives an
+    empty result; other columns are ignored.
     """
-    if length <= max(GRAM, STEP) or length > 1000:
-        raise ValueError("length must lie between the gram's and 1000 bytes")
     small_batches(docs.sparkSession)
-    own = docs.select(F.coalesce(docs[id_col].cast("bigint"), F.lit(_NULL)).alias("doc"), text_of(docs, text_col).alias("text"))
-    return repeated_spans(own, length, with_text).withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(_NULL)))
+    names = [x.split()[0] for x in _RESULT.split(", ")] + ["text"] * with_text
+    kinds = [*[pa.int64()] * 4, pa.string(), *[pa.string()] * with_text]
+
+    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for batch in batches:
+            for doc, text, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                raw, kept, gone = _cut(text, found)
+                row = (doc, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest())
+                # a span may begin or end inside a character, whose other bytes then stand alone and are left out of a string
+                rows.append((*row, kept.decode("utf-8", "ignore")) if with_text else row)
+                size += len(raw)
+                if len(rows) > _ROWS or size > _BYTES:
+                    yield batch_of(rows, kinds, names)
+                    rows, size = [], 0
+        if rows:
+            yield batch_of(rows, kinds, names)
+
+    named = _named(docs, id_col, text_col)
+    return _with(named, repeated_spans(named, length), "left").select("doc", "text", "spans").mapInArrow(final, _RESULT + ", text string" * with_text)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
+    """The rows of ``docs``, all columns, each with its remaining text (see ``suffix_dedup``); a null text becomes an empty one."""
+    small_batches(docs.sparkSession)
+    named = _named(docs, id_col, text_col, F.struct("*").alias("row"))
+    cut = _with(named, repeated_spans(named.drop("row"), length), "left").select("text", "spans", "row")
+    names, place = docs.columns, docs.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [_cut(text, found)[1].decode("utf-8", "ignore") for text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            columns = batch.column(2).flatten()
+            columns[place] = pa.array(kept, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = T.StructType([T.StructField(x.name, T.StringType() if x.name == text_col else x.dataType, True) for x in docs.schema])
+    return cut.mapInArrow(work, schema)

@@ -197,6 +197,44 @@ def test_periodic_and_long_texts(spark, monkeypatch):
     assert spans[0][0] == 0 and spans[-1][1] == len(body) - 200 and all(a[1] + 1 == b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
+def test_rows_without_or_with_the_same_id_lose_their_own_bytes_only(spark):
+    rng = __import__("random").Random(6)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    shared, alone = text(300), text(900)
+    rows = [(None, alone), (None, text(100) + shared), (7, shared + text(80)), (7, text(500)), (8, text(400)), (None, None), (-(1 << 63), text(20) + shared)]
+    got = Counter(tuple(r)[:4] for r in suffix_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    want = [(i, len(t or ""), 300 if t and shared in t else 0, int(bool(t) and shared in t)) for i, t in rows]
+    assert got == Counter(want)
+
+
+def test_hot_cores_are_ranked_by_spark(spark, monkeypatch):
+    from brindle.llm import suffix_dedup as sd
+
+    d, rows = documents(spark)
+    for hot in (1, 3):
+        monkeypatch.setattr(sd, "HOT", hot)
+        assert Counter(tuple(r) for r in suffix_dedup(d).collect()) == _removed(rows, 200)
+
+
+def test_rows_go_through_with_their_columns(spark):
+    from brindle.llm.suffix_dedup import without_repeats
+
+    d, _ = documents(spark)
+    d = d.withColumn("spans", F.create_map(F.lit("a"), F.col("doc_id"))).withColumn("row", F.struct("lang", "doc_id")).withColumn("sum", F.lit(1))
+    got, want = without_repeats(d), suffix_dedup(d, with_text=True)
+    assert got.columns == d.columns
+    assert Counter((r["doc_id"], r["text"], r["lang"], (r["spans"] or {}).get("a"), r["row"]["doc_id"]) for r in got.collect()) == Counter(
+        (r["doc_id"], t, r["lang"], r["doc_id"], r["doc_id"]) for r, t in _joined(d, want)
+    )
+
+
+def _joined(d, cut):
+    left = defaultdict(list)
+    for r in cut.collect():
+        left[r["doc_id"], r["n_bytes"]].append(r["text"])
+    return [(r, left[r["doc_id"], len((r["text"] or "").encode("utf-8", "replace"))].pop()) for r in d.collect()]
+
+
 def test_remaining_text_has_whole_characters(spark):
     rows = [(1, "x" + "é" * 150 + "tail"), (2, "yy" + "é" * 150 + "end")]
     got = {r["doc_id"]: r["text"] for r in suffix_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), with_text=True).collect()}
