@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.config import Settings
-from brindle.functions.text import content_hash, document_id, tokens
+from brindle.functions.text import tokens
 from brindle.functions.vector import hashing_embedder
 from brindle.operators import chunking, graph, knowledge, rag, search, store
 from brindle.sources import files
@@ -54,7 +54,7 @@ class Engine:
     def ingest(self, folder: str, processed: str, vision=None) -> DataFrame:
         """New documents of a folder, converted, hashed and chunked; returns the files that failed. Content that is known is left out."""
         found = files.scan(self.spark, folder, most_mb=self.settings.max_file_mb)
-        new = files.route(found, processed, vision).select(document_id(F.col("content")).alias("document_id"), content_hash(F.col("content")).alias("content_hash"), F.col("content").alias("text"), F.col("path").alias("source_uri")).dropDuplicates(["document_id"])
+        new = files.route(found, processed, vision).select(F.concat(F.lit("doc_"), F.substring("raw_hash", 1, 16)).alias("document_id"), F.col("raw_hash").alias("content_hash"), F.col("content").alias("text"), F.col("path").alias("source_uri")).dropDuplicates(["document_id"])
         if "documents" in self.tables:
             new = new.join(self.tables["documents"].select("document_id"), "document_id", "left_anti")
         made = self.chunk(new)
@@ -178,17 +178,29 @@ def _runs(text: str) -> list[str]:
 
 # model gateway: the choice among models, without any call
 
-# fixed values: name parts that tell a model's provider
-PROVIDERS = {"gpt": "openai", "o1": "openai", "gemini": "google", "llama": "meta", "mistral": "mistral", "mixtral": "mistral", "qwen": "alibaba", "deepseek": "deepseek", "command": "cohere"}
+# fixed values: providers and the name parts that tell them, in the order in which they are tried
+PROVIDERS = {
+    "kimi": ["kimi", "moonshot"], "qwen": ["qwen", "alibaba", "qwen-max", "qwen-plus"], "glm": ["glm", "zhipu", "chatglm"], "deepseek": ["deepseek"], "gemini": ["gemini", "google"],
+    "gpt": ["gpt", "openai"], "claude": ["claude", "anthropic"], "llama": ["llama", "meta"], "mistral": ["mistral"],
+}
 
 
-def provider(name: Column) -> Column:
+def provider(name: Column, owner: Column | None = None) -> Column:
+    """A model's provider by its name or owner; else the owner's first part."""
+    owner = F.lit("") if owner is None else owner
     out = F.when(F.lit(False), "")
-    for part, who in PROVIDERS.items():
-        out = out.when(F.lower(name).contains(part), who)
-    return out.otherwise("other")
+    for who, parts in PROVIDERS.items():
+        for part in parts:
+            out = out.when(F.lower(name).contains(part) | F.lower(owner).contains(part), who)
+    return out.otherwise(F.split(owner, "/", 2)[0])
 
 
-def recommend(models: DataFrame) -> DataFrame:
-    """Of ``name, task, priority, healthy`` the model for each task: healthy ones first, then the least priority, then the name."""
-    return models.groupBy("task").agg(F.min(F.struct((~F.col("healthy")).alias("h"), "priority", "name")).alias("x")).select("task", F.col("x.name").alias("name"))
+def recommend(models: DataFrame, by: str = "task") -> DataFrame:
+    """Of ``name, priority, healthy`` the model for each task or provider: healthy ones first, then the least priority, then the name."""
+    return models.groupBy(by).agg(F.min(F.struct((~F.col("healthy")).alias("h"), "priority", "name")).alias("x")).select(by, F.col("x.name").alias("name"))
+
+
+def fallback(models: DataFrame, without: str | None = None) -> DataFrame:
+    """One model of any provider but one: the providers by priority, in each a healthy model before others."""
+    left = models.where(F.lower("provider") != without.lower()) if without else models
+    return left.orderBy("priority", "provider", F.desc("healthy"), "name").limit(1)

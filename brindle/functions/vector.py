@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,7 +28,33 @@ def inverse_distance(distance: Column) -> Column:
     return 1 / (1 + distance)
 
 
+def unit(a: Column) -> Column:
+    """The vector at length one; null for a zero vector."""
+    n = norm(a)
+    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
+
+
 def hashing_embedder(tokens: Column, size: int = 64) -> Column:
-    """A deterministic stand-in for a model: counts of token hashes, signed, by slot."""
-    slot = lambda i: F.aggregate(F.filter(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(size)) == i), F.lit(0.0), lambda s, t: s + F.when(F.pmod(F.crc32(t), F.lit(2)) == 0, 1.0).otherwise(-1.0))
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), slot)
+    """A deterministic stand-in for a model: counts of token hashes, signed, by slot; zeros where there is no token.
+
+    A token's slot is the first eight hexadecimal digits of its MD5 modulo
+    ``size``; it counts negatively if the ninth digit is odd.
+    """
+
+    @F.pandas_udf("array<double>")
+    def embed(lists: pd.Series) -> pd.Series:
+        known: dict[str, tuple[int, int]] = {}
+
+        def one(words) -> np.ndarray:
+            out = np.zeros(size)
+            for w in () if words is None else words:
+                if w not in known:
+                    h = hashlib.md5(w.encode()).hexdigest()
+                    known[w] = int(h[:8], 16) % size, -1 if int(h[8], 16) % 2 else 1
+                slot, sign = known[w]
+                out[slot] += sign
+            return out
+
+        return lists.map(one)
+
+    return embed(F.coalesce(tokens, F.array().cast("array<string>")))

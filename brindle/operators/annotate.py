@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -43,18 +42,38 @@ def ground(chunks: DataFrame, quotes: DataFrame, around: int = 50) -> DataFrame:
     )
 
 
+def longest_block(quote: str, text: str, least: int) -> tuple[int, int]:
+    """``size, place in text`` of the longest string in common, of several the first in the quote, then the first in the text; (0, -1) below ``least``.
+
+    Common strings of a length are looked up in a set of the quote's, and the
+    length is found by halving: time is that of a few passes over the text.
+    """
+
+    def at(n: int) -> int:
+        parts = {quote[i : i + n] for i in range(len(quote) - n + 1)}
+        return any(text[j : j + n] in parts for j in range(len(text) - n + 1))
+
+    low, high = max(1, least), min(len(quote), len(text))
+    if low > high or not at(low):
+        return 0, -1
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if at(middle) else (low, middle - 1)
+    for i in range(len(quote) - low + 1):
+        if (place := text.find(quote[i : i + low])) >= 0:
+            return low, place
+    raise AssertionError("a string in common was found before")
+
+
 def fuzzy_locate(pairs: DataFrame, share: float = 0.8) -> DataFrame:
     """From ``id, text, quote``: the place in the text of the longest block in common, if it covers more than ``share`` of the quote, else -1.
 
-    The longest common block has no built-in; whole texts go through an Arrow batch.
+    The longest common block has no built-in; whole texts go through Arrow batches.
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            at = []
-            for text, quote in zip(b["text"], b["quote"], strict=True):
-                m = SequenceMatcher(None, quote or "", text or "", autojunk=False).find_longest_match()
-                at.append(m.b if quote and m.size > share * len(quote) else -1)
+            at = [longest_block(quote or "", text or "", int(share * len(quote or "")) + 1)[1] for text, quote in zip(b["text"], b["quote"], strict=True)]
             yield pd.DataFrame({"id": b["id"], "at": at})
 
     return pairs.select("id", "text", "quote").mapInPandas(work, "id bigint, at bigint")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import tokens
+from brindle.shared import Written
 
 
 def relationships(edges: DataFrame, entity: str, direction: str = "both", relation_types: list[str] | None = None, limit: int = 100) -> DataFrame:
@@ -21,15 +26,18 @@ def bfs(edges: DataFrame, start: DataFrame, max_depth: int = 2, relation_types:
     """``id, depth``: what can be reached in ``max_depth`` undirected steps, at its least depth, by one join a level.
 
     Nodes are listed by (depth, id); ``limit`` counts nodes. Each level joins the
-    frontier alone and drops what was visited before.
+    frontier alone, drops what was visited before and is written, so that no
+    level computes the ones before again.
     """
+    work = Written(edges.sparkSession, "bfs")
     e = edges.where(F.col("relation_type").isin(*relation_types)) if relation_types else edges
     both = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(e.select("dst", "src"))
-    seen = start.select("id").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
+    seen = frontier = start.select("id").distinct().withColumn("depth", F.lit(0))
     for depth in range(1, max_depth + 1):
         step = both.join(frontier.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
-        frontier = step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth))
+        frontier = work.table(step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "level")
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen.orderBy("depth", "id").limit(limit) if limit else seen
 
@@ -54,21 +62,20 @@ def fallback_type(relation_type: Column, known: list[str], other: str = "RELATED
     return F.when(relation_type.isin(*known), relation_type).otherwise(F.lit(other))
 
 
-def _fixed(df: DataFrame) -> DataFrame:
-    """The rows, computed and cut from their lineage."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
-
-
 def path_to_root(nodes: DataFrame, start: str, most: int | None = None) -> DataFrame:
-    """``step, community_id`` from a community up its parents; ends at a root, where a cycle closes or, if given, at ``most`` steps."""
-    out = now = _fixed(nodes.where(F.col("community_id") == start).select(F.lit(0).alias("step"), "community_id", "parent_id"))
-    i = 0
-    while not now.isEmpty() and (most is None or i < most - 1):
-        i += 1
-        now = nodes.join(F.broadcast(now.select(F.col("parent_id").alias("community_id"))), "community_id").select(F.lit(i).alias("step"), "community_id", "parent_id")
-        now = _fixed(now.join(out.select("community_id"), "community_id", "left_anti").select("step", "community_id", "parent_id"))
-        out = out.union(now)
-    return out.select("step", "community_id")
+    """``step, community_id`` from a community up its parents; ends at a root, where a cycle closes or, if given, at ``most`` steps.
+
+    A step looks up one community; with several parents under one id the least is taken.
+    """
+    path, seen, now = [], set(), start
+    while now is not None and now not in seen and (most is None or len(path) < most):
+        found = nodes.where(F.col("community_id") == now).agg(F.count(F.lit(1)).alias("n"), F.min("parent_id").alias("parent")).first()
+        if not found["n"]:
+            break
+        path.append((len(path), now))
+        seen.add(now)
+        now = found["parent"]
+    return nodes.sparkSession.createDataFrame(path, "step int, community_id string")
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -84,13 +91,111 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """``id, component``: least reachable id, by alternating large-star and small-star steps until no edge changes.
 
     The number of rounds grows with the logarithm of the longest chain; an error
-    is raised if ``rounds`` are not enough. Each round is checkpointed.
+    is raised if ``rounds`` are not enough. Edges are written once and each round
+    is written.
     """
+    work = Written(edges.sparkSession, "components")
+    edges = work.table(edges.select("src", "dst"), "given")
     ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).where("id is not null").distinct()
-    now, state = _fixed(edges.where("src != dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()), None
+    now, state = work.table(edges.where("src != dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges"), None
     for _ in range(rounds):
-        now = _fixed(_stars(_fixed(_stars(now, True)), False))
         before, state = state, now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        if state == before or not state[0]:
             return ids.join(now.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        now = work.table(_stars(_stars(now, True), False), "edges")
     raise RuntimeError("components did not settle")
+
+
+def similar_within(vectors: DataFrame, block_col: str, least: float, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 1024) -> DataFrame:
+    """``src, dst``: edges that connect what is connected by pairs of one block with a cosine (to six digits) of at least ``least``.
+
+    Every pair of a block is compared, by pairs of parts of at most ``block``
+    rows, so no task holds more than two parts of a block of any size. A task
+    sends no pairs: of each set that its pairs connect it sends a star, at most
+    one edge for each row. Null and zero vectors are near nothing.
+    """
+    d = vectors.select(F.col(block_col).alias("block"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("block is not null and id is not null and v is not null")
+    sizes = d.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / block).cast("bigint").alias("parts"))
+    d = d.join(sizes, "block").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).select("block", "id", "v", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    kind = d.schema["id"].dataType.simpleString()
+
+    def stars(t: pa.Table) -> pa.Table:
+        ids, root = t.column("id").to_pylist(), list(range(t.num_rows))
+        x = np.array(t.column("v").to_pylist(), np.float64).reshape(t.num_rows, -1)
+        norm = np.sqrt((x * x).sum(1))
+        x = x / np.where(norm > 0, norm, 1)[:, None]
+
+        def find(k: int) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        for k in range(len(ids) - 1):
+            if norm[k] > 0:
+                for q in (np.flatnonzero((np.round(x[k + 1 :] @ x[k], 6) >= least) & (norm[k + 1 :] > 0)) + k + 1).tolist():
+                    a, b = find(k), find(q)
+                    root[max(a, b)] = min(a, b)
+        groups: dict[int, list] = {}
+        for k, i in enumerate(ids):
+            groups.setdefault(find(k), []).append(i)
+        pairs = [(min(g), i) for g in groups.values() if len(g) > 1 for i in g if i != min(g)]
+        to = t.schema.field("id").type
+        return pa.table({"src": pa.array([a for a, _ in pairs], to), "dst": pa.array([b for _, b in pairs], to)})
+
+    return d.groupBy("block", "i", "j").applyInArrow(stars, f"src {kind}, dst {kind}")
+
+
+def edge_scan(edges: DataFrame, limit: int = 500) -> DataFrame:
+    """``src, dst, relation_type``: the first edges of the whole graph by a total order."""
+    return edges.select("src", "dst", "relation_type").orderBy("src", "dst", "relation_type").limit(limit)
+
+
+def assign(members: DataFrame, new: DataFrame) -> DataFrame:
+    """``id, community_id`` with the assignments of ``new`` in place of an id's earlier ones; repeated assignments are one."""
+    return members.join(new.select("id").distinct(), "id", "left_anti").select("id", "community_id").union(new.select("id", "community_id")).distinct()
+
+
+def at_level(communities: DataFrame, level: str) -> DataFrame:
+    return communities.where(F.col("level") == level)
+
+
+def children(nodes: DataFrame) -> DataFrame:
+    """``community_id, parent_id, children``: each community with the sorted list of those below it, joined by commas."""
+    below = nodes.where("parent_id is not null").groupBy(F.col("parent_id").alias("community_id")).agg(F.array_join(F.array_sort(F.collect_list("community_id")), ",").alias("children"))
+    return nodes.join(below, "community_id", "left").select("community_id", "parent_id", F.coalesce("children", F.lit("")).alias("children"))
+
+
+def touching(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """Edges with an end among ``members``: two equi-joins in place of a join on either end."""
+    side = lambda c: edges.join(members.select(F.col("id").alias(c)), c, "left_semi").select("src", "dst", "relation_type")
+    return side("src").union(side("dst")).distinct()
+
+
+def between_known(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """Edges whose ends are both known: two semi-joins."""
+    r = edges.join(sources.select(F.col("id").alias("src")), "src", "left_semi")
+    return r.join(targets.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "relation_type")
+
+
+def search_communities(communities: DataFrame, words: list[str], limit: int = 10) -> DataFrame:
+    """Communities whose name or summary holds one of the words, as written, by id."""
+    hit = reduce(lambda a, b: a | b, [F.col(c).contains(w) for c in ("name", "summary") for w in words], F.lit(False))
+    return communities.where(hit).select("id", "name").orderBy("id").limit(limit)
+
+
+def merge_entities(entities: DataFrame, edges: DataFrame, same: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities and edges after resolution: ``same`` has ``id, component``. A component's entity with the least id stays; edges go to it, and those that become loops or repeats vanish."""
+    gone = same.where("id != component")
+    left = entities.join(gone.select("id"), "id", "left_anti")
+    moved = edges
+    for end in ("src", "dst"):
+        names = gone.select(F.col("id").alias(end), F.col("component").alias("_to"))
+        moved = moved.join(names, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+    return left, moved.where("src != dst").select("src", "dst", "relation_type").distinct()
+
+
+def bucket(score: Column, merge: float = 0.9, review: float = 0.7) -> Column:
+    """What is done with a pair of entities: merge, review or keep."""
+    return F.when(score >= merge, "merge").when(score >= review, "review").otherwise("keep")

@@ -16,21 +16,28 @@ def load_ontology(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(d, k.lower()) for d, ks in json.loads(rows).items() for k in ks], "domain string, keyword string")
 
 
-def domain_scores(docs: DataFrame, ontology: DataFrame, top: int = 5, most_keywords: int = 50_000, id_col: str = "doc_id") -> DataFrame:
+def domain_scores(docs: DataFrame, ontology: DataFrame, top: int = 5, most_keywords: int = 5_000, id_col: str = "doc_id") -> DataFrame:
     """``id, domain, score, evidence, rank``: per keyword min(0.1 count, 0.5), summed by domain, over the document's best; the best ``top``.
 
     Keywords are one or more tokens and match whole tokens. The ontology is a
-    parameter table whose size is checked before it is broadcast; a document's
-    n-grams meet it by equality.
+    parameter table whose size is checked: a small one is broadcast and filters
+    inside each row; a document's n-grams meet it by equality.
     """
-    n = ontology.count()
     onto = ontology.select("domain", tokens(F.col("keyword")).alias("k")).where(F.size("k") > 0).select("domain", F.array_join("k", " ").alias("keyword"), F.size("k").alias("n"))
+    known = [tuple(r) for r in onto.select("keyword", "n").distinct().limit(most_keywords + 1).collect()]
+    n, lengths = len(known), sorted({k for _, k in known})
     small = F.broadcast(onto) if n <= most_keywords else onto
-    lengths = sorted(r[0] for r in onto.select("n").distinct().collect())
-    gram = lambda t, k: F.when(F.size(t) >= k, F.transform(F.sequence(F.lit(1), F.size(t) - k + 1), lambda i: F.array_join(F.slice(t, i, k), " "))).otherwise(F.array().cast("array<string>"))
     d = docs.select(F.col(id_col).alias("id"), tokens(F.col("text")).alias("t"))
-    grams = d.select("id", F.explode(F.concat(*(F.col("t") if k == 1 else gram(F.col("t"), k) for k in lengths)) if lengths else F.array().cast("array<string>")).alias("keyword"))
-    hits = grams.join(small, "keyword").groupBy("id", "domain", "keyword").agg(F.count(F.lit(1)).alias("count"))
+    none = F.array().cast("array<string>")
+
+    def grams(t: Column, k: int) -> Column:
+        """A text's runs of k tokens; of a small ontology's lengths only runs whose first token begins a keyword, so that others are never built."""
+        own = sorted({w.split(" ")[0] for w, m in known if m == k})
+        at = F.filter(F.sequence(F.lit(1), F.size(t) - k + 1), lambda i: F.get(t, i - 1).isin(own)) if n <= most_keywords else F.sequence(F.lit(1), F.size(t) - k + 1)
+        return F.when(F.size(t) >= k, F.transform(at, lambda i: F.array_join(F.slice(t, i, k), " "))).otherwise(none)
+
+    found = d.select("id", F.explode(F.concat(*(grams(F.col("t"), k) for k in lengths)) if lengths else none).alias("keyword"))
+    hits = found.join(small, "keyword").groupBy("id", "domain", "keyword").agg(F.count(F.lit(1)).alias("count"))
     # a keyword listed twice joins twice: its count is then shared by both and each scores
     times = onto.groupBy("domain", "keyword").agg(F.count(F.lit(1)).alias("times"))
     hits = hits.join(F.broadcast(times) if n <= most_keywords else times, ["domain", "keyword"]).withColumn("count", F.col("count") / F.col("times"))
@@ -96,17 +103,11 @@ def edge_schema(edges: DataFrame) -> DataFrame:
 
 
 def type_parents(types: DataFrame) -> DataFrame:
-    """``entity_type, parent``: the most frequent other type whose name begins this one's, a type table being small; checked before it is broadcast."""
-    n = types.count()
+    """``entity_type, parent``: the most frequent other type whose name begins this one's. Every proper prefix of a name meets the types by equality."""
     other = types.select(F.col("entity_type").alias("parent"), F.col("frequency").alias("pf"))
-    if n > 10_000:
-        # every proper prefix of a name meets the types by equality
-        prefixes = types.select("entity_type", F.explode(F.transform(F.sequence(F.lit(1), F.length("entity_type") - 1), lambda i: F.substring(F.col("entity_type"), F.lit(1), i))).alias("parent"))
-        both = prefixes.join(other, "parent")
-    else:
-        both = types.join(F.broadcast(other), F.col("entity_type").startswith(F.col("parent")) & (F.col("entity_type") != F.col("parent")))
+    prefixes = types.where(F.length("entity_type") > 1).select("entity_type", F.explode(F.transform(F.sequence(F.lit(1), F.length("entity_type") - 1), lambda i: F.substring(F.col("entity_type"), F.lit(1), i))).alias("parent"))
     w = Window.partitionBy("entity_type").orderBy(F.desc("pf"), "parent")
-    return both.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("entity_type", "parent")
+    return prefixes.join(other, "parent").withColumn("_r", F.row_number().over(w)).where("_r = 1").select("entity_type", "parent")
 
 
 def entity_errors(entities: DataFrame, types: list[str], required: dict[str, list[str]]) -> DataFrame:
@@ -136,18 +137,88 @@ def community_names(entities: DataFrame, key: list[str], n_names: int, least: in
     return counts.join(names, key)
 
 
-def parent_scores(children: DataFrame, parents: DataFrame, most_parents: int = 10_000) -> DataFrame:
+def parent_scores(children: DataFrame, parents: DataFrame) -> DataFrame:
     """``child, parent, score``: 0.3 a shared name + 0.3 min(child size / parent size, 1) + 0.4, at most 1; best score, then the parent's position.
 
-    Every child is scored against every parent, since the constant gives any
-    parent a claim; parents are a summary level whose size is checked.
+    Parents with a shared name meet the child by it. Of the others the score
+    falls with the parent's size, up to the child's own, and the position
+    decides beyond; so the best of them is the least position among those no
+    larger than the child, or else the smallest, and no child meets them all.
+    A parent without a shared name that is among those with one scores less there.
     """
-    n = parents.count()
-    if n > most_parents:
-        raise ValueError(f"{n} parents; a summary level holds at most {most_parents}")
-    c = children.select(F.col("community_id").alias("child"), F.col("names").alias("cn"), F.col("entity_count").alias("cc"))
-    p = parents.select(F.col("community_id").alias("parent"), F.col("names").alias("pn"), F.col("entity_count").alias("pc"), "position")
     low = lambda a: F.array_distinct(F.transform(a, F.lower))
-    score = F.least(F.lit(1.0), F.size(F.array_intersect(low(F.col("cn")), low(F.col("pn")))) * 0.3 + F.least(F.col("cc") / F.greatest(F.col("pc"), F.lit(1)), F.lit(1.0)) * 0.3 + 0.4)
-    both = c.join(F.broadcast(p)).withColumn("score", F.round(score, 6))
-    return both.withColumn("_r", F.row_number().over(Window.partitionBy("child").orderBy(F.desc("score"), "position"))).where("_r = 1").select("child", "parent", "score")
+    c = children.select(F.col("community_id").alias("child"), low(F.col("names")).alias("cn"), F.col("entity_count").alias("cc"))
+    p = parents.select(F.col("community_id").alias("parent"), low(F.col("names")).alias("pn"), F.greatest("entity_count", F.lit(1)).alias("pc"), "position")
+    share = c.select("child", "cc", F.explode("cn").alias("n")).join(p.select("parent", "pc", "position", F.explode("pn").alias("n")), "n")
+    share = share.groupBy("child", "parent", "cc", "pc", "position").agg(F.count(F.lit(1)).alias("names"))
+    # sizes that differ: n of them have n (n + 1) / 2 members at least, so ten billion entities give 141,000 at most
+    sized = p.groupBy("pc").agg(F.min(F.struct("position", "parent")).alias("x")).select("pc", "x.position", "x.parent")
+    sizes = F.broadcast(sized.agg(F.sort_array(F.collect_list(F.struct("pc", "position", "parent"))).alias("sizes")))
+    ranked = lambda s: F.transform(s, lambda x: F.struct(x["position"].alias("position"), x["parent"].alias("parent"), x["pc"].alias("pc")))
+    best = F.coalesce(F.array_min(ranked(F.filter("sizes", lambda x: x["pc"] <= F.col("cc")))), F.get(ranked(F.filter("sizes", lambda x: x["pc"] > F.col("cc"))), F.lit(0)))
+    plain = c.select("child", "cc").join(sizes).select("child", "cc", best.alias("b")).where("b is not null").select("child", F.col("b.parent").alias("parent"), "cc", F.col("b.pc").alias("pc"), F.col("b.position").alias("position"), F.lit(0).alias("names"))
+    score = F.least(F.lit(1.0), F.col("names") * 0.3 + F.least(F.col("cc") / F.col("pc"), F.lit(1.0)) * 0.3 + 0.4)
+    found = share.select("child", "parent", "cc", "pc", "position", "names").union(plain.select("child", "parent", "cc", "pc", "position", "names")).withColumn("score", F.round(score, 6))
+    return found.withColumn("_r", F.row_number().over(Window.partitionBy("child").orderBy(F.desc("score"), "position"))).where("_r = 1").select("child", "parent", "score")
+
+
+def merge_schemas(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``entity_type, examples, properties, relationships`` of two schemas: the union of examples and of properties, sorted; of relationships of one name the old schema's stay.
+
+    Examples and properties are arrays, relationships a map of name to target.
+    """
+    a, b = old.select("entity_type", *(F.col(c).alias(f"old_{c}") for c in ("examples", "properties", "relationships"))), new.select("entity_type", *(F.col(c).alias(f"new_{c}") for c in ("examples", "properties", "relationships")))
+    d = a.join(b, "entity_type", "full_outer")
+    none = F.array().cast("array<string>")
+    both = lambda c: F.array_sort(F.array_union(F.coalesce(f"old_{c}", none), F.coalesce(f"new_{c}", none))).alias(c)
+    empty = F.create_map().cast("map<string,string>")
+    kept = F.map_concat(F.map_filter(F.coalesce("new_relationships", empty), lambda k, v: ~F.map_contains_key(F.coalesce("old_relationships", empty), k)), F.coalesce("old_relationships", empty))
+    return d.select("entity_type", both("examples"), both("properties"), kept.alias("relationships"))
+
+
+def schema_template(schema: DataFrame) -> DataFrame:
+    """``entity_type, template``: a JSON object with an empty value for each property, in order of the alphabet."""
+    fields = F.transform(F.array_sort("properties"), lambda p: F.concat(F.lit('"'), p, F.lit('": null')))
+    return schema.select("entity_type", F.concat(F.lit('{"type": "'), "entity_type", F.lit('", "properties": {'), F.array_join(fields, ", "), F.lit("}}")).alias("template"))
+
+
+def induce_schema(entities: DataFrame, edges: DataFrame, share: float = 0.8) -> DataFrame:
+    """``kind, name, detail``: required properties of types and end types of edges in one table."""
+    t = required_properties(entities, share).groupBy("entity_type").agg(F.array_join(F.array_sort(F.collect_list("property")), ",").alias("detail")).select(F.lit("type").alias("kind"), F.col("entity_type").alias("name"), "detail")
+    return t.union(edge_schema(edges).select(F.lit("edge"), "relation_type", F.concat_ws(">", "source_types", "target_types")))
+
+
+# fixed values: what a community of each level is called in a prompt
+LEVELS = {"macro": "broad thematic category", "meso": "sub-topic or theme", "micro": "specific entity or concept", "nano": "atomic entity"}
+
+
+def summaries(entities: DataFrame, key: str = "community") -> DataFrame:
+    """``key, summary``: how many entities of which types a community has, and its first five names by id."""
+    first = entities.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("id"))).where("_r <= 5").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_r", "name"))).alias("names"))
+    counts = entities.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.coalesce("entity_type", F.lit("Unknown")))).alias("types"))
+    names = F.array_join(F.transform("names", lambda x: x["name"]), ", ")
+    return counts.join(first, key).select(key, F.concat(F.lit("Contains "), F.col("n").cast("string"), F.lit(" entities of types: "), F.array_join("types", ", "), F.lit(". Key entities: "), F.when(names == "", "Unnamed entities").otherwise(names)).alias("summary"))
+
+
+def naming_prompts(communities: DataFrame) -> DataFrame:
+    """``community_id, prompt`` from ``community_id, level, summary, key_entities, entity_count``."""
+    what = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in LEVELS.items() for x in kv)), F.col("level")), F.lit("category"))
+    return communities.select(
+        "community_id",
+        F.concat(
+            F.lit("Generate a concise name (2-5 words) for this "), what, F.lit(":\n\nSummary: "), "summary", F.lit("\nKey entities: "), F.array_join(F.slice("key_entities", 1, 5), ", "), F.lit("\nEntity count: "), F.col("entity_count").cast("string"),
+            F.lit("\n\nRespond with a JSON object with keys 'name' (string) and 'confidence' (number 0.0-1.0).\nExample: {\"name\": \"Machine Learning Systems\", \"confidence\": 0.85}"),
+        ).alias("prompt"),
+    )
+
+
+def named(communities: DataFrame, answers: DataFrame) -> DataFrame:
+    """``community_id, name, coherence``: names out of a model's JSON answers; a broken answer leaves what there was."""
+    said = answers.select("community_id", F.from_json("answer", "name string, confidence double").alias("a"))
+    return communities.join(said, "community_id", "left").select("community_id", F.coalesce(F.nullif("a.name", F.lit("")), "name").alias("name"), F.coalesce("a.confidence", "coherence").alias("coherence"))
+
+
+def in_order(communities: DataFrame, limit: int | None = None) -> DataFrame:
+    """Communities by falling number of entities, then id."""
+    out = communities.orderBy(F.desc("entity_count"), "community_id")
+    return out.limit(limit) if limit else out

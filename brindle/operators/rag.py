@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import contains_any, token_estimate
@@ -83,7 +83,77 @@ def feed_by_graph(seeds: DataFrame, reached: DataFrame, mentions: DataFrame, chu
 
     ``seeds`` is ``chunk_id, score``; ``reached`` has ``id`` and ``mentions`` ``chunk_id, entity_id``.
     """
-    near = mentions.join(F.broadcast(reached.select(F.col("id").alias("entity_id"))), "entity_id")
+    near = mentions.join(reached.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("entity_id").orderBy("chunk_id"))).where(F.col("r") <= chunks_per_node)
     more = near.select("chunk_id").distinct().join(seeds, "chunk_id", "left_anti").withColumn("score", F.lit(score)).withColumn("origin", F.lit("graph"))
     return seeds.select("chunk_id", "score", F.lit("direct").alias("origin")).unionByName(more.select("chunk_id", "score", "origin"))
+
+
+def graph_enhanced(hits: DataFrame, mentions: DataFrame, relations: DataFrame, n_seeds: int = 5, depth: int = 2, nodes: int = 10, chunks_per_node: int = 3, most: int = 20) -> DataFrame:
+    """Direct hits, then chunks of what a traversal reaches from the first ``n_seeds`` entities that the hits mention.
+
+    ``hits`` is ``chunk_id, score``. From each seed the first ``nodes`` nodes by
+    depth and id count, itself included, ``depth`` undirected steps away at most.
+    """
+    of = unique_entities(hits, mentions, n_seeds)
+    ends = relations.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(relations.select("dst", "src")).distinct()
+    seen = front = of.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth"))
+    for d in range(1, depth + 1):
+        step = ends.join(front.select("seed", F.col("id").alias("a")), "a").select("seed", F.col("b").alias("id")).distinct()
+        front = step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").select("seed", "id", F.lit(d).alias("depth"))
+        seen = seen.union(front)
+    reached = seen.withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy("depth", "id"))).where(F.col("r") <= nodes).select("id").distinct()
+    return feed_by_graph(hits, reached, mentions, chunks_per_node).orderBy(F.when(F.col("origin") == "direct", 0).otherwise(1), F.desc("score"), "chunk_id").limit(most)
+
+
+def unique_entities(hits: DataFrame, mentions: DataFrame, most: int = 5) -> DataFrame:
+    """``id``: the first distinct entities that the hits mention, by id."""
+    return mentions.join(hits.select("chunk_id"), "chunk_id", "left_semi").select(F.col("entity_id").alias("id")).distinct().orderBy("id").limit(most)
+
+
+def context_totals(packed: DataFrame, per_token: int = 4) -> DataFrame:
+    """``query_id, chars, tokens, sources`` of a packed context: the mark of a cut chunk counts for nothing, and it is no source."""
+    n = F.when(F.col("is_source"), F.length("text")).otherwise(F.length("text") - 3)
+    return packed.groupBy("query_id").agg(F.sum(n).cast("bigint").alias("chars"), F.sum("tokens").cast("bigint").alias("tokens"), F.count_distinct(F.when(F.col("is_source"), F.col("id"))).alias("sources"))
+
+
+def entity_preamble(entities: DataFrame, most: int = 10) -> DataFrame:
+    """``query_id, text``: a query's first entities, from ``query_id, position, name, entity_type, description``."""
+    line = F.concat(F.lit("- **"), F.coalesce("name", F.lit("Unknown")), F.lit("** ("), F.coalesce("entity_type", F.lit("entity")), F.lit(")"), F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit("\n  "), "description")).otherwise(""))
+    lists = entities.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("position"))).where(F.col("_r") <= most).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("_r", line.alias("l")))).alias("x"))
+    return lists.select("query_id", F.concat(F.lit("## Relevant Entities\n\n"), F.array_join(F.transform("x", lambda x: x["l"]), "\n"), F.lit("\n\n")).alias("text"))
+
+
+def graph_preamble(nodes: DataFrame, edges: DataFrame, most_nodes: int = 15, most_edges: int = 10) -> DataFrame:
+    """``query_id, text``: a traversal's first nodes and edges, from ``query_id, position, name, type`` and ``query_id, position, source, relation_type, target``."""
+    n = F.concat(F.lit("- "), "name", F.lit(" ("), F.coalesce("type", F.lit("entity")), F.lit(")"))
+    e = F.concat(F.lit("- "), "source", F.lit(" → "), F.coalesce("relation_type", F.lit("relates to")), F.lit(" → "), "target")
+
+    def block(d: DataFrame, line: Column, most: int, name: str) -> DataFrame:
+        top = d.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("position"))).where(F.col("_r") <= most)
+        return top.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("_r", line.alias("l")))).alias("x")).select("query_id", F.array_join(F.transform("x", lambda x: x["l"]), "\n").alias(name))
+
+    both = block(nodes, n, most_nodes, "n").join(block(edges, e, most_edges, "e"), "query_id", "left")
+    return both.select("query_id", F.concat(F.lit("## Related Knowledge\n\n### Entities\n"), "n", F.when(F.col("e").isNotNull(), F.concat(F.lit("\n\n### Relationships\n"), "e")).otherwise(""), F.lit("\n\n")).alias("text"))
+
+
+def with_preamble(chunks: DataFrame, preamble: DataFrame, name: str, chunk_id: str) -> DataFrame:
+    """``query_id, rank, id, name, text`` of a context with a text before its chunks, at rank 0; a context without chunks stays empty."""
+    first = preamble.join(chunks.select("query_id").distinct(), "query_id", "left_semi").select("query_id", F.lit(0).alias("rank"), F.lit(chunk_id).alias("id"), F.lit(name).alias("name"), "text")
+    return first.union(chunks.select("query_id", "rank", F.col("id").cast("string"), "name", "text"))
+
+
+def split_reasoning(answer: Column) -> Column:
+    """A struct of ``reasoning`` and ``answer`` of a model's answer in marked parts; a text that is not in such parts is all answer."""
+    parts = F.split(answer, r"\*\*Answer:\*\*", -1)
+    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    marked = answer.contains("**Reasoning:**") & (F.size(parts) == 2)
+    said = trim(F.split(F.get(parts, F.lit(1)), r"\*\*Confidence:\*\*", 2)[0])
+    return F.struct(F.when(marked, trim(F.replace(F.get(parts, F.lit(0)), F.lit("**Reasoning:**"), F.lit("")))).alias("reasoning"), F.when(marked, said).otherwise(answer).alias("answer"))
+
+
+def follow_ups(answer: Column, most: int = 3) -> Column:
+    """The first questions of a model's JSON list; what is no text is left out, and a broken list is empty."""
+    items = F.try_variant_get(F.try_parse_json(answer), "$", "array<variant>")
+    texts = F.filter(items, lambda x: F.schema_of_variant(x) == "STRING")
+    return F.coalesce(F.slice(F.transform(texts, lambda x: F.try_variant_get(x, "$", "string")), 1, most), F.array().cast("array<string>"))

@@ -25,20 +25,31 @@ def mime_type(path: Column) -> Column:
 
 def scan(spark: SparkSession, folder: str, recursive: bool = True, most_mb: int = 100) -> DataFrame:
     """``path, length, content, mime_type, ok, error`` of a folder's files; what is too large or unknown is told, not raised."""
-    d = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder).withColumn("mime_type", mime_type(F.col("path")))
-    error = F.when(F.col("length") > most_mb * 1024 * 1024, "file too large").when(F.col("mime_type") == OTHER, "unsupported extension")
+    return checked(spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder), most_mb)
+
+
+def checked(files: DataFrame, most_mb: int = 100) -> DataFrame:
+    """``path, length, content, mime_type, ok, error`` of ``path, length, content`` rows."""
+    d = files.withColumn("mime_type", mime_type(F.col("path")))
+    text = F.col("mime_type").startswith("text/") | (F.col("mime_type") == "application/json")
+    error = (
+        F.when(F.col("length") > most_mb * 1024 * 1024, "file too large").when(F.col("mime_type") == OTHER, "unsupported extension").when(F.col("length") == 0, "empty file")
+        .when(text & ~F.is_valid_utf8(F.col("content").cast("string")), "not utf-8").when((F.col("mime_type") == "application/json") & F.try_parse_json(F.col("content").cast("string")).isNull(), "not json")
+    )
     return d.select("path", "length", "content", "mime_type", error.isNull().alias("ok"), error.alias("error"))
 
 
 def route(files: DataFrame, processed: str, vision=None) -> DataFrame:
-    """``path, content, processor`` by MIME type. ``vision`` is a function of a DataFrame for PDF and images; without one they are left out."""
+    """``path, content, processor, raw_hash`` by MIME type; the hash is that of the file's own content, before it is converted. ``vision`` is a function of a DataFrame for PDF and images; without one they are left out."""
     d = files.where("ok").withColumn("text", F.decode(F.col("content"), "utf-8"))
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     kind = F.when(F.col("mime_type") == "text/html", "html").when(F.col("mime_type") == "application/json", "json").when(F.col("mime_type") == "text/csv", "csv").when(F.col("mime_type").startswith("text/"), "text").otherwise("vision")
     d = d.withColumn("processor", kind)
     content = F.when(kind == "html", html_text(F.col("text"))).when(kind == "json", json_markdown(F.col("text"))).when(kind == "csv", csv_text_markdown(name, F.col("text"))).when(F.col("mime_type") == "text/markdown", frontmatter(F.col("text"), name, processed)).otherwise(F.col("text"))
-    out = d.where("processor != 'vision'").select("path", content.alias("content"), "processor")
-    return out if vision is None else out.unionByName(vision(d.where("processor = 'vision'")).select("path", "content", F.lit("vision").alias("processor")))
+    d = d.withColumn("raw_hash", F.sha2("content", 256))
+    out = d.where("processor != 'vision'").select("path", content.alias("content"), "processor", "raw_hash")
+    seen = vision(d.where("processor = 'vision'").select("path", "content", "mime_type", "raw_hash")) if vision else None
+    return out if seen is None else out.unionByName(seen.select("path", "content", F.lit("vision").alias("processor"), "raw_hash"))
 
 
 def frontmatter(text: Column, name: Column, processed: str) -> Column:
@@ -83,10 +94,13 @@ def markdown_table(title: Column | str, header: Column, rows: Column, shown: int
 
 
 def csv_text_markdown(name: Column, text: Column) -> Column:
-    """A CSV file's text as a table; fields in double quotes may hold commas."""
+    """A CSV file's text as a table; fields in double quotes may hold commas and line breaks."""
     cells = lambda x: F.transform(F.regexp_extract_all(F.concat(F.lit(","), x), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1)), lambda c: F.when(c.startswith('"'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
-    lines = F.filter(F.split(text, r"\r?\n", -1), lambda x: x != "")
-    return F.when(F.size(lines) == 0, "").otherwise(markdown_table(F.regexp_replace(name, r"\.[^.]*$", ""), cells(F.get(lines, 0)), F.transform(F.slice(lines, 2, 1_000_000), cells)))
+    # every second part between double quotes lies inside them: its line breaks are no ends of rows
+    held = F.array_join(F.transform(F.split(text, '"', -1), lambda x, i: F.when(i % 2 == 1, F.replace(x, F.lit("\n"), F.lit("\u0001"))).otherwise(x)), '"')
+    lines = F.filter(F.split(held, r"\r?\n", -1), lambda x: x != "")
+    back = lambda x: F.transform(cells(x), lambda c: F.replace(c, F.lit("\u0001"), F.lit("\n")))
+    return F.when(F.size(lines) == 0, "").otherwise(markdown_table(F.regexp_replace(name, r"\.[^.]*$", ""), back(F.get(lines, 0)), F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1))), back)))
 
 
 def table_markdown(d: DataFrame, title: str, columns: list[str], order: list[str], shown: int = 99) -> DataFrame:

@@ -30,23 +30,37 @@ def sessions(events: DataFrame, ts: str = "ts", gap: str = "30 minutes", late: s
     return out.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), key, "n")
 
 
-def supersede(claims: DataFrame) -> DataFrame:
-    """From ``key, claim_id, at`` (seconds): each claim that a later one of its key replaces. One claim is kept for each key."""
+def supersede(claims: DataFrame, late: str = "30 days") -> DataFrame:
+    """From ``key, claim_id, at`` (a timestamp): each claim that a later one of its key replaces, with the next one's id.
+
+    A key keeps its claims of the last ``late`` before the watermark, so a claim
+    that comes late is still reported as replaced, by the next one in time. A claim
+    is reported once, by the next one known at that moment. Claims at one time do
+    not replace each other. A key that is silent for ``late`` is forgotten.
+    """
+    seconds = pd.Timedelta(late).total_seconds()
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        out = []
-        rows = sorted((r for f in frames for r in f[["at", "claim_id"]].itertuples(index=False, name=None)))
-        for at, claim in rows:
-            if last is not None and at > last[0]:
-                out.append((key[0], last[1], claim))
-            if last is None or at > last[0]:
-                last = (at, claim)
-        if last is not None:
-            state.update((int(last[0]), int(last[1])))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        held += [(int(at.value // 1000), int(c), False) for f in frames for at, c in f[["at", "claim_id"]].itertuples(index=False, name=None)]
+        held.sort()
+        out, kept = [], []
+        for i, (at, claim, told) in enumerate(held):
+            later = next((c for t, c, _ in held[i + 1 :] if t > at), None)
+            if later is not None and not told:
+                out.append((key[0], claim, later))
+            kept.append((at, claim, told or later is not None))
+        newest = kept[-1][0]
+        kept = [x for x in kept if x[0] >= newest - seconds * 1e6 or not x[2]]
+        state.update(tuple(list(c) for c in zip(*kept, strict=True)))
+        state.setTimeoutTimestamp(max(newest // 1000 + int(seconds * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "claim_id", "replaced_by"])
 
-    return claims.groupBy("key").applyInPandasWithState(step, "key bigint, claim_id bigint, replaced_by bigint", "at bigint, claim_id bigint", "append", GroupStateTimeout.NoTimeout)
+    dated = claims.withWatermark("at", late).groupBy("key")
+    return dated.applyInPandasWithState(step, "key bigint, claim_id bigint, replaced_by bigint", "at array<bigint>, claim array<bigint>, told array<boolean>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def alerts(events: DataFrame, levels: DataFrame, key: str = "event_type") -> DataFrame:

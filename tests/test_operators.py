@@ -185,7 +185,31 @@ def test_folder_scan_and_routes(spark, tmp_path):
 def test_records(spark):
     d = spark.createDataFrame([('{"n": "x"}',), ("{bad",), (None,)], "raw string")
     assert [r["x"] and r["x"]["n"] for r in records.parse(d, "n string").collect()] == ["x", None, None]
-    assert spark.range(1).select(records.setup_type(F.lit(" Break-Out "))).first()[0] == "breakout"
+    d = spark.createDataFrame([("Buy",), ("SHORT POSITION",), ("Breakout",), ("scalp",), ("break out",)], "t string")
+    assert [r[0] for r in d.select(records.setup_type(F.col("t"))).collect()] == ["long", "short", "breakout", "scalp", "break out"]
+    d = spark.createDataFrame([(" btc ", 1.239, "LONG", "Risk Management"), ("ETH", 2.0, "Bearish", "risk"), ("x", 0.0, "bullish", None), ("y", 3.0, None, None)], "symbol string, price double, bias string, category string")
+    got = [tuple(r) for r in records.normalise(d).collect()]
+    assert got == [("BTC", 1.24, "unclear", "risk_management"), ("ETH", 2.0, "bearish", "general"), ("Y", 3.0, "unclear", "general")]
+
+
+def test_fixed_record_values():
+    assert records.BIASES == ["bullish", "bearish", "neutral", "unclear"]
+    assert records.SETUP_ALIASES == {"buy": "long", "sell": "short", "long position": "long", "short position": "short"}
+    assert records.CATEGORIES[:4] == ["strategy", "indicator", "pattern", "risk_management"] and len(records.CATEGORIES) == 9
+
+
+def test_extraction_keeps_what_does_not_fail(spark):
+    d = spark.createDataFrame([(1, "buy BTC now, BTC target 61000.5 as strategy: scalping; ETH follows BTC"), (2, None), (3, "nothing")], "id int, text string")
+    got = {r["id"]: r for r in records.extract(d).collect()}
+    assert [tuple(x) for x in got[1]["price_targets"]] == [("BTC", 61000.5)] and [tuple(x) for x in got[1]["trading_setups"]] == [("BTC", "buy")]
+    assert [x["name"] for x in got[1]["entities"]] == ["BTC", "BTC", "ETH", "BTC"] and [tuple(x) for x in got[1]["relationships"]] == [("ETH", "BTC", "follows")]
+    assert [tuple(x) for x in got[1]["concepts"]] == [("scalping", "strategy")]
+    assert all(got[i][k] == [] for i in (2, 3) for k in records.KINDS)
+    broken = records.rule_extractors() | {"entities": lambda t: F.lit("{no list")}
+    again = {r["id"]: r for r in records.extract(d, broken).collect()}
+    assert again[1]["entities"] == [] and again[1]["price_targets"] == got[1]["price_targets"]
+    b = records.batch(d, lambda t: F.when(t != "nothing", F.length(t)))
+    assert tuple(records.progress(b).first()) == (3, 1, 2, 0.333333)
 
 
 def test_text_functions(spark):
@@ -195,6 +219,96 @@ def test_text_functions(spark):
     assert [r[0] for r in v.select(cosine(F.col("a"), F.col("b"))).collect()] == [1.0, None, None]
 
 
+def test_csv_with_line_breaks_in_quotes(spark):
+    c = spark.createDataFrame([('h,i\n"a\nb",1\nc,"d ""q""\n"\n',)], "t string").select(files.csv_text_markdown(F.lit("x.csv"), F.col("t"))).first()[0]
+    assert c == '# x\n\n| h | i |\n| --- | --- |\n| a\nb | 1 |\n| c | d "q"\n |\n'
+    assert spark.range(1).select(files.csv_text_markdown(F.lit("x.csv"), F.lit("only,header"))).first()[0] == "# x\n\n| only | header |\n| --- | --- |\n"
+
+
+def test_files_that_cannot_be_read_are_told(spark):
+    d = spark.createDataFrame([("a.json", 3, b"{x}"), ("b.txt", 2, b"\xff\xfe"), ("c.txt", 0, b""), ("d.json", 2, b"{}"), ("e.md", 2, b"hi")], "path string, length bigint, content binary")
+    assert [r["error"] for r in files.checked(d).orderBy("path").collect()] == ["not json", "not utf-8", "empty file", None, None]
+
+
+def test_types_of_one_letter_and_many_types(spark):
+    t = spark.createDataFrame([("x", 5), ("xy", 3), ("xyz", 1), ("z", 9)] + [(f"q{i:05d}", 1) for i in range(10_001)], "entity_type string, frequency int")
+    assert rows(knowledge.type_parents(t), "entity_type", "parent") == [("xy", "x"), ("xyz", "x")]
+
+
+def test_parent_scores_match_all_pairs(spark):
+    import random
+
+    rng = random.Random(2)
+    c = [(f"c{i}", [f"N{rng.randrange(30)}" for _ in range(3)], rng.randrange(1, 40)) for i in range(60)]
+    p = [(f"p{i:02d}", [f"n{rng.randrange(30)}" for _ in range(3)], rng.randrange(0, 40), i) for i in range(25)]
+    want = {}
+    for k, names, n in c:
+        scored = [(-round(min(1.0, 0.3 * len({x.lower() for x in names} & {x.lower() for x in q}) + 0.3 * min(n / max(m, 1), 1.0) + 0.4), 6), at, j) for j, q, m, at in p]
+        want[k] = (min(scored)[2], -min(scored)[0])
+    kind = "community_id string, names array<string>, entity_count int"
+    got = knowledge.parent_scores(spark.createDataFrame(c, kind), spark.createDataFrame(p, kind + ", position int"))
+    assert {r["child"]: (r["parent"], r["score"]) for r in got.collect()} == want
+
+
+def test_superseded_within_a_second_and_hot_keys(spark):
+    d = spark.sql("SELECT 1 AS k, id, timestamp_micros(1700000000000000 + id * 1000) AS at, 'DYNAMIC' AS temporal_type FROM range(3) UNION ALL SELECT 1, 9, timestamp_micros(1700000000000000), 'DYNAMIC'")
+    got = {r["id"]: r["replaced_at"] for r in temporal.superseded(d, "k", "at").collect()}
+    assert got.keys() == {0, 1, 9} and got[0] == got[9] < got[1]
+
+
+def test_longest_block_matches_difflib():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(300):
+        t, q = ("".join(rng.choice("ab ") for _ in range(rng.randrange(40))) for _ in range(2))
+        m = difflib.SequenceMatcher(None, q, t, autojunk=False).find_longest_match()
+        least = rng.randrange(1, 6)
+        assert annotate.longest_block(q, t, least) == ((m.size, m.b) if m.size >= least else (0, -1))
+
+
+def test_similar_within_splits_large_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(60, 4))
+    d = spark.createDataFrame([(i, i % 2, x.tolist()) for i, x in enumerate(v)] + [(60, 0, [0.0] * 4), (61, 1, None), (62, None, [1.0] * 4)], "vec_id bigint, label int, embedding array<double>")
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    e = [(i, j) for i in range(60) for j in range(i + 1, 60) if i % 2 == j % 2 and round(float(u[i] @ u[j]), 6) >= 0.8]
+    part = {i: i for i in range(60)}
+    for a, b in e:
+        low, high = sorted((part[a], part[b]))
+        part = {k: low if x == high else x for k, x in part.items()}
+    for block in (4, 1024):
+        got = dict(rows(graph.components(graph.similar_within(d, "label", 0.8, block=block)), "id", "component"))
+        assert got == {i: c for i, c in part.items() if any(i in x for x in e)}
+
+
+def test_merging_points_edges_to_what_stays(spark):
+    e = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    r = spark.createDataFrame([("a", "b", "R"), ("b", "c", "R"), ("a", "c", "R"), ("c", "b", "S")], "src string, dst string, relation_type string")
+    left, moved = graph.merge_entities(e, r, spark.createDataFrame([("a", "a"), ("b", "a")], "id string, component string"))
+    assert rows(left, "id") == [("a",), ("c",)] and rows(moved, "src", "dst", "relation_type") == [("a", "c", "R"), ("c", "a", "S")]
+
+
+def test_context_preambles(spark):
+    e = spark.createDataFrame([(1, 1, "A", "asset", "one"), (1, 2, None, None, None)], "query_id int, position int, name string, entity_type string, description string")
+    assert rag.entity_preamble(e).first()["text"] == "## Relevant Entities\n\n- **A** (asset)\n  one\n- **Unknown** (entity)\n\n"
+    n = spark.createDataFrame([(1, 1, "A", None)], "query_id int, position int, name string, type string")
+    g = spark.createDataFrame([(1, 1, "A", None, "B")], "query_id int, position int, source string, relation_type string, target string")
+    text = "## Related Knowledge\n\n### Entities\n- A (entity)"
+    assert rag.graph_preamble(n, g).first()["text"] == text + "\n\n### Relationships\n- A → relates to → B\n\n"
+    assert rag.graph_preamble(n, g.where("false")).first()["text"] == text + "\n\n"
+
+
+def test_answers_in_parts(spark):
+    d = spark.createDataFrame([("**Reasoning:** because\n**Answer:** yes **Confidence:** high",), ("plain",), ("**Reasoning:** a **Answer:** b **Answer:** c",)], "t string")
+    got = [tuple(r[0]) for r in d.select(rag.split_reasoning(F.col("t"))).collect()]
+    assert got == [("because", "yes"), (None, "plain"), (None, "**Reasoning:** a **Answer:** b **Answer:** c")]
+    d = spark.createDataFrame([('["a?", 1, "b?", "c?", "d?"]',), ("{}",), ("x",), (None,)], "t string")
+    assert [r[0] for r in d.select(rag.follow_ups(F.col("t"))).collect()] == [["a?", "b?", "c?"], [], [], []]
+
+
 def test_metric_ring(spark):
     d = spark.range(10).select((F.col("id") % 2).alias("k"), "id")
     assert rows(metrics.ring(d, "k", [F.desc("id")], 2), "id") == [(6,), (7,), (8,), (9,)]

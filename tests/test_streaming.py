@@ -27,9 +27,23 @@ def test_ingest_drops_copies(spark, tmp_path):
     assert run(spark, jobs.ingest(s), "ingested").count() == 2
 
 
+def claims(spark, rows):
+    return spark.createDataFrame(rows, "key bigint, claim_id bigint, s bigint").select("key", "claim_id", F.timestamp_seconds("s").alias("at"))
+
+
 def test_supersede_keeps_the_newest(spark, tmp_path):
-    d = spark.createDataFrame([(1, 10, 100), (1, 11, 200), (2, 12, 100), (1, 13, 200)], "key bigint, claim_id bigint, at bigint")
+    d = claims(spark, [(1, 10, 100), (1, 11, 200), (2, 12, 100), (1, 13, 200)])
     d.repartition(1).write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
     got = run(spark, jobs.supersede(s), "superseded").collect()
     assert [(r["key"], r["claim_id"], r["replaced_by"]) for r in got] == [(1, 10, 11)]
+
+
+def test_a_late_claim_is_replaced_too(spark, tmp_path):
+    """The older claim comes in a later batch."""
+    for i, rows in enumerate([[(1, 10, 500)], [(1, 11, 100), (2, 20, 50)], [(1, 12, 900)]]):
+        claims(spark, rows).repartition(1).write.mode("append").parquet(str(tmp_path / f"in{i}"))
+    schema = claims(spark, []).schema
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(*[str(tmp_path / "in*")])
+    got = {(r["claim_id"], r["replaced_by"]) for r in run(spark, jobs.supersede(s), "late").collect()}
+    assert {a for a, _ in got} == {10, 11} and got in ({(11, 10), (10, 12)}, {(11, 12), (10, 12)})
