@@ -18,12 +18,12 @@ def merge_spans(spans: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def highlight(texts: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key, start, part, highlighted``: a text cut into marked and plain parts, in order, from merged spans."""
+    """``key, start, part, highlighted``: a text cut into marked and plain parts, in order, from merged spans; a text without spans is one plain part."""
     lists = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("s"))
-    d = texts.join(lists, key)
+    d = texts.join(lists, key, "left").withColumn("s", F.coalesce("s", F.from_json(F.lit("[]"), lists.schema["s"].dataType)))
     part = lambda a, b, on: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit(on).alias("highlighted"))
     gaps = F.transform("s", lambda x, i: F.array(part(F.when(i == 0, F.lit(0)).otherwise(F.get("s", i - 1)["end"]), x["start"], False), part(x["start"], x["end"], True)))
-    rest = F.array(part(F.element_at("s", -1)["end"], F.length("text"), False))
+    rest = F.array(part(F.coalesce(F.try_element_at("s", F.lit(-1))["end"], F.lit(0)), F.length("text"), False))
     d = d.select(key, "text", F.explode(F.concat(F.flatten(gaps), rest)).alias("p")).where("p.start < p.end")
     return d.select(key, F.col("p.start").cast("bigint").alias("start"), F.substring("text", F.col("p.start") + 1, F.col("p.end") - F.col("p.start")).alias("part"), F.col("p.highlighted").alias("highlighted"))
 

@@ -58,11 +58,9 @@ def entity_relationships(spark, sf):
 
 @query("relationship_semi", f"WITH {RELATIONS}, {ENTITIES}, f AS (SELECT id FROM entities WHERE entity_type = 'customer' ORDER BY id LIMIT 20) SELECT src, dst, relation_type FROM relations WHERE src IN (SELECT id FROM f) AND dst IN (SELECT id FROM entities)")
 def relationship_semi(spark, sf):
-    """Relations whose ends are both known: two semi-joins."""
+    """Relations whose ends are both known."""
     e = entities(spark, sf)
-    first = e.where("entity_type = 'customer'").orderBy("id").limit(20)
-    r = relations(spark, sf).join(F.broadcast(first.select(F.col("id").alias("src"))), "src", "left_semi")
-    return r.join(e.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "relation_type")
+    return graph.between_known(relations(spark, sf), e.where("entity_type = 'customer'").orderBy("id").limit(20), e)
 
 
 _BFS = f"""{RELATIONS}, b AS (SELECT src AS a, dst AS b FROM relations UNION SELECT dst, src FROM relations), d0 AS (SELECT 'c:1' AS id),
@@ -87,14 +85,24 @@ def graph_edges(spark, sf):
     return graph.edges_between(r, graph.bfs(r, _start(spark), 1))
 
 
-@query("graph_enhanced", f"WITH {_MENTIONS}, {bm25_sql(ANY, 'or')}, h AS (SELECT c.chunk_id, c.doc_id, b.score FROM (SELECT * FROM bm25 ORDER BY raw DESC, id LIMIT 5) b JOIN chunks c ON c.doc_id = b.id AND c.chunk_index = 0), s AS (SELECT DISTINCT entity_id FROM mentions WHERE doc_id IN (SELECT doc_id FROM h)), m AS (SELECT chunk_id FROM mentions WHERE entity_id IN (SELECT entity_id FROM s) QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY chunk_id) <= 3) SELECT chunk_id, score, 'direct' AS origin FROM h UNION ALL SELECT DISTINCT chunk_id, 0.5::DOUBLE, 'graph' FROM m WHERE chunk_id NOT IN (SELECT chunk_id FROM h)")
+_LINKS = "links AS (SELECT 'e:' || a AS src, 'e:' || b AS dst FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in zip(NAMES, NAMES[1:], strict=False)) + ") AS t(a, b)), ends AS (SELECT src AS a, dst AS b FROM links UNION SELECT dst, src FROM links)"
+
+
+@query(
+    "graph_enhanced",
+    f"""WITH {_MENTIONS}, {_LINKS}, texts AS (SELECT chunk_id AS doc_id, text FROM chunks), {bm25_sql(["ach"], "or", source="texts")}, h AS (SELECT id AS chunk_id, score FROM bm25 ORDER BY raw DESC, id LIMIT 10),
+    d0 AS (SELECT DISTINCT entity_id AS seed, entity_id AS id FROM mentions WHERE chunk_id IN (SELECT chunk_id FROM h) ORDER BY 1 LIMIT 5), d1 AS (SELECT DISTINCT seed, b AS id FROM d0 JOIN ends ON a = id EXCEPT SELECT seed, id FROM d0), d2 AS (SELECT DISTINCT seed, b AS id FROM d1 JOIN ends ON a = id EXCEPT (SELECT seed, id FROM d0 UNION SELECT seed, id FROM d1)),
+    n AS (SELECT seed, id, 0 AS depth FROM d0 UNION ALL SELECT seed, id, 1 FROM d1 UNION ALL SELECT seed, id, 2 FROM d2), r AS (SELECT DISTINCT id FROM (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY seed ORDER BY depth, id) <= 10)),
+    m AS (SELECT entity_id, chunk_id FROM mentions WHERE entity_id IN (SELECT id FROM r) QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY chunk_id) <= 3),
+    u AS (SELECT chunk_id, score, 'direct' AS origin FROM h UNION ALL SELECT DISTINCT chunk_id, 0.5::DOUBLE, 'graph' FROM m WHERE chunk_id NOT IN (SELECT chunk_id FROM h))
+    SELECT * FROM u ORDER BY origin, score DESC, chunk_id LIMIT 20""",
+)
 def graph_enhanced(spark, sf):
-    """Direct hits, and chunks of the entities that their documents mention at a constant score."""
-    c, m = chunks(spark, sf), _mentions(spark, sf)
-    top = search.bm25(table(spark, sf, "documents"), ANY, "or", 5).select(F.col("id").alias("doc_id"), "score")
-    hits = c.where("chunk_index = 0").join(F.broadcast(top), "doc_id").select("chunk_id", "doc_id", "score")
-    of = m.withColumn("doc_id", F.split("chunk_id", ":")[0].cast("bigint")).join(hits.select("doc_id"), "doc_id", "left_semi").select(F.col("entity_id").alias("id")).distinct()
-    return rag.feed_by_graph(hits.select("chunk_id", "score"), of, m)
+    """Direct hits among all chunks, and chunks of the entities two steps from those that the hits mention, at a constant score."""
+    c = chunks(spark, sf)
+    hits = search.bm25(c, ["ach"], "or", 10, id_col="chunk_id").select(F.col("id").alias("chunk_id"), "score")
+    links = spark.createDataFrame([(f"e:{a}", f"e:{b}") for a, b in zip(NAMES, NAMES[1:], strict=False)], "src string, dst string")
+    return rag.graph_enhanced(hits, _mentions(spark, sf), links)
 
 
 @query("dual_level", f"WITH {bm25_sql(ANY, 'or')}, {NEAREST}, {hybrid_sql('bm25')}, {_MENTIONS}, top3 AS (SELECT lang FROM documents GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 3), cm AS (SELECT lang, entity_id, count(*) AS n FROM mentions JOIN documents USING (doc_id) WHERE lang IN (SELECT lang FROM top3) GROUP BY lang, entity_id), cx AS (SELECT * FROM cm QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, entity_id) <= 5), ce AS (SELECT DISTINCT entity_id FROM cx), ch AS (SELECT doc_id FROM mentions WHERE entity_id IN (SELECT entity_id FROM ce) QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY chunk_id) <= 5) SELECT id, score, 'hybrid' AS level FROM hybrid UNION ALL SELECT DISTINCT doc_id, 0.5::DOUBLE, 'community' FROM ch WHERE doc_id NOT IN (SELECT id FROM hybrid)")
@@ -109,10 +117,10 @@ def dual_level(spark, sf):
     return hits.withColumn("level", F.lit("hybrid")).union(more.select("id", F.lit(0.5), F.lit("community")))
 
 
-@query("community_search", "SELECT n_nationkey AS id, n_name AS name FROM nation WHERE contains(n_name, '1') OR contains('region ' || n_regionkey, '2') ORDER BY id LIMIT 10")
+@query("community_search", "SELECT n_nationkey AS id, n_name AS name FROM nation WHERE contains(n_name, '12') OR contains('region ' || n_regionkey, '12') OR contains(n_name, 'n 2') OR contains('region ' || n_regionkey, 'n 2') ORDER BY id LIMIT 10")
 def community_search(spark, sf):
-    n = table(spark, sf, "nation").withColumn("summary", F.concat(F.lit("region "), F.col("n_regionkey").cast("string")))
-    return n.where(F.col("n_name").contains("1") | F.col("summary").contains("2")).select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")).orderBy("id").limit(10)
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("summary"))
+    return graph.search_communities(n, ["12", "n 2"])
 
 
 def _tree(spark, sf):
@@ -126,9 +134,7 @@ _TREE = "tree AS (SELECT 'n:' || n_nationkey AS community_id, 'r:' || n_regionke
 
 @query("hierarchy_tree", f"WITH {_TREE} SELECT t.community_id, t.parent_id, coalesce((SELECT string_agg(c.community_id, ',' ORDER BY c.community_id) FROM tree c WHERE c.parent_id = t.community_id), '') AS children FROM tree t")
 def hierarchy_tree(spark, sf):
-    t = _tree(spark, sf)
-    kids = t.where("parent_id is not null").groupBy(F.col("parent_id").alias("community_id")).agg(F.array_join(F.array_sort(F.collect_list("community_id")), ",").alias("children"))
-    return t.join(kids, "community_id", "left").select("community_id", "parent_id", F.coalesce("children", F.lit("")).alias("children"))
+    return graph.children(_tree(spark, sf))
 
 
 @query("community_path", f"WITH RECURSIVE {_TREE}, p AS (SELECT 0 AS step, community_id, parent_id FROM tree WHERE community_id = 'n:7' UNION ALL SELECT step + 1, t.community_id, t.parent_id FROM p JOIN tree t ON t.community_id = p.parent_id) SELECT step, community_id FROM p")
@@ -138,10 +144,8 @@ def community_path(spark, sf):
 
 @query("micro_edges", f"WITH {RELATIONS}, {ENTITIES}, m AS (SELECT id FROM entities WHERE community = '5') SELECT src, dst, relation_type FROM relations WHERE src IN (SELECT id FROM m) OR dst IN (SELECT id FROM m)")
 def micro_edges(spark, sf):
-    """Edges that touch a community: two equi-joins in place of a join on either end."""
-    r, m = relations(spark, sf), entities(spark, sf).where("community = '5'").select("id")
-    side = lambda c: r.join(m.select(F.col("id").alias(c)), c, "left_semi").select("src", "dst", "relation_type")
-    return side("src").union(side("dst")).distinct()
+    """Edges that touch a community."""
+    return graph.touching(relations(spark, sf), entities(spark, sf).where("community = '5'"))
 
 
 @query("community_groups", f"WITH {ENTITIES} SELECT coalesce(community, 'unassigned') AS community, count(*) AS n FROM entities GROUP BY 1")
@@ -308,24 +312,32 @@ def edge_type_schema(spark, sf):
 
 @query("schema_induce", f"WITH {_TYPED}, q AS ({_REQUIRED}) SELECT 'type' AS kind, entity_type AS name, string_agg(property, ',' ORDER BY property) AS detail FROM q GROUP BY 2 UNION ALL SELECT 'edge', relation_type, string_agg(DISTINCT st || '>' || tt, ',') FROM typed GROUP BY 2")
 def schema_induce(spark, sf):
-    """Required properties of types and end types of edges in one table."""
-    t = knowledge.required_properties(_parts(spark, sf)).groupBy("entity_type").agg(F.array_join(F.array_sort(F.collect_list("property")), ",").alias("detail")).select(F.lit("type").alias("kind"), F.col("entity_type").alias("name"), "detail")
-    e = knowledge.edge_schema(_typed(spark, sf)).select(F.lit("edge"), "relation_type", F.concat_ws(">", "source_types", "target_types"))
-    return t.union(e)
+    return knowledge.induce_schema(_parts(spark, sf), _typed(spark, sf))
 
 
-@query(
-    "schema_merge",
-    """WITH a AS (SELECT p_brand AS b, list_sort(list_distinct(list(p_size))) AS x FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), c AS (SELECT p_brand AS b, list_sort(list_distinct(list(p_size))) AS x FROM part WHERE p_partkey % 5 = 0 GROUP BY 1)
-    SELECT coalesce(a.b, c.b) AS entity_type, array_to_string(list_sort(list_distinct(coalesce(a.x, []) || coalesce(c.x, []))), ',') AS examples FROM a FULL OUTER JOIN c ON a.b = c.b""",
-)
-def schema_merge(spark, sf):
-    """Two schemas as one: the union of each type's examples."""
+_HALVES = """a AS (SELECT p_brand AS b, list_sort(list_distinct(list(p_size::VARCHAR))) AS x, list_sort(list_distinct(list(p_type))) AS y, 'old' AS r FROM part WHERE p_partkey % 2 = 0 GROUP BY 1),
+  c AS (SELECT p_brand AS b, list_sort(list_distinct(list(p_size::VARCHAR))) AS x, list_sort(list_distinct(list(p_name))) AS y, 'new' AS r FROM part WHERE p_partkey % 5 = 0 GROUP BY 1),
+  m AS (SELECT coalesce(a.b, c.b) AS entity_type, list_sort(list_distinct(coalesce(a.x, []) || coalesce(c.x, []))) AS examples, list_sort(list_distinct(coalesce(a.y, []) || coalesce(c.y, []))) AS properties, coalesce(a.r, c.r) AS of FROM a FULL OUTER JOIN c ON a.b = c.b)"""
+
+
+def _merged(spark, sf):
     p = table(spark, sf, "part")
-    side = lambda cond, name: p.where(cond).groupBy(F.col("p_brand").alias("entity_type")).agg(F.collect_set("p_size").alias(name))
-    both = side("p_partkey % 2 = 0", "x").join(side("p_partkey % 5 = 0", "y"), "entity_type", "full_outer")
-    none = F.array().cast("array<int>")
-    return both.select("entity_type", F.array_join(F.array_sort(F.array_union(F.coalesce("x", none), F.coalesce("y", none))), ",").alias("examples"))
+
+    def side(cond: str, prop: str, of: str):
+        return p.where(cond).groupBy(F.col("p_brand").alias("entity_type")).agg(F.collect_set(F.col("p_size").cast("string")).alias("examples"), F.collect_set(prop).alias("properties")).withColumn("relationships", F.create_map(F.lit("of"), F.lit(of)))
+
+    return knowledge.merge_schemas(side("p_partkey % 2 = 0", "p_type", "old"), side("p_partkey % 5 = 0", "p_name", "new"))
+
+
+@query("schema_merge", f"WITH {_HALVES} SELECT entity_type, array_to_string(examples, ',') AS examples, array_to_string(properties, ',') AS properties, of FROM m")
+def schema_merge(spark, sf):
+    """Two schemas as one: unions of examples and properties, the old one's relationships."""
+    return _merged(spark, sf).select("entity_type", F.array_join("examples", ",").alias("examples"), F.array_join("properties", ",").alias("properties"), F.col("relationships")["of"].alias("of"))
+
+
+@query("schema_template", f"""WITH {_HALVES} SELECT entity_type, '{{"type": "' || entity_type || '", "properties": {{' || array_to_string(list_transform(properties, lambda p: '"' || p || '": null'), ', ') || '}}}}' AS template FROM m""")
+def schema_template(spark, sf):
+    return knowledge.schema_template(_merged(spark, sf))
 
 
 @query(
@@ -367,9 +379,85 @@ def entity_dedup(spark, sf):
 )
 def entity_resolution(spark, sf):
     """Vectors of a label (the block) that are near enough are one entity, over any chain."""
-    from brindle.functions.vector import cosine
+    return graph.components(graph.similar_within(table(spark, sf, "embeddings"), "label", 0.36))
+
+
+@query(
+    "entity_merge",
+    f"""WITH {ENTITIES}, {RELATIONS}, one AS (SELECT id, min(id) OVER (PARTITION BY entity_type, community) AS component FROM entities WHERE community IS NOT NULL)
+    SELECT DISTINCT coalesce(a.component, r.src) AS src, coalesce(b.component, r.dst) AS dst, relation_type FROM relations r LEFT JOIN one a ON a.id = r.src LEFT JOIN one b ON b.id = r.dst WHERE coalesce(a.component, r.src) <> coalesce(b.component, r.dst)""",
+)
+def entity_merge(spark, sf):
+    """Customers and suppliers of a nation as one entity each, with their edges."""
+    from pyspark.sql import Window
+
+    e = entities(spark, sf)
+    same = e.where("community is not null").select("id", F.min("id").over(Window.partitionBy("entity_type", "community")).alias("component"))
+    return graph.merge_entities(e, relations(spark, sf), same)[1]
+
 
+@query("merge_buckets", "WITH s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0) SELECT a, b, score, CASE WHEN score >= 0.3 THEN 'merge' WHEN score >= 0.1 THEN 'review' ELSE 'keep' END AS action FROM s")
+def merge_buckets(spark, sf):
+    """What is done with each vector and the first one: a stated query against all rows."""
     e = table(spark, sf, "embeddings")
-    a, b = (e.select("label", F.col("vec_id").alias(i), F.col("embedding").alias(v)) for i, v in (("src", "va"), ("dst", "vb")))
-    near = a.join(b, "label").where(F.col("src") < F.col("dst")).where(F.round(cosine(F.col("va"), F.col("vb")), 6) >= 0.36).select("src", "dst")
-    return graph.components(near)
+    s = search.nearest(e, e.where("vec_id = 0").select(F.col("embedding").alias("q"))).select(F.lit(0).cast("bigint").alias("a"), F.col("id").alias("b"), "score")
+    return s.withColumn("action", graph.bucket(F.col("score"), 0.3, 0.1))
+
+
+@query("relation_types", f"WITH {RELATIONS}, r AS (SELECT 'out' AS direction, dst AS other, relation_type, confidence FROM relations WHERE src = 's:1' UNION ALL SELECT 'in', src, relation_type, confidence FROM relations WHERE dst = 's:1') SELECT * FROM r WHERE relation_type = 'SUPPLIES' AND direction = 'out' ORDER BY other LIMIT 100")
+def relation_types(spark, sf):
+    """One direction and one type of an entity's relations."""
+    return graph.relationships(relations(spark, sf), "s:1", "out", ["SUPPLIES"])
+
+
+@query("edge_scan", f"WITH {RELATIONS} SELECT src, dst, relation_type FROM relations ORDER BY ALL LIMIT 500")
+def edge_scan(spark, sf):
+    return graph.edge_scan(relations(spark, sf))
+
+
+@query("community_assign", "SELECT 'c:' || c_custkey AS id, CASE WHEN c_acctbal < 0 THEN 'overdrawn' ELSE CAST(c_nationkey AS VARCHAR) END AS community_id FROM customer")
+def community_assign(spark, sf):
+    """Customers move from their nation's community to another."""
+    c = table(spark, sf, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_nationkey").cast("string").alias("community_id"), "c_acctbal")
+    return graph.assign(c, c.where("c_acctbal < 0").withColumn("community_id", F.lit("overdrawn")))
+
+
+_LEVELS = f"""{ENTITIES}, lv AS (SELECT 'macro' AS level, entity_type AS community_id, count(*) AS entity_count FROM entities GROUP BY 2 UNION ALL SELECT 'meso', community, count(*) FROM entities WHERE community IS NOT NULL GROUP BY 2)"""
+
+
+def _levels(spark, sf):
+    e = entities(spark, sf)
+    count = lambda d, key, level: d.groupBy(F.col(key).alias("community_id")).agg(F.count(F.lit(1)).alias("entity_count")).select(F.lit(level).alias("level"), "community_id", "entity_count")
+    return count(e, "entity_type", "macro").union(count(e.where("community is not null"), "community", "meso"))
+
+
+@query("community_list", f"WITH {_LEVELS} SELECT * FROM lv ORDER BY entity_count DESC, community_id LIMIT 20")
+def community_list(spark, sf):
+    """The largest communities of all levels."""
+    return knowledge.in_order(_levels(spark, sf), 20)
+
+
+@query("community_level", f"WITH {_LEVELS} SELECT * FROM lv WHERE level = 'meso'")
+def community_level(spark, sf):
+    return graph.at_level(_levels(spark, sf), "meso")
+
+
+_SUMMARIES = f"""{ENTITIES}, r AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY id) AS i FROM entities WHERE community IS NOT NULL),
+  sm AS (SELECT community, count(*) AS n, 'Contains ' || count(*) || ' entities of types: ' || string_agg(DISTINCT entity_type, ', ' ORDER BY entity_type) || '. Key entities: ' || string_agg(name, ', ' ORDER BY i) FILTER (WHERE i <= 5) AS summary, string_agg(name, ', ' ORDER BY i) FILTER (WHERE i <= 5) AS names FROM r GROUP BY community)"""
+
+
+@query("community_summaries", f"WITH {_SUMMARIES} SELECT community, summary FROM sm")
+def community_summaries(spark, sf):
+    return knowledge.summaries(entities(spark, sf).where("community is not null"))
+
+
+@query(
+    "naming_prompts",
+    f"""WITH {_SUMMARIES} SELECT community AS community_id, 'Generate a concise name (2-5 words) for this sub-topic or theme:' || chr(10) || chr(10) || 'Summary: ' || summary || chr(10) || 'Key entities: ' || names || chr(10) || 'Entity count: ' || n || chr(10) || chr(10) ||
+    'Respond with a JSON object with keys ''name'' (string) and ''confidence'' (number 0.0-1.0).' || chr(10) || 'Example: {{"name": "Machine Learning Systems", "confidence": 0.85}}' AS prompt FROM sm""",
+)
+def naming_prompts(spark, sf):
+    e = entities(spark, sf).where("community is not null")
+    names = graph.top_per(e, "community", ["id"], 5).groupBy("community").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "name"))), lambda x: x["name"]).alias("key_entities"))
+    c = knowledge.summaries(e).join(names, "community").join(e.groupBy("community").agg(F.count(F.lit(1)).alias("entity_count")), "community")
+    return knowledge.naming_prompts(c.withColumnRenamed("community", "community_id").withColumn("level", F.lit("meso")))

@@ -32,23 +32,21 @@ def context_pack(spark, sf):
     return rag.pack_context(_hits(spark, sf)).select(F.col("rank").cast("bigint").alias("rank"), "id", "text", "tokens", "is_source")
 
 
-@query("context_render", f"WITH {_HITS} SELECT string_agg('[Source ' || rank || ' - doc ' || id || ']' || chr(10) || substring(text, 1, 100), chr(10) || '---' || chr(10) ORDER BY rank) AS prompt FROM hits")
+@query("context_render", f"WITH {_HITS} SELECT string_agg('[Source ' || rank || ' - doc ' || id || ']' || chr(10) || text, chr(10) || '---' || chr(10) ORDER BY rank) AS prompt FROM hits")
 def context_render(spark, sf):
-    d = _hits(spark, sf).withColumn("name", F.concat(F.lit("doc "), F.col("id").cast("string"))).withColumn("text", F.substring("text", 1, 100))
-    return rag.render_context(d).select("prompt")
-
-
-@query("context_render_full", f"WITH {_HITS} SELECT string_agg('[Source ' || rank || ' - doc ' || id || ']' || chr(10) || text, chr(10) || '---' || chr(10) ORDER BY rank) AS prompt FROM hits")
-def context_render_full(spark, sf):
-    """As ``context_render``, with whole texts."""
     return rag.render_context(_hits(spark, sf).withColumn("name", F.concat(F.lit("doc "), F.col("id").cast("string")))).select("prompt")
 
 
 @query("jaccard_dedup")
 def jaccard_dedup(spark, sf):
-    """The greedy fold over each language's longest documents; tested against a plain Python fold."""
-    d = search.ranked(table(spark, sf, "documents").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("id"), F.col("n_chars").alias("score"), "text"), by=("query_id",), most=40)
-    return rag.greedy_dedup(d.select("query_id", "rank", "id", F.array_distinct(F.split(F.lower("text"), r"\s+")).alias("w")))
+    """The greedy fold over the twenty hits of every user turn, each turn a query; tested against a plain Python fold."""
+    from brindle.operators import index
+
+    d = table(spark, sf, "documents")
+    q = table(spark, sf, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    hits = index.search_many(index.build(d, stemmed=False), q, 20)
+    texts = d.select(F.col("doc_id").alias("id"), F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("w"))
+    return rag.greedy_dedup(hits.join(texts, "id"))
 
 
 _ANSWERS = """a AS (SELECT conv_id, turn, text || CASE conv_id % 5 WHEN 0 THEN ' Confidence: high' WHEN 1 THEN ' **Confidence:** medium' WHEN 2 THEN ' low confidence' WHEN 3 THEN ' It is not specified in the context.' ELSE '' END AS t FROM conversations)"""
@@ -83,35 +81,27 @@ def span_merge(spark, sf):
 
 @query(
     "highlight_regions",
-    """WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 80),
-    s AS (SELECT doc_id, text, n, k, 12 * k + 2 AS a, 12 * k + 6 + doc_id % 5 AS b FROM d, (SELECT unnest(range(0, 5)) AS k)),
-    p AS (SELECT doc_id, text, a AS f, b AS t, true AS highlighted FROM s UNION ALL SELECT doc_id, text, CASE WHEN k = 0 THEN 0 ELSE 12 * (k - 1) + 6 + doc_id % 5 END, a, false FROM s UNION ALL SELECT doc_id, text, b, n, false FROM s WHERE k = 4)
+    """WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents),
+    s AS (SELECT doc_id, text, n, k, 12 * k + 2 AS a, 12 * k + 6 + doc_id % 5 AS b FROM d, (SELECT unnest(range(0, 5)) AS k) WHERE 12 * k + 6 + doc_id % 5 <= n),
+    p AS (SELECT doc_id, text, a AS f, b AS t, true AS highlighted FROM s UNION ALL SELECT doc_id, text, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY k), a, false FROM s
+      UNION ALL SELECT d.doc_id, any_value(d.text), coalesce(max(b), 0), any_value(d.n), false FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id)
     SELECT doc_id, CAST(f AS BIGINT) AS start, substring(text, CAST(f AS BIGINT) + 1, CAST(t - f AS BIGINT)) AS part, highlighted FROM p WHERE f < t""",
 )
 def highlight_regions(spark, sf):
-    d = table(spark, sf, "documents").where(F.length("text") >= 80).select("doc_id", "text")
-    spans = d.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")).select("doc_id", (12 * F.col("k") + 2).cast("int").alias("start"), (12 * F.col("k") + 6 + F.col("doc_id") % 5).cast("int").alias("end"))
-    return annotate.highlight(d, spans)
+    """Every document cut at up to five spans; one without spans is one plain part."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    end = 12 * F.col("k") + 6 + F.col("doc_id") % 5
+    spans = d.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")).where(end <= F.length("text"))
+    return annotate.highlight(d, spans.select("doc_id", (12 * F.col("k") + 2).cast("int").alias("start"), end.cast("int").alias("end")))
 
 
 @query(
     "grounding_offsets",
-    f"""WITH {_OFFSETS}, q AS (SELECT *, substring(text, 5, 12) AS quote FROM placed WHERE chunk_index % 3 = 1 AND length(text) > 20), l AS (SELECT *, instr(text, quote) - 1 AS p FROM q)
-    SELECT chunk_id, doc_id, quote, CAST(start + p AS BIGINT) AS start, CAST(start + p + length(quote) AS BIGINT) AS "end", substring(text, greatest(p - 50, 0) + 1, p - greatest(p - 50, 0)) AS prefix, substring(text, p + length(quote) + 1, 50) AS suffix FROM l""",
-)
-def grounding_offsets(spark, sf):
-    c = chunking.offsets(chunks(spark, sf))
-    quotes = c.where((F.col("chunk_index") % 3 == 1) & (F.length("text") > 20)).select("chunk_id", F.substring("text", 5, 12).alias("quote"))
-    return annotate.ground(c, quotes)
-
-
-@query(
-    "grounding_offsets_all",
     f"""WITH {_OFFSETS}, q AS (SELECT *, substring(text, 5, 12) AS quote FROM placed WHERE length(text) > 20), l AS (SELECT *, instr(text, quote) - 1 AS p FROM q)
     SELECT chunk_id, doc_id, quote, CAST(start + p AS BIGINT) AS start, CAST(start + p + length(quote) AS BIGINT) AS "end", substring(text, greatest(p - 50, 0) + 1, p - greatest(p - 50, 0)) AS prefix, substring(text, p + length(quote) + 1, 50) AS suffix FROM l""",
 )
-def grounding_offsets_all(spark, sf):
-    """As ``grounding_offsets``, with a quote in every chunk that is long enough."""
+def grounding_offsets(spark, sf):
+    """A quote in every chunk that is long enough to hold one."""
     c = chunking.offsets(chunks(spark, sf))
     return annotate.ground(c, c.where(F.length("text") > 20).select("chunk_id", F.substring("text", 5, 12).alias("quote")))
 
@@ -119,7 +109,7 @@ def grounding_offsets_all(spark, sf):
 @query("fuzzy_locate")
 def fuzzy_locate(spark, sf):
     """A slightly wrong quote in every conversation turn; tested against difflib alone."""
-    d = table(spark, sf, "conversations").where(F.length("text") > 40)
+    d = table(spark, sf, "conversations")
     return annotate.fuzzy_locate(d.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", F.concat(F.substring("text", 11, 25), F.lit("#")).alias("quote")))
 
 
@@ -164,11 +154,12 @@ def temporal_extract(spark, sf):
 
 @query(
     "claim_invalidation",
-    """WITH c AS (SELECT o_custkey AS custkey, o_orderkey AS orderkey, o_orderdate AS at FROM orders WHERE o_orderkey % 2 = 0)
+    """WITH c AS (SELECT o_custkey AS custkey, o_orderkey AS orderkey, o_orderdate AS at FROM orders)
     SELECT custkey, orderkey, strftime(replaced_at, '%Y-%m-%d') AS replaced_at FROM (SELECT *, (SELECT min(n.at) FROM c n WHERE n.custkey = c.custkey AND n.at > c.at) AS replaced_at FROM c) WHERE replaced_at IS NOT NULL""",
 )
 def claim_invalidation(spark, sf):
-    c = table(spark, sf, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("orderkey"), F.col("o_orderdate").alias("at"), F.when(F.col("o_orderkey") % 2 == 0, "DYNAMIC").otherwise("STATIC").alias("temporal_type"))
+    """Every order is a claim about its customer, which the customer's next order replaces."""
+    c = table(spark, sf, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("orderkey"), F.col("o_orderdate").alias("at"), F.lit("DYNAMIC").alias("temporal_type"))
     return temporal.superseded(c, "custkey", "at").select("custkey", "orderkey", F.date_format("replaced_at", "yyyy-MM-dd").alias("replaced_at"))
 
 
@@ -200,14 +191,21 @@ def windowed_metrics(spark, sf):
 
 @query(
     "normalize_records",
-    """SELECT p_partkey, upper(trim(p_brand)) AS symbol, round(p_retailprice, 2) AS price, CASE WHEN p_size < 10 THEN 'long' WHEN p_size < 20 THEN 'short' ELSE 'unclear' END AS bias,
-    CASE WHEN p_partkey % 3 = 0 THEN 'strategy' ELSE 'general' END AS category FROM part WHERE p_retailprice > 0""",
+    """SELECT p_partkey, upper(trim(p_brand)) AS symbol, round(p_retailprice, 2) AS price, CASE WHEN p_size < 10 THEN 'bullish' WHEN p_size < 20 THEN 'bearish' WHEN p_size < 30 THEN 'neutral' ELSE 'unclear' END AS bias,
+    CASE p_partkey % 4 WHEN 0 THEN 'risk_management' WHEN 1 THEN 'strategy' ELSE 'general' END AS category, CASE p_partkey % 5 WHEN 0 THEN 'long' WHEN 1 THEN 'short' WHEN 2 THEN 'breakout' ELSE 'other name' END AS setup,
+    CASE WHEN p_partkey % 3 = 0 THEN 'asset' ELSE 'concept' END AS entity_type FROM part WHERE p_retailprice > 0""",
 )
 def normalize_records(spark, sf):
-    from brindle.operators.records import normalise
+    """Every part as a record with fields as a model writes them."""
+    from brindle.operators import records
 
-    raw = table(spark, sf, "part").select("p_partkey", F.concat(F.lit(" "), F.lower("p_brand"), F.lit(" ")).alias("symbol"), F.col("p_retailprice").alias("price"), F.when(F.col("p_size") < 10, "LONG").when(F.col("p_size") < 20, "Short").otherwise("?").alias("bias"), F.when(F.col("p_partkey") % 3 == 0, "Strategy").otherwise(None).alias("category"))
-    return normalise(raw).select("p_partkey", "symbol", "price", "bias", "category")
+    k = F.col("p_partkey")
+    raw = table(spark, sf, "part").select(
+        "p_partkey", F.concat(F.lit(" "), F.lower("p_brand"), F.lit(" ")).alias("symbol"), F.col("p_retailprice").alias("price"), F.when(F.col("p_size") < 10, "BULLISH").when(F.col("p_size") < 20, "Bearish").when(F.col("p_size") < 30, "neutral").otherwise("long").alias("bias"),
+        F.when(k % 4 == 0, "Risk Management").when(k % 4 == 1, "STRATEGY").when(k % 4 == 2, "risk").alias("category"), F.when(k % 5 == 0, "Buy").when(k % 5 == 1, "SHORT position").when(k % 5 == 2, "Breakout").otherwise("Other name").alias("setup"), F.when(k % 3 == 0, "Asset").otherwise("thing").alias("entity_type"),
+    )
+    out = records.normalise(raw).withColumn("setup", records.setup_type(F.col("setup"))).withColumn("entity_type", records.entity_type(F.col("entity_type"), ["asset", "person"]))
+    return out.select("p_partkey", "symbol", "price", "bias", "category", "setup", "entity_type")
 
 
 @query(

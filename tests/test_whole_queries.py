@@ -1,4 +1,4 @@
-"""Queries over whole tables whose namesakes, with their SQL, take a part."""
+"""Queries take whole tables and whole texts."""
 
 import re
 
@@ -14,12 +14,12 @@ def test_jaccard_pairs_of_texts_of_any_length(spark, tmp_path):
     want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] | sets[b]}
     want = {(*k, round(v, 6)) for k, v in want.items() if v > 0.9}
     assert len(want) > 3 and any(len(texts[x[0]]) > 300 for x in want)
-    assert {tuple(r) for r in catalog.QUERIES["jaccard_pairs_all"](spark, str(tmp_path)).collect()} == want
+    assert {tuple(r) for r in catalog.QUERIES["jaccard_pairs"](spark, str(tmp_path)).collect()} == want
 
 
 def test_a_prompt_holds_whole_texts(spark):
     sf = "/root/testdata/sf0.001"
-    prompt = catalog.QUERIES["context_render_full"](spark, sf).first()["prompt"]
+    prompt = catalog.QUERIES["context_render"](spark, sf).first()["prompt"]
     ids = [int(x) for x in re.findall(r"^\[Source \d+ - doc (\d+)\]$", prompt, re.M)]
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert any(len(docs[i]) > 100 for i in ids)
@@ -32,4 +32,4 @@ def test_every_long_chunk_is_grounded(spark):
 
     sf = "/root/testdata/sf0.001"
     all_chunks = {r["chunk_id"] for r in chunking.offsets(chunks(spark, sf)).where("length(text) > 20").collect()}
-    assert {r["chunk_id"] for r in catalog.QUERIES["grounding_offsets_all"](spark, sf).collect()} == all_chunks
+    assert {r["chunk_id"] for r in catalog.QUERIES["grounding_offsets"](spark, sf).collect()} == all_chunks
