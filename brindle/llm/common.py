@@ -2,83 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Word separators of the contracts: space and the five ASCII control spaces.
-SPACES = r"[\x20\x09-\x0D]"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; set here only where it is unset and Spark runs in one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if own.isEmpty():
-            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="brindle-"))
-            own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = own.get()
-    return found.rstrip("/")
-
-
-_roots: list[str] = []
-
-
-def clean(spark: SparkSession) -> None:
-    """Delete every intermediate table that this process has written. To be called once no result made from them is needed."""
-    while _roots:
-        delete(spark, _roots.pop())
-
+from brindle.shared import Written, clean, setting, shared_dir
 
-@contextmanager
-def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    """A setting of the session for as long as the block runs."""
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+__all__ = ["SPACES", "Written", "clean", "let", "setting", "shared_dir", "small_batches", "text_of"]
 
-
-class Written:
-    """Intermediate tables in the shared folder. Each is a Parquet table, so a lost executor costs a reread and not a recomputation."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.paths: list[str] = []
-        _roots.append(self.root)
-
-    def path(self, name: str) -> str:
-        out = f"{self.root}/{len(self.paths):03d}-{name}"
-        self.paths.append(out)
-        return out
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df``; the files of its shuffles go once it is written."""
-        out = self.path(name)
-        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-            df.write.option("compression", "zstd").parquet(out)
-        read = self.spark.read.schema(df.schema).parquet(out)
-        read.written_at = out
-        return read
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table written here that no later step reads."""
-        delete(self.spark, df.written_at)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+#: Word separators of the contracts: space and the five ASCII control spaces.
+SPACES = r"[\x20\x09-\x0D]"
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:

@@ -44,7 +44,7 @@ _ROWS, _BYTES = 20_000, 4 << 20
 _BITS = np.uint64((1 << 24) - 1)
 COVERED, SHOWN, OPEN = 0, 1, 2
 #: Rows of one core above which its windows are ranked by Spark and not within a task.
-HOT = 20_000
+HOT = 1_000
 _RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
@@ -280,7 +280,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     side = STEP - 1
     ahead = F.col("ahead").cast("int")
     hot = hot.select("doc", "sum", "start", "open", "core", "ahead", F.substring("before", side + 1 - ahead, ahead).alias("x"), F.substring("after", F.lit(1), side - ahead).alias("y"))
-    twice = hot.groupBy(*name).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    twice = work.table(hot.groupBy(*name).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"), "twice")
     hot = hot.where("open").join(twice, name).select(*key, (F.col("start") - F.col("ahead")).alias("a"), (F.col("start") - F.col("ahead") + length).alias("b"))
     spans = work.table(covered.union(found).union(hot), "spans")
     work.drop(marks)
