@@ -54,14 +54,17 @@ class Engine:
     def ingest(self, folder: str, processed: str, vision=None) -> DataFrame:
         """New documents of a folder, converted, hashed and chunked; returns the files that failed. Content that is known is left out."""
         found = files.scan(self.spark, folder, most_mb=self.settings.max_file_mb)
-        new = files.route(found, processed, vision).select(F.concat(F.lit("doc_"), F.substring("raw_hash", 1, 16)).alias("document_id"), F.col("raw_hash").alias("content_hash"), F.col("content").alias("text"), F.col("path").alias("source_uri")).dropDuplicates(["document_id"])
-        if "documents" in self.tables:
-            new = new.join(self.tables["documents"].select("document_id"), "document_id", "left_anti")
+        new = self.fresh(files.route(found, processed, vision))
         made = self.chunk(new)
         self.tables["documents"] = self.tables["documents"].unionByName(new, True) if "documents" in self.tables else new
         self.tables["chunks"] = self.tables["chunks"].unionByName(made, True) if "chunks" in self.tables else made
         return found.where("not ok").select("path", "error")
 
+    def fresh(self, routed: DataFrame) -> DataFrame:
+        """Documents out of ``path, content, raw_hash`` whose content, before conversion, is not known yet; each once."""
+        new = routed.select(F.concat(F.lit("doc_"), F.substring("raw_hash", 1, 16)).alias("document_id"), F.col("raw_hash").alias("content_hash"), F.col("content").alias("text"), F.col("path").alias("source_uri")).dropDuplicates(["document_id"])
+        return new.join(self.tables["documents"].select("document_id"), "document_id", "left_anti") if "documents" in self.tables else new
+
     def chunk(self, documents: DataFrame) -> DataFrame:
         s = self.settings
         c = chunking.chunk_documents(documents, s.chunk_size, s.max_chunk_size, s.chunk_overlap, id_col="document_id").withColumnRenamed("doc_id", "document_id")

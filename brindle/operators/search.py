@@ -116,6 +116,11 @@ def explain_rank(vector: Column, bm25_: Column, ce: Column, source: Column) -> C
     return F.concat(F.lit("Document ranked highly due to: "), why, F.lit(". Cross-encoder relevance: "), F.format_string("%.3f", ce), F.lit("."))
 
 
+def rank_factors(weight: float = 0.7) -> Column:
+    """A map of what a rank was made of, from ``vector_score, bm25_score, score, ce``."""
+    return F.create_map(F.lit("vector_score"), "vector_score", F.lit("bm25_score"), "bm25_score", F.lit("hybrid_fusion"), "score", F.lit("cross_encoder"), "ce", F.lit("rerank_weight"), F.lit(weight))
+
+
 def multi_query(lists: DataFrame, k: int = 60) -> DataFrame:
     """From ``query, id, score``: the score in the first query's list that has the id, plus 1 / (k + rank) for each list."""
     r = ranked(lists, by=("query",))

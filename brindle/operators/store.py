@@ -53,3 +53,15 @@ def union_first(lists: list[DataFrame], key: str) -> DataFrame:
     """Union of lists in which a key stays as its first list has it."""
     all_ = reduce(lambda a, b: a.unionByName(b), [d.withColumn("_at", F.lit(i)) for i, d in enumerate(lists)])
     return all_.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_at"))).where("_r = 1").drop("_at", "_r")
+
+
+def append(rows: DataFrame, path: str) -> None:
+    """Add rows to a Parquet table, which begins with the first of them."""
+    rows.write.mode("append").parquet(path)
+
+
+def get_vectors(vectors: DataFrame, ids: list | None = None, where: dict | None = None, limit: int | None = None, id_col: str = "vec_id") -> DataFrame:
+    """Vectors by ids and metadata, the first ``limit`` by id."""
+    d = vectors.where(F.col(id_col).isin(*ids)) if ids is not None else vectors
+    d = d.where(metadata_filter(where)) if where else d
+    return d.orderBy(id_col).limit(limit) if limit else d

@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from brindle.plans import base_queries, graph_queries, search_queries, text_queries  # noqa: F401
+    from brindle.plans import base_queries, engine_queries, graph_queries, search_queries, text_queries  # noqa: F401
 
 
 _load()
