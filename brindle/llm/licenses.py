@@ -28,6 +28,14 @@ TEMPLATES = {
     "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
     "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "BSD-3-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "Unlicense": 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "BSL-1.0": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.',
+    "LGPL": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "CC0-1.0 (notice)": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "CC-BY-SA-4.0 (notice)": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "MIT (notice)": "Released under the MIT License.",
     "Apache-2.0 (notice)": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0 (notice)": "This work is licensed under the GNU General Public License, version 3.",
@@ -75,7 +83,7 @@ def _pairs(words: Column) -> Column:
 
 
 def _passages(pairs: Column, templates: dict[str, str], least: float) -> Column:
-    """Structs (dice, license): for each template its best passage, if that reaches it.
+    """Structs (dice, license): for each template its best passage, if that reaches it and no better one overlaps it.
 
     A passage holds no more repeats for its size than the template does.
     """
@@ -88,21 +96,23 @@ def _passages(pairs: Column, templates: dict[str, str], least: float) -> Column:
         span = math.ceil(len(b) * (2 - least) / least * max(1, n_words - 1) / len(b))
         mine = F.array(*map(F.lit, b))
 
-        def score(window: Column) -> Column:
-            reached = lambda s: F.when(2.0 * s["n"] >= least * (s["a"] + len(b)), F.struct((2.0 * s["n"] / (s["a"] + len(b))).alias("dice"), F.lit(name).alias("license")))
+        def score(window: Column, start: Column, end: Column) -> Column:
+            reached = lambda s: F.when(2.0 * s["n"] >= least * (s["a"] + len(b)), F.struct((2.0 * s["n"] / (s["a"] + len(b))).alias("dice"), F.lit(name).alias("license"), start.alias("start"), end.alias("end")))
             return let(F.struct(F.size(F.array_distinct(window)).alias("a"), F.size(F.array_intersect(window, mine)).alias("n")), reached)
 
         def best(at: Column) -> Column:
             from_start = lambda s: F.filter(F.sequence(s + (low - 1), F.least(F.size(at) - 1, s + span)), lambda e: F.get(at, e) - F.get(at, s) < span)
             starts = F.filter(F.sequence(F.lit(0), F.size(at) - low), lambda s: F.get(at, s + (low - 1)) - F.get(at, s) < span)
             window = lambda s, e: F.slice(p, F.get(at, s) + 1, F.get(at, e) - F.get(at, s) + 1)
-            return F.array_max(F.transform(starts, lambda s: F.array_max(F.transform(from_start(s), lambda e: score(window(s, e))))))
+            return F.array_max(F.transform(starts, lambda s: F.array_max(F.transform(from_start(s), lambda e: score(window(s, e), F.get(at, s), F.get(at, e))))))
 
         hits = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: F.array_contains(mine, F.get(p, i)))
         return F.when(F.size(F.array_intersect(common, mine)) >= low, let(hits, best))
 
     found = lambda p: let(F.array_intersect(p, all_own), lambda c: F.filter(F.array(*(one(p, c, name) for name in own)), lambda m: m.isNotNull()))
-    return found(pairs)
+    better = lambda o, m: ((o["dice"] > m["dice"]) | ((o["dice"] == m["dice"]) & (o["license"] > m["license"]))) & (o["start"] <= m["end"]) & (m["start"] <= o["end"])
+    alone = lambda f: F.transform(F.filter(f, lambda m: ~F.exists(f, lambda o: better(o, m))), lambda m: F.struct(m["dice"], m["license"]))
+    return let(found(pairs), alone)
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, least: float = 0.8, passages: bool = False) -> DataFrame:
@@ -113,9 +123,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if none reaches it, and then ``dice`` is 0. ``n_units`` counts the units
     that reach a template and ``whole_text`` says whether the whole text does.
     With ``passages``, the best passage of each template that is not the licence
-    of a unit is one more unit.
-    Null and empty texts have no words and match nothing; a text without a line
-    break is one unit. Repeated rows give repeated rows, an empty table an
+    of a unit, and that no better passage overlaps, is one more unit.
+    Null ids stay null. Null and empty texts have no words and match nothing; a
+    text without a line break is one unit. Repeated rows give repeated rows, an empty table an
     empty result; other columns are ignored.
     """
     own = {k: bigrams_of(v) for k, v in (TEMPLATES if templates is None else templates).items()}

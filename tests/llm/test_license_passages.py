@@ -47,3 +47,24 @@ def test_passages(spark):
         assert got[i]["dice"] == pytest.approx(want if want >= 0.8 else 0.0)
     assert got[0]["dice"] == got[1]["dice"] == 1.0
     assert all(r["license"] is None for r in licenses.license_scan(d.where("doc_id < 5")).collect())
+
+
+def test_alike_licences_are_one_unit_where_they_overlap(spark):
+    t, rng = licenses.TEMPLATES, random.Random(5)
+    prose = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    marked = lambda x: "\n".join("# " + y for y in textwrap.wrap(x, 76))
+    names = ["GPL-3.0", "AGPL-3.0", "LGPL", "BSD-3-Clause", "Unlicense", "Zlib", "BSL-1.0", "CC-BY-SA-4.0 (notice)", "CC0-1.0 (notice)"]
+    texts = [prose(50) + "\n" + marked(t[n]) + "\n" + prose(300) for n in names] + [prose(50) + "\n" + marked(t["MIT"]) + "\n" + prose(90) + "\n" + marked(t["GPL-3.0"])]
+    got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), passages=True).collect()}
+    assert [got[i]["license"] for i in range(len(names))] == names
+    assert [got[i]["n_units"] for i in range(len(texts))] == [1] * len(names) + [2]
+    # a wrapped line may reach a notice by itself and is the unit then
+    assert all(got[i]["dice"] == 1.0 for i in range(7)) and all(got[i]["dice"] >= 0.8 for i in (7, 8))
+
+
+def test_odd_rows(spark):
+    t = licenses.TEMPLATES
+    line = "word " * 20_000 + t["MIT (notice)"] + " word" * 20_000
+    rows = [(None, t["MIT"]), (None, t["MIT"]), (1, t["ISC"]), (1, t["ISC"]), (2, line), (3, None), (4, " \n\n "), (5, t["MIT (notice)"] + "\n" + t["Apache-2.0 (notice)"])]
+    got = sorted(((r["doc_id"] or 0, r["license"] or "", r["n_units"], r["whole_text"]) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string"), passages=True).collect()))
+    assert got == [(0, "MIT", 1, True)] * 2 + [(1, "ISC", 1, True)] * 2 + [(2, "MIT (notice)", 1, False), (3, "", 0, False), (4, "", 0, False), (5, "MIT (notice)", 2, False)]
