@@ -10,7 +10,7 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits, in order."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
 
 
 def token_estimate(text: Column, per_token: int = 4) -> Column:

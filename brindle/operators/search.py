@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import squash, tokens
 from brindle.functions.vector import cosine
+from brindle.shared import Written
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 
@@ -16,24 +18,26 @@ K1, B, FLOOR = 1.2, 0.75, 1e-6
 def bm25(docs: DataFrame, terms: list[str], mode: str = "and", limit: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, raw, score`` of documents that hold all (``and``) or any (``or``) of the terms.
 
-    Term counts are taken inside each row, so corpus statistics are one global
-    aggregate of a few numbers and scoring needs no shuffle before the top-k.
-    The statistics row is broadcast: it is one row whatever the corpus.
+    Texts are read once, when this is called: term counts are taken inside each
+    row, the corpus statistics are observed on the way, and the counts of what
+    matches are written. For more than a query or two over one corpus there is
+    ``operators.index``.
     """
     terms = list(dict.fromkeys(t.lower() for t in terms))
     if not terms or mode not in ("and", "or"):
         raise ValueError("terms and mode must be given")
     d = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
     d = d.select("id", F.size("t").alias("dl"), *(_count("t", t).alias(f"tf{i}") for i, t in enumerate(terms)))
-    g = d.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"n{i}") for i in range(len(terms))))
+    seen = Observation()
+    d = d.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"n{i}") for i in range(len(terms))))
     hits = [F.col(f"tf{i}") > 0 for i in range(len(terms))]
-    found = d.where(reduce(lambda a, b: a & b if mode == "and" else a | b, hits)).join(F.broadcast(g))
+    found = Written(docs.sparkSession, "bm25").table(d.where(reduce(lambda a, b: a & b if mode == "and" else a | b, hits)), "hits")
+    g = seen.get
 
     def part(i: int) -> Column:
-        tf, n = F.col(f"tf{i}"), F.col(f"n{i}")
-        idf = F.log((F.col("n") - n + 0.5) / (n + 0.5))
-        idf = F.when(idf <= 0, FLOOR).otherwise(idf)
-        return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        tf, n = F.col(f"tf{i}"), g[f"n{i}"]
+        idf = math.log((g["n"] - n + 0.5) / (n + 0.5))
+        return (idf if idf > 0 else FLOOR) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / (g["avgdl"] or 1.0)))
 
     out = found.select("id", F.round(reduce(lambda a, b: a + b, map(part, range(len(terms)))), 6).alias("raw"))
     out = out.select("id", "raw", F.round(squash(F.col("raw")), 6).alias("score"))
@@ -41,7 +45,7 @@ def bm25(docs: DataFrame, terms: list[str], mode: str = "and", limit: int | None
 
 
 def _count(column: str, term: str) -> Column:
-    return F.size(F.filter(column, lambda x: x == F.lit(term)))
+    return F.size(column) - F.size(F.array_remove(column, term))
 
 
 def nearest(vectors: DataFrame, query: DataFrame, limit: int | None = None, least: float | None = None, id_col: str = "vec_id") -> DataFrame:
