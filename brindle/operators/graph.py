@@ -147,6 +147,24 @@ def similar_within(vectors: DataFrame, block_col: str, least: float, id_col: str
     return d.groupBy("block", "i", "j").applyInArrow(stars, f"src {kind}, dst {kind}")
 
 
+def hierarchy(vectors: DataFrame, block_col: str, thresholds: list[float]) -> DataFrame:
+    """``level, id, community_id, parent_id``: communities of vectors at falling thresholds, so that each lies inside one of the next level.
+
+    A community is what is connected by pairs that are near enough (see
+    ``similar_within``) and is named by its least id; vectors that are near none
+    at a level are in no community there. The last level's have no parent.
+    """
+    if list(thresholds) != sorted(thresholds, reverse=True):
+        raise ValueError("thresholds must fall")
+    levels = [components(similar_within(vectors, block_col, t)) for t in thresholds]
+    out = []
+    for k, at in enumerate(levels):
+        d = at.select(F.lit(k).alias("level"), "id", F.col("component").alias("community_id"))
+        above = levels[k + 1].select(F.col("id").alias("community_id"), F.col("component").alias("parent_id")) if k + 1 < len(levels) else None
+        out.append(d.join(above, "community_id", "left").select("level", "id", "community_id", "parent_id") if above is not None else d.withColumn("parent_id", F.lit(None).cast(at.schema["component"].dataType)))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 def edge_scan(edges: DataFrame, limit: int = 500) -> DataFrame:
     """``src, dst, relation_type``: the first edges of the whole graph by a total order."""
     return edges.select("src", "dst", "relation_type").orderBy("src", "dst", "relation_type").limit(limit)

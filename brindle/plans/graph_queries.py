@@ -461,3 +461,16 @@ def naming_prompts(spark, sf):
     names = graph.top_per(e, "community", ["id"], 5).groupBy("community").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "name"))), lambda x: x["name"]).alias("key_entities"))
     c = knowledge.summaries(e).join(names, "community").join(e.groupBy("community").agg(F.count(F.lit(1)).alias("entity_count")), "community")
     return knowledge.naming_prompts(c.withColumnRenamed("community", "community_id").withColumn("level", F.lit("meso")))
+
+
+@query(
+    "community_hierarchy",
+    """WITH RECURSIVE p AS (SELECT a.vec_id AS x, b.vec_id AS y, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id),
+    e1 AS (SELECT x, y FROM p WHERE s >= 0.4 UNION SELECT y, x FROM p WHERE s >= 0.4), e2 AS (SELECT x, y FROM p WHERE s >= 0.34 UNION SELECT y, x FROM p WHERE s >= 0.34),
+    r1 AS (SELECT x AS id, x AS c FROM e1 UNION SELECT e1.y, r1.c FROM r1 JOIN e1 ON e1.x = r1.id), r2 AS (SELECT x AS id, x AS c FROM e2 UNION SELECT e2.y, r2.c FROM r2 JOIN e2 ON e2.x = r2.id),
+    c1 AS (SELECT id, min(c) AS c FROM r1 GROUP BY id), c2 AS (SELECT id, min(c) AS c FROM r2 GROUP BY id)
+    SELECT 0 AS level, c1.id, c1.c AS community_id, c2.c AS parent_id FROM c1 JOIN c2 ON c2.id = c1.c UNION ALL SELECT 1, id, c, NULL FROM c2""",
+)
+def community_hierarchy(spark, sf):
+    """Vectors of a label clustered at two thresholds."""
+    return graph.hierarchy(table(spark, sf, "embeddings"), "label", [0.4, 0.34])
