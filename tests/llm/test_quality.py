@@ -103,6 +103,67 @@ def test_trees_learn_and_are_deterministic():
     assert len(set(quality_model.fit(x[:9], np.ones(9)).score(x).tolist())) == 1
 
 
+def slow_tree(x, y, margin, depth, rate, bins, l2, least):
+    """One tree by trying every cut of every statistic, and the new margins."""
+    p = 1 / (1 + np.exp(-margin))
+    g, h = p - y, p * (1 - p)
+    edges = [sorted(set(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1], method="lower").tolist())) for j in range(x.shape[1])]
+    out = np.zeros(len(y))
+
+    def grow(rows, left):
+        if not left:
+            out[rows] = -rate * g[rows].sum() / (h[rows].sum() + l2)
+            return
+        best, found = 1e-9, None
+        for j, cuts in enumerate(edges):
+            for c in cuts:
+                a, b = rows[x[rows, j] <= c], rows[x[rows, j] > c]
+                if h[a].sum() < least or h[b].sum() < least:
+                    continue
+                gain = sum(g[r].sum() ** 2 / (h[r].sum() + l2) for r in (a, b)) - g[rows].sum() ** 2 / (h[rows].sum() + l2)
+                if gain > best + 1e-12:
+                    best, found = gain, (a, b)
+        if found is None:
+            out[rows] = -rate * g[rows].sum() / (h[rows].sum() + l2)
+            return
+        for r in found:
+            grow(r, left - 1)
+
+    grow(np.arange(len(y)), depth)
+    return margin + out
+
+
+def test_trees_match_trying_every_cut():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(240, 4)).round(1)
+    y = ((x[:, 0] + 0.5 * x[:, 2] > 0) ^ (rng.random(240) < 0.1)).astype(float)
+    kw = {"depth": 3, "rate": 0.3, "bins": 16, "l2": 1.0, "least": 3.0}
+    prior = (y.sum() + 1) / (len(y) + 2)
+    margin = np.full(len(y), np.log(prior / (1 - prior)))
+    for n in range(1, 5):
+        margin = slow_tree(x, y, margin, **kw)
+        assert np.allclose(quality_model.fit(x, y, trees=n, **kw).margin(x), margin)
+
+
+def test_statistics_by_hand():
+    text = "The cat sat, the cat!\nAB 12\nAB 12\n"
+    s = dict(zip(quality_model.FEATURES, quality_model.statistics(text), strict=True))
+    words = text.split()
+    want = {
+        "log_bytes": math.log1p(len(text)), "log_words": math.log1p(len(words)), "mean_word": sum(map(len, words)) / len(words), "upper": sum(c.isupper() for c in text) / len(text), "digits": 4 / len(text), "commas": 1 / len(words), "bangs": 1 / len(words),
+        "distinct_words": len(set(words)) / len(words), "top_word": 2 / len(words), "dup_lines": 1 / 3, "upper_words": 2 / len(words), "title_words": 1 / len(words), "ascii_words": 1.0, "short_words": sum(len(w) <= 3 for w in words) / len(words),
+    }
+    assert {k: pytest.approx(v) for k, v in want.items()} == {k: s[k] for k in want}
+    assert quality_model.statistics("") == quality_model.statistics(" \n\t") == [0.0] * len(quality_model.FEATURES)
+
+
+def test_equal_texts_have_equal_scores(spark):
+    d = spark.createDataFrame([(i, ["some words of text here", "other # text"][i % 2]) for i in range(40)], "doc_id bigint, text string").repartition(7)
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id bigint, quality int")
+    got = quality_model.quality_scores(d, labels).collect()
+    assert len({r["score"] for r in got if r["doc_id"] % 2}) == 1 and len({r["score"] for r in got}) == 2
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
