@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.config import Settings
+from brindle.errors import AlreadyExists, InvalidArgument
 from brindle.functions.text import tokens
 from brindle.functions.vector import hashing_embedder
 from brindle.operators import chunking, graph, knowledge, rag, search, store
@@ -35,7 +36,9 @@ class Engine:
     # collections
 
     def create(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("errorifexists").saveAsTable(name)
+        if self.spark.catalog.tableExists(name):
+            raise AlreadyExists(f"collection {name} exists")
+        rows.write.saveAsTable(name)
 
     def collections(self) -> list[str]:
         return sorted(t.name for t in self.spark.catalog.listTables() if not t.isTemporary)
@@ -98,13 +101,13 @@ class Engine:
 
     def search(self, text: str, mode: str = "hybrid", limit: int = 10) -> DataFrame:
         if mode not in MODES or limit < 1:
-            raise ValueError(f"mode must be one of {MODES} and limit at least 1")
+            raise InvalidArgument(f"mode must be one of {MODES} and limit at least 1")
         return getattr(self, mode)(text, limit)
 
     def many(self, texts: list[str], limit: int = 10) -> DataFrame:
         """One ranking for several wordings of a query."""
         if not texts:
-            raise ValueError("queries cannot be empty")
+            raise InvalidArgument("queries cannot be empty")
         lists = [self.hybrid(t, 2 * limit).select(F.lit(i).alias("query"), "id", "score") for i, t in enumerate(texts)]
         out = lists[0]
         for x in lists[1:]:
@@ -114,6 +117,10 @@ class Engine:
     def reranked(self, text: str) -> DataFrame:
         """Hybrid candidates reordered by the scorer; the plain order if no scorer is set."""
         s = self.settings
+        if not text.strip():
+            raise InvalidArgument("the query is empty", field="query")
+        if not 1 <= s.final_top_k <= s.initial_top_k:
+            raise InvalidArgument("final_top_k must lie in 1..initial_top_k", field="final_top_k")
         hits = self.hybrid(text, s.initial_top_k)
         if self.scorer is None:
             return hits.limit(s.final_top_k)

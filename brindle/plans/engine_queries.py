@@ -368,3 +368,76 @@ def sql_functions(spark, sf):
     register(spark)
     d = table(spark, sf, "documents")
     return spark.sql("SELECT doc_id, CAST(size(kb_tokens(text)) AS BIGINT) AS n_tokens, kb_token_estimate(text) AS estimate, kb_preview(text, 50) AS preview, kb_document_id(text) AS document_id, kb_squash(CAST(n_chars AS DOUBLE)) AS squashed FROM {d}", d=d)
+
+
+# the engine object over the conversations, each turn a chunk
+
+_TURNS = f"""turns AS (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations), {bm25_sql(["ach", "ou"], "or", "kw", "turns")}, {_VECTORS}, qt AS (SELECT unnest(['ach', 'ou']) AS t), qv AS (SELECT CAST(('0x' || substring(md5(t), 1, 8))::BIGINT % 64 AS INT) AS slot, sum(CASE WHEN substring(md5(t), 9, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') THEN -1.0 ELSE 1.0 END)::DOUBLE AS value FROM qt GROUP BY ALL),
+  nv AS (SELECT conv_id * 1000 + turn AS id, sqrt(sum(value * value)) AS n FROM em GROUP BY ALL), dv AS (SELECT conv_id * 1000 + turn AS id, sum(em.value * qv.value) AS d FROM em JOIN qv USING (slot) GROUP BY ALL),
+  sem AS (SELECT nv.id, round(coalesce(d, 0) / (n * (SELECT sqrt(sum(value * value)) FROM qv)), 6) AS score FROM nv LEFT JOIN dv ON dv.id = nv.id),
+  ka AS (SELECT id::VARCHAR AS id, score, row_number() OVER (ORDER BY raw DESC, id::VARCHAR) AS r FROM kw), sa AS (SELECT id::VARCHAR AS id, score, row_number() OVER (ORDER BY score DESC, id::VARCHAR) AS r FROM sem)"""
+
+
+def _fused(limit: int) -> str:
+    top = lambda t: f"(SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS r FROM {t} WHERE r <= {2 * limit})"
+    return f"(SELECT coalesce(a.id, b.id) AS id, round(coalesce(0.5::DOUBLE / (60 + a.r), 0) + coalesce(0.5::DOUBLE / (60 + b.r), 0), 8) AS score FROM {top('ka')} a FULL OUTER JOIN {top('sa')} b ON a.id = b.id ORDER BY score DESC, id LIMIT {limit})"
+
+
+def _engine(spark, sf):
+    from brindle.engine import Engine
+
+    c = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("chunk_id"), F.col("role").alias("document_id"), "text")
+    return Engine(spark, {"chunks": c.withColumn("embedding", hashing_embedder(tokens(F.col("text"))))})
+
+
+@query("engine_modes", f"WITH {_TURNS} SELECT 'keyword' AS mode, id, score FROM ka WHERE r <= 10 UNION ALL SELECT 'semantic', id, score FROM sa WHERE r <= 10 UNION ALL SELECT 'hybrid', id, score FROM {_fused(10)}")
+def engine_modes(spark, sf):
+    """One question in three modes of the engine."""
+    e = _engine(spark, sf)
+    parts = [e.search("Ach, ou?", mode).select(F.lit(mode).alias("mode"), "id", "score") for mode in ("keyword", "semantic", "hybrid")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("engine_reranked", f"WITH {_TURNS}, h AS (SELECT * FROM {_fused(50)}), r AS (SELECT h.id, round(len(list_intersect(list_distinct({TOKENS}), ['ach', 'ou'])) / 2::DOUBLE, 6) AS ce, score FROM h JOIN turns ON doc_id::VARCHAR = h.id) SELECT id, ce, round(0.7::DOUBLE * ce + 0.3::DOUBLE * least(1.0, score), 6) AS reranked FROM r ORDER BY reranked DESC, id LIMIT 10")
+def engine_reranked(spark, sf):
+    """The engine's candidates in the scorer's order."""
+    return _engine(spark, sf).reranked("Ach, ou?").select("id", "ce", "reranked")
+
+
+@query("raw_sql", "SELECT role AS document_id, count(*) AS n FROM conversations WHERE length(text) > 100 GROUP BY role")
+def raw_sql(spark, sf):
+    """Any SQL over the engine's tables, with parameters."""
+    return _engine(spark, sf).query("SELECT document_id, count(*) AS n FROM chunks WHERE length(text) > :least GROUP BY document_id", least=100)
+
+
+@query("entity_detail", f"WITH {ENTITIES}, {RELATIONS}, r AS (SELECT 'out' AS direction, dst AS other, relation_type FROM relations WHERE src = 'c:1' UNION ALL SELECT 'in', src, relation_type FROM relations WHERE dst = 'c:1') SELECT e.id, e.name, e.entity_type, direction, other, relation_type FROM entities e LEFT JOIN r ON true WHERE e.id = 'c:1'")
+def entity_detail(spark, sf):
+    """An entity with its relations."""
+    from brindle.engine import Engine
+
+    found, near = Engine(spark, {"entities": entities(spark, sf), "relations": relations(spark, sf)}).entity("c:1", 1000)
+    return found.select("id", "name", "entity_type").join(F.broadcast(near.select(F.lit("c:1").alias("id"), "direction", "other", "relation_type")), "id", "left")
+
+
+@query("domain_blend", f"WITH h AS (SELECT doc_id AS id, least(0.1::DOUBLE * len(list_filter({TOKENS}, lambda t: t = 'ach')), 0.5::DOUBLE) AS k FROM documents) SELECT id, round(0.4::DOUBLE * k + 0.6::DOUBLE * (id % 10) / 10, 6) AS score FROM h")
+def domain_blend(spark, sf):
+    """Keyword scores blended with a model's."""
+    from brindle.operators.knowledge import blend
+
+    t = tokens(F.col("text"))
+    n = F.size(t) - F.size(F.array_remove(t, "ach"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.round(blend(F.least(0.1 * n, F.lit(0.5)), (F.col("doc_id") % 10) / 10), 6).alias("score"))
+
+
+@query("collections", "SELECT * FROM (VALUES ('made', 1), ('listed', 1), ('dropped', 1)) AS t(step, n)")
+def collections(spark, sf):
+    """A collection made, listed and dropped."""
+    import uuid
+
+    from brindle.engine import Engine
+
+    e, name = Engine(spark), f"c{uuid.uuid4().hex}"
+    e.create(name, table(spark, sf, "region"))
+    made, listed = spark.table(name).count() > 0, name in e.collections()
+    e.drop(name)
+    return spark.createDataFrame([("made", int(made)), ("listed", int(listed)), ("dropped", int(name not in e.collections()))], "step string, n int")
