@@ -181,14 +181,14 @@ class BpeEncoder:
     #: Characters of text that are cut into words at once, and those of a word from which on it is streamed and not kept.
     BLOCK, LONG = 1 << 15, 1 << 10
 
-    def __init__(self, path: str, most_bytes: int = 144 << 20, specials: bool = True):
+    def __init__(self, path: str, most_bytes: int = 288 << 20, specials: bool = True):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.added = Added(spec, specials)
         if kind_of(spec) != "words" or not self.added.plain:
             raise ValueError("the transducer takes tokenizer files whose words are separated by white space")
         self.merges, self.splitter, self.decoder = Merges(spec["model"]), WordSplitter(), decoder_of(spec)
-        self.known, self.pretokens = Generations(most_bytes * 2 // 3), Generations(most_bytes // 3)
+        self.known, self.pretokens = Generations(most_bytes // 2), Generations(most_bytes // 2)
 
     def _pretokens(self, pretokens: list[str]) -> Iterator[tuple[int, ...]]:
         vocab = self.merges.vocab.__getitem__
@@ -231,7 +231,8 @@ class BpeEncoder:
 
 
 def _size(ids: tuple[int, ...]) -> int:
-    return 40 * len(ids)
+    """Bytes of a tuple's places; the numbers themselves are the vocabulary's."""
+    return 8 * len(ids)
 
 
 _GAP = re.compile(SPACE)
