@@ -185,12 +185,12 @@ def corrective(spark, sf):
 
 @query(
     "jaccard_pairs",
-    f"""WITH w AS (SELECT doc_id AS id, list_distinct({TOKENS}) AS w FROM documents), u AS (SELECT id, len(w) AS n, unnest(w) AS t FROM w),
+    f"""WITH s AS (SELECT doc_id AS id, list_sort(list_distinct({TOKENS})) AS w FROM documents), g AS (SELECT id, w, min(id) OVER (PARTITION BY w) AS rep FROM s WHERE len(w) > 0), u AS (SELECT id, len(w) AS n, unnest(w) AS t FROM g WHERE id = rep),
     p AS (SELECT a.id AS a, b.id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM u a JOIN u b ON a.t = b.t AND a.id < b.id AND least(a.n, b.n) >= 0.9 * greatest(a.n, b.n) GROUP BY 1, 2)
-    SELECT a, b, round(c / (na + nb - c)::DOUBLE, 6) AS jaccard FROM p WHERE c / (na + nb - c)::DOUBLE > 0.9""",
+    SELECT a, b, round(c / (na + nb - c)::DOUBLE, 6) AS jaccard FROM p WHERE c / (na + nb - c)::DOUBLE > 0.9 UNION ALL SELECT rep, id, 1.0::DOUBLE FROM g WHERE id <> rep""",
 )
 def jaccard_pairs(spark, sf):
-    """Pairs of documents by word sets; a shared rare word makes a pair a candidate, so no cross join is needed."""
+    """Pairs of documents with different word sets, and who has the same; a shared rare word makes a pair a candidate, so no cross join is needed."""
     from brindle.operators.rag import jaccard_over
 
     return jaccard_over(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(tokens(F.col("text"))).alias("w")), 0.9)
