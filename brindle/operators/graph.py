@@ -22,6 +22,11 @@ def relationships(edges: DataFrame, entity: str, direction: str = "both", relati
     return found.orderBy("direction", "other", "relation_type").limit(limit)
 
 
+def either_way(edges: DataFrame) -> DataFrame:
+    """``a, b``: each edge in both directions, by one reading of the edges."""
+    return edges.select(F.inline(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))))
+
+
 def bfs(edges: DataFrame, start: DataFrame, max_depth: int = 2, relation_types: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """``id, depth``: what can be reached in ``max_depth`` undirected steps, at its least depth, by one join a level.
 
@@ -31,7 +36,7 @@ def bfs(edges: DataFrame, start: DataFrame, max_depth: int = 2, relation_types:
     """
     work = Written(edges.sparkSession, "bfs")
     e = edges.where(F.col("relation_type").isin(*relation_types)) if relation_types else edges
-    both = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(e.select("dst", "src"))
+    both = either_way(e)
     seen = frontier = start.select("id").distinct().withColumn("depth", F.lit(0))
     for depth in range(1, max_depth + 1):
         step = both.join(frontier.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()

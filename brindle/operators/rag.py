@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import contains_any, token_estimate
+from brindle.operators.graph import either_way
 
 
 def corrective_buckets(hits: DataFrame, correct: float = 0.7, ambiguous: float = 0.4) -> DataFrame:
@@ -109,7 +110,7 @@ def graph_enhanced(hits: DataFrame, mentions: DataFrame, relations: DataFrame, n
     depth and id count, itself included, ``depth`` undirected steps away at most.
     """
     of = unique_entities(hits, mentions, n_seeds)
-    ends = relations.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(relations.select("dst", "src")).distinct()
+    ends = either_way(relations).distinct()
     seen = front = of.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth"))
     for d in range(1, depth + 1):
         step = ends.join(front.select("seed", F.col("id").alias("a")), "a").select("seed", F.col("b").alias("id")).distinct()
