@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from brindle.llm.common import Written, small_batches, text_of
 from brindle.llm.components import connected_components
 
-BANDS, ROWS, BLOCK, WEIGHT = 32, 4, 2048, 4_000_000
+BANDS, ROWS, BLOCK, WEIGHT = 32, 4, 2048, 2_000_000
 WIDTH = BANDS * ROWS
 #: Partners of one text that are verified in one group, and their shingles.
 PARTNERS, PARTNERS_WEIGHT = 128, 1_000_000
