@@ -147,7 +147,13 @@ def train(stats: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Trees:
 
 
 def accept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.3, max_rows: int = 20_000) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score reaches ``cut``: each row by its own text, whatever its id."""
+    """The rows of ``docs``, all columns, whose score reaches ``cut``: each row by its own text, whatever its id.
+
+    Null texts are scored as empty ones and stay null; rows without an id are
+    scored and never learned from; repeated rows stay or go together. Without
+    labels every score is the prior, 0.5, and all rows stay. Columns of any kind
+    go through; an empty table gives an empty result.
+    """
     small_batches(docs.sparkSession)
     sample = docs.join(F.broadcast(learnable(labels, max_rows).select(F.col("doc_id").alias("_learn"))), docs[id_col].cast("bigint") == F.col("_learn"), "left_semi")
     trees = train(document_statistics(sample, id_col, text_col), labels, max_rows)
