@@ -94,10 +94,18 @@ class Engine:
         return search.hybrid(self.keyword(text, 2 * limit, domain=domain, where=where), self.semantic(text, 2 * limit, domain, where), limit, s.rrf_k, (s.bm25_weight, s.vector_weight))
 
     def dual(self, text: str, limit: int = 10) -> DataFrame:
-        """Hybrid hits and chunks of the entities that these mention, at a constant score."""
+        """Hybrid hits, and at a constant score chunks of the entities that these mention and of the largest communities' leading ones."""
+        s, m = self.settings, self.tables["mentions"]
         hits = self.hybrid(text, limit).select(F.col("id").alias("chunk_id"), "score")
-        of = self.tables["mentions"].join(hits, "chunk_id", "left_semi").select(F.col("entity_id").alias("id")).distinct()
-        return rag.feed_by_graph(hits, of, self.tables["mentions"], score=self.settings.graph_score).withColumnRenamed("chunk_id", "id")
+        of = m.join(hits, "chunk_id", "left_semi").select(F.col("entity_id").alias("id")).distinct()
+        out = rag.feed_by_graph(hits, of, m, score=s.graph_score)
+        if "community" in (self.tables["entities"].columns if "entities" in self.tables else ()):
+            e = self.tables["entities"].where("community is not null").select(F.col("community").alias("community_id"), F.col("id").alias("entity_id"))
+            sizes = e.groupBy("community_id").agg(F.count(F.lit(1)).alias("entity_count"))
+            members = e.join(m.groupBy("entity_id").agg(F.count(F.lit(1)).alias("weight")), "entity_id")
+            more = rag.community_chunks(sizes, members, m).join(out.select("chunk_id"), "chunk_id", "left_anti")
+            out = out.unionByName(more.select("chunk_id", F.lit(s.graph_score).alias("score"), F.lit("community").alias("origin")))
+        return out.withColumnRenamed("chunk_id", "id")
 
     def search(self, text: str, mode: str = "hybrid", limit: int = 10) -> DataFrame:
         if mode not in MODES or limit < 1:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import contains_any, token_estimate
-from brindle.operators.graph import either_way
+from brindle.operators.graph import either_way, top_per
 
 
 def corrective_buckets(hits: DataFrame, correct: float = 0.7, ambiguous: float = 0.4) -> DataFrame:
@@ -103,6 +103,18 @@ def feed_by_graph(seeds: DataFrame, reached: DataFrame, mentions: DataFrame, chu
     return seeds.select("chunk_id", "score", F.lit("direct").alias("origin")).unionByName(more.select("chunk_id", "score", "origin"))
 
 
+def community_chunks(sizes: DataFrame, members: DataFrame, mentions: DataFrame, communities: int = 3, per_community: int = 5, per_entity: int = 5) -> DataFrame:
+    """``chunk_id``: chunks of the leading entities of the largest communities, some for each.
+
+    ``sizes`` is ``community_id, entity_count``, ``members`` ``community_id,
+    entity_id, weight`` and ``mentions`` ``chunk_id, entity_id``. Ties go by id.
+    """
+    top = sizes.orderBy(F.desc("entity_count"), "community_id").limit(communities).select("community_id")
+    of = members.join(F.broadcast(top), "community_id", "left_semi")
+    lead = top_per(of, "community_id", [F.desc("weight"), "entity_id"], per_community).select("entity_id").distinct()
+    return top_per(mentions.join(lead, "entity_id", "left_semi"), "entity_id", ["chunk_id"], per_entity).select("chunk_id").distinct()
+
+
 def graph_enhanced(hits: DataFrame, mentions: DataFrame, relations: DataFrame, n_seeds: int = 5, depth: int = 2, nodes: int = 10, chunks_per_node: int = 3, most: int = 20) -> DataFrame:
     """Direct hits, then chunks of what a traversal reaches from the first ``n_seeds`` entities that the hits mention.
 

@@ -110,10 +110,9 @@ def dual_level(spark, sf):
     """Direct hits, and documents of the five leading entities of the three largest communities at a constant score; languages stand for communities."""
     d, m = table(spark, sf, "documents"), _mentions(spark, sf).withColumn("doc_id", F.split("chunk_id", ":")[0].cast("bigint"))
     hits = _hybrid(spark, sf).select("id", "score")
-    top = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(3).select("lang")
-    of = m.join(d.select("doc_id", "lang"), "doc_id").join(F.broadcast(top), "lang").groupBy("lang", "entity_id").agg(F.count(F.lit(1)).alias("n"))
-    lead = graph.top_per(of, "lang", [F.desc("n"), "entity_id"], 5).select("entity_id").distinct()
-    more = graph.top_per(m.join(lead, "entity_id", "left_semi"), "entity_id", ["chunk_id"], 5).select(F.col("doc_id").alias("id")).distinct().join(hits, "id", "left_anti")
+    sizes = d.groupBy(F.col("lang").alias("community_id")).agg(F.count(F.lit(1)).alias("entity_count"))
+    members = m.join(d.select("doc_id", F.col("lang").alias("community_id")), "doc_id").groupBy("community_id", "entity_id").agg(F.count(F.lit(1)).alias("weight"))
+    more = rag.community_chunks(sizes, members, m).select(F.split("chunk_id", ":")[0].cast("bigint").alias("id")).distinct().join(hits, "id", "left_anti")
     return hits.withColumn("level", F.lit("hybrid")).union(more.select("id", F.lit(0.5), F.lit("community")))
 
 

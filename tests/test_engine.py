@@ -46,6 +46,27 @@ def test_rerank_many_context_corrective(engine):
         engine.search("x", "other")
 
 
+def test_dual_search_adds_the_largest_communities(engine):
+    from brindle.engine import Engine
+
+    spark = engine.spark
+    other = engine.tables["chunks"].select("chunk_id").orderBy("chunk_id").collect()
+    rows = [(r["chunk_id"], f"e:{i}") for i, r in enumerate(other)]
+    e = Engine(spark, engine.tables | {"mentions": spark.createDataFrame(rows, "chunk_id string, entity_id string"), "entities": spark.createDataFrame([(x, x, "t", "c") for _, x in rows], "id string, name string, entity_type string, community string")}, engine.settings)
+    got = {r["id"]: r["origin"] for r in e.dual("bitcoin", 1).collect()}
+    assert set(got) == {r["chunk_id"] for r in other} and list(got.values()).count("direct") == 1 and "community" in got.values()
+
+
+def test_rerank_checks_its_arguments(engine):
+    from brindle import config
+    from brindle.engine import Engine
+
+    with pytest.raises(ValueError):
+        engine.reranked(" ")
+    with pytest.raises(ValueError):
+        Engine(engine.spark, engine.tables, config.load(initial_top_k=3, final_top_k=5)).reranked("x")
+
+
 def test_sql_passthrough_and_delete(engine):
     assert engine.query("SELECT count(*) AS n FROM documents WHERE text LIKE :p", p="%itcoin%").first()["n"] == 1
     other = Engine(engine.spark, engine.tables)
