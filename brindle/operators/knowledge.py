@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brindle.functions import wording
 from brindle.functions.text import tokens
 
 
@@ -112,7 +113,7 @@ def type_parents(types: DataFrame) -> DataFrame:
 
 def entity_errors(entities: DataFrame, types: list[str], required: dict[str, list[str]]) -> DataFrame:
     """``id, error``: a missing or unknown type, or a required property that is not there."""
-    unknown = F.when(F.col("entity_type").isNull(), F.array(F.lit("Entity missing entity_type"))).when(~F.col("entity_type").isin(*types), F.array(F.concat(F.lit("Unknown entity type: "), "entity_type"))).otherwise(F.array().cast("array<string>"))
+    unknown = F.when(F.col("entity_type").isNull(), F.array(F.lit(wording.NO_TYPE))).when(~F.col("entity_type").isin(*types), F.array(F.concat(F.lit(wording.UNKNOWN_TYPE), "entity_type"))).otherwise(F.array().cast("array<string>"))
     rules = [F.when((F.col("entity_type") == t) & ~F.coalesce(F.map_contains_key("properties", F.lit(p)), F.lit(False)), F.lit(f"{t} missing required property: {p}")) for t, ps in required.items() for p in ps]
     found = F.filter(F.array(*rules), lambda x: x.isNotNull()) if rules else F.array().cast("array<string>")
     return entities.select("id", F.explode(F.concat(unknown, found)).alias("error"))
@@ -121,9 +122,9 @@ def entity_errors(entities: DataFrame, types: list[str], required: dict[str, lis
 def edge_errors(edges: DataFrame, types: list[str]) -> DataFrame:
     """``src, dst, error`` of edges with an unknown type or without an end."""
     e = F.array(
-        F.when(~F.coalesce(F.col("relation_type").isin(*types), F.lit(False)), F.concat(F.lit("Unknown edge type: "), F.coalesce("relation_type", F.lit("null")))),
-        F.when(F.coalesce("src", F.lit("")) == "", F.lit("Edge missing source_id")),
-        F.when(F.coalesce("dst", F.lit("")) == "", F.lit("Edge missing target_id")),
+        F.when(~F.coalesce(F.col("relation_type").isin(*types), F.lit(False)), F.concat(F.lit(wording.UNKNOWN_EDGE), F.coalesce("relation_type", F.lit("null")))),
+        F.when(F.coalesce("src", F.lit("")) == "", F.lit(wording.NO_SOURCE)),
+        F.when(F.coalesce("dst", F.lit("")) == "", F.lit(wording.NO_TARGET)),
     )
     return edges.select("src", "dst", F.explode(F.filter(e, lambda x: x.isNotNull())).alias("error"))
 
@@ -188,26 +189,21 @@ def induce_schema(entities: DataFrame, edges: DataFrame, share: float = 0.8) ->
     return t.union(edge_schema(edges).select(F.lit("edge"), "relation_type", F.concat_ws(">", "source_types", "target_types")))
 
 
-# fixed values: what a community of each level is called in a prompt
-LEVELS = {"macro": "broad thematic category", "meso": "sub-topic or theme", "micro": "specific entity or concept", "nano": "atomic entity"}
-
-
 def summaries(entities: DataFrame, key: str = "community") -> DataFrame:
     """``key, summary``: how many entities of which types a community has, and its first five names by id."""
     first = entities.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("id"))).where("_r <= 5").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_r", "name"))).alias("names"))
     counts = entities.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.coalesce("entity_type", F.lit("Unknown")))).alias("types"))
     names = F.array_join(F.transform("names", lambda x: x["name"]), ", ")
-    return counts.join(first, key).select(key, F.concat(F.lit("Contains "), F.col("n").cast("string"), F.lit(" entities of types: "), F.array_join("types", ", "), F.lit(". Key entities: "), F.when(names == "", "Unnamed entities").otherwise(names)).alias("summary"))
+    return counts.join(first, key).select(key, F.concat(F.lit(wording.SUMMARY[0]), F.col("n").cast("string"), F.lit(wording.SUMMARY[1]), F.array_join("types", ", "), F.lit(wording.SUMMARY[2]), F.when(names == "", wording.SUMMARY[3]).otherwise(names)).alias("summary"))
 
 
 def naming_prompts(communities: DataFrame) -> DataFrame:
     """``community_id, prompt`` from ``community_id, level, summary, key_entities, entity_count``."""
-    what = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in LEVELS.items() for x in kv)), F.col("level")), F.lit("category"))
+    what = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in wording.LEVELS.items() for x in kv)), F.col("level")), F.lit("category"))
     return communities.select(
         "community_id",
         F.concat(
-            F.lit("Generate a concise name (2-5 words) for this "), what, F.lit(":\n\nSummary: "), "summary", F.lit("\nKey entities: "), F.array_join(F.slice("key_entities", 1, 5), ", "), F.lit("\nEntity count: "), F.col("entity_count").cast("string"),
-            F.lit("\n\nRespond with a JSON object with keys 'name' (string) and 'confidence' (number 0.0-1.0).\nExample: {\"name\": \"Machine Learning Systems\", \"confidence\": 0.85}"),
+            F.lit(wording.NAMING[0]), what, F.lit(wording.NAMING[1]), "summary", F.lit(wording.NAMING[2]), F.array_join(F.slice("key_entities", 1, 5), ", "), F.lit(wording.NAMING[3]), F.col("entity_count").cast("string"), F.lit(wording.NAMING[4]),
         ).alias("prompt"),
     )
 

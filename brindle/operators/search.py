@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from brindle.functions import wording
 from brindle.functions.text import squash, tokens
 from brindle.functions.vector import cosine
 from brindle.shared import Written
@@ -111,13 +112,13 @@ def explain_rank(vector: Column, bm25_: Column, ce: Column, source: Column) -> C
     """The reasons for a rank, in words."""
     parts = F.concat_ws(
         ", ",
-        F.when(vector > 0.5, "strong semantic match (high vector score)"),
-        F.when(bm25_ > 0.5, "relevant keyword match (BM25)"),
-        F.when(ce > 0.5, "high cross-encoder relevance").when(ce < 0.1, "low cross-encoder relevance"),
-        F.when(source == "hybrid", "found by both vector and keyword search"),
+        F.when(vector > 0.5, wording.RANK_VECTOR),
+        F.when(bm25_ > 0.5, wording.RANK_KEYWORD),
+        F.when(ce > 0.5, wording.RANK_HIGH).when(ce < 0.1, wording.RANK_LOW),
+        F.when(source == "hybrid", wording.RANK_BOTH),
     )
-    why = F.when(parts == "", "moderate relevance across methods").otherwise(parts)
-    return F.concat(F.lit("Document ranked highly due to: "), why, F.lit(". Cross-encoder relevance: "), F.format_string("%.3f", ce), F.lit("."))
+    why = F.when(parts == "", wording.RANK_ELSE).otherwise(parts)
+    return F.concat(F.lit(wording.RANK_HEAD), why, F.lit(wording.RANK_TAIL), F.format_string("%.3f", ce), F.lit("."))
 
 
 def rank_factors(weight: float = 0.7) -> Column:

@@ -367,7 +367,7 @@ def sql_functions(spark, sf):
 
     register(spark)
     d = table(spark, sf, "documents")
-    return spark.sql("SELECT doc_id, CAST(size(kb_tokens(text)) AS BIGINT) AS n_tokens, kb_token_estimate(text) AS estimate, kb_preview(text, 50) AS preview, kb_document_id(text) AS document_id, kb_squash(CAST(n_chars AS DOUBLE)) AS squashed FROM {d}", d=d)
+    return spark.sql("SELECT doc_id, CAST(size(br_tokens(text)) AS BIGINT) AS n_tokens, br_token_estimate(text) AS estimate, br_preview(text, 50) AS preview, br_document_id(text) AS document_id, br_squash(CAST(n_chars AS DOUBLE)) AS squashed FROM {d}", d=d)
 
 
 # the engine object over the conversations, each turn a chunk

@@ -83,4 +83,4 @@ def test_failures_are_counted():
 
 def test_sql_functions(spark):
     assert len(sql.register(spark)) == len(sql.FUNCTIONS)
-    assert spark.sql("SELECT kb_tokens('A b-c'), kb_jaccard(array('a', 'b'), array('b')), kb_squash(1D), kb_preview('abc', 2)").first()[:] == (["a", "b", "c"], 0.5, 0.5, "ab...")
+    assert spark.sql("SELECT br_tokens('A b-c'), br_jaccard(array('a', 'b'), array('b')), br_squash(1D), br_preview('abc', 2)").first()[:] == (["a", "b", "c"], 0.5, 0.5, "ab...")
