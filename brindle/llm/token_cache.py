@@ -152,7 +152,7 @@ class WordSplitter:
 class CachedEncoder:
     """``ids(text)``: the text's token ids as little-endian unsigned integers of ``width`` bytes."""
 
-    def __init__(self, path: str, most_bytes: int = 144 << 20, specials: bool = True, width: int = 4):
+    def __init__(self, path: str, most_bytes: int = 256 << 20, specials: bool = True, width: int = 4):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
