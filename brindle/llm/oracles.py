@@ -75,3 +75,28 @@ z AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_span
 SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
 FROM d LEFT JOIN q ON q.doc_id = d.doc_id LEFT JOIN z ON z.doc_id = d.doc_id
 """
+
+FILL_IN_MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+k AS (SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS a, CAST('0x' || h[9:16] AS BIGINT) AS b, CAST('0x' || h[17:24] AS BIGINT) AS c, CAST('0x' || h[25:32] AS BIGINT) AS e FROM d),
+f AS (SELECT *, least(a % (n + 1), b % (n + 1)) AS x, greatest(a % (n + 1), b % (n + 1)) AS y, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c % 100 >= 50 THEN 'plain' WHEN e % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT doc_id, n, form, t, array_to_string(u[1:x], '') AS prefix, array_to_string(u[x + 1:y], '') AS middle, array_to_string(u[y + 1:], '') AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def clusters_sql(k: int = 40, rounds: int = 5) -> str:
+    turn = """
+a{0} AS MATERIALIZED (SELECT vec, arg_min(c, (s, c)) AS c, min(s) AS s FROM (SELECT vec, c, sum((x.v - y.v) * (x.v - y.v)) AS s FROM x JOIN c{0} AS y USING (d) GROUP BY vec, c) GROUP BY vec)"""
+    step = """
+c{1} AS MATERIALIZED (SELECT c, d, coalesce(m, v) AS v FROM c{0} LEFT JOIN (SELECT c, d, CAST((sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS m FROM x JOIN a{0} USING (vec) GROUP BY c, d) USING (c, d))"""
+    turns = ",".join(turn.format(i) + "," + step.format(i, i + 1) for i in range(rounds)) + "," + turn.format(rounds)
+    return rf"""
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS vec, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT vec, unnest(e) AS v, unnest(range(64)) AS d FROM e),
+c0 AS MATERIALIZED (SELECT c, unnest(e) AS v, unnest(range(64)) AS d FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), e) - 1 AS c, e FROM e WHERE vec_id IS NOT NULL) WHERE c < {k}),{turns}
+SELECT e.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(s AS BIGINT) AS distance, CAST(sum(s) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(s) OVER () AS BIGINT) AS inertia, h.h AS centroid_sha256
+FROM a{rounds} AS a JOIN e USING (vec) JOIN (SELECT c, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY d)) AS h FROM c{rounds} GROUP BY c) AS h ON h.c = a.c
+"""

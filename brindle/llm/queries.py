@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 from brindle.llm import oracles
 from brindle.llm.bpe import bpe_round_trip
+from brindle.llm.clustering import cluster
 from brindle.llm.exact_dedup import exact_dedup
+from brindle.llm.fim import fill_in_middle, restored
 from brindle.llm.html_main import extract_main_text
 from brindle.llm.licenses import license_scan
 from brindle.llm.minhash import near_duplicates
 from brindle.llm.packing import pack
 from brindle.llm.quality_model import quality_scores
 from brindle.llm.quality_rules import quality_rules
+from brindle.llm.simhash import simhash_clusters
 from brindle.llm.suffix_dedup import suffix_dedup
 from brindle.llm.token_records import token_records
 
@@ -110,3 +113,23 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated 200-byte strings of all documents; one row per document."""
     return suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
+@query("op11_simhash")
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash components of all documents; one row per document."""
+    return simhash_clusters(_table(spark, sf_dir, "documents"))
+
+
+@query("op12_clusters", oracles.clusters_sql())
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All usable vectors in 40 clusters; one row per vector."""
+    return cluster(_table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_fill_in_middle", oracles.FILL_IN_MIDDLE)
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as fill-in-middle texts, with the digest of what is rebuilt from them; one row per document."""
+    made = fill_in_middle(_table(spark, sf_dir, "documents"))
+    rebuilt = restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(rebuilt, 256).alias("restored_sha256"))
