@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,13 +20,44 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def connected_components(edges: DataFrame, work: Written, most: int = 60) -> DataFrame:
+def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges of one task: every id tied to the least of its component."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(u), find(v)
+            root[max(a, b)] = min(a, b)
+    ids = [x for x in root if find(x) != x]
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(map(find, ids), pa.int64())], names=["u", "v"])
+
+
+def connected_components(edges: DataFrame, work: Written, most: int = 60, few: int = 0) -> DataFrame:
     """``id, component`` for every id of the edges ``a, b``; a component is its smallest id.
 
+    Up to ``few`` distinct edges are tied in one task, as rounds over so few cost
+    more than they do; the result is the same.
+
     A hub's edges are narrow rows whose join Spark splits at run time. Each
     round is written to the shared folder and the round before is deleted.
     """
     now = work.table(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    if few and now.count() <= few:
+        tied = work.table(now.coalesce(1).mapInArrow(_tied, "u bigint, v bigint"), "edges")
+        work.drop(now)
+    else:
+        tied = _settled(now, work, most)
+    return tied.select(F.col("u").alias("id"), F.col("v").alias("component")).union(tied.select("v", "v").distinct())
+
+
+def _settled(now: DataFrame, work: Written, most: int) -> DataFrame:
+    """Rounds of both steps until no edge changes."""
     state = None
     for _ in range(most):
         after = work.table(_stars(_stars(now, True), False), "edges")
@@ -31,7 +65,5 @@ def connected_components(edges: DataFrame, work: Written, most: int = 60) -> Dat
         now, before = after, state
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+            return now
+    raise RuntimeError("components did not settle")

@@ -173,7 +173,7 @@ def links(prints: DataFrame, work: Written, most: int = 2, limit: int = LIMIT) -
     return out
 
 
-def simhash_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, most: int = 2, limit: int = LIMIT) -> DataFrame:
+def simhash_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, most: int = 2, limit: int = LIMIT, few: int = 1 << 18) -> DataFrame:
     """One row per input row: ``doc_id, fingerprint, component_id``.
 
     Fingerprints of ``size``-word shingles link at ``most`` or fewer differing
@@ -182,12 +182,13 @@ def simhash_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     have fingerprint 0 and link like any other. Rows that repeat an id are rows
     of their own. A row without an id is linked too but names no component: its
     ``component_id`` is the smallest id that it reaches, null if there is none.
-    An empty table gives an empty result; other columns are ignored.
+    An empty table gives an empty result; other columns are ignored. ``limit`` and
+    ``few`` bear on the plan only.
     """
     work = Written(docs.sparkSession, "simhash")
     signed_ = work.table(fingerprints(docs, id_col, text_col, size), "fingerprints")
     firsts = work.table(signed_.groupBy("print").agg(F.min("doc_id").alias("low")), "firsts")
-    parts = connected_components(links(firsts, work, most, limit), work)
+    parts = connected_components(links(firsts, work, most, limit), work, few=few)
     named = firsts.join(parts, F.col("print") == F.col("id"), "left").select("print", "low", F.coalesce("component", "print").alias("component"))
     named = work.table(named.join(named.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("print", "component_id"), "components")
     work.drop(firsts)
