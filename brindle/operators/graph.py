@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.functions.text import tokens
+from brindle.operators import phrases
 from brindle.shared import Written
 
 
@@ -53,10 +53,14 @@ def edges_between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "relation_type").distinct()
 
 
-def build_mentions(chunks: DataFrame, names: DataFrame) -> DataFrame:
-    """``chunk_id, entity_id``: chunks that hold an entity's one-word name as a token. An equi-join on tokens, not a comparison of all with all."""
-    words = chunks.select("chunk_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("name"))
-    return words.join(names.select(F.lower("name").alias("name"), F.col("id").alias("entity_id")), "name").select("chunk_id", "entity_id")
+def build_mentions(chunks: DataFrame, names: DataFrame, most: int = 5_000) -> DataFrame:
+    """``chunk_id, entity_id``: chunks that hold an entity's name, of any number of words, as written but for case.
+
+    A name inside the occurrence of a longer name is not a mention. Entities of
+    one name are all mentioned by it. Names meet texts by equality (see ``phrases``).
+    """
+    found = phrases.longest(phrases.occurrences(chunks, names, most, "chunk_id", "text", "name")).select(F.col("id").alias("chunk_id"), "phrase").distinct()
+    return found.join(names.select(F.lower("name").alias("phrase"), F.col("id").alias("entity_id")), "phrase").select("chunk_id", "entity_id").distinct()
 
 
 def top_per(d: DataFrame, key: str, order: list, k: int) -> DataFrame:

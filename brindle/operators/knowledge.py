@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import wording
-from brindle.functions.text import tokens
+from brindle.operators import phrases
 
 
 def load_ontology(spark: SparkSession, path: str) -> DataFrame:
@@ -20,29 +20,15 @@ def load_ontology(spark: SparkSession, path: str) -> DataFrame:
 def domain_scores(docs: DataFrame, ontology: DataFrame, top: int = 5, most_keywords: int = 5_000, id_col: str = "doc_id") -> DataFrame:
     """``id, domain, score, evidence, rank``: per keyword min(0.1 count, 0.5), summed by domain, over the document's best; the best ``top``.
 
-    Keywords are one or more tokens and match whole tokens. The ontology is a
-    parameter table whose size is checked: a small one is broadcast and filters
-    inside each row; a document's n-grams meet it by equality.
+    Keywords are matched as they are written, marks included, between borders of
+    words (see ``phrases``); one that a domain lists twice scores twice. The
+    ontology is a parameter table: up to ``most_keywords`` distinct keywords are
+    broadcast, a larger one is joined; the result is the same.
     """
-    onto = ontology.select("domain", tokens(F.col("keyword")).alias("k")).where(F.size("k") > 0).select("domain", F.array_join("k", " ").alias("keyword"), F.size("k").alias("n"))
-    known = [tuple(r) for r in onto.select("keyword", "n").distinct().limit(most_keywords + 1).collect()]
-    n, lengths = len(known), sorted({k for _, k in known})
-    small = F.broadcast(onto) if n <= most_keywords else onto
-    d = docs.select(F.col(id_col).alias("id"), tokens(F.col("text")).alias("t"))
-    none = F.array().cast("array<string>")
-
-    def grams(t: Column, k: int) -> Column:
-        """A text's runs of k tokens; of a small ontology's lengths only runs whose first token begins a keyword, so that others are never built."""
-        own = sorted({w.split(" ")[0] for w, m in known if m == k})
-        at = F.filter(F.sequence(F.lit(1), F.size(t) - k + 1), lambda i: F.get(t, i - 1).isin(own)) if n <= most_keywords else F.sequence(F.lit(1), F.size(t) - k + 1)
-        return F.when(F.size(t) >= k, F.transform(at, lambda i: F.array_join(F.slice(t, i, k), " "))).otherwise(none)
-
-    found = d.select("id", F.explode(F.concat(*(grams(F.col("t"), k) for k in lengths)) if lengths else none).alias("keyword"))
-    hits = found.join(small, "keyword").groupBy("id", "domain", "keyword").agg(F.count(F.lit(1)).alias("count"))
-    # a keyword listed twice joins twice: its count is then shared by both and each scores
-    times = onto.groupBy("domain", "keyword").agg(F.count(F.lit(1)).alias("times"))
-    hits = hits.join(F.broadcast(times) if n <= most_keywords else times, ["domain", "keyword"]).withColumn("count", F.col("count") / F.col("times"))
-    scored = hits.groupBy("id", "domain").agg(F.sum(F.col("times") * F.least(F.col("count") * 0.1, F.lit(0.5))).alias("raw"), F.array_sort(F.collect_list(F.concat_ws(": ", "keyword", F.col("count").cast("bigint").cast("string")))).alias("e"))
+    onto = ontology.select("domain", F.lower("keyword").alias("keyword")).groupBy("domain", "keyword").agg(F.count(F.lit(1)).alias("times"))
+    counted = phrases.counts(docs, ontology, most_keywords, id_col, "text", "keyword").withColumnRenamed("phrase", "keyword")
+    hits = counted.join(F.broadcast(onto) if onto.limit(most_keywords + 1).count() <= most_keywords else onto, "keyword")
+    scored = hits.groupBy("id", "domain").agg(F.sum(F.col("times") * F.least(F.col("n") * 0.1, F.lit(0.5))).alias("raw"), F.array_sort(F.collect_list(F.concat_ws(": ", "keyword", F.col("n").cast("string")))).alias("e"))
     best = F.col("raw") / F.max("raw").over(Window.partitionBy("id"))
     out = scored.select("id", "domain", F.round(best, 6).alias("score"), F.array_join("e", ", ").alias("evidence"))
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "domain")).cast("bigint")).where(F.col("rank") <= top)

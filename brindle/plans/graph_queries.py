@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brindle.functions.text import tokens
-from brindle.operators import graph, knowledge, rag, search
+from brindle.operators import graph, knowledge, phrases, rag, search
 from brindle.plans.catalog import query
 from brindle.plans.fixtures import CHUNKS, ENTITIES, NEAREST, RELATIONS, TOKENS, bm25_sql, chunks, entities, hybrid_sql, relations, table
 from brindle.plans.search_queries import ANY, _hybrid
 
+UNITS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+')"
 NAMES = ["ach", "ado", "aiai", "aian", "aich", "aielle"]
 _NAMES = "names AS (SELECT 'e:' || x AS id, x AS name FROM (SELECT unnest(['" + "', '".join(NAMES) + "']) AS x))"
 _MENTIONS = f"{CHUNKS}, {_NAMES}, mentions AS (SELECT DISTINCT chunk_id, doc_id, id AS entity_id FROM (SELECT chunk_id, doc_id, unnest({TOKENS}) AS t FROM chunks) JOIN names ON t = name)"
@@ -28,6 +28,20 @@ def mention_build(spark, sf):
     return _mentions(spark, sf)
 
 
+_PHRASES = f"""{CHUNKS}, w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), names AS (SELECT 'b:' || item_id || ':' || k AS id, lower(array_to_string(w[1:k], ' ')) AS name FROM w, (VALUES (2), (4)) AS t(k)),
+  nm AS (SELECT id, name, len(regexp_extract_all(name, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+')) AS k FROM names),
+  u AS (SELECT chunk_id, {{units}} AS u FROM chunks), sp AS (SELECT DISTINCT k FROM nm),
+  o AS (SELECT chunk_id, nm.id, i, i + nm.k - 1 AS j FROM (SELECT chunk_id, k, unnest(range(1, len(u) - k + 2)) AS i, u FROM u, sp) AS s JOIN nm ON nm.k = s.k AND nm.name = array_to_string(u[i:i + s.k - 1], ''))""".replace("{units}", UNITS)
+
+
+@query("mention_names", f"WITH {_PHRASES} SELECT DISTINCT chunk_id, id AS entity_id FROM o WHERE NOT EXISTS (SELECT 1 FROM o AS p WHERE p.chunk_id = o.chunk_id AND p.i <= o.i AND p.j >= o.j AND p.j - p.i > o.j - o.i)")
+def mention_names(spark, sf):
+    """Names of two and four words, the first of every benchmark item, in all chunks; of nested ones the longer."""
+    w = table(spark, sf, "benchmark").select("item_id", F.split("text", " ", -1).alias("w"), F.explode(F.array(F.lit(2), F.lit(4))).alias("k"))
+    names = w.select(F.concat(F.lit("b:"), F.col("item_id").cast("string"), F.lit(":"), F.col("k").cast("string")).alias("id"), F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("name"))
+    return graph.build_mentions(chunks(spark, sf), names)
+
+
 @query("entity_chunks_topk", f"WITH {_MENTIONS} SELECT entity_id, chunk_id FROM mentions QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY chunk_id) <= 5")
 def entity_chunks_topk(spark, sf):
     return graph.top_per(_mentions(spark, sf), "entity_id", ["chunk_id"], 5).select("entity_id", "chunk_id")
@@ -199,7 +213,7 @@ def community_parent(spark, sf):
 
 ONTOLOGY = [("A", "ach"), ("A", "ado"), ("A", "ado"), ("B", "aiai"), ("B", "aian"), ("B", "of the"), ("C", "aich"), ("C", "aielle"), ("C", "ouer")]
 _ONTO = "onto AS (SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{k}')" for d, k in ONTOLOGY) + ") AS t(domain, keyword))"
-_HITS = f"""{_ONTO}, tk AS (SELECT doc_id, {TOKENS} AS t FROM documents), g AS (SELECT doc_id, unnest(t || list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS k FROM tk),
+_HITS = f"""{_ONTO}, tk AS (SELECT doc_id, {UNITS} AS t FROM documents), g AS (SELECT doc_id, unnest(t || list_transform(range(1, len(t) - 1), lambda i: t[i] || t[i + 1] || t[i + 2])) AS k FROM tk),
   c AS (SELECT doc_id AS id, k AS keyword, count(*) AS n FROM g WHERE k IN (SELECT keyword FROM onto) GROUP BY ALL),
   raw AS (SELECT id, domain, sum(least(n * 0.1::DOUBLE, 0.5::DOUBLE)) AS r FROM c JOIN onto USING (keyword) GROUP BY ALL),
   sc AS (SELECT id, domain, round(r / max(r) OVER (PARTITION BY id), 6) AS score FROM raw),
@@ -212,11 +226,8 @@ def _domains(spark, sf):
 
 @query("domain_keywords", f"WITH {_HITS} SELECT id, keyword, n FROM c")
 def domain_keywords(spark, sf):
-    """Counts of ontology keywords, one or two tokens long, in every document."""
-    t = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), tokens(F.col("text")).alias("t"))
-    two = F.when(F.size("t") > 1, F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.concat_ws(" ", F.get("t", i - 1), F.get("t", i)))).otherwise(F.array().cast("array<string>"))
-    words = spark.createDataFrame(sorted({(k,) for _, k in ONTOLOGY}), "keyword string")
-    return t.select("id", F.explode(F.concat("t", two)).alias("keyword")).join(F.broadcast(words), "keyword").groupBy("id", "keyword").agg(F.count(F.lit(1)).alias("n"))
+    """Counts of ontology keywords as written, of one word or several, in every document."""
+    return phrases.counts(table(spark, sf, "documents"), spark.createDataFrame(ONTOLOGY, "domain string, keyword string"), id_col="doc_id", phrase_col="keyword").withColumnRenamed("phrase", "keyword")
 
 
 @query("domain_detect", f"WITH {_HITS} SELECT id, domain, score, rank FROM rk WHERE rank <= 5")
