@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions.text import tokens
-from brindle.operators import search
+from brindle.operators import search, vectors
 from brindle.plans.catalog import query
 from brindle.plans.fixtures import NEAREST, TOKENS, bm25_sql, hybrid_sql, table
 
@@ -194,3 +194,38 @@ def jaccard_pairs(spark, sf):
     from brindle.operators.rag import jaccard_over
 
     return jaccard_over(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(tokens(F.col("text"))).alias("w")), 0.9)
+
+
+def _asked(spark, sf):
+    return table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+def _index(spark, sf):
+    return vectors.build(table(spark, sf, "embeddings"), keep=["label"])
+
+
+_EXACT = """x AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)"""
+
+
+@query("ann_exact", f"WITH {_EXACT} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM x QUALIFY rank <= 10")
+def ann_exact(spark, sf):
+    """The ten nearest of all vectors for every vector whose id is divisible by 50, compared with all."""
+    return vectors.exact(table(spark, sf, "embeddings"), _asked(spark, sf))
+
+
+@query("ann_search")
+def ann_search(spark, sf):
+    """The same through the index; its recall is what ``ann_recall`` reports."""
+    return vectors.search(_index(spark, sf), _asked(spark, sf), probes=12)
+
+
+@query("ann_recall")
+def ann_recall(spark, sf):
+    """Recall at 10 of every query against the exact scan."""
+    return vectors.recall(ann_search(spark, sf), ann_exact(spark, sf))
+
+
+@query("ann_filtered", f"WITH {_EXACT} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM x WHERE label IN (1, 3) QUALIFY rank <= 5")
+def ann_filtered(spark, sf):
+    """With a filter on a kept column, and every cell probed: the exact result."""
+    return vectors.search(_index(spark, sf), _asked(spark, sf), 5, 1 << 20, F.col("label").isin(1, 3), over=8)
