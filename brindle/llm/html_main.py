@@ -6,11 +6,13 @@ logarithms are smoothed by a Gaussian over neighbouring lines and split by the
 threshold between their two cluster means: lines above it are content. Of all
 elements that may hold a text, the region is the one whose lines agree best
 with the content lines (the harmonic mean of precision and recall, in
-characters); being an article is a prior that multiplies this, and no more. In
-an article's region every line is returned; in any other those from the first
-line above the threshold by itself to the last, with the headings right before,
-and what lies in one container with such lines. Lines of links below the
-threshold go.
+characters); being an article is a prior that multiplies this. Where articles
+hold text, content is theirs alone. In an article's region every line is
+returned, links or not; in any other those from the first line above the
+threshold by itself to the last, with the headings right before, and what lies
+in one container with such lines, but for lists of links below the threshold or
+at its ends: several links in a line, lines of links in a row, a link of one
+word.
 
 Lines inside menus, headers, footers, side bars, notices, adverts, forms,
 comments, scripts and styles are set aside by element, role, class and id. A
@@ -62,6 +64,8 @@ REGIONS = frozenset("article body center div html main section td".split())
 PRIOR = 1.3
 #: Characters outside links that make a line prose.
 PROSE = 80
+#: And that make an article one with a text of its own.
+TEXT = 40
 #: Elements without a text of their own, whatever they hold.
 SILENT = frozenset("applet audio button canvas dialog embed iframe input map menu noscript object script select style svg template textarea title video".split())
 
@@ -69,13 +73,24 @@ _MARK = re.compile("<[a-zA-Z/!?]")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
+def known(words: list[str]) -> list[str]:
+    """The words of a name, two that make up a known one together as one (side-bar)."""
+    out: list[str] = []
+    for w in words:
+        if out and (out[-1] + w in HARD_NAMES or out[-1] + w in SOFT_NAMES):
+            out[-1] += w
+        else:
+            out.append(w)
+    return out
+
+
 class Line:
-    """A block's text, its tags, its characters in links, and the innermost open element."""
+    """A block's text, its tags, its links and the characters in them, and the innermost open element."""
 
-    __slots__ = ("text", "tags", "linked", "node", "heading")
+    __slots__ = ("text", "tags", "anchors", "linked", "node", "heading")
 
-    def __init__(self, text: str, tags: int, linked: int, node: int, heading: bool):
-        self.text, self.tags, self.linked, self.node, self.heading = text, tags, linked, node, heading
+    def __init__(self, text: str, tags: int, anchors: int, linked: int, node: int, heading: bool):
+        self.text, self.tags, self.anchors, self.linked, self.node, self.heading = text, tags, anchors, linked, node, heading
 
     @property
     def own(self) -> int:
@@ -92,17 +107,17 @@ class Blocks(HTMLParser):
         self.counts: Counter[str] = Counter()
         self.lines: list[Line] = []
         self.parts: list[str] = []
-        self.tags = self.links = self.linked = self.headings = 0
+        self.links = self.anchors = self.linked = self.headings = 0
         self.tags = 1
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append(Line(text, self.tags, self.linked, self.open[-1] if self.open else 0, self.headings > 0))
+                self.lines.append(Line(text, self.tags, self.anchors, self.linked, self.open[-1] if self.open else 0, self.headings > 0))
                 self.tags = 1
             self.parts.clear()
-            self.linked = 0
+            self.linked = self.anchors = 0
 
     def cut(self, at: int) -> None:
         """Close the open elements from place ``at`` on."""
@@ -127,7 +142,7 @@ class Blocks(HTMLParser):
             if role in SOFT_ROLES:
                 found = "form" if role == "form" else "soft"
             for one in f"{a.get('class', '')} {a.get('id', '')}".split():
-                words = [x.lower() for x in _NAME.findall(one)]
+                words = known([x.lower() for x in _NAME.findall(one)])
                 if all(x in HARD_NAMES or x in SOFT_NAMES for x in words):
                     if not HARD_NAMES.isdisjoint(words):
                         return "hard"
@@ -173,6 +188,7 @@ class Blocks(HTMLParser):
         self.open.append(len(self.names) - 1)
         self.counts[name] += 1
         self.links += name == "a"
+        self.anchors += name == "a"
         self.headings += name in HEADINGS
 
     def handle_startendtag(self, name: str, attrs: list) -> None:
@@ -317,6 +333,11 @@ def main_text(html: str | None, sigma: float = 1.5, by_ratio: bool = True) -> st
     above = [r >= cut for r in ratio]
     links = [2 * x.linked > len(x.text) for x in lines]
     content = [i for i in range(len(lines)) if above[i] and not links[i]] or list(range(len(lines)))
+    homed = [judged[x.node][1] is not None and not links[i] for i, x in enumerate(lines)]
+    if any(h and x.own >= TEXT for h, x in zip(homed, lines, strict=True)):
+        content = [i for i in content if homed[i]] or [i for i, h in enumerate(homed) if h]
+    alone = [links[i] and not x.heading for i, x in enumerate(lines)]
+    lists = [a and (lines[i].anchors > 1 or " " not in lines[i].text or any(alone[k] for k in (i - 1, i + 1) if 0 <= k < len(lines))) for i, a in enumerate(alone)]
     chosen = set(content)
     # lines that only their neighbours raise do not speak for an element
     heavy = [i for i in content if plain[i] >= strong] or content
@@ -333,7 +354,7 @@ def main_text(html: str | None, sigma: float = 1.5, by_ratio: bool = True) -> st
     inside = [False] * len(page.names)
     for n in range(len(inside)):
         inside[n] = n == region or n > 0 and inside[page.parents[n]]
-    at = [i for i, x in enumerate(lines) if inside[x.node] and not (links[i] and not above[i])]
+    at = [i for i, x in enumerate(lines) if inside[x.node] and (article or above[i] or not lists[i])]
     if not article:
         # the ends: lines that only their neighbours raise go, but for headings right before and what lies beside lines that speak for the element
         beside = {page.container(lines[i].node) for i in heavy}
@@ -341,12 +362,12 @@ def main_text(html: str | None, sigma: float = 1.5, by_ratio: bool = True) -> st
         first, last = (held[0], held[-1]) if held else (0, len(at) - 1)
         while first and lines[at[first - 1]].heading:
             first -= 1
-        at = [i for k, i in enumerate(at) if first <= k <= last or not links[i] and page.container(lines[i].node) in beside]
-    # link lists at the region's ends belong to no text
-    while at and links[at[0]]:
-        at.pop(0)
-    while at and links[at[-1]]:
-        at.pop()
+        at = [i for k, i in enumerate(at) if first <= k <= last or not lists[i] and page.container(lines[i].node) in beside]
+        # nor do lists of links at the region's ends belong to the text
+        while at and lists[at[0]]:
+            at.pop(0)
+        while at and lists[at[-1]]:
+            at.pop()
     return "\n".join(lines[i].text for i in at)
 
 

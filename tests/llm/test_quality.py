@@ -273,6 +273,28 @@ def test_a_prior_is_no_more(html, want):
     assert html_main.main_text(f"<body>{html}</body>") == "\n".join([line] * want)
 
 
+HEAD, END = "<h1><a href=x>The headline</a></h1>", "<p><a href=y>Read the whole report</a></p>"
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("<article>" + HEAD + LONG + END + "</article>", ["The headline", 1, "Read the whole report"]),
+        ("<article>" + HEAD + LONG + "<p><a href=x>A link between</a>" + LONG + "</article>", ["The headline", 1, "A link between", 1]),
+        ("<article>" + LONG + "<ul><li><a href=x>First source</a><li><a href=y>Second source</a></ul></article>", [1, "First source", "Second source"]),
+        ("<div>" + HEAD + LONG + LONG + END + "</div>", ["The headline", 2, "Read the whole report"]),
+        ("<div>" + LONG + LONG + "<p><a href=x>One</a> | <a href=y>Two</a></div>", [2]),
+        ("<article><h1>Short</h1><p>An article of one sentence, no longer than this.</article><div>" + LONG * 6 + "</div>", ["Short", "An article of one sentence, no longer than this."]),
+        ("<div>" + LONG * 6 + "</div><article><p>An article of one sentence, no longer than this.</article>", ["An article of one sentence, no longer than this."]),
+        ("<article><p>Short.</article><div>" + LONG * 6 + "</div>", [6]),
+        ("<div>" + LONG * 2 + "</div><div class=side-bar>" + LONG + "</div><div id=SideBar>" + LONG + "</div>", [2]),
+    ],
+)
+def test_links_and_short_articles_are_not_lost(html, want):
+    line = " ".join(LONG[3:].split())
+    assert html_main.main_text(f"<body>{html}</body>") == "\n".join(x for w in want for x in ([line] * w if isinstance(w, int) else [w]))
+
+
 @pytest.mark.parametrize("html", ["<!-- " * 20000, "<div><p>x" * 2000, "<div>" * 5000 + "x" + "</div>" * 5000, "<p>a</b>" * 20000, "<" * 50000, '<a href="' * 20000, "&#" * 50000, "<article class=x>" * 3000 + "y"])
 def test_hostile_pages_take_time_in_proportion(html):
     import time
