@@ -68,6 +68,8 @@ def _matrix(v: pa.ChunkedArray | pa.Array, n: pa.ChunkedArray | pa.Array) -> np.
 
 def _near_centres(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
     """The n nearest centres of each vector, nearest first."""
+    if not len(centres):
+        return np.empty((len(x), 0), np.int64)
     d = (centres * centres).sum(1)[None, :] - 2 * x @ centres.T
     return np.argsort(d, 1, kind="stable")[:, :n]
 
