@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.common import let, text_of
@@ -44,6 +44,14 @@ TEMPLATES = {
     "BSD-3-Clause (notice)": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     "MPL-2.0 (notice)": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+# the same text without its third condition
+TEMPLATES["BSD-2-Clause"] = re.sub(r" 3\. Neither.*?permission\.", "", TEMPLATES["BSD-3-Clause"])
+
+
+def load_templates(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Templates from a folder of text files, one licence each under the file's name: full texts that are not kept here."""
+    rows = spark.read.text(folder, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), "value").collect()
+    return {r.name.removesuffix(".txt"): r.value for r in sorted(rows, key=lambda r: r.name)}
 
 
 def bigrams_of(text: str) -> list[str]:
@@ -82,37 +90,69 @@ def _pairs(words: Column) -> Column:
     return let(words, lambda w: F.when(F.size(w) < 2, w).otherwise(pairs(w)))
 
 
+def _before(pairs: Column) -> Column:
+    """For each place the nearest place before with the same bigram, -1 if there is none: by sorting, in n log n steps."""
+    order = F.array_sort(F.transform(pairs, lambda x, i: F.struct(F.xxhash64(x).alias("h"), i.alias("i"))))
+    same = lambda o, x, k: F.when((k > 0) & (F.get(o, k - 1)["h"] == x["h"]), F.get(o, k - 1)["i"]).otherwise(-1)
+    back = lambda o: F.array_sort(F.transform(o, lambda x, k: F.struct(x["i"].alias("i"), same(o, x, k).alias("b"))))
+    return F.transform(let(order, back), lambda x: x["b"])
+
+
 def _passages(pairs: Column, templates: dict[str, str], least: float) -> Column:
     """Structs (dice, license): for each template its best passage, if that reaches it and no better one overlaps it.
 
-    A passage holds no more repeats for its size than the template does.
+    A passage holds no more repeats for its size than the template does. From a
+    start, one pass over the places up to the greatest length counts what is
+    new; a start is passed over, by one look at the list of hits, if so few hits
+    lie within that length that it cannot beat the best passage so far.
     """
     own = {k: bigrams_of(v) for k, v in templates.items()}
-    all_own = F.array(*map(F.lit, dict.fromkeys(b for v in own.values() for b in v)))
+    every = list(dict.fromkeys(b for v in own.values() for b in v))
 
-    def one(p: Column, common: Column, name: str) -> Column:
+    def one(p: Column, places: Column, common: Column, before: Column, name: str) -> Column:
         b = own[name]
         low, n_words = math.ceil(len(b) * least / (2 - least)), len(re.sub(r"[^\w]|_", " ", templates[name]).split())
         span = math.ceil(len(b) * (2 - least) / least * max(1, n_words - 1) / len(b))
-        mine = F.array(*map(F.lit, b))
+        kind = "struct<dice:double,license:string,start:int,end:int>"
+        none = F.struct(F.lit(0.0).alias("dice"), F.lit(name).alias("license"), F.lit(-1).alias("start"), F.lit(-1).alias("end"))
+        # hits that a passage must hold to be better than a dice
+        need = lambda dice: F.greatest(F.lit(low), F.floor(dice * len(b) / (2 - dice) + 1e-9).cast("int") + 1)
+
+        def grown(mine: Column, start: Column) -> Column:
+            """The best passage from a start: new bigrams and new hits counted place by place."""
+            zero = F.struct(F.lit(0).alias("a"), F.lit(0).alias("n"), none.alias("best"))
+
+            def step(s: Column, i: Column) -> Column:
+                new, hit = (F.get(before, i) < start).cast("int"), F.get(mine, i)
+
+                def judged(x: Column) -> Column:
+                    dice = 2.0 * x["n"] / (x["a"] + len(b))
+                    made = F.struct(dice.alias("dice"), F.lit(name).alias("license"), start.alias("start"), i.alias("end"))
+                    return F.struct(x["a"].alias("a"), x["n"].alias("n"), F.when(hit & (2.0 * x["n"] >= least * (x["a"] + len(b))) & (dice >= s["best"]["dice"]), made).otherwise(s["best"]).cast(kind).alias("best"))
+
+                return let(F.struct((s["a"] + new).alias("a"), (s["n"] + F.when(hit, new).otherwise(0)).alias("n")), judged)
+
+            return F.aggregate(F.sequence(start, F.least(F.size(p), start + span) - 1), zero.cast(f"struct<a:int,n:int,best:{kind}>"), step, lambda s: s["best"])
+
+        def best(at: Column, mine: Column) -> Column:
+            def step(s: Column, k: Column) -> Column:
+                start = F.get(at, k)
+                worth = (s["dice"] < 1) & (F.get(at, k + need(s["dice"]) - 1) - start < span)
+                return F.when(worth, let(grown(mine, start), lambda g: F.when(g["dice"] > s["dice"], g).otherwise(s))).otherwise(s)
 
-        def score(window: Column, start: Column, end: Column) -> Column:
-            reached = lambda s: F.when(2.0 * s["n"] >= least * (s["a"] + len(b)), F.struct((2.0 * s["n"] / (s["a"] + len(b))).alias("dice"), F.lit(name).alias("license"), start.alias("start"), end.alias("end")))
-            return let(F.struct(F.size(F.array_distinct(window)).alias("a"), F.size(F.array_intersect(window, mine)).alias("n")), reached)
+            return F.aggregate(F.sequence(F.lit(0), F.size(at) - low), none.cast(kind), step, lambda s: F.when(s["start"] >= 0, s))
 
-        def best(at: Column) -> Column:
-            from_start = lambda s: F.filter(F.sequence(s + (low - 1), F.least(F.size(at) - 1, s + span)), lambda e: F.get(at, e) - F.get(at, s) < span)
-            starts = F.filter(F.sequence(F.lit(0), F.size(at) - low), lambda s: F.get(at, s + (low - 1)) - F.get(at, s) < span)
-            window = lambda s, e: F.slice(p, F.get(at, s) + 1, F.get(at, e) - F.get(at, s) + 1)
-            return F.array_max(F.transform(starts, lambda s: F.array_max(F.transform(from_start(s), lambda e: score(window(s, e), F.get(at, s), F.get(at, e))))))
+        hits = F.filter(places, lambda i: F.get(p, i).isin(*b))
+        return F.when(F.size(F.array_intersect(common, F.array(*map(F.lit, b)))) >= low, let(hits, lambda at: let(F.transform(p, lambda x: x.isin(*b)), lambda mine: best(at, mine))))
 
-        hits = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: F.array_contains(mine, F.get(p, i)))
-        return F.when(F.size(F.array_intersect(common, mine)) >= low, let(hits, best))
+    def found(p: Column) -> Column:
+        places = F.filter(F.transform(p, lambda x, i: F.when(x.isin(*every), i)), lambda i: i.isNotNull())
+        return let(places, lambda at: let(F.array_distinct(F.transform(at, lambda i: F.get(p, i))), lambda c: F.when(F.size(c) >= shortest, let(_before(p), lambda x: F.filter(F.array(*(one(p, at, c, x, name) for name in own)), lambda m: m.isNotNull())))))
 
-    found = lambda p: let(F.array_intersect(p, all_own), lambda c: F.filter(F.array(*(one(p, c, name) for name in own)), lambda m: m.isNotNull()))
+    shortest = min(math.ceil(len(v) * least / (2 - least)) for v in own.values())
     better = lambda o, m: ((o["dice"] > m["dice"]) | ((o["dice"] == m["dice"]) & (o["license"] > m["license"]))) & (o["start"] <= m["end"]) & (m["start"] <= o["end"])
     alone = lambda f: F.transform(F.filter(f, lambda m: ~F.exists(f, lambda o: better(o, m))), lambda m: F.struct(m["dice"], m["license"]))
-    return let(found(pairs), alone)
+    return F.coalesce(let(found(pairs), alone), F.array().cast("array<struct<dice:double,license:string>>"))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, least: float = 0.8, passages: bool = False) -> DataFrame:

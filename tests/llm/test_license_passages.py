@@ -68,3 +68,51 @@ def test_odd_rows(spark):
     rows = [(None, t["MIT"]), (None, t["MIT"]), (1, t["ISC"]), (1, t["ISC"]), (2, line), (3, None), (4, " \n\n "), (5, t["MIT (notice)"] + "\n" + t["Apache-2.0 (notice)"])]
     got = sorted(((r["doc_id"] or 0, r["license"] or "", r["n_units"], r["whole_text"]) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string"), passages=True).collect()))
     assert got == [(0, "MIT", 1, True)] * 2 + [(1, "ISC", 1, True)] * 2 + [(2, "MIT (notice)", 1, False), (3, "", 0, False), (4, "", 0, False), (5, "MIT (notice)", 2, False)]
+
+
+def test_best_passages_of_random_texts(spark):
+    """Few words, so that repeats, partial copies and near misses abound; every window of every text is tried."""
+    rng = random.Random(9)
+    templates = {"A": "a b c d e f g h i j k l", "B": "a b a c a d a e b c", "C": "x y"}
+    texts = []
+    for _ in range(60):
+        words = []
+        while len(words) < 60:
+            t = rng.choice(list(templates.values())).split()
+            cut = rng.randint(0, 3)
+            words += [w if rng.random() > 0.12 else rng.choice("abcdxyz") for w in t[cut // 2 : len(t) - cut]] + [rng.choice("abcdefxyz") for _ in range(rng.randint(0, 6))]
+        texts.append(" ".join(words))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for name, t in templates.items():
+        got = {r["doc_id"]: r["dice"] for r in licenses.license_scan(d, templates={name: t}, passages=True).collect()}
+        for i, text in enumerate(texts):
+            want = best(text, t)
+            assert got[i] == pytest.approx(want if want >= 0.8 else 0.0), (name, text)
+
+
+def test_many_licences_in_one_text_take_seconds(spark):
+    """500 wrapped copies with slips in one text cost a few seconds beyond one copy; 100 licensed files far less than a second a file."""
+    import time
+
+    rng, mit = random.Random(2), licenses.TEMPLATES["MIT"].split()
+    slip = lambda: textwrap.fill(" ".join(w if rng.random() > 0.03 else "zz" for w in mit), 80)
+
+    def took(texts):
+        began = time.time()
+        rows = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1), passages=True).collect()
+        assert all(r["license"] == "MIT" for r in rows)
+        return time.time() - began
+
+    took([slip()])
+    one = took([slip()])
+    assert took(["\n\n".join(slip() for _ in range(500))]) < one + 20
+    assert took([slip() for _ in range(100)]) < one + 10
+
+
+def test_templates_of_a_folder(spark, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("You may do with this text whatever you like as long as you tell nobody about it.")
+    (tmp_path / "Other").write_text("No one may do anything with this text at all, at any time or place.")
+    own = licenses.load_templates(spark, str(tmp_path))
+    assert list(own) == ["Other", "Own-1.0"]
+    d = spark.createDataFrame([(1, "x y z " + own["Own-1.0"].upper() + " q r s"), (2, own["Other"]), (3, licenses.TEMPLATES["MIT"])], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["license"] for r in licenses.license_scan(d, templates=own, passages=True).collect()} == {1: "Own-1.0", 2: "Other", 3: None}
