@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -146,8 +147,11 @@ def _passages(pairs: Column, templates: dict[str, str], least: float) -> Column:
         return F.when(F.size(F.array_intersect(common, F.array(*map(F.lit, b)))) >= low, let(hits, lambda at: let(F.transform(p, lambda x: x.isin(*b)), lambda mine: best(at, mine))))
 
     def found(p: Column) -> Column:
+        """The places are looked at only where some template's bigrams are many enough for a passage."""
+        enough = lambda c: reduce(lambda x, y: x | y, (F.size(F.array_intersect(c, F.array(*map(F.lit, b)))) >= math.ceil(len(b) * least / (2 - least)) for b in own.values()))
         places = F.filter(F.transform(p, lambda x, i: F.when(x.isin(*every), i)), lambda i: i.isNotNull())
-        return let(places, lambda at: let(F.array_distinct(F.transform(at, lambda i: F.get(p, i))), lambda c: F.when(F.size(c) >= shortest, let(_before(p), lambda x: F.filter(F.array(*(one(p, at, c, x, name) for name in own)), lambda m: m.isNotNull())))))
+        each = lambda c, at, x: F.filter(F.array(*(one(p, at, c, x, name) for name in own)), lambda m: m.isNotNull())
+        return let(F.array_intersect(p, F.array(*map(F.lit, every))), lambda c: F.when(F.size(c) >= shortest, F.when(enough(c), let(places, lambda at: let(_before(p), lambda x: each(c, at, x))))))
 
     shortest = min(math.ceil(len(v) * least / (2 - least)) for v in own.values())
     better = lambda o, m: ((o["dice"] > m["dice"]) | ((o["dice"] == m["dice"]) & (o["license"] > m["license"]))) & (o["start"] <= m["end"]) & (m["start"] <= o["end"])
