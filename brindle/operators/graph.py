@@ -87,6 +87,32 @@ def path_to_root(nodes: DataFrame, start: str, most: int | None = None) -> DataF
     return nodes.sparkSession.createDataFrame(path, "step int, community_id string")
 
 
+def roots(nodes: DataFrame) -> DataFrame:
+    """``community_id, root, depth`` of every community of ``community_id, parent_id``, by pointer doubling.
+
+    In every round each pointer takes its target's pointer, so a chain of n
+    settles in a logarithm of n rounds, each one join; what has reached its root
+    leaves the join. A parent that is null or no community ends a path. With
+    several parents the least counts. A community in or below a cycle has no
+    root: both are null. Null ids are left out.
+    """
+    work = Written(nodes.sparkSession, "roots")
+    d = nodes.where("community_id is not null").groupBy("community_id").agg(F.min("parent_id").alias("parent"))
+    known = d.select(F.col("community_id").alias("parent"), F.lit(True).alias("there"))
+    d = d.join(known, "parent", "left").select("community_id", F.when(F.col("there"), F.col("parent")).alias("at"))
+    d = d.select("community_id", F.coalesce("at", "community_id").alias("at"), F.col("at").isNotNull().cast("bigint").alias("depth"), F.col("at").isNull().alias("done"))
+    now = work.table(d, "pointers")
+    for _ in range(max(1, now.count()).bit_length() + 1):
+        open_ = now.where("not done")
+        if open_.isEmpty():
+            break
+        ahead = now.select(F.col("community_id").alias("at"), F.col("at").alias("to"), F.col("depth").alias("more"), F.col("done").alias("end"))
+        after = work.table(open_.join(ahead, "at").select("community_id", F.col("to").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), F.col("end").alias("done")).union(now.where("done")), "pointers")
+        work.drop(now)
+        now = after
+    return now.select("community_id", F.when(F.col("done"), F.col("at")).alias("root"), F.when(F.col("done"), F.col("depth")).alias("depth"))
+
+
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One step: every neighbour on one side of ``u`` is tied to the least of u and its neighbours."""
     both = edges.select("u", "v").union(edges.select("v", "u"))

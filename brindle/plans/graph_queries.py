@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brindle.operators import graph, knowledge, phrases, rag, search
@@ -155,6 +156,13 @@ def community_path(spark, sf):
     return graph.path_to_root(_tree(spark, sf), "n:7")
 
 
+@query("community_roots", "SELECT o_orderkey AS community_id, first_value(o_orderkey) OVER w AS root, row_number() OVER w - 1 AS depth FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+def community_roots(spark, sf):
+    """Every order hung below its customer's order before: the root and depth of each."""
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return graph.roots(table(spark, sf, "orders").select(F.col("o_orderkey").alias("community_id"), before.alias("parent_id")))
+
+
 @query("micro_edges", f"WITH {RELATIONS}, {ENTITIES}, m AS (SELECT id FROM entities WHERE community = '5') SELECT src, dst, relation_type FROM relations WHERE src IN (SELECT id FROM m) OR dst IN (SELECT id FROM m)")
 def micro_edges(spark, sf):
     """Edges that touch a community."""

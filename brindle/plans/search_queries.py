@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions.text import tokens
-from brindle.operators import search, vectors
+from brindle.operators import modularity, search, vectors
 from brindle.plans.catalog import query
 from brindle.plans.fixtures import NEAREST, TOKENS, bm25_sql, hybrid_sql, table
 
@@ -229,3 +229,12 @@ def ann_recall(spark, sf):
 def ann_filtered(spark, sf):
     """With a filter on a kept column, and every cell probed: the exact result."""
     return vectors.search(_index(spark, sf), _asked(spark, sf), 5, 1 << 20, F.col("label").isin(1, 3), over=8)
+
+
+@query("community_modularity")
+def community_modularity(spark, sf):
+    """Communities of the graph of every vector's five nearest, found through the index, at two resolutions."""
+    e = table(spark, sf, "embeddings")
+    near = vectors.search(_index(spark, sf), e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 6)
+    edges = near.where("query_id != id").select(F.col("query_id").alias("src"), F.col("id").alias("dst"), F.greatest("score", F.lit(0.0)).alias("weight"))
+    return modularity.communities(edges, (1.2, 0.8), refine=6)[0]
