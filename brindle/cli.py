@@ -16,6 +16,7 @@ from datetime import UTC, datetime
 from pyspark.sql import SparkSession
 
 from brindle.engine import Engine
+from brindle.operators.segments import IndexStore
 from brindle.session import session
 
 EMPTY = {
@@ -28,7 +29,11 @@ EMPTY = {
 def opened(spark: SparkSession, folder: str) -> Engine:
     """The engine over a folder's tables; those that are missing are empty."""
     have = {n: spark.read.parquet(f"{folder}/{n}.parquet") if os.path.isdir(f"{folder}/{n}.parquet") else spark.createDataFrame([], kind) for n, kind in EMPTY.items()}
-    return Engine(spark, have)
+    return Engine(spark, have, index=held if (held := indexed(spark, folder)).manifests.versions() else None)
+
+
+def indexed(spark: SparkSession, folder: str) -> IndexStore:
+    return IndexStore(spark, f"{folder}/index", stemmed=False)
 
 
 def init(spark: SparkSession, folder: str) -> list[str]:
@@ -42,10 +47,14 @@ def init(spark: SparkSession, folder: str) -> list[str]:
 def ingest(spark: SparkSession, source: str, folder: str) -> None:
     """Append the new documents of ``source`` and their chunks to the tables; tells the files that failed."""
     e = opened(spark, folder)
+    e.index = None  # the index follows the tables, below
     known = {n: d.select(*d.columns) for n, d in e.tables.items()}
     e.ingest(source, datetime.now(UTC).isoformat()).show(truncate=False)
     ids = e.tables["documents"].join(known["documents"].select("document_id"), "document_id", "left_anti")
     made = e.tables["chunks"].join(ids.select("document_id"), "document_id", "left_semi")
+    held = indexed(spark, folder)
+    # an update, so that an ingest that is repeated after a failure does no harm
+    held.update(made if held.manifests.versions() else known["chunks"].unionByName(made), "chunk_id")
     made.write.mode("append").parquet(f"{folder}/chunks.parquet")
     ids.write.mode("append").parquet(f"{folder}/documents.parquet")
 

@@ -15,7 +15,8 @@ from brindle.config import Settings
 from brindle.errors import AlreadyExists, InvalidArgument
 from brindle.functions.text import tokens
 from brindle.functions.vector import hashing_embedder
-from brindle.operators import chunking, graph, knowledge, rag, search, store
+from brindle.operators import chunking, graph, index, knowledge, rag, search, store
+from brindle.operators.segments import IndexStore
 from brindle.sources import files
 
 MODES = ("keyword", "semantic", "hybrid", "dual")
@@ -25,10 +26,13 @@ class Engine:
     """``documents(document_id, text, domain)``, ``chunks(chunk_id, document_id, chunk_index, text, embedding)``, ``entities``, ``relations``, ``mentions``.
 
     ``embedder`` maps a text column to a vector column and ``scorer`` a text
-    column and query terms to a score; both have deterministic stand-ins.
+    column and query terms to a score; both have deterministic stand-ins. With an
+    ``index`` of the chunks, keyword search without a filter reads it and no text;
+    it follows what is ingested and deleted here.
     """
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame] | None = None, settings: Settings | None = None, embedder: Callable[[Column], Column] | None = None, scorer=search.overlap_scorer):
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame] | None = None, settings: Settings | None = None, embedder: Callable[[Column], Column] | None = None, scorer=search.overlap_scorer, index: IndexStore | None = None):
+        self.index = index
         self.spark, self.tables, self.settings = spark, dict(tables or {}), settings or Settings()
         self.embedder = embedder or (lambda text: hashing_embedder(tokens(text)))
         self.scorer = scorer
@@ -59,6 +63,8 @@ class Engine:
         found = files.scan(self.spark, folder, most_mb=self.settings.max_file_mb)
         new = self.fresh(files.route(found, processed, vision))
         made = self.chunk(new)
+        if self.index is not None:
+            self.index.update(made, "chunk_id")
         self.tables["documents"] = self.tables["documents"].unionByName(new, True) if "documents" in self.tables else new
         self.tables["chunks"] = self.tables["chunks"].unionByName(made, True) if "chunks" in self.tables else made
         return found.where("not ok").select("path", "error")
@@ -83,7 +89,12 @@ class Engine:
         return c.where(store.metadata_filter(where)) if where else c
 
     def keyword(self, text: str, limit: int = 10, mode: str = "or", domain: str | None = None, where: dict | None = None) -> DataFrame:
-        return search.bm25(self._filtered(domain, where), self.terms(text), mode, limit, id_col="chunk_id").select("id", "score")
+        """BM25 over the chunks; a text without words finds nothing."""
+        if not (terms := self.terms(text)):
+            return self.tables["chunks"].select(F.col("chunk_id").alias("id"), F.lit(0.0).alias("score")).where("false")
+        if self.index is not None and not domain and not where:
+            return index.search(self.index.index(), " ".join(terms), mode, limit).select("id", "score")
+        return search.bm25(self._filtered(domain, where), terms, mode, limit, id_col="chunk_id").select("id", "score")
 
     def semantic(self, text: str, limit: int = 10, domain: str | None = None, where: dict | None = None, least: float | None = None) -> DataFrame:
         q = self.spark.createDataFrame([(text,)], "t string").select(self.embedder(F.col("t")).alias("q"))
@@ -174,6 +185,8 @@ class Engine:
     def delete_document(self, key: str) -> None:
         """A document with its chunks, their mentions and vectors."""
         gone = self.tables["chunks"].where(F.col("document_id") == key).select("chunk_id")
+        if self.index is not None:
+            self.index.delete(gone.withColumnRenamed("chunk_id", "id"))
         if "mentions" in self.tables:
             self.tables["mentions"] = self.tables["mentions"].join(gone, "chunk_id", "left_anti")
         for name in ("chunks", "documents"):

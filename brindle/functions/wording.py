@@ -13,6 +13,7 @@ RANK_ELSE = "moderate relevance across methods"
 RANK_TAIL = ". Cross-encoder relevance: "
 
 # what is wrong with an entity or an edge
+TEMPLATE = "Description for "
 NO_TYPE = "Entity missing entity_type"
 UNKNOWN_TYPE = "Unknown entity type: "
 UNKNOWN_EDGE = "Unknown edge type: "

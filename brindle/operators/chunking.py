@@ -26,13 +26,27 @@ def elements(text: Column) -> Column:
     kind = lambda p: F.when(p.startswith("```") & p.endswith("```") & (F.length(p) > 5), "code_block").when(p.rlike(r"^#{1,6}[ \t]+[^\n]+$"), "header").when(p.rlike(r"^\|[^\n]+\|\n\|[-:\s|]+\|"), "table").otherwise("paragraph")
     typed = F.transform(parts, lambda p: F.struct(kind(p).alias("type"), p.alias("content")))
     split_ = F.flatten(F.transform(typed, lambda x: F.when(x["type"] == "paragraph", F.transform(paragraphs(x["content"]), lambda p: F.struct(F.lit("paragraph").alias("type"), p.alias("content")))).otherwise(F.array(x))))
-    none = F.struct(F.lit(None).cast("string").alias("section"), F.array().cast("array<struct<type:string,content:string,section:string>>").alias("out"))
+    title = lambda x: F.regexp_replace(x["content"], r"^#{1,6}[ \t]+|\s+$", "")
+    under = lambda xs, section: F.transform(xs, lambda x: F.struct(x["type"].alias("type"), x["content"].alias("content"), section.alias("section")))
 
-    def step(acc, x):
-        title = F.when(x["type"] == "header", F.regexp_replace(x["content"], r"^#{1,6}[ \t]+|\s+$", "")).otherwise(acc["section"])
-        return F.struct(title.alias("section"), F.concat(acc["out"], F.array(F.struct(x["type"].alias("type"), x["content"].alias("content"), title.alias("section")))).alias("out"))
+    def sections(xs: Column, heads: Column) -> Column:
+        """What lies before the first header, then each header with what follows it: every element is copied once."""
+        end = lambda k: F.coalesce(F.get(heads, k + 1), F.size(xs))
+        first = F.slice(xs, F.lit(1), F.coalesce(F.get(heads, F.lit(0)), F.size(xs)))
+        rest = F.transform(heads, lambda h, k: under(F.slice(xs, h + 1, end(k) - h), title(F.get(xs, h))))
+        return F.flatten(F.concat(F.array(under(first, F.lit(None).cast("string"))), rest))
 
-    return F.aggregate(split_, none, step, lambda acc: acc["out"])
+    heads = lambda xs: F.filter(F.transform(xs, lambda x, i: F.when(x["type"] == "header", i)), lambda i: i.isNotNull())
+    return _let(split_, lambda xs: _let(heads(xs), lambda h: sections(xs, h)))
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once for each row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Groups are gathered in blocks of so many, so that none is copied with all before it.
+_BLOCK = 256
 
 
 def group_elements(parts: Column, target: int = 1000, most: int = 2000, overlap: int = 150) -> Column:
@@ -40,23 +54,35 @@ def group_elements(parts: Column, target: int = 1000, most: int = 2000, overlap:
 
     A group closes before a text once it holds ``target`` characters and has
     reached ``most`` or would pass it; the next begins with the last texts that
-    fit into ``overlap``. A single text is never cut.
+    fit into ``overlap``. A single text is never cut. The fold carries places and
+    lengths only; texts are sliced at its end.
     """
-    empty = F.array().cast("array<string>")
-    start = F.struct(empty.alias("cur"), F.array().cast("array<array<string>>").alias("out"))
-    size = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    pair = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+    start = F.struct(F.lit(0).alias("a"), F.lit(0).alias("n"), none.alias("block"), F.array().cast("array<array<struct<a:int,b:int>>>").alias("blocks"))
 
-    def tail(a: Column) -> Column:
+    def tail(sizes: Column, a: Column, i: Column) -> Column:
         # from the end while the sum fits; once one does not, no more are taken
-        back = F.aggregate(F.reverse(a), F.struct(empty.alias("t"), F.lit(0).alias("n"), F.lit(True).alias("go")), lambda s, x: F.when(s["go"] & (s["n"] + F.length(x) <= overlap), F.struct(F.concat(F.array(x), s["t"]).alias("t"), (s["n"] + F.length(x)).alias("n"), F.lit(True).alias("go"))).otherwise(F.struct(s["t"].alias("t"), s["n"].alias("n"), F.lit(False).alias("go"))))
-        return back["t"]
-
-    def step(acc: Column, x: Column) -> Column:
-        n = size(acc["cur"])
-        full = (n >= target) & ((n >= most) | (n + F.length(x) > most))
-        return F.when(full, F.struct(F.concat(tail(acc["cur"]), F.array(x)).alias("cur"), F.concat(acc["out"], F.array(acc["cur"])).alias("out"))).otherwise(F.struct(F.concat(acc["cur"], F.array(x)).alias("cur"), acc["out"].alias("out")))
-
-    return F.aggregate(parts, start, step, lambda acc: F.when(F.size(acc["cur"]) > 0, F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"]))
+        zero = F.struct(i.alias("a"), F.lit(0).alias("n"), F.lit(True).alias("go"))
+        fits = lambda s, k: s["go"] & (s["n"] + F.get(sizes, k) <= overlap)
+        step = lambda s, k: F.when(fits(s, k), F.struct(k.alias("a"), (s["n"] + F.get(sizes, k)).alias("n"), F.lit(True).alias("go"))).otherwise(F.struct(s["a"].alias("a"), s["n"].alias("n"), F.lit(False).alias("go")))
+        return F.aggregate(F.sequence(i - 1, a, F.lit(-1)), zero, step)
+
+    def groups(sizes: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            x = F.get(sizes, i)
+            full = (i > 0) & (s["n"] >= target) & ((s["n"] >= most) | (s["n"] + x > most))
+            spilt = F.size(s["block"]) == _BLOCK
+            block = F.when(spilt, F.array(pair(s["a"], i))).otherwise(F.concat(s["block"], F.array(pair(s["a"], i))))
+            blocks = F.when(spilt, F.concat(s["blocks"], F.array(s["block"]))).otherwise(s["blocks"])
+            closed = lambda t: F.struct(t["a"].alias("a"), (t["n"] + x).alias("n"), block.alias("block"), blocks.alias("blocks"))
+            return F.when(full, _let(tail(sizes, s["a"], i), closed)).otherwise(F.struct(s["a"].alias("a"), (s["n"] + x).alias("n"), s["block"].alias("block"), s["blocks"].alias("blocks")))
+
+        end = lambda s: F.flatten(F.concat(s["blocks"], F.array(s["block"], F.array(pair(s["a"], F.size(sizes))))))
+        return F.when(F.size(sizes) > 0, F.aggregate(F.sequence(F.lit(0), F.size(sizes) - 1), start, step, end)).otherwise(none)
+
+    cut = lambda texts: F.transform(_let(F.transform(texts, F.length), groups), lambda g: F.slice(texts, g["a"] + 1, g["b"] - g["a"]))
+    return F.when(parts.isNotNull(), _let(parts, cut))
 
 
 def chunk_documents(docs: DataFrame, target: int = 1000, most: int = 2000, overlap: int = 150, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

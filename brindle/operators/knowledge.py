@@ -164,9 +164,9 @@ def merge_schemas(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def schema_template(schema: DataFrame) -> DataFrame:
-    """``entity_type, template``: a JSON object with an empty value for each property, in order of the alphabet."""
-    fields = F.transform(F.array_sort("properties"), lambda p: F.concat(F.lit('"'), p, F.lit('": null')))
-    return schema.select("entity_type", F.concat(F.lit('{"type": "'), "entity_type", F.lit('", "properties": {'), F.array_join(fields, ", "), F.lit("}}")).alias("template"))
+    """``entity_type, template``: a JSON object to fill in for each type."""
+    empty = F.create_map().cast("map<string,string>").alias("properties"), F.array().cast("array<string>").alias("required")
+    return schema.select("entity_type", F.to_json(F.struct(F.col("entity_type").alias("type"), F.concat(F.lit(wording.TEMPLATE), "entity_type").alias("description"), *empty)).alias("template"))
 
 
 def induce_schema(entities: DataFrame, edges: DataFrame, share: float = 0.8) -> DataFrame:

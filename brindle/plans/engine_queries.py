@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from brindle.engine import fallback, provider, recommend
@@ -18,26 +20,25 @@ from brindle.sources import files
 
 # files
 
-_KINDS = "CASE doc_id % 6 WHEN 0 THEN '.md' WHEN 1 THEN '.txt' WHEN 2 THEN '.json' WHEN 3 THEN '.csv' WHEN 4 THEN '.xyz' ELSE '.html' END"
-_FILES = f"f AS (SELECT doc_id, doc_id || {_KINDS} AS path, {_KINDS} AS ext, CASE doc_id % 6 WHEN 2 THEN CASE WHEN doc_id % 4 = 0 THEN '{{\"n\": ' || doc_id || '}}' ELSE text END WHEN 3 THEN 'id,n' || chr(10) || doc_id || ',\"a, b\"' || chr(10) ELSE text END AS text FROM documents)"
+_FILES = f"f AS (SELECT doc_id, doc_id || ext AS path, ext, CASE ext WHEN '.json' THEN CASE WHEN doc_id % 4 = 0 THEN '{{\"n\": ' || doc_id || '}}' ELSE text END WHEN '.csv' THEN 'id,n' || chr(10) || doc_id || ',\"a, b\"' || chr(10) ELSE text END AS text FROM documents, (VALUES ('.md'), ('.txt'), ('.json'), ('.csv'), ('.xyz'), ('.html')) AS k(ext))"
 
 
 def _files(spark, sf):
-    """Documents as files of six extensions, some of which cannot be read."""
-    k = F.col("doc_id") % 6
-    ext = F.when(k == 0, ".md").when(k == 1, ".txt").when(k == 2, ".json").when(k == 3, ".csv").when(k == 4, ".xyz").otherwise(".html")
-    text = F.when(k == 2, F.when(F.col("doc_id") % 4 == 0, F.format_string('{"n": %s}', F.col("doc_id").cast("string"))).otherwise(F.col("text"))).when(k == 3, F.format_string('id,n\n%s,"a, b"\n', F.col("doc_id").cast("string"))).otherwise(F.col("text"))
+    """Every document as a file of each of six extensions, some of which cannot be read."""
+    ext = F.col("ext")
+    text = F.when(ext == ".json", F.when(F.col("doc_id") % 4 == 0, F.format_string('{"n": %s}', F.col("doc_id").cast("string"))).otherwise(F.col("text"))).when(ext == ".csv", F.format_string('id,n\n%s,"a, b"\n', F.col("doc_id").cast("string"))).otherwise(F.col("text"))
     content = F.encode(text, "utf-8")
-    return table(spark, sf, "documents").select(F.concat(F.col("doc_id").cast("string"), ext).alias("path"), F.length(content).cast("bigint").alias("length"), content.alias("content"))
+    kinds = F.explode(F.array(*map(F.lit, (".md", ".txt", ".json", ".csv", ".xyz", ".html"))))
+    return table(spark, sf, "documents").withColumn("ext", kinds).select(F.concat(F.col("doc_id").cast("string"), ext).alias("path"), F.length(content).cast("bigint").alias("length"), content.alias("content"))
 
 
 @query(
     "file_validation",
-    f"WITH {_FILES} SELECT path, CASE WHEN octet_length(encode(text)) > 10485 THEN 'file too large' WHEN ext = '.xyz' THEN 'unsupported extension' WHEN text = '' THEN 'empty file' WHEN ext = '.json' AND NOT json_valid(text) THEN 'not json' END AS error FROM f",
+    f"WITH {_FILES} SELECT path, CASE WHEN octet_length(encode(text)) > 104857 THEN 'file too large' WHEN ext = '.xyz' THEN 'unsupported extension' WHEN text = '' THEN 'empty file' WHEN ext = '.json' AND NOT json_valid(text) THEN 'not json' END AS error FROM f",
 )
 def file_validation(spark, sf):
     """Every file with what is wrong with it."""
-    return files.checked(_files(spark, sf), 0.01).select("path", "error")
+    return files.checked(_files(spark, sf), 0.1).select("path", "error")
 
 
 @query(
@@ -429,15 +430,24 @@ def domain_blend(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.round(blend(F.least(0.1 * n, F.lit(0.5)), (F.col("doc_id") % 10) / 10), 6).alias("score"))
 
 
-@query("collections", "SELECT * FROM (VALUES ('made', 1), ('listed', 1), ('dropped', 1)) AS t(step, n)")
+_STORED = ["region", "nation", "supplier", "customer"]
+
+
+@query("collections", " UNION ALL ".join(f"SELECT '{t}' AS collection, count(*) AS n, true AS listed, true AS dropped FROM {t}" for t in _STORED))
 def collections(spark, sf):
-    """A collection made, listed and dropped."""
+    """Tables made collections, listed, counted as they are stored, and dropped."""
     import uuid
 
     from brindle.engine import Engine
+    from brindle.shared import Written
 
-    e, name = Engine(spark), f"c{uuid.uuid4().hex}"
-    e.create(name, table(spark, sf, "region"))
-    made, listed = spark.table(name).count() > 0, name in e.collections()
-    e.drop(name)
-    return spark.createDataFrame([("made", int(made)), ("listed", int(listed)), ("dropped", int(name not in e.collections()))], "step string, n int")
+    e, names = Engine(spark), {t: f"c{uuid.uuid4().hex}" for t in _STORED}
+    for t, name in names.items():
+        e.create(name, table(spark, sf, t))
+    listed = set(e.collections())
+    counts = [spark.table(name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("collection"), "n", F.lit(name in listed).alias("listed")) for t, name in names.items()]
+    out = Written(spark, "collections").table(reduce(lambda a, b: a.union(b), counts), "counts")
+    for name in names.values():
+        e.drop(name)
+    left = set(e.collections())
+    return out.withColumn("dropped", F.lit(left.isdisjoint(names.values())))

@@ -1,11 +1,14 @@
 """The engine's requests by path: a plain function, and a small server of it for one machine.
 
-Answers are JSON and hold one page of rows at most, which is what is collected.
+Answers are JSON and hold one page of rows at most, which is what is collected;
+where there can be more, the answer tells how many there are and takes an offset.
+Intermediate tables of a request go when it is answered.
 """
 
 from __future__ import annotations
 
 import json
+import logging
 import time
 from collections.abc import Callable
 from functools import wraps
@@ -16,9 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.engine import Engine
-from brindle.errors import InvalidArgument, NotFound, envelope
+from brindle.errors import EngineError, InvalidArgument, NotFound, envelope
 from brindle.operators import graph, knowledge, store
+from brindle.shared import scope
 
+LOG = logging.getLogger(__name__)
 #: Rows of one answer.
 MOST = 1000
 
@@ -66,6 +71,7 @@ class Service:
         self.routes = {
             "/health": self.health, "/stats": lambda p: self.engine.stats(), "/metrics": lambda p: self.monitor.lines(), "/documents": self.documents, "/documents/delete": self.delete, "/ingest": self.ingest,
             "/search": self.search, "/search/reranked": lambda p: rows(self.engine.reranked(self.need(p, "q"))), "/detect-domain": self.domain, "/graph/traverse": self.traverse, "/graph/entity": self.entity, "/graph/edges": self.edges,
+            "/graph/communities": self.communities, "/graph/communities/detail": self.community,
         }
 
     @staticmethod
@@ -88,8 +94,11 @@ class Service:
         try:
             if path not in self.routes:
                 raise NotFound(f"no such path: {path}")
-            return 200, self.monitor.counted(path)(self.routes[path])(params or {})
+            with scope(self.engine.spark):
+                return 200, self.monitor.counted(path)(self.routes[path])(params or {})
         except Exception as e:  # every failure is told to the caller in one form
+            if not isinstance(e, EngineError):
+                LOG.exception("request %s failed", path)
             body = envelope(e)
             return body["error"]["code"], body
 
@@ -119,8 +128,8 @@ class Service:
         return {"deleted": key}
 
     def ingest(self, params: dict) -> dict:
-        failed = rows(self.engine.ingest(self.need(params, "folder"), params.get("processed", "")))
-        return {"failed": failed, "stats": self.engine.stats()}
+        failed = self.engine.ingest(self.need(params, "folder"), params.get("processed", ""))
+        return {**self.paged("failed", failed, ["path"], params), "stats": self.engine.stats()}
 
     def search(self, params: dict) -> list[dict]:
         return rows(self.engine.search(self.need(params, "q"), params.get("mode", "hybrid"), self.number(params, "limit", 10, 1, 100)))
@@ -133,15 +142,35 @@ class Service:
 
     def traverse(self, params: dict) -> dict:
         nodes, edges = self.engine.traverse(self.need(params, "start"), self.number(params, "depth", 2, 1, 5), limit=self.number(params, "limit", 100))
-        return {"nodes": rows(nodes), "edges": rows(edges)}
+        return {"nodes": rows(nodes), **self.paged("edges", edges, ["src", "dst", "relation_type"], params)}
 
     def entity(self, params: dict) -> dict:
-        entity, relations = self.engine.entity(self.need(params, "id"))
+        entity, relations = self.engine.entity(self.need(params, "id"), self.number(params, "limit", 100))
         found = rows(entity, 1)
         if not found:
             raise NotFound(f"no such entity: {params['id']}")
         return {"entity": found[0], "relations": rows(relations)}
 
+    def paged(self, name: str, d: DataFrame, order: list[str], params: dict) -> dict:
+        """A page of rows under ``name``, from ``offset`` on, and how many there are in all."""
+        return {name: rows(store.page(d, order, self.number(params, "offset", 0, 0, 1 << 40), MOST)), f"{name}_total": d.count()}
+
+    def communities(self, params: dict) -> dict:
+        """Communities of at least ``min_entities``, the largest first, with their summaries."""
+        e = self.engine.tables["entities"].where("community is not null")
+        sizes = e.groupBy("community").agg(F.count(F.lit(1)).alias("entity_count")).where(F.col("entity_count") >= self.number(params, "min_entities", 2))
+        d = sizes.join(knowledge.summaries(e), "community").withColumnRenamed("community", "community_id").withColumn("_last", -F.col("entity_count"))
+        return self.paged("communities", d, ["_last", "community_id"], params)
+
+    def community(self, params: dict) -> dict:
+        """One community's summary and members."""
+        key = self.need(params, "id")
+        e = self.engine.tables["entities"].where(F.col("community") == key)
+        found = rows(knowledge.summaries(e), 1)
+        if not found:
+            raise NotFound(f"no such community: {key}")
+        return {"community_id": key, "summary": found[0]["summary"], **self.paged("members", e.select("id", "name", "entity_type"), ["id"], params)}
+
     def edges(self, params: dict) -> list[dict]:
         return rows(graph.edge_scan(self.engine.tables["relations"], self.number(params, "limit", 500)))
 

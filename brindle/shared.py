@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -25,6 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _roots: list[str] = []
+_own = threading.local()
 
 
 def clean(spark: SparkSession) -> None:
@@ -39,6 +41,18 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables that this thread writes inside the block are deleted at its end; for callers that collect their results inside."""
+    outer, _own.roots = getattr(_own, "roots", None), []
+    try:
+        yield
+    finally:
+        for root in _own.roots:
+            delete(spark, root)
+        _own.roots = outer
+
+
 @contextmanager
 def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     """A setting of the session for as long as the block runs."""
@@ -56,7 +70,8 @@ class Written:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: list[str] = []
-        _roots.append(self.root)
+        held = getattr(_own, "roots", None)
+        (_roots if held is None else held).append(self.root)
 
     def path(self, name: str) -> str:
         out = f"{self.root}/{len(self.paths):03d}-{name}"

@@ -1,6 +1,7 @@
 """Hand cases of the engine's operators."""
 
 import difflib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -314,3 +315,46 @@ def test_answers_in_parts(spark):
 def test_metric_ring(spark):
     d = spark.range(10).select((F.col("id") % 2).alias("k"), "id")
     assert rows(metrics.ring(d, "k", [F.desc("id")], 2), "id") == [(6,), (7,), (8,), (9,)]
+
+
+def test_chunking_takes_time_in_proportion(spark):
+    """Four times the headings and paragraphs take about four times as long, and nothing is lost."""
+    import time
+
+    def took(n):
+        text = "".join(f"# Head {i}\n\nSome words of paragraph {i}.\n\n" for i in range(n))
+        d = spark.createDataFrame([(1, text)], "doc_id int, text string")
+        began = time.time()
+        found = d.select(F.explode(chunking.elements(F.col("text"))).alias("e")).select("e.*").collect()
+        assert len(found) == 2 * n and found[-1]["section"] == f"Head {n - 1}" and found[1]["section"] == "Head 0"
+        made = chunking.chunk_documents(d, 200, 300, 40).collect()
+        assert sum(f"# Head {i}\n" in "\n".join(r["text"] + "\n" for r in made) for i in range(0, n, 997)) == len(range(0, n, 997))
+        return time.time() - began
+
+    took(100)
+    assert took(16_000) < 5 * max(took(4_000), 1.5)
+
+
+def test_groups_match_a_plain_fold(spark):
+    rng = random.Random(8)
+
+    def plain(parts, target, most, overlap):
+        out, cur = [], []
+        for x in parts:
+            n = sum(map(len, cur))
+            if cur and n >= target and (n >= most or n + len(x) > most):
+                out.append(cur)
+                tail = []
+                for y in reversed(cur):
+                    if sum(map(len, tail)) + len(y) > overlap:
+                        break
+                    tail.insert(0, y)
+                cur = tail
+            cur = [*cur, x]
+        return [*out, cur] if cur else out
+
+    lists = [["x" * rng.choice([0, 1, 3, 10, 60, 200]) for _ in range(rng.randint(0, 700))] for _ in range(30)] + [[], None]
+    d = spark.createDataFrame(list(enumerate(lists)), "id int, parts array<string>")
+    for by in ((50, 100, 20), (100, 100, 0), (1, 5, 500)):
+        got = {r["id"]: r["g"] for r in d.select("id", chunking.group_elements(F.col("parts"), *by).alias("g")).collect()}
+        assert all(got[i] == (None if p is None else plain(p, *by)) for i, p in enumerate(lists))
