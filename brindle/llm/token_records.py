@@ -7,8 +7,9 @@ checksum of data that holds checksums stays useful. A payload is ``doc_id (i64)
 | flags (u8) | ids``; bit 0 of the flags marks a null doc_id, bit 1 ids of four
 bytes instead of two (two if all ids of the tokenizer fit).
 
-Documents are range-partitioned and sorted by doc_id, so the files in order of
-their part hold the documents in ascending order. Beside each file lies its
+Documents are encoded where they are read and written as ids, which are narrower
+than text; then ids alone are range-partitioned and sorted by doc_id, so the
+files in order of their part hold the documents in ascending order. Beside each file lies its
 index: for each record offset, payload length and number of ids, each a u64.
 A task writes to a name of its own attempt and reports it; the manifest names
 the files of the attempts that counted, so a repeated task does no harm.
@@ -92,31 +93,39 @@ def read_record(path: str, number: int) -> tuple[int | None, np.ndarray]:
 
 
 def write_token_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", specials: bool = True) -> DataFrame:
-    """Write record files into ``folder`` when the result, the manifest ``part, path, docs, tokens``, is computed.
+    """Write record files into ``folder`` when the result, the manifest ``part, path, docs, tokens``, is computed; the ids are written to the shared folder at once.
 
     Null text is empty and gives a record with the end id alone (or no id, with
     ``end_id`` None). Null ids come first; rows that repeat an id are records
-    one after the other, in the order of their text. An empty table writes no
+    one after the other, in the order of their ids. An empty table writes no
     file. Other columns are ignored. Strings of special tokens in a text give their
     ids, unless ``specials`` is False.
     """
     small_batches(docs.sparkSession)
     width = CachedEncoder.narrow(tokenizer, end_id or 0)
 
+    end = b"" if end_id is None else end_id.to_bytes(width, "little")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = None
+        for batch in batches:
+            if batch.num_rows:
+                encoder = encoder or encoder_for(tokenizer, specials, width)
+                ids = [encoder.ids(text.as_py()) + end for text in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         path = f"{folder}/part-{context.partitionId():05d}-{context.taskAttemptId()}.rec"
-        end = b"" if end_id is None else end_id.to_bytes(width, "little")
-        encoder = out = index = None
+        out = index = None
         n = tokens = at = 0
         for batch in batches:
-            if encoder is None and batch.num_rows:
-                encoder = encoder_for(tokenizer, specials, width)
+            if out is None and batch.num_rows:
                 fs, name = file_system(path)
                 fs.create_dir(name.rpartition("/")[0], recursive=True)
                 out, index = fs.open_output_stream(name), fs.open_output_stream(name + ".idx")
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.ids(text) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = ids.as_py()
                 framed = frame(payload := encode_payload(doc_id, ids, width))
                 index.write(entry(at, len(payload), len(ids) // width))
                 out.write(framed)
@@ -127,7 +136,8 @@ def write_token_records(docs: DataFrame, tokenizer: str, folder: str, end_id: in
             yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "path": [path], "docs": [n], "tokens": [tokens]})
 
     d = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text_of(docs, text_col).alias("text"))
-    return d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, _MANIFEST)
+    encoded = Written(docs.sparkSession, "token-ids").table(d.mapInArrow(encode, "doc_id bigint, ids binary"), "ids")
+    return encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(write, _MANIFEST)
 
 
 def read_token_records(manifest: DataFrame) -> DataFrame:
