@@ -222,3 +222,26 @@ def parse_extractions(spark, sf):
 
     raw = F.when(F.col("event_id") % 4 == 0, F.lit("{broken")).otherwise(F.format_string('{"name":"E%s","k":%s}', "event_type", F.get_json_object("props", "$.k")))
     return parse(table(spark, sf, "events").select("event_id", raw.alias("raw")), "name string, k bigint").select("event_id", "x.name", "x.k")
+
+
+_RANGE = "min(CAST(ts AS DATE)) + 3 AS first, max(CAST(ts AS DATE)) - 3 AS last FROM events"
+
+
+@query(
+    "metric_range",
+    f"""WITH b AS (SELECT {_RANGE}) SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high, true AS users_close, true AS quantiles_close
+    FROM events, b WHERE CAST(ts AS DATE) BETWEEN first AND last GROUP BY event_type""",
+)
+def metric_range(spark, sf):
+    """A range of days out of stored sketches: exact numbers, and whether users and quantiles lie within five hundredths of the truth."""
+    from brindle.operators import sketches
+    from brindle.shared import Written
+
+    e = table(spark, sf, "events")
+    path = Written(spark, "sketches").path("daily")
+    sketches.save(sketches.daily(e, ["event_type"]), path)
+    first, last = (str(x) for x in e.agg(F.date_add(F.min(F.to_date("ts")), 3), F.date_sub(F.max(F.to_date("ts")), 3)).first())
+    got = sketches.over(spark.read.parquet(path), first, last, ["event_type"])
+    off = sketches.error(e, got, first, last, "event_type")
+    close = off.select("event_type", (F.col("users_error") <= 0.05).alias("users_close"), (F.greatest("p50_error", "p95_error") <= 0.05).alias("quantiles_close"))
+    return got.select("event_type", "n", F.round("total", 4).alias("total"), "low", "high").join(close, "event_type")

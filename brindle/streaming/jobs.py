@@ -66,3 +66,14 @@ def supersede(claims: DataFrame, late: str = "30 days") -> DataFrame:
 def alerts(events: DataFrame, levels: DataFrame, key: str = "event_type") -> DataFrame:
     """Events that reach their key's watched level: a stream joined with a table."""
     return events.join(levels, key).where(F.col("value") >= F.col("level"))
+
+
+def confirmed(claims: DataFrame, evidence: DataFrame, within: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """``key, claim_id, evidence_id, at, seen``: claims (``key, claim_id, at``) with the evidence (``key, evidence_id, seen``) of their key that comes at the same time or within a range after them.
+
+    A join of two streams: both have watermarks and the range bounds what is
+    kept, so state goes when neither side can match any more.
+    """
+    a = claims.select(F.col("key").alias("_k"), "claim_id", "at").withWatermark("at", late)
+    b = evidence.select("key", "evidence_id", "seen").withWatermark("seen", late)
+    return a.join(b, F.expr(f"key = _k AND seen >= at AND seen <= at + INTERVAL {within}")).select("key", "claim_id", "evidence_id", "at", "seen")
