@@ -138,12 +138,15 @@ def parent_scores(children: DataFrame, parents: DataFrame) -> DataFrame:
     p = parents.select(F.col("community_id").alias("parent"), low(F.col("names")).alias("pn"), F.greatest("entity_count", F.lit(1)).alias("pc"), "position")
     share = c.select("child", "cc", F.explode("cn").alias("n")).join(p.select("parent", "pc", "position", F.explode("pn").alias("n")), "n")
     share = share.groupBy("child", "parent", "cc", "pc", "position").agg(F.count(F.lit(1)).alias("names"))
-    # sizes that differ: n of them have n (n + 1) / 2 members at least, so ten billion entities give 141,000 at most
-    sized = p.groupBy("pc").agg(F.min(F.struct("position", "parent")).alias("x")).select("pc", "x.position", "x.parent")
-    sizes = F.broadcast(sized.agg(F.sort_array(F.collect_list(F.struct("pc", "position", "parent"))).alias("sizes")))
-    ranked = lambda s: F.transform(s, lambda x: F.struct(x["position"].alias("position"), x["parent"].alias("parent"), x["pc"].alias("pc")))
-    best = F.coalesce(F.array_min(ranked(F.filter("sizes", lambda x: x["pc"] <= F.col("cc")))), F.get(ranked(F.filter("sizes", lambda x: x["pc"] > F.col("cc"))), F.lit(0)))
-    plain = c.select("child", "cc").join(sizes).select("child", "cc", best.alias("b")).where("b is not null").select("child", F.col("b.parent").alias("parent"), "cc", F.col("b.pc").alias("pc"), F.col("b.position").alias("position"), F.lit(0).alias("names"))
+    # the parents' sizes and the children's, in one order: the least position so far is the best parent no larger, and the next parent is the smallest that is larger
+    sized = p.groupBy("pc").agg(F.min(F.struct("position", "parent")).alias("x")).select("pc", F.struct("x.position", "x.parent", "pc").alias("x"))
+    wanted = c.select("cc").distinct()
+    both = sized.select(F.col("pc").alias("at"), F.lit(0).alias("is_child"), "x").union(wanted.select("cc", F.lit(1), F.lit(None).cast(sized.schema["x"].dataType)))
+    # distinct sizes only: n of them have n (n + 1) / 2 members at least, so ten billion entities give 141,000 rows at most
+    up, down = Window.orderBy("at", "is_child"), Window.orderBy(F.desc("at"), F.desc("is_child"))
+    looked = both.select("at", "is_child", F.min("x").over(up.rowsBetween(Window.unboundedPreceding, 0)).alias("low"), F.last("x", True).over(down.rowsBetween(Window.unboundedPreceding, -1)).alias("high"))
+    best = looked.where("is_child = 1").select(F.col("at").alias("cc"), F.coalesce("low", "high").alias("b")).where("b is not null")
+    plain = c.select("child", "cc").join(F.broadcast(best), "cc").select("child", F.col("b.parent").alias("parent"), "cc", F.col("b.pc").alias("pc"), F.col("b.position").alias("position"), F.lit(0).alias("names"))
     score = F.least(F.lit(1.0), F.col("names") * 0.3 + F.least(F.col("cc") / F.col("pc"), F.lit(1.0)) * 0.3 + 0.4)
     found = share.select("child", "parent", "cc", "pc", "position", "names").union(plain.select("child", "parent", "cc", "pc", "position", "names")).withColumn("score", F.round(score, 6))
     return found.withColumn("_r", F.row_number().over(Window.partitionBy("child").orderBy(F.desc("score"), "position"))).where("_r = 1").select("child", "parent", "score")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions import wording
 from brindle.functions.text import contains_any, token_estimate
 from brindle.operators.graph import either_way, top_per
+from brindle.shared import Written
 
 
 def corrective_buckets(hits: DataFrame, correct: float = 0.7, ambiguous: float = 0.4) -> DataFrame:
@@ -121,13 +122,15 @@ def graph_enhanced(hits: DataFrame, mentions: DataFrame, relations: DataFrame, n
 
     ``hits`` is ``chunk_id, score``. From each seed the first ``nodes`` nodes by
     depth and id count, itself included, ``depth`` undirected steps away at most.
+    Each level is written, so that none computes those before again.
     """
-    of = unique_entities(hits, mentions, n_seeds)
+    work = Written(hits.sparkSession, "graph-enhanced")
+    of = work.table(unique_entities(hits, mentions, n_seeds), "seeds")
     ends = either_way(relations).distinct()
     seen = front = of.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth"))
     for d in range(1, depth + 1):
         step = ends.join(front.select("seed", F.col("id").alias("a")), "a").select("seed", F.col("b").alias("id")).distinct()
-        front = step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").select("seed", "id", F.lit(d).alias("depth"))
+        front = work.table(step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").select("seed", "id", F.lit(d).alias("depth")), "level")
         seen = seen.union(front)
     reached = seen.withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy("depth", "id"))).where(F.col("r") <= nodes).select("id").distinct()
     return feed_by_graph(hits, reached, mentions, chunks_per_node).orderBy(F.when(F.col("origin") == "direct", 0).otherwise(1), F.desc("score"), "chunk_id").limit(most)
