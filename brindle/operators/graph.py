@@ -232,6 +232,13 @@ def between_known(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> D
     return r.join(targets.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "relation_type")
 
 
+def search_entities(entities: DataFrame, part: str | None = None, entity_type: str | None = None, domain: str | None = None, limit: int = 100) -> DataFrame:
+    """Entities whose name holds a part as written, of one type and one domain if these are given, the first by id."""
+    tests = [F.col("name").contains(part)] if part else []
+    tests += [F.col(c) == v for c, v in (("entity_type", entity_type), ("domain", domain)) if v]
+    return entities.where(reduce(lambda a, b: a & b, tests, F.lit(True))).orderBy("id").limit(limit)
+
+
 def search_communities(communities: DataFrame, words: list[str], limit: int = 10) -> DataFrame:
     """Communities whose name or summary holds one of the words, as written, by id."""
     hit = reduce(lambda a, b: a | b, [F.col(c).contains(w) for c in ("name", "summary") for w in words], F.lit(False))

@@ -45,6 +45,45 @@ def blend(keyword: Column, model: Column) -> Column:
     return 0.4 * F.coalesce(keyword, F.lit(0.0)) + 0.6 * F.coalesce(model, F.lit(0.0))
 
 
+def calibrated(scores: DataFrame, model: DataFrame) -> DataFrame:
+    """``id, domain, score, rank``: keyword scores (``id, domain, score``) and a model's (``id, domain, confidence``) as one ranking; a domain that only one of them names keeps its score."""
+    k = scores.select("id", "domain", F.col("score").alias("_k"))
+    m = model.groupBy("id", "domain").agg(F.max(F.least(F.greatest(F.col("confidence"), F.lit(0.0)), F.lit(1.0))).alias("_m"))
+    both = k.join(m, ["id", "domain"], "full_outer")
+    score = F.when(F.col("_k").isNotNull() & F.col("_m").isNotNull(), blend(F.col("_k"), F.col("_m"))).otherwise(F.coalesce("_k", "_m"))
+    out = both.select("id", "domain", F.round(score, 6).alias("score"))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "domain")).cast("bigint"))
+
+
+def detect(docs: DataFrame, ontology: DataFrame, model: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+    """``id, primary_domain, confidence, is_multi, method`` of every document, from keywords and, if given, a model's ``id, domain, confidence``.
+
+    ``method`` is hybrid, keyword or model by what spoke for the document; if
+    nothing did it is fallback, and the domain GENERAL at 0.5, or at 1 for a text
+    without words. Several domains if the second exceeds 0.7 of the first.
+    """
+    scores = domain_scores(docs, ontology, id_col=id_col)
+    model = model.where("domain is not null and confidence is not null") if model is not None else scores.select("id", "domain", F.col("score").alias("confidence")).where("false")
+    ranked = calibrated(scores, model)
+    at = lambda r, c: F.max(F.when(F.col("rank") == r, F.col(c)))
+    two = ranked.groupBy("id").agg(at(1, "domain").alias("d"), at(1, "score").alias("a"), at(2, "score").alias("b"))
+    said = scores.select("id", F.lit(1).alias("k"), F.lit(0).alias("m")).union(model.select("id", F.lit(0), F.lit(1))).groupBy("id").agg(F.max("k").alias("k"), F.max("m").alias("m"))
+    method = F.when((F.col("k") == 1) & (F.col("m") == 1), "hybrid").when(F.col("k") == 1, "keyword").when(F.col("m") == 1, "model").otherwise("fallback")
+    blank = F.regexp_replace(F.coalesce("text", F.lit("")), r"\s", "") == ""
+    out = docs.select(F.col(id_col).alias("id"), blank.alias("_blank")).join(two, "id", "left").join(said, "id", "left")
+    return out.select("id", F.coalesce("d", F.lit("GENERAL")).alias("primary_domain"), F.coalesce("a", F.when(F.col("_blank"), 1.0).otherwise(0.5)).alias("confidence"), F.coalesce(F.col("b") > 0.7 * F.col("a"), F.lit(False)).alias("is_multi"), method.alias("method"))
+
+
+def propagate_domains(mentions: DataFrame, docs: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``entity_id, domain`` and ``src, dst, domain``: an entity takes the domain most frequent among the documents that mention it (ties: the first by name), an edge its source's; edges without one are left out.
+
+    ``mentions`` has ``doc_id, entity_id``, ``docs`` ``doc_id, domain``, ``edges`` ``src, dst``.
+    """
+    n = mentions.join(docs.where("domain is not null"), "doc_id").groupBy("entity_id", "domain").agg(F.count_distinct("doc_id").alias("n"))
+    of = n.groupBy("entity_id").agg(F.min_by("domain", F.struct(-F.col("n"), "domain")).alias("domain"))
+    return of, edges.select("src", "dst").join(of.withColumnRenamed("entity_id", "src"), "src").select("src", "dst", "domain")
+
+
 def dedup_entities(entities: DataFrame) -> DataFrame:
     """Entities of equal lower-case name and type as one: mentions counted, properties merged with the last winning, first non-empty source text.
 

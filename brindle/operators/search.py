@@ -108,6 +108,12 @@ def rerank(hits: DataFrame, docs: DataFrame, terms: list[str], top_k: int = 10,
     return out.orderBy(F.desc("reranked"), "id").limit(top_k)
 
 
+def rerank_many(lists: dict[str, tuple[DataFrame, list[str]]], docs: DataFrame, top_k: int = 10, scorer=overlap_scorer, id_col: str = "doc_id") -> DataFrame:
+    """Reranked lists of several wordings (name to hits and terms), fused by reciprocal ranks: ``id, rrf, rank, sources``."""
+    one = lambda name, hits, terms: rerank(hits, docs, terms, top_k, scorer, id_col).select(F.lit(name).alias("source"), "id", F.col("reranked").alias("score"))
+    return rrf(reduce(lambda a, b: a.union(b), (one(n, *x) for n, x in lists.items())))
+
+
 def explain_rank(vector: Column, bm25_: Column, ce: Column, source: Column) -> Column:
     """The reasons for a rank, in words."""
     parts = F.concat_ws(

@@ -55,6 +55,12 @@ def union_first(lists: list[DataFrame], key: str) -> DataFrame:
     return all_.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_at"))).where("_r = 1").drop("_at", "_r")
 
 
+def with_documents(hits: DataFrame, docs: DataFrame, key: str = "id", limit: int | None = None) -> DataFrame:
+    """Hits (``id, score``) with their documents' columns, best first; hits without a document are left out before the cut."""
+    out = hits.join(docs, key)
+    return out.orderBy(F.desc("score"), key).limit(limit) if limit else out
+
+
 def append(rows: DataFrame, path: str) -> None:
     """Add rows to a Parquet table, which begins with the first of them."""
     rows.write.mode("append").parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brindle.functions import text as tx
-from brindle.operators import chunking, store
+from brindle.operators import chunking, graph, store
 from brindle.plans.catalog import query
 from brindle.plans.fixtures import CHUNKS, TOKENS, bm25_sql, chunks, entities, ENTITIES, table
 from brindle.sources import files
@@ -87,7 +87,7 @@ def list_documents(spark, sf):
 
 @query("search_entities", f"WITH {ENTITIES} SELECT id, name FROM entities WHERE name LIKE '%00%' AND entity_type = 'customer' ORDER BY id LIMIT 50")
 def search_entities(spark, sf):
-    return entities(spark, sf).where(F.col("name").contains("00") & (F.col("entity_type") == "customer")).select("id", "name").orderBy("id").limit(50)
+    return graph.search_entities(entities(spark, sf), "00", "customer", limit=50).select("id", "name")
 
 
 @query("entity_project", f"WITH {ENTITIES} SELECT id, name, entity_type AS type FROM entities WHERE community = '3'")

@@ -149,7 +149,7 @@ def semantic_text(spark, sf):
 def vector_documents(spark, sf):
     """Vector hits with their documents; vectors without one are no hits."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "n_chars")
-    return _near(spark, sf).join(d, "id").orderBy(F.desc("score"), "id").limit(10)
+    return store.with_documents(_near(spark, sf), d, limit=10)
 
 
 @query("vector_get", "SELECT vec_id, label, list_extract(embedding, 1)::DOUBLE AS first FROM embeddings WHERE vec_id IN (3, 5, 8, 13, 100000) AND label >= 0 ORDER BY vec_id LIMIT 3")

@@ -167,8 +167,7 @@ def rerank_explain(spark, sf):
 )
 def rerank_rrf(spark, sf):
     docs = table(spark, sf, "documents")
-    one = lambda q, terms: search.rerank(_hybrid(spark, sf, terms, 50), docs, terms).select(F.lit(q).alias("source"), "id", F.col("reranked").alias("score"))
-    return search.rrf(one("1", ANY).union(one("2", OTHER))).select("id", "rrf")
+    return search.rerank_many({"1": (_hybrid(spark, sf, ANY, 50), ANY), "2": (_hybrid(spark, sf, OTHER, 50), OTHER)}, docs).select("id", "rrf")
 
 
 @query(

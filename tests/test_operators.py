@@ -358,3 +358,19 @@ def test_groups_match_a_plain_fold(spark):
     for by in ((50, 100, 20), (100, 100, 0), (1, 5, 500)):
         got = {r["id"]: r["g"] for r in d.select("id", chunking.group_elements(F.col("parts"), *by).alias("g")).collect()}
         assert all(got[i] == (None if p is None else plain(p, *by)) for i, p in enumerate(lists))
+
+
+def test_detection_of_keywords_and_a_model(spark):
+    docs = spark.createDataFrame([(1, "bitcoin bitcoin"), (2, "bitcoin and a patient"), (3, "nothing"), (4, " \n"), (5, None), (6, "nothing either")], "doc_id bigint, text string")
+    onto = spark.createDataFrame([("BTC", "bitcoin"), ("MED", "patient")], "domain string, keyword string")
+    model = spark.createDataFrame([(1, "BTC", 0.5), (2, "MED", 7.0), (3, "LAW", 0.6), (6, None, 0.9), (6, "X", None)], "id bigint, domain string, confidence double")
+    got = rows(knowledge.detect(docs, onto, model), "id", "primary_domain", "confidence", "is_multi", "method")
+    assert got == [(1, "BTC", 0.7, False, "hybrid"), (2, "BTC", 1.0, True, "hybrid"), (3, "LAW", 0.6, False, "model"), (4, "GENERAL", 1.0, False, "fallback"), (5, "GENERAL", 1.0, False, "fallback"), (6, "GENERAL", 0.5, False, "fallback")]
+    assert rows(knowledge.detect(docs, onto), "id", "method") == [(1, "keyword"), (2, "keyword"), (3, "fallback"), (4, "fallback"), (5, "fallback"), (6, "fallback")]
+
+
+def test_entities_by_name_and_documents_of_hits(spark):
+    e = spark.createDataFrame([("a", "Ann Lee", "p", "x"), ("b", "Lee & Co", "o", "x"), ("c", "Lee", "p", "y")], "id string, name string, entity_type string, domain string")
+    assert [r.id for r in graph.search_entities(e, "Lee", "p").collect()] == ["a", "c"] and [r.id for r in graph.search_entities(e, domain="x", limit=1).collect()] == ["a"]
+    hits = spark.createDataFrame([(1, 0.5), (2, 0.9), (3, 0.7)], "id int, score double")
+    assert [tuple(r) for r in store.with_documents(hits, spark.createDataFrame([(1, "x"), (3, "y")], "id int, t string"), limit=5).collect()] == [(3, 0.7, "y"), (1, 0.5, "x")]
