@@ -10,12 +10,15 @@ from brindle.engine import fallback, provider, recommend
 from brindle.functions.text import tokens
 from brindle.functions.vector import cosine, hashing_embedder
 from brindle.operators import graph, index, metrics, rag, records, search, store
+from brindle.operators.segments import IndexStore
+from brindle.operators.snapshots import Snapshots
 from brindle.plans.base_queries import _BLANK, _html_sql
 from brindle.plans.catalog import query
 from brindle.plans.fixtures import ENTITIES, NEAREST, RELATIONS, TOKENS, bm25_sql, chunks, entities, relations, table
 from brindle.plans.graph_queries import _MENTIONS, _mentions
 from brindle.plans.search_queries import ANY, _RERANK, _hybrid, _near
 from brindle.plans.text_queries import _HITS, _hits
+from brindle.shared import Written
 from brindle.sources import files
 
 # files
@@ -63,7 +66,6 @@ def batch_results(spark, sf):
 @query("append_documents", "SELECT 'old' AS origin, count(*) AS n FROM documents WHERE lang <> 'en' UNION ALL SELECT 'new', count(*) FROM documents WHERE lang = 'en' UNION ALL SELECT 'all', count(*) FROM documents")
 def append_documents(spark, sf):
     """A table of documents that grows by an append."""
-    from brindle.shared import Written
 
     d, at = table(spark, sf, "documents"), Written(spark, "append").path("documents")
     for origin, cond in (("old", "lang <> 'en'"), ("new", "lang = 'en'")):
@@ -439,7 +441,6 @@ def collections(spark, sf):
     import uuid
 
     from brindle.engine import Engine
-    from brindle.shared import Written
 
     e, names = Engine(spark), {t: f"c{uuid.uuid4().hex}" for t in _STORED}
     for t, name in names.items():
@@ -451,3 +452,32 @@ def collections(spark, sf):
         e.drop(name)
     left = set(e.collections())
     return out.withColumn("dropped", F.lit(left.isdisjoint(names.values())))
+
+
+@query(
+    "store_snapshots",
+    """WITH v0 AS (SELECT c_custkey, c_mktsegment FROM customer), v1 AS (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'REVIEW' ELSE c_mktsegment END AS c_mktsegment FROM customer UNION ALL SELECT -1 - s_suppkey, 'SUPPLIER' FROM supplier),
+    v2 AS (SELECT * FROM v1 WHERE c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3))
+    SELECT 0 AS version, * FROM v0 UNION ALL SELECT 1, * FROM v1 UNION ALL SELECT 2, * FROM v2""",
+)
+def store_snapshots(spark, sf):
+    """A stored table of customers: changed and added to, then deleted from; all three versions as they are read."""
+    c, s = table(spark, sf, "customer"), table(spark, sf, "supplier")
+    kept = c.select("c_custkey", "c_mktsegment")
+    t = Snapshots.create(kept, Written(spark, "snapshots").path("customer"), "c_custkey", buckets=8)
+    changed = c.where("c_acctbal < 0").select("c_custkey", F.lit("REVIEW").alias("c_mktsegment"))
+    t.upsert(changed.union(s.select(-1 - F.col("s_suppkey"), F.lit("SUPPLIER"))))
+    t.delete(c.where("c_nationkey = 3").select("c_custkey"))
+    return reduce(lambda a, b: a.union(b), (t.read(v).select(F.lit(v).alias("version"), "c_custkey", "c_mktsegment") for v in t.versions()))
+
+
+@query("index_follows", f"WITH live AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN text || ' ach ado' ELSE text END AS text FROM documents WHERE n_chars >= 100), {bm25_sql(ANY, 'or', source='live')} SELECT id, raw, score FROM bm25")
+def index_follows(spark, sf):
+    """A stored index of all documents, made in two parts, with short documents deleted and French ones changed, searched as it is then."""
+    d = table(spark, sf, "documents")
+    store_ = IndexStore(spark, Written(spark, "segments").path("index"), stemmed=False)
+    store_.append(d.where("lang = 'en'"))
+    store_.append(d.where("lang is null or lang != 'en'"))
+    store_.update(d.where("lang = 'fr'").withColumn("text", F.concat("text", F.lit(" ach ado"))))
+    store_.delete(d.where("n_chars < 100").select(F.col("doc_id").alias("id")))
+    return index.search(store_.index(), " ".join(ANY), "or", None)
