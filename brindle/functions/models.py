@@ -68,6 +68,40 @@ class Caller:
         return [found[t] for t in texts]
 
 
+class Rotation:
+    """Several models as one: a call goes to the first healthy one and on to the next if it fails.
+
+    A model that fails is unhealthy for ``recover`` seconds, twice as long with
+    each failure in a row, and is then tried again; a call that succeeds makes it
+    healthy. If none is healthy, the one that recovers first is tried. Every task
+    keeps its own record of health.
+    """
+
+    def __init__(self, models: dict[str, Callable[[list[str]], list]], recover: float = 30.0, clock: Callable[[], float] = time.monotonic):
+        if not models:
+            raise ValueError("at least one model is needed")
+        self.models, self.recover, self.clock = models, recover, clock
+        self.failures, self.until = dict.fromkeys(models, 0), dict.fromkeys(models, 0.0)
+
+    def healthy(self) -> list[str]:
+        """The names of the models that would be asked, in their order."""
+        now = self.clock()
+        return [n for n in self.models if self.until[n] <= now] or [min(self.models, key=lambda n: self.until[n])]
+
+    def __call__(self, texts: list[str]) -> list:
+        error: Exception | None = None
+        for name in self.healthy():
+            try:
+                out = self.models[name](texts)
+            except Exception as e:  # the next model is asked instead
+                error, self.failures[name] = e, self.failures[name] + 1
+                self.until[name] = self.clock() + self.recover * 2 ** min(self.failures[name] - 1, 10)
+            else:
+                self.failures[name], self.until[name] = 0, 0.0
+                return out
+        raise error
+
+
 def embedded(text: Column, caller: Caller) -> Column:
     """``vector, error, tries`` of each text, by Arrow batches. Null and blank texts are not called: a zero vector without an error."""
 

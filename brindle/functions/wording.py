@@ -32,3 +32,7 @@ NAMING = (
     "Generate a concise name (2-5 words) for this ", ":\n\nSummary: ", "\nKey entities: ", "\nEntity count: ",
     "\n\nRespond with a JSON object with keys 'name' (string) and 'confidence' (number 0.0-1.0).\nExample: {\"name\": \"Machine Learning Systems\", \"confidence\": 0.85}",
 )
+METRICS = {
+    "documents_processed_total": "Total documents processed", "documents_failed_total": "Total documents failed", "entities_extracted_total": "Total entities extracted", "relationships_extracted_total": "Total relationships extracted",
+    "success_rate": "Share of documents that succeeded", "processing_ms_avg": "Average processing time",
+}

@@ -68,7 +68,9 @@ def longest_block(quote: str, text: str, least: int) -> tuple[int, int]:
 def fuzzy_locate(pairs: DataFrame, share: float = 0.8) -> DataFrame:
     """From ``id, text, quote``: the place in the text of the longest block in common, if it covers more than ``share`` of the quote, else -1.
 
-    The longest common block has no built-in; whole texts go through Arrow batches.
+    The longest common block has no built-in; whole texts go through Arrow
+    batches. Memory grows with the quote, of which all substrings of one length
+    are held at a time: this is for quotes, not for whole texts as quotes.
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.functions import wording
+
 
 def rollup(events: DataFrame, key: str = "event_type", value: str = "value") -> DataFrame:
     """Per key: count, sum, mean, extremes and the hit rate (the share of values above zero)."""
@@ -39,8 +41,8 @@ def exposition(totals: DataFrame, prefix: str = "brindle") -> DataFrame:
 
     ``totals`` is what ``processing`` gives. Counters end in ``_total``, rates and means are gauges with four digits.
     """
-    counters = {"documents_processed_total": ("processed", "Total documents processed"), "documents_failed_total": ("failed", "Total documents failed"), "entities_extracted_total": ("entities", "Total entities extracted"), "relationships_extracted_total": ("relations", "Total relationships extracted")}
-    gauges = {"success_rate": ("success_rate", "Share of documents that succeeded"), "processing_ms_avg": ("mean_ms", "Average processing time")}
+    counters = {n: (c, wording.METRICS[n]) for n, c in {"documents_processed_total": "processed", "documents_failed_total": "failed", "entities_extracted_total": "entities", "relationships_extracted_total": "relations"}.items()}
+    gauges = {n: (c, wording.METRICS[n]) for n, c in {"success_rate": "success_rate", "processing_ms_avg": "mean_ms"}.items()}
     block = lambda name, kind, text, value: F.array(F.lit(f"# HELP {prefix}_{name} {text}"), F.lit(f"# TYPE {prefix}_{name} {kind}"), F.concat(F.lit(f"{prefix}_{name} "), value))
     parts = [block(n, "counter", t, F.col(c).cast("string")) for n, (c, t) in counters.items()] + [block(n, "gauge", t, F.format_string("%.4f", F.col(c).cast("double"))) for n, (c, t) in gauges.items()]
     whole = totals.where("domain is null").select(F.explode(F.concat(*parts)).alias("line"))

@@ -62,3 +62,36 @@ def test_wrong_lengths_rates_and_arguments():
     assert 1 < most[0] <= 3
     with pytest.raises(ValueError):
         models.Caller(slow, 0)
+
+
+def test_models_rotate_and_recover():
+    now, broken, asked = [0.0], {"a"}, []
+
+    def model(name):
+        def call(texts):
+            asked.append(name)
+            if name in broken:
+                raise ConnectionError(name)
+            return [[1.0]] * len(texts)
+
+        return call
+
+    r = models.Rotation({n: model(n) for n in "abc"}, recover=10, clock=lambda: now[0])
+    assert r(["x"]) == [[1.0]] and asked == ["a", "b"] and r.healthy() == ["b", "c"]
+    r(["x"])
+    assert asked[2:] == ["b"]
+    now[0] = 11  # tried again, fails again, and is left alone twice as long
+    r(["x"])
+    assert asked[3:] == ["a", "b"]
+    now[0] = 25
+    broken.clear()
+    r(["x"])
+    assert asked[5:] == ["b"] and r.healthy() == ["b", "c"]
+    now[0] = 32
+    r(["x"])
+    assert asked[6:] == ["a"] and r.healthy() == ["a", "b", "c"]
+    broken |= {"a", "b", "c"}
+    with pytest.raises(ConnectionError):
+        models.Rotation({n: model(n) for n in "abc"}, clock=lambda: now[0])(["x"])
+    with pytest.raises(ValueError):
+        models.Rotation({})
