@@ -215,7 +215,7 @@ def ann_exact(spark, sf):
 @query("ann_search")
 def ann_search(spark, sf):
     """The same through the index; its recall is what ``ann_recall`` reports."""
-    return vectors.search(_index(spark, sf), _asked(spark, sf), probes=12)
+    return vectors.search(_index(spark, sf), _asked(spark, sf))
 
 
 @query("ann_recall")
@@ -234,6 +234,6 @@ def ann_filtered(spark, sf):
 def community_modularity(spark, sf):
     """Communities of the graph of every vector's five nearest, found through the index, at two resolutions."""
     e = table(spark, sf, "embeddings")
-    near = vectors.search(_index(spark, sf), e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 6)
+    near = vectors.search(_index(spark, sf), e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 6, probes=8)
     edges = near.where("query_id != id").select(F.col("query_id").alias("src"), F.col("id").alias("dst"), F.greatest("score", F.lit(0.0)).alias("weight"))
     return modularity.communities(edges, (1.2, 0.8), refine=6)[0]
