@@ -34,11 +34,16 @@ def checked(files: DataFrame, most_mb: int = 100) -> DataFrame:
     text = F.col("mime_type").startswith("text/") | (F.col("mime_type") == "application/json")
     error = (
         F.when(F.col("length") > most_mb * 1024 * 1024, "file too large").when(F.col("mime_type") == OTHER, "unsupported extension").when(F.col("length") == 0, "empty file")
-        .when(text & ~F.is_valid_utf8(F.col("content").cast("string")), "not utf-8").when((F.col("mime_type") == "application/json") & F.try_parse_json(F.col("content").cast("string")).isNull(), "not json")
+        .when(text & ~F.is_valid_utf8(F.col("content").cast("string")), "not utf-8").when((F.col("mime_type") == "application/json") & ~_is_json(F.col("content").cast("string")), "not json")
     )
     return d.select("path", "length", "content", "mime_type", error.isNull().alias("ok"), error.alias("error"))
 
 
+def _is_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing after it, where ``try_parse_json`` takes a value with anything behind. What could follow inside a list cannot follow inside an object."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+
+
 def route(files: DataFrame, processed: str, vision=None) -> DataFrame:
     """``path, content, processor, raw_hash`` by MIME type; the hash is that of the file's own content, before it is converted. ``vision`` is a function of a DataFrame for PDF and images; without one they are left out."""
     d = files.where("ok").withColumn("text", F.decode(F.col("content"), "utf-8"))
