@@ -206,9 +206,10 @@ def merge_schemas(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def schema_template(schema: DataFrame) -> DataFrame:
-    """``entity_type, template``: a JSON object to fill in for each type."""
-    empty = F.create_map().cast("map<string,string>").alias("properties"), F.array().cast("array<string>").alias("required")
-    return schema.select("entity_type", F.to_json(F.struct(F.col("entity_type").alias("type"), F.concat(F.lit(wording.TEMPLATE), "entity_type").alias("description"), *empty)).alias("template"))
+    """``entity_type, template``: a JSON object to fill in for each type, with an empty value for each of its properties, in order of the alphabet."""
+    names = F.array_sort("properties")
+    empty = F.map_from_arrays(names, F.transform(names, lambda _: F.lit(None).cast("string"))).alias("properties"), F.array().cast("array<string>").alias("required")
+    return schema.select("entity_type", F.to_json(F.struct(F.col("entity_type").alias("type"), F.concat(F.lit(wording.TEMPLATE), "entity_type").alias("description"), *empty), {"ignoreNullFields": "false"}).alias("template"))
 
 
 def induce_schema(entities: DataFrame, edges: DataFrame, share: float = 0.8) -> DataFrame:

@@ -374,7 +374,7 @@ def schema_merge(spark, sf):
     return _merged(spark, sf).select("entity_type", F.array_join("examples", ",").alias("examples"), F.array_join("properties", ",").alias("properties"), F.col("relationships")["of"].alias("of"))
 
 
-@query("schema_template", f"""WITH {_HALVES} SELECT entity_type, CAST(json_object('type', entity_type, 'description', 'Description for ' || entity_type, 'properties', json('{{}}'), 'required', json('[]')) AS VARCHAR) AS template FROM m""")
+@query("schema_template", f"""WITH {_HALVES} SELECT entity_type, CAST(json_object('type', entity_type, 'description', 'Description for ' || entity_type, 'properties', json('{{' || array_to_string(list_transform(properties, lambda p: to_json(p) || ':null'), ',') || '}}'), 'required', json('[]')) AS VARCHAR) AS template FROM m""")
 def schema_template(spark, sf):
     return knowledge.schema_template(_merged(spark, sf))
 
