@@ -52,11 +52,16 @@ def jaccard_over(sets: DataFrame, least: float) -> DataFrame:
 def greedy_dedup(hits: DataFrame, least: float = 0.9) -> DataFrame:
     """From ``query_id, rank, id, w`` (word arrays): the hits kept when each is compared to all kept before it.
 
-    The hits of a query are a short list; the fold stays in the JVM.
+    The hits of a query are a short list; the fold stays in the JVM. Sizes come
+    first: sets whose sizes differ by more than the limit allows are not met.
     """
-    item = F.struct("rank", "id", "w")
-    similar = lambda x, y: (F.size(x["w"]) > 0) & (F.size(y["w"]) > 0) & (F.size(F.array_intersect(x["w"], y["w"])) > least * F.size(F.array_union(x["w"], y["w"])))
-    lists = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("l"))
+    item = F.struct("rank", "id", F.size("w").alias("n"), "w")
+
+    def similar(x, y):
+        shared = F.size(F.array_intersect(x["w"], y["w"]))
+        return (x["n"] > 0) & (F.least(x["n"], y["n"]) > least * F.greatest(x["n"], y["n"])) & (shared > least * (x["n"] + y["n"] - shared))
+
+    lists = hits.withColumn("w", F.array_distinct("w")).groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("l"))
     kept = F.aggregate("l", F.slice("l", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: similar(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
     return lists.select("query_id", F.explode(kept).alias("x")).select("query_id", F.col("x.rank").alias("rank"), F.col("x.id").alias("id"))
 
