@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from brindle.functions import wording
 from brindle.functions.text import contains_any, token_estimate
+from brindle.operators import parts
 from brindle.operators.graph import either_way, top_per
 from brindle.shared import Written
 
+#: Ids that are broadcast at most.
+FEW = 1_000_000
+
 
 def corrective_buckets(hits: DataFrame, correct: float = 0.7, ambiguous: float = 0.4) -> DataFrame:
     """``id, relevance, verdict``: scores over the largest, cut into three."""
@@ -23,30 +27,20 @@ def jaccard_over(sets: DataFrame, least: float) -> DataFrame:
 
     Equal sets are one: the least id stands for all, each other is paired with
     it at 1.0, and pairs of different sets are pairs of those that stand for
-    them, ``a < b``. Two sets over the limit share one of their rarest words, so
-    only the first ``n - ceil(least n) + 1`` words of each, by corpus frequency,
-    are joined, and only where sizes and the words left after a shared one allow
-    the limit. Both sides of that join are plain shuffles, whose frequent words
-    Spark splits.
+    them, ``a < b``. Sets over the limit share a key of ``parts`` and so a group,
+    in which whole sets meet. Sets are shuffled only if they share a key, once
+    for each of their groups; of the others go a digest and the keys.
     """
-    own = sets.where(F.size("w") > 0).select("id", F.array_sort("w").alias("w"))
-    alike = own.groupBy("w").agg(F.min("id").alias("rep"))
-    stars = own.join(alike, "w").where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
-    reps = alike.select(F.col("rep").alias("id"), "w")
-    words = reps.select("id", F.size("w").alias("n"), F.explode("w").alias("t"))
-    freq = words.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))
-    prefix = words.join(freq, "t").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1)
-    p = prefix.select("id", "n", "place", "t")
-    q = p.toDF("id2", "n2", "place2", "t")
-    sizes = F.least("n", "n2") >= least * F.greatest("n", "n2")
-    # so many words are shared at most from here on, with those before the two places in the worst case
-    left = F.least("n", "n2", F.least("place", "place2") + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))) >= least / (1 + least) * (F.col("n") + F.col("n2"))
-    pairs = p.join(q, "t").where((F.col("id") < F.col("id2")) & sizes & left).select("id", "id2").distinct()
-    both = pairs.join(reps.select("id", F.col("w").alias("wa")), "id").join(reps.select(F.col("id").alias("id2"), F.col("w").alias("wb")), "id2")
-    shared = F.size(F.array_intersect("wa", "wb"))
-    j = shared / (F.size("wa") + F.size("wb") - shared)
-    return both.where(j > least).select(F.col("id").alias("a"), F.col("id2").alias("b"), F.round(j, 6).alias("jaccard")).union(stars)
+    work = Written(sets.sparkSession, "jaccard")
+    made = work.table(parts.keyed(sets, least), "keys")
+    alike = made.groupBy("digest").agg(F.min("id").alias("rep"))
+    stars = made.select("id", "digest").join(alike, "digest").where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    reps = made.join(alike, (made.digest == alike.digest) & (made.id == alike.rep), "left_semi")
+    groups = parts.groups(work, reps.select("id", F.explode("keys").alias("key")))
+    ids = work.table(groups.select("id").distinct(), "ids")
+    whole = work.table(sets.select("id", "w").join(F.broadcast(ids) if ids.count() <= FEW else ids, "id", "left_semi"), "sets")
+    j = F.col("shared") / (F.col("n") + F.col("n2") - F.col("shared"))
+    return parts.met(groups, whole, least).where(j > least).select(F.col("id").alias("a"), F.col("id2").alias("b"), F.round(j, 6).alias("jaccard")).distinct().union(stars)
 
 
 def greedy_dedup(hits: DataFrame, least: float = 0.9) -> DataFrame:
