@@ -53,3 +53,15 @@ def test_mentions_of_names_of_several_words(spark):
     want = {("1:0", "e2"), ("1:0", "e3"), ("1:1", "e1"), ("1:1", "e7"), ("1:1", "e4"), ("2:0", "e5"), ("2:0", "e6")}
     for most in (0, 5000):
         assert {tuple(r) for r in graph.build_mentions(chunks, names, most).collect()} == want
+
+
+def test_a_few_phrases_meet_texts_in_batches_and_as_many_phrases_do(spark, monkeypatch):
+    """No expression is built for each place of a text; marks at either end, batches that are cut and phrases without runs come out the same."""
+    monkeypatch.setattr(phrases, "ROOM", 100)
+    texts = [(i, t) for i, t in enumerate(["a b a b, c-d! a", "", None, "(a) a, b a b", "!! a !! b", "x", "a b" * 9, "c-d c-d!x a, b"] * 5)]
+    d = spark.createDataFrame(texts, "id int, text string")
+    p = spark.createDataFrame([(x,) for x in ["a", "a b", "A, b", "(a) ", "c-d!", "!! ", " a ", "b a b", "zz", "", None]], "phrase string")
+    few, many = phrases.occurrences(d, p), phrases.occurrences(d, p, most=2)
+    assert "MapInArrow" in few._jdf.queryExecution().toString()
+    got = sorted(map(tuple, few.collect()))
+    assert got == sorted(map(tuple, many.collect())) and len(got) > 50
