@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,20 +42,16 @@ def hashing_embedder(tokens: Column, size: int = 64) -> Column:
     ``size``; it counts negatively if the ninth digit is odd.
     """
 
-    @F.pandas_udf("array<double>")
-    def embed(lists: pd.Series) -> pd.Series:
-        known: dict[str, tuple[int, int]] = {}
-
-        def one(words) -> np.ndarray:
-            out = np.zeros(size)
-            for w in () if words is None else words:
-                if w not in known:
-                    h = hashlib.md5(w.encode()).hexdigest()
-                    known[w] = int(h[:8], 16) % size, -1 if int(h[8], 16) % 2 else 1
-                slot, sign = known[w]
-                out[slot] += sign
-            return out
-
-        return lists.map(one)
+    # words stay in Arrow's own memory, hashed once for each distinct word of a batch
+    @F.arrow_udf("array<double>")
+    def embed(lists: pa.Array) -> pa.Array:
+        rows = len(lists)
+        words = lists.flatten().dictionary_encode()
+        hashes = [hashlib.md5(w.encode()).hexdigest() for w in words.dictionary.to_pylist()]
+        slot = np.array([int(h[:8], 16) % size for h in hashes], np.int64)
+        sign = np.array([-1.0 if int(h[8], 16) % 2 else 1.0 for h in hashes])
+        code, row = words.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        out = np.bincount(row * size + slot[code], sign[code], rows * size) if len(code) else np.zeros(rows * size)
+        return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * size, pa.int32()), pa.array(out))
 
     return embed(F.coalesce(tokens, F.array().cast("array<string>")))

@@ -70,3 +70,14 @@ def test_recall_on_the_given_vectors(spark):
     for sf in ("sf0.01", "sf0.1"):
         r = [x.recall for x in QUERIES["ann_recall"](spark, f"/root/testdata/{sf}").collect()]
         assert len(r) == (10 if sf == "sf0.01" else 40) and np.mean(r) >= 0.9
+
+
+def test_embedding_whole_turns_takes_small_batches(spark):
+    """A worker holds one batch, so its memory does not grow with the table."""
+    from brindle.plans import catalog
+    from brindle.shared import setting
+
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"):
+        d = catalog.QUERIES["engine_reranked"](spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
+        assert d.count() == 10
