@@ -63,8 +63,9 @@ class IndexStore:
                 continue
             gone = [self.spark.read.parquet(f"{self.path}/{s['tombs']}") for s in steps[i:] if "tombs" in s]
             dead = reduce(lambda a, b: a.union(b), gone).distinct() if gone else None
+            segment = index.load(self.spark, f"{self.path}/{step['segment']}", self.stemmed)
             for name, tables in parts.items():
-                d = self.spark.read.parquet(f"{self.path}/{step['segment']}/{name}")
+                d = getattr(segment, name)
                 tables.append(d.join(dead, "id", "left_anti") if dead is not None else d)
         postings, lengths = (reduce(lambda a, b: a.unionByName(b), t) for t in parts.values())
         return index.Index(postings, lengths, lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), self.stemmed)
