@@ -27,10 +27,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.shared import Written
+from brindle.shared import Written, small_broadcasts
 
 #: Shares of a receiver's senders that are tried.
 SHARES = [2.0**-i for i in range(11)]
+#: Bytes of a table that the joins of a round broadcast: what is broadcast passes the driver, in each of hundreds of joins.
+SMALL = 64 << 10
 
 
 def _coin(c: str, turn: int, salt: str) -> Column:
@@ -147,7 +149,11 @@ def communities(edges: DataFrame, resolutions: tuple[float, ...] = (1.2, 0.8), r
     """
     if list(resolutions) != sorted(resolutions, reverse=True):
         raise ValueError("resolutions must fall")
-    work = Written(edges.sparkSession, "modularity")
+    with small_broadcasts(edges.sparkSession, SMALL):
+        return _communities(Written(edges.sparkSession, "modularity"), edges, resolutions, rounds, refine)
+
+
+def _communities(work: Written, edges: DataFrame, resolutions: tuple[float, ...], rounds: int, refine: int) -> tuple[DataFrame, list[dict]]:
     given = work.table(_weighted(edges), "given")
     m = given.agg(F.sum("w")).first()[0] or 0.0
     ends = given.select(F.inline(F.array(F.struct(F.col("u").alias("id"), "w"), F.struct(F.col("v").alias("id"), "w"))))
