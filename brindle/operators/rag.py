@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions import wording
 from brindle.functions.text import contains_any, token_estimate
 from brindle.operators import parts
+from brindle.operators.firsts import first_of
 from brindle.operators.graph import either_way, top_per
 from brindle.shared import Written
 
@@ -149,7 +150,7 @@ def context_totals(packed: DataFrame, per_token: int = 4) -> DataFrame:
 def entity_preamble(entities: DataFrame, most: int = 10) -> DataFrame:
     """``query_id, text``: a query's first entities, from ``query_id, position, name, entity_type, description``."""
     line = F.concat(F.lit("- **"), F.coalesce("name", F.lit("Unknown")), F.lit("** ("), F.coalesce("entity_type", F.lit("entity")), F.lit(")"), F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit("\n  "), "description")).otherwise(""))
-    lists = entities.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("position"))).where(F.col("_r") <= most).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("_r", line.alias("l")))).alias("x"))
+    lists = first_of(entities, "query_id", "position", most).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("_r", line.alias("l")))).alias("x"))
     return lists.select("query_id", F.concat(F.lit(wording.ENTITIES_HEAD), F.array_join(F.transform("x", lambda x: x["l"]), "\n"), F.lit("\n\n")).alias("text"))
 
 
@@ -159,8 +160,7 @@ def graph_preamble(nodes: DataFrame, edges: DataFrame, most_nodes: int = 15, mos
     e = F.concat(F.lit("- "), "source", F.lit(" → "), F.coalesce("relation_type", F.lit("relates to")), F.lit(" → "), "target")
 
     def block(d: DataFrame, line: Column, most: int, name: str) -> DataFrame:
-        top = d.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("position"))).where(F.col("_r") <= most)
-        return top.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("_r", line.alias("l")))).alias("x")).select("query_id", F.array_join(F.transform("x", lambda x: x["l"]), "\n").alias(name))
+        return first_of(d, "query_id", "position", most).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("_r", line.alias("l")))).alias("x")).select("query_id", F.array_join(F.transform("x", lambda x: x["l"]), "\n").alias(name))
 
     both = block(nodes, n, most_nodes, "n").join(block(edges, e, most_edges, "e"), "query_id", "left")
     return both.select("query_id", F.concat(F.lit(wording.GRAPH_HEAD), "n", F.when(F.col("e").isNotNull(), F.concat(F.lit(wording.RELATIONS_HEAD), "e")).otherwise(""), F.lit("\n\n")).alias("text"))
