@@ -61,6 +61,26 @@ def greedy_dedup(hits: DataFrame, least: float = 0.9) -> DataFrame:
     return lists.select("query_id", F.explode(kept).alias("x")).select("query_id", F.col("x.rank").alias("rank"), F.col("x.id").alias("id"))
 
 
+def dedup_hits(hits: DataFrame, sets: DataFrame, least: float = 0.9) -> DataFrame:
+    """``greedy_dedup`` of ``query_id, rank, id`` over the sets ``id, w``, whose words go only with hits that it can drop, or that can drop one.
+
+    Sets over the limit share a key of ``parts`` or their digest and so a group;
+    a hit without another of its group among its query's hits is kept as it is.
+    Groups are found once for all queries.
+    """
+    work = Written(hits.sparkSession, "dedup")
+    hits = work.table(hits.select("query_id", "rank", "id"), "hits")
+    ids = work.table(hits.select("id").distinct(), "ids")
+    own = sets.select("id", F.array_distinct("w").alias("w")).join(F.broadcast(ids) if ids.count() <= FEW else ids, "id", "left_semi")
+    made = work.table(parts.keyed(own, least), "keys")
+    groups = parts.groups(work, made.select("id", F.explode(F.concat("keys", F.array(F.xxhash64("digest")))).alias("key")))
+    of = hits.join(groups, "id").select("query_id", "rank", "id", "label")
+    several = of.groupBy("query_id", "label").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    close = work.table(of.join(several, ["query_id", "label"], "left_semi").select("query_id", "rank", "id").distinct(), "close")
+    alone = hits.join(close, ["query_id", "rank", "id"], "left_anti")
+    return alone.union(greedy_dedup(close.join(sets, "id"), least))
+
+
 def pack_context(hits: DataFrame, max_tokens: int = 4000, max_chunks: int = 20, room: int = 100) -> DataFrame:
     """From ``query_id, rank, id, text``: the chunks that fit the token budget, the first that does not cut to what is left.
 

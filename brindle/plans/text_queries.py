@@ -46,7 +46,7 @@ def jaccard_dedup(spark, sf):
     q = table(spark, sf, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
     hits = index.search_many(index.build(d, stemmed=False), q, 20)
     texts = d.select(F.col("doc_id").alias("id"), F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("w"))
-    return rag.greedy_dedup(hits.join(texts, "id"))
+    return rag.dedup_hits(hits, texts)
 
 
 _ANSWERS = """a AS (SELECT conv_id, turn, text || CASE conv_id % 5 WHEN 0 THEN ' Confidence: high' WHEN 1 THEN ' **Confidence:** medium' WHEN 2 THEN ' low confidence' WHEN 3 THEN ' It is not specified in the context.' ELSE '' END AS t FROM conversations)"""
